@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules, source_mix, token_counts, url_filters, warc
+from . import exact_dedup, quality_classifier, quality_rules, source_mix, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_source_mix": source_mix.op3_source_mix,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_warc": warc.op7_warc,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 ORACLE = {
