@@ -1,6 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Each word and each character n-gram of it has a learned vector, found by hash. A text's vector is the mean over all its
+Each word and each character n-gram of it has a learned vector, found by hash; so
+has the event that a word repeats the word before. A text's vector is the mean over all its
 words' features; a softmax over two linear outputs gives the probability of quality. Vectors and outputs are trained
 together by stochastic gradient descent in numpy, on a bounded sample of labelled rows: ``MAX_ROWS`` of either class,
 those of least hash, with texts of at most ``MAX_CHARS`` characters (longer texts are scored whole like all others).
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from .words import WordTable, framed, ngram_hashes
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 12, 3, 5
 MAX_ROWS, MAX_CHARS = 2_000, 50_000
 EPOCHS, RATE, SEED = 6, 1.0, 11
+#: The bucket for a word that repeats the word before, and its weight among some ten or twenty features of a word.
+ECHO, ECHO_TIMES = BUCKETS - 1, 10
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +49,11 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(owner)
 
 
+def echoes(words: list[str]) -> int:
+    """How often a text has the feature ECHO: ``ECHO_TIMES`` for each word that repeats the word before."""
+    return ECHO_TIMES * sum(map(eq, words, words[1:]))
+
+
 def text_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of a text and how often it has them."""
     words = (text or "").split()
@@ -53,8 +62,8 @@ def text_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     kinds, inverse = np.unique(np.array(words, object), return_inverse=True)
     times = np.bincount(inverse)
     ids, owner = word_features(kinds.tolist())
-    features, back = np.unique(ids, return_inverse=True)
-    return features, np.bincount(back, times[owner])
+    features, back = np.unique(np.append(ids, ECHO), return_inverse=True)
+    return features, np.bincount(back, np.append(times[owner], echoes(words)))
 
 
 @dataclass
@@ -121,15 +130,17 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
     def values():
         kept = WordTable(held.value.words) if held.value.weights is not None else None
 
-        def score(values: np.ndarray) -> float:
+        def score(words: list[str], values: np.ndarray) -> float:
             total, n = values.sum(0)
+            again = echoes(words)
+            total, n = total + again * held.value.weights[ECHO], n + again
             return 1 / (1 + float(np.exp(-np.clip(total / n + held.value.shift, -30, 30))))
 
         def made(texts: list[str | None]) -> list[pa.Array]:
             words = [(x or "").split() for x in texts]
             if kept is None:
                 return [pa.array([held.value.share] * len(words), pa.float64())]
-            return [pa.array([score(v) if w else held.value.share for w, v in zip(words, kept.many(words))], pa.float64())]
+            return [pa.array([score(w, v) if w else held.value.share for w, v in zip(words, kept.many(words))], pa.float64())]
 
         return made
 
