@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_classifier, quality_rules, source_mix, token_counts, toxicity, url_filters, warc
+from . import exact_dedup, minhash_dedup, quality_classifier, quality_rules, source_mix, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_source_mix": source_mix.op3_source_mix,
+    "op4_minhash_neardup": minhash_dedup.op4_minhash_neardup,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_warc": warc.op7_warc,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLE = {
     "op3_source_mix": source_mix.SQL,
+    "op4_minhash_neardup": minhash_dedup.SQL,
     "op7_warc": warc.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
