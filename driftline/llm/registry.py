@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash_dedup, quality_classifier, quality_rules, source_mix, token_counts, toxicity, url_filters, warc
+from . import exact_dedup, minhash_dedup, piece_sampling, quality_classifier, quality_rules, source_mix, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_warc": warc.op7_warc,
+    "op8_sentencepiece": piece_sampling.op8_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
