@@ -54,6 +54,30 @@ def fold(modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+#: Bits of a bit table, which bounds its rows to BITS / 64.
+BITS = 1 << 24
+
+
+def bit_table(keys: DataFrame, key: str) -> DataFrame:
+    """word_, mask_: the bits that the keys' hashes set. Its size has a bound, so it may be broadcast."""
+    slot = F.pmod(F.xxhash64(key), F.lit(BITS))
+    words = keys.select(F.floor(slot / 64).cast("int").alias("word_"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit_"))
+    return words.groupBy("word_").agg(F.bit_or("bit_").alias("mask_"))
+
+
+def split_by_bits(df: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be among those of ``bits``, and rows whose key surely is not; nothing is shuffled.
+
+    With far more keys than bits all rows may be: what follows is as right, and as dear as without the table.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(BITS))
+    names = df.columns
+    marked = df.withColumn("slot_", slot).join(F.broadcast(bits), F.floor(F.col("slot_") / 64).cast("int") == F.col("word_"), "left")
+    hit = F.coalesce(F.call_function("shiftright", F.col("mask_"), (F.col("slot_") % 64).cast("int")).bitwiseAND(F.lit(1)) != 0, F.lit(False))
+    marked = marked.withColumn("may_", hit)
+    return marked.where("may_").select(*names), marked.where("not may_").select(*names)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

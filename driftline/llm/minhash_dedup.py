@@ -1,10 +1,10 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 A document is the set of its word shingles, and its 128 minwise tokens stand for the set. Independent trees branch the
-distinct sets: a node picks one coordinate of the tokens by its own hash, now and then two, and each set goes to the
-child that its token there names, so sets of similarity s stay together with probability s a level. Nodes of at most
-``NODE`` sets are compared exhaustively; larger ones branch on. A node that is still large at the last level is compared
-in blocks, each together with the node's pivots.
+distinct sets: a node picks one coordinate of the tokens by its own hash (a root now and then two), and each set goes to
+the child that its token there names, so sets of similarity s stay together with probability s a level. Nodes of at most
+``NODE`` sets are compared exhaustively, once if trees give the same node; larger ones branch on. A node that is still
+large at the last level is compared in blocks, each together with the node's pivots.
 
 Comparison first parts a node's sets by how many tokens agree, with a margin of four and a half standard deviations.
 What is left are small clusters, mostly the same ones from all trees; each distinct cluster is compared once, on full
@@ -23,17 +23,18 @@ and kept by ``keep_one``. ``docs`` should read stored files, as rows are known b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounds, free_name, grouped, slices, staged, table
+from .common import as_bytes, bit_table, bounds, free_name, grouped, slices, split_by_bits, staged, table
 from .components import components
 
 #: Minwise tokens; trees; sets of a node that are compared exhaustively; depths at which nodes are counted.
-TOKENS, TREES, NODE, DEPTHS = 128, 16, 256, (1, 3, 6, 10, 15)
+TOKENS, TREES, NODE, DEPTHS = 128, 16, 256, (1, 6)
 #: Trees whose clusters are compared first; pivots of a block.
 FIRST_TREES, PIVOTS = 2, 8
 #: Least similarity in percent, and standard deviations of the estimate below it that are still compared.
@@ -97,7 +98,7 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """tag, doc_id, n, d1, d2, tokens: each document's set size, digest and minwise tokens."""
+    """tag, doc_id, n, d1, d2, tokens, sketch: each document's set size, digest, minwise tokens and their lowest bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,33 +107,29 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     one = [int(mix(s).sum().astype(np.int64)) for s in sets]
                     two = [int(np.bitwise_xor.reduce(mix(s ^ BASE)).astype(np.int64)) if len(s) else 0 for s in sets]
-                tokens = [minwise(s).tobytes() if len(s) else None for s in sets]
+                tokens = [minwise(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("tag"), part.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(tokens, pa.binary())],
-                    ["tag", "doc_id", "n", "d1", "d2", "tokens"],
-                )
+                    [part.column("tag"), part.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                     pa.array([None if t is None else t.tobytes() for t in tokens], pa.binary()), pa.array([None if t is None else t.astype(np.uint8).tobytes() for t in tokens], pa.binary())],
+                    ["tag", "doc_id", "n", "d1", "d2", "tokens", "sketch"],
+                )
 
     tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tag"))
-    return tagged.mapInArrow(rows, "tag long, doc_id long, n long, d1 long, d2 long, tokens binary")
+    return tagged.mapInArrow(rows, "tag long, doc_id long, n long, d1 long, d2 long, tokens binary, sketch binary")
 
 
-def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
+def matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, TOKENS)
 
 
-def descend(node: np.ndarray, tokens: np.ndarray, row: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Children after ``levels`` of (node, row of tokens); every fourth node branches on two coordinates."""
+def descend(node: np.ndarray, tokens: np.ndarray, levels: int) -> np.ndarray:
+    """Each row's node some levels below ``node``."""
+    row = np.arange(len(node))
     for _ in range(levels):
-        pick = mix(node)
-        twice = np.flatnonzero((pick >> np.uint64(60)) < 4)
-        node, row = np.concatenate([node, node[twice]]), np.concatenate([row, row[twice]])
-        second = np.zeros(len(node), bool)
-        second[len(pick) :] = True
-        pick = np.concatenate([pick, pick[twice]])
-        at = np.where(second, pick >> np.uint64(20), pick).astype(np.int64) % TOKENS
+        at = mix(node).astype(np.int64) % TOKENS
         with np.errstate(over="ignore"):
             node = mix(node + mix((at.astype(np.uint64) << np.uint64(32)) + tokens[row, at]))
-    return node, row
+    return node
 
 
 def roots(tokens: DataFrame, trees: int) -> DataFrame:
@@ -147,7 +144,7 @@ def roots(tokens: DataFrame, trees: int) -> DataFrame:
                         node = mix(mix(np.full(len(rep), t * TOKENS + at + 1, np.uint64)) ^ m[:, at])
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rep), t, np.int32)), pa.array(node.view(np.int64)), pa.array(rep)], ["tree", "node", "rep"])
 
-    return tokens.mapInArrow(rows, "tree int, node long, rep long")
+    return tokens.select("rep", "tokens").mapInArrow(rows, "tree int, node long, rep long")
 
 
 def branched(large: DataFrame, tokens: DataFrame, levels: int) -> DataFrame:
@@ -156,10 +153,10 @@ def branched(large: DataFrame, tokens: DataFrame, levels: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 4096):
-                node, row = descend(part.column("node").to_numpy().view(np.uint64), matrix(part.column("tokens")), np.arange(part.num_rows), levels)
-                yield pa.RecordBatch.from_arrays([part.column("tree").take(pa.array(row)), pa.array(node.view(np.int64)), part.column("rep").take(pa.array(row))], ["tree", "node", "rep"])
+                node = descend(part.column("node").to_numpy().view(np.uint64), matrix(part.column("tokens")), levels)
+                yield pa.RecordBatch.from_arrays([part.column("tree"), pa.array(node.view(np.int64)), part.column("rep")], ["tree", "node", "rep"])
 
-    return large.select("tree", "node", "rep").join(tokens, "rep").select("tree", "node", "rep", "tokens").mapInArrow(rows, "tree int, node long, rep long")
+    return large.select("tree", "node", "rep").join(tokens.select("rep", "tokens"), "rep").select("tree", "node", "rep", "tokens").mapInArrow(rows, "tree int, node long, rep long")
 
 
 def blocks(large: DataFrame, most: int) -> DataFrame:
@@ -174,24 +171,26 @@ def blocks(large: DataFrame, most: int) -> DataFrame:
 
 
 def leaves(tokens: DataFrame, trees: int, most: int) -> DataFrame:
-    """tree, node, rep of all nodes that are to be compared: of 2 sets at least, and few at most."""
-    parts, level, rows = [], 0, None
+    """tree, node, rep of all nodes that are to be compared: of 2 sets at least, and few at most; equal nodes once."""
+    parts, level, rows = [], 0, roots(tokens, trees)
     for depth in DEPTHS:
-        rows = roots(tokens, trees) if rows is None else branched(rows, tokens, depth - level)
+        if depth > 1:
+            rows = staged(branched(rows, tokens, depth - level), "paths")
         level = depth
-        rows = staged(rows.distinct() if depth > 1 else rows, "paths")
-        sizes = rows.groupBy(F.col("node").alias("of")).agg(F.count("*").alias("n")).where("n > 1")
-        counted = staged(rows.join(sizes, F.col("node") == F.col("of")).drop("of"), "nodes")
+        members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+        sizes = rows.groupBy(F.col("node").alias("of")).agg(F.count("*").alias("n"), F.min("tree").alias("first"), *members).where("n > 1")
+        sizes = staged(sizes, "sizes")
+        few = sizes.where(F.col("n") <= most).groupBy("n", "x0", "x1").agg(F.min(F.struct("first", "of")).alias("one")).select("one.of")
+        wanted = staged(few.join(sizes, "of").unionByName(sizes.where(F.col("n") > most)).select("of", "n"), "nodes")
+        may, _ = split_by_bits(rows, "node", bit_table(wanted, "of"))
+        counted = staged(may.join(wanted, F.col("node") == F.col("of")).select("tree", "node", "rep", "n").dropDuplicates(["node", "rep"]), "members")
         parts.append(counted.where(F.col("n") <= most).select("tree", "node", "rep"))
         rows = counted.where(F.col("n") > most)
         if rows.isEmpty():
             break
     else:
         parts.append(blocks(rows, most))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def roots_of(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -214,7 +213,7 @@ def clusters(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(batches, "node"):
-            m, rep, tree = matrix(part.column("tokens")), part.column("rep").to_numpy(), part.column("tree").to_numpy()
+            m, rep, tree = matrix(part.column("sketch"), np.uint8), part.column("rep").to_numpy(), part.column("tree").to_numpy()
             ends, trees, names, reps = bounds(part.column("node").to_numpy()), [], [], []
             for lo, hi in zip(ends[:-1], ends[1:]):
                 near = (m[lo:hi, None] == m[None, lo:hi]).sum(2) >= least if hi - lo > 2 else None
@@ -232,7 +231,7 @@ def clusters(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(trees)), pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(reps))], ["tree", "cluster", "rep"])
 
-    held = nodes.join(tokens, "rep").select("tree", "node", "rep", "tokens").repartition("node").sortWithinPartitions("node")
+    held = nodes.join(tokens.select("rep", "sketch"), "rep").select("tree", "node", "rep", "sketch").repartition("node").sortWithinPartitions("node")
     return held.mapInArrow(rows, "tree int, cluster long, rep long")
 
 
@@ -289,7 +288,17 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("tag"), pa.array(made, pa.large_binary()).cast(pa.binary())], ["rep", "hashes"])
 
     tagged = docs.select("text", F.monotonically_increasing_id().alias("tag"))
-    return tagged.join(wanted.withColumnRenamed("rep", "tag"), "tag", "left_semi").select("tag", "text").mapInArrow(rows, "rep long, hashes binary")
+    may, _ = split_by_bits(tagged, "tag", bit_table(wanted, "rep"))
+    return may.select("tag", "text").mapInArrow(rows, "rep long, hashes binary").join(wanted, "rep", "left_semi")
+
+
+def distinct_sets(some: DataFrame, firsts: DataFrame) -> DataFrame:
+    """rep, tokens, sketch of one document for each distinct set. Only what may be a copy is joined."""
+    copied = firsts.where("copies > 1")
+    may, alone = split_by_bits(some.select(F.col("tag").alias("rep"), "d1", "d2", "tokens", "sketch"), "d1", bit_table(copied, "d1"))
+    twice = copied.select("d1", "d2", F.col("rep").alias("first"))
+    first = may.join(twice, ["d1", "d2"], "left").where("first is null or first = rep")
+    return alone.select("rep", "tokens", "sketch").unionByName(first.select("rep", "tokens", "sketch"))
 
 
 def classes(docs: DataFrame, k: int, percent: int = PERCENT, trees: int = TREES, node: int = NODE) -> DataFrame:
@@ -298,7 +307,7 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT, trees: int = TREES,
     some = base.where("n > 0")
     firsts = some.groupBy("d1", "d2").agg(F.min("tag").alias("rep"), F.count("*").alias("copies"))
     firsts = staged(firsts, "distinct-sets")
-    tokens = staged(some.select(F.col("tag").alias("rep"), "tokens").join(firsts.select("rep"), "rep", "left_semi"), "tokens")
+    tokens = distinct_sets(some, firsts)
     found = clusters(leaves(tokens, trees, node), tokens).groupBy("cluster", "rep").agg(F.min("tree").alias("tree"))
     found = staged(found, "clusters")
     sets = staged(full_sets(docs, found.select("rep").distinct(), k), "full-sets")
