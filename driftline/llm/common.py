@@ -70,12 +70,19 @@ def split_by_bits(df: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame,
 
     With far more keys than bits all rows may be: what follows is as right, and as dear as without the table.
     """
-    slot = F.pmod(F.xxhash64(key), F.lit(BITS))
     names = df.columns
-    marked = df.withColumn("slot_", slot).join(F.broadcast(bits), F.floor(F.col("slot_") / 64).cast("int") == F.col("word_"), "left")
-    hit = F.coalesce(F.call_function("shiftright", F.col("mask_"), (F.col("slot_") % 64).cast("int")).bitwiseAND(F.lit(1)) != 0, F.lit(False))
-    marked = marked.withColumn("may_", hit)
-    return marked.where("may_").select(*names), marked.where("not may_").select(*names)
+    slot, word, mask, may = (free_name(names, f"bits_{x}") for x in ("slot", "word", "mask", "may"))
+    marked = df.withColumn(slot, F.pmod(F.xxhash64(key), F.lit(BITS)))
+    marked = marked.join(F.broadcast(bits.toDF(word, mask)), F.floor(F.col(slot) / 64).cast("int") == F.col(word), "left")
+    hit = F.call_function("shiftright", F.col(mask), (F.col(slot) % 64).cast("int")).bitwiseAND(F.lit(1)) != 0
+    marked = marked.withColumn(may, F.coalesce(hit, F.lit(False)))
+    return marked.where(F.col(may)).select(*names), marked.where(~F.col(may)).select(*names)
+
+
+def without(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """``df`` less the rows whose key is in ``dropped``, a stored table. Rows that surely stay are not shuffled."""
+    may, stays = split_by_bits(df, key, bit_table(dropped, key))
+    return stays.unionByName(may.join(dropped, key, "left_anti").select(*df.columns))
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

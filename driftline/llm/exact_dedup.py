@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_name, staged, table
+from .common import SPACE, free_name, staged, table, without
 
 #: Characters of the second step's prefix.
 PREFIX = 256
@@ -64,7 +64,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that repeat another row's text."""
     tag = free_name(docs.columns, "tag")
     dropped = staged(exact_groups(docs.select("doc_id", "text")).where("not kept").select(F.col("tag").alias(tag)), "dedup-dropped")
-    return docs.withColumn(tag, F.monotonically_increasing_id()).join(dropped, tag, "left_anti").drop(tag)
+    return without(docs.withColumn(tag, F.monotonically_increasing_id()), dropped, tag).drop(tag)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

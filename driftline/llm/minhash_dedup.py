@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bit_table, bounds, free_name, grouped, slices, split_by_bits, staged, table
+from .common import as_bytes, bit_table, bounds, free_name, grouped, slices, split_by_bits, staged, table, without
 from .components import components
 
 #: Minwise tokens; trees; sets of a node that are compared exhaustively; depths at which nodes are counted.
@@ -336,7 +336,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each class."""
     tag = free_name(docs.columns, "tag")
     dropped = staged(near_duplicates(docs.select("doc_id", "text"), k, percent).where("not kept").select(F.col("tag").alias(tag)), "near-dropped")
-    return docs.withColumn(tag, F.monotonically_increasing_id()).join(dropped, tag, "left_anti").drop(tag)
+    return without(docs.withColumn(tag, F.monotonically_increasing_id()), dropped, tag).drop(tag)
 
 
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
