@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import trajectory as tr
 from ..operators import asof as asof_
 from ..operators import binning, cohort, cox, design, evaluate, riskset, sequences, summaries, trailing
-from ..session import ship
+from ..session import shared_dir, ship
 from ..sources import tables
 from . import pipelines
 
@@ -47,9 +47,8 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the session (the warehouse where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder of the session."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

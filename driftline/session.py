@@ -1,4 +1,4 @@
-"""What a session needs before Python code of this package runs in its tasks."""
+"""What a session needs: this package on its executors, and a folder that they share."""
 
 from __future__ import annotations
 
@@ -24,3 +24,20 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(here.parent))
     context.addPyFile(archive)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only where that is unset (a local session, as in tests) a temporary folder is set instead.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if set_before.isDefined():
+            return set_before.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="driftline-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
