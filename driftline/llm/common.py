@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship
 
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` splits alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,23 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (a local session, as in tests) a temporary folder is set instead.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="driftline-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends there, and no executor's loss matters."""
     spark = df.sparkSession
@@ -54,6 +36,18 @@ def fold(modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def least_by_hash(df: DataFrame, rows: int, *columns: Column | str) -> DataFrame:
+    """At most ``rows`` rows, those whose columns hash least: the same ones at any try.
+
+    A count comes first, so that only about twice as many rows are sorted, whatever the table's size.
+    """
+    order = F.pmod(F.xxhash64(*columns), F.lit(1 << 40))
+    total = df.count()
+    if total > 2 * rows:
+        df = df.where(order < int((1 << 40) * 2 * rows / total))
+    return df.orderBy(order, *columns).limit(rows)
+
+
 #: Bits of a bit table, which bounds its rows to BITS / 64.
 BITS = 1 << 24
 

@@ -25,7 +25,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, table
+from ..session import shared_dir
+from .common import slices, table
 
 LIMIT = 512
 CACHE = "digest string, tokenizer string, n_bytes long, n_tokens long"

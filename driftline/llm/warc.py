@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from ..session import shared_dir
+from .common import table
 
 #: Payloads from this many bytes on are stored once.
 MIN_SHARED = 1000
