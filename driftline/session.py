@@ -10,11 +10,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch at most: whole texts go to Python tasks, and a batch is held several times over.
+BATCH_ROWS = 2_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session."""
+    """Send this package to the executors, once a session, and bound the session's Arrow batches to BATCH_ROWS."""
     context = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     if context.applicationId in _shipped:
         return
     here = Path(__file__).parent
