@@ -85,9 +85,10 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """A batch in shorter ones, so that what Python holds at once stays small."""
+    """A batch in shorter ones, so that what Python holds at once stays small; what Arrow no longer needs is given back."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def grouped(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

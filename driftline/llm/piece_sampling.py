@@ -36,7 +36,7 @@ from .words import CHUNK, KeyIndex, framed, ngram_hashes
 
 MODEL, THETA, SEED = "piece_bpe_32k.model", 0.8, 7
 #: Words whose tables are kept.
-MAX_WORDS = 200_000
+MAX_WORDS = 60_000
 RUNS = re.compile(r" *[^ ]+| +")
 
 

@@ -16,7 +16,7 @@ CHUNK = 4096
 class WordTable:
     """Rows of ``score`` by word. Past ``most`` words the table starts afresh, so its size is bounded."""
 
-    def __init__(self, score: Callable[[list[str]], np.ndarray], most: int = 300_000):
+    def __init__(self, score: Callable[[list[str]], np.ndarray], most: int = 150_000):
         self.score, self.most, self.at, self.rows = score, most, {}, None
 
     def learn(self, words: Iterable[str]) -> None:
