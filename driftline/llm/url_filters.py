@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import least_by_hash, staged, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: n-gram lengths, hash buckets, and the bound on labelled rows of either kind.
@@ -82,9 +82,9 @@ def features(urls: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame, max_rows: int = MAX_LABELLED) -> UrlModel:
     """Fit on rows (host, path, blocked 0/1): at most ``max_rows`` of either kind, those of least hash."""
-    order = F.xxhash64("host", "path")
-    sample = labelled.where("blocked = 1").orderBy(order).limit(max_rows).unionByName(labelled.where("blocked = 0").orderBy(order).limit(max_rows))
-    sample = staged(sample.select("host", "path", F.col("blocked").cast("double").alias("label_")), "url-labelled")
+    labelled = labelled.withColumn("place_", F.monotonically_increasing_id())  # rows of one URL are dealt apart
+    kinds = [least_by_hash(labelled.where(F.col("blocked") == k), max_rows, "host", "path", "place_") for k in (0, 1)]
+    sample = staged(kinds[0].unionByName(kinds[1]).select("host", "path", F.col("blocked").cast("double").alias("label_")), "url-labelled")
     if sample.select("label_").distinct().count() < 2:
         return UrlModel(None)
     fit = LogisticRegression(featuresCol="features_", labelCol="label_", probabilityCol="probability", rawPredictionCol="raw_", predictionCol="predicted_", regParam=0.001, maxIter=30)
