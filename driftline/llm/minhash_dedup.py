@@ -1,10 +1,12 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 A document is the set of its word shingles, and its 128 minwise tokens stand for the set. Independent trees branch the
-distinct sets: a node picks one coordinate of the tokens by its own hash (a root now and then two), and each set goes to
-the child that its token there names, so sets of similarity s stay together with probability s a level. Nodes of at most
-``NODE`` sets are compared exhaustively, once if trees give the same node; larger ones branch on. A node that is still
-large at the last level is compared in blocks, each together with the node's pivots.
+distinct sets: a node picks one coordinate of the tokens by its own hash, every fourth one two, and each set goes to the
+child that its token there names, so a pair of similarity 0.8 keeps about one common path a level. Nodes are counted at
+every level: those of at most ``NODE`` sets are compared exhaustively, once if trees give the same node; larger ones
+branch on. A large node that keeps more than ``STUCK`` of its parent's sets is one that levels do not part (below that
+share, the second coordinates add no more paths than the levels take); it is compared in blocks, each together with the
+node's pivots.
 
 Comparison first parts a node's sets by how many tokens agree, with a margin of four and a half standard deviations.
 What is left are small clusters, mostly the same ones from all trees; each distinct cluster is compared once, on full
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, bit_table, bounds, free_name, grouped, slices, split_by_bits, staged, table, without
 from .components import components
 
-#: Minwise tokens; trees; sets of a node that are compared exhaustively; depths at which nodes are counted.
-TOKENS, TREES, NODE, DEPTHS = 128, 16, 256, (1, 6)
+#: Minwise tokens; trees; sets of a node that are compared exhaustively; share of its parent from which a node is not parted.
+TOKENS, TREES, NODE, STUCK = 128, 16, 256, 0.8
 #: Trees whose clusters are compared first; pivots of a block.
 FIRST_TREES, PIVOTS = 2, 8
 #: Least similarity in percent, and standard deviations of the estimate below it that are still compared.
@@ -122,14 +124,14 @@ def matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.uint32) -> np.nda
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, TOKENS)
 
 
-def descend(node: np.ndarray, tokens: np.ndarray, levels: int) -> np.ndarray:
-    """Each row's node some levels below ``node``."""
-    row = np.arange(len(node))
-    for _ in range(levels):
-        at = mix(node).astype(np.int64) % TOKENS
-        with np.errstate(over="ignore"):
-            node = mix(node + mix((at.astype(np.uint64) << np.uint64(32)) + tokens[row, at]))
-    return node
+def descend(node: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Children of nodes and the rows they hold; every fourth node branches on two coordinates."""
+    pick = mix(node)
+    twice = np.flatnonzero((pick >> np.uint64(60)) < 4)
+    row = np.concatenate([np.arange(len(node)), twice])
+    at = np.concatenate([pick, pick[twice] >> np.uint64(20)]).astype(np.int64) % TOKENS
+    with np.errstate(over="ignore"):
+        return mix(node[row] + mix((at.astype(np.uint64) << np.uint64(32)) + tokens[row, at])), row
 
 
 def roots(tokens: DataFrame, trees: int) -> DataFrame:
@@ -147,16 +149,18 @@ def roots(tokens: DataFrame, trees: int) -> DataFrame:
     return tokens.select("rep", "tokens").mapInArrow(rows, "tree int, node long, rep long")
 
 
-def branched(large: DataFrame, tokens: DataFrame, levels: int) -> DataFrame:
-    """tree, node, rep of what large nodes (tree, node, rep) become some levels deeper."""
+def branched(large: DataFrame, tokens: DataFrame) -> DataFrame:
+    """tree, node, rep, above of the children of large nodes (tree, node, rep, n); ``above`` is the parent's n."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 4096):
-                node = descend(part.column("node").to_numpy().view(np.uint64), matrix(part.column("tokens")), levels)
-                yield pa.RecordBatch.from_arrays([part.column("tree"), pa.array(node.view(np.int64)), part.column("rep")], ["tree", "node", "rep"])
+                node, row = descend(part.column("node").to_numpy().view(np.uint64), matrix(part.column("tokens")))
+                tree, rep, above = (part.column(c).take(pa.array(row)) for c in ("tree", "rep", "n"))
+                yield pa.RecordBatch.from_arrays([tree, pa.array(node.view(np.int64)), rep, above], ["tree", "node", "rep", "above"])
 
-    return large.select("tree", "node", "rep").join(tokens.select("rep", "tokens"), "rep").select("tree", "node", "rep", "tokens").mapInArrow(rows, "tree int, node long, rep long")
+    may, _ = split_by_bits(tokens.select("rep", "tokens"), "rep", bit_table(large, "rep"))
+    return large.join(may, "rep").select("tree", "node", "rep", "n", "tokens").mapInArrow(rows, "tree int, node long, rep long, above long")
 
 
 def blocks(large: DataFrame, most: int) -> DataFrame:
@@ -172,25 +176,24 @@ def blocks(large: DataFrame, most: int) -> DataFrame:
 
 def leaves(tokens: DataFrame, trees: int, most: int) -> DataFrame:
     """tree, node, rep of all nodes that are to be compared: of 2 sets at least, and few at most; equal nodes once."""
-    parts, level, rows = [], 0, roots(tokens, trees)
-    for depth in DEPTHS:
-        if depth > 1:
-            rows = staged(branched(rows, tokens, depth - level), "paths")
-        level = depth
+    parts, rows = [], roots(tokens, trees).withColumn("above", F.lit(None).cast("long"))
+    while True:
         members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
-        sizes = rows.groupBy(F.col("node").alias("of")).agg(F.count("*").alias("n"), F.min("tree").alias("first"), *members).where("n > 1")
-        sizes = staged(sizes, "sizes")
-        few = sizes.where(F.col("n") <= most).groupBy("n", "x0", "x1").agg(F.min(F.struct("first", "of")).alias("one")).select("one.of")
-        wanted = staged(few.join(sizes, "of").unionByName(sizes.where(F.col("n") > most)).select("of", "n"), "nodes")
-        may, _ = split_by_bits(rows, "node", bit_table(wanted, "of"))
-        counted = staged(may.join(wanted, F.col("node") == F.col("of")).select("tree", "node", "rep", "n").dropDuplicates(["node", "rep"]), "members")
+        sizes = rows.groupBy(F.col("node").alias("of")).agg(F.count("*").alias("n"), F.min("tree").alias("first"), F.max("above").alias("above"), *members).where("n > 1")
+        stuck = (F.col("n") > most) & F.coalesce(F.col("n") > STUCK * F.col("above"), F.lit(False))
+        sizes = staged(sizes.withColumn("stuck", stuck), "sizes")
+        on = (F.col("n") > most) & ~F.col("stuck")
+        last = sizes.where(~on).groupBy("n", "x0", "x1").agg(F.min(F.struct("first", "of")).alias("one")).select("one.of")
+        wanted = staged(last.join(sizes, "of").select(*sizes.columns).unionByName(sizes.where(on)).select("of", "n", "stuck"), "nodes")
+        may, _ = split_by_bits(rows.drop("above"), "node", bit_table(wanted, "of"))
+        counted = staged(may.join(wanted, F.col("node") == F.col("of")).select("tree", "node", "rep", "n", "stuck").dropDuplicates(["node", "rep"]), "members")
         parts.append(counted.where(F.col("n") <= most).select("tree", "node", "rep"))
-        rows = counted.where(F.col("n") > most)
+        if not counted.where("stuck").isEmpty():
+            parts.append(blocks(counted.where("stuck"), most))
+        rows = counted.where(on).select("tree", "node", "rep", "n")
         if rows.isEmpty():
-            break
-    else:
-        parts.append(blocks(rows, most))
-    return reduce(DataFrame.unionByName, parts)
+            return reduce(DataFrame.unionByName, parts)
+        rows = staged(branched(rows, tokens).dropDuplicates(["node", "rep"]), "paths")
 
 
 def roots_of(n: int, pairs: np.ndarray) -> np.ndarray:

@@ -287,3 +287,21 @@ def test_bit_tables(spark):
     assert {r["k"] for r in wanted.collect()} <= {r["k"] for r in may.collect()}
     assert may.count() + sure.count() == 1000 and sure.count() > 800
     assert bit_table(spark.range(100_000).withColumnRenamed("id", "k"), "k").count() <= BITS // 64
+
+
+def test_inner_nodes_keep_about_one_common_path_a_level():
+    """Six levels of branching lose no share of the pairs of similarity 0.8 that 16 trees would not make up for."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    pairs = 500
+    one = rng.integers(0, 1 << 32, (pairs, minhash_dedup.TOKENS), dtype=np.uint32)
+    other = np.where(rng.random(one.shape) < 0.8, one, rng.integers(0, 1 << 32, one.shape, dtype=np.uint32))
+    tokens, row = np.concatenate([one, other]), np.arange(2 * pairs)
+    node = minhash_dedup.mix(np.arange(1, pairs + 1, dtype=np.uint64))[row % pairs]
+    for _ in range(6):
+        node, at = minhash_dedup.descend(node, tokens[row])
+        row = row[at]
+    paths = set(zip(node[row < pairs].tolist(), row[row < pairs].tolist())) & {(n, r - pairs) for n, r in zip(node[row >= pairs].tolist(), row[row >= pairs].tolist())}
+    assert 0.8 < len(paths) / pairs < 1.3
+    assert len({r for _, r in paths}) / pairs > 0.4
