@@ -5,8 +5,9 @@ distinct sets: a node picks one coordinate of the tokens by its own hash, every
 child that its token there names, so a pair of similarity 0.8 keeps about one common path a level. Nodes are counted at
 every level: those of at most ``NODE`` sets are compared exhaustively, once if trees give the same node; larger ones
 branch on. A large node that keeps more than ``STUCK`` of its parent's sets is one that levels do not part (below that
-share, the second coordinates add no more paths than the levels take); it is compared in blocks, each together with the
-node's pivots.
+share, the second coordinates add no more paths than the levels take); it is first compared in blocks, each together
+with the node's pivots. When these links are known, all pairs of its sets are compared but those inside its largest
+component: the sets outside it, in blocks, meet every block of the node.
 
 Comparison first parts a node's sets by how many tokens agree, with a margin of four and a half standard deviations.
 What is left are small clusters, mostly the same ones from all trees; each distinct cluster is compared once, on full
@@ -37,8 +38,8 @@ from .components import components
 
 #: Minwise tokens; trees; sets of a node that are compared exhaustively; share of its parent from which a node is not parted.
 TOKENS, TREES, NODE, STUCK = 128, 16, 256, 0.8
-#: Trees whose clusters are compared first; pivots of a block.
-FIRST_TREES, PIVOTS = 2, 8
+#: Trees whose clusters are compared first; pivots of a block; nodes' sizes that two blocks of a large node make up together.
+FIRST_TREES, PIVOTS, CROSSED = 2, 8, 4
 #: Least similarity in percent, and standard deviations of the estimate below it that are still compared.
 PERCENT, DEVIATIONS = 80, 4.5
 
@@ -165,18 +166,46 @@ def branched(large: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def blocks(large: DataFrame, most: int) -> DataFrame:
     """tree, node, rep of nodes that no level has parted: blocks of half a node's size, with the node's pivots in each."""
-    order = [F.xxhash64("rep", F.lit(i)) for i in range(PIVOTS)]
+    order = [F.xxhash64("rep", "node", F.lit(i)) for i in range(PIVOTS)]
     pivots = large.groupBy(F.col("node").alias("of"), "tree").agg(F.max("n").alias("n_"), F.array(*[F.min_by("rep", o) for o in order]).alias("pivots"))
     count = lambda n: F.ceil(n / F.lit(most // 2 - PIVOTS)).cast("int")
-    own = large.select("tree", F.xxhash64("node", F.pmod(F.xxhash64("rep"), count(F.col("n")).cast("long"))).alias("node"), "rep")
+    own = large.select("tree", F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), count(F.col("n")).cast("long"))).alias("node"), "rep")
     shared = pivots.select("tree", "of", F.explode(F.sequence(F.lit(0), count(F.col("n_")) - 1)).alias("block"), "pivots")
     shared = shared.select("tree", F.xxhash64("of", F.col("block").cast("long")).alias("node"), F.explode("pivots").alias("rep"))
     return own.unionByName(shared).distinct()
 
 
-def leaves(tokens: DataFrame, trees: int, most: int) -> DataFrame:
-    """tree, node, rep of all nodes that are to be compared: of 2 sets at least, and few at most; equal nodes once."""
-    parts, rows = [], roots(tokens, trees).withColumn("above", F.lit(None).cast("long"))
+def crossed(large: DataFrame, done: DataFrame, most: int) -> DataFrame:
+    """tree, node, rep that bring together all pairs of a large node's sets but those inside its largest component.
+
+    The node's sets are dealt to blocks, and so are those outside its largest component of ``done``. Each block of the
+    latter meets each of the former, once where the two are blocks of outsiders alone.
+    """
+    known = done.select(F.col("u").alias("rep"), F.col("v").alias("root"))
+    rows = large.select("tree", "node", "rep").join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    by_root = rows.groupBy("node", "root").agg(F.count("*").alias("n"))
+    sizes = by_root.groupBy(F.col("node").alias("of")).agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where("most.n < n")
+    count = lambda n: F.ceil(n / F.lit(max(most // 2, 1))).cast("int")
+    sizes = sizes.select("of", F.col("most.root").alias("giant"), count(F.col("most.n")).alias("inside"), count(F.col("n") - F.col("most.n")).alias("outside"))
+    joined = rows.join(sizes, F.col("node") == F.col("of"))
+    inner = F.col("root") == F.col("giant")
+    at = F.pmod(F.xxhash64("rep", "node", F.lit("block")), F.when(inner, F.col("inside")).otherwise(F.col("outside")).cast("long")).cast("int")
+    every = F.sequence(F.lit(0), F.col("outside") - 1)
+    within = F.concat(
+        F.transform(every, lambda x: F.struct(F.least(x, F.col("at")).alias("a"), F.greatest(x, F.col("at")).alias("b"))),
+        F.transform(F.sequence(F.lit(0), F.col("inside") - 1), lambda x: F.struct(F.col("at").alias("a"), (-1 - x).alias("b"))),
+    )
+    met = F.when(F.col("inner"), F.transform(every, lambda x: F.struct(x.alias("a"), (-1 - F.col("at")).alias("b")))).otherwise(within)
+    pairs = joined.select("tree", "node", "rep", inner.alias("inner"), "outside", "inside", at.alias("at")).select("tree", "node", "rep", F.explode(met).alias("pair"))
+    return pairs.select("tree", F.xxhash64("node", "pair.a", "pair.b").alias("node"), "rep")
+
+
+def leaves(tokens: DataFrame, trees: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """tree, node, rep of all nodes that are to be compared: of 2 sets at least, and few at most; equal nodes once.
+
+    Then tree, node, rep of the large nodes that no level has parted, of which only blocks are among the former.
+    """
+    parts, whole, rows = [], [], roots(tokens, trees).withColumn("above", F.lit(None).cast("long"))
     while True:
         members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
         sizes = rows.groupBy(F.col("node").alias("of")).agg(F.count("*").alias("n"), F.min("tree").alias("first"), F.max("above").alias("above"), *members).where("n > 1")
@@ -190,9 +219,10 @@ def leaves(tokens: DataFrame, trees: int, most: int) -> DataFrame:
         parts.append(counted.where(F.col("n") <= most).select("tree", "node", "rep"))
         if not counted.where("stuck").isEmpty():
             parts.append(blocks(counted.where("stuck"), most))
+            whole.append(counted.where("stuck").select("tree", "node", "rep"))
         rows = counted.where(on).select("tree", "node", "rep", "n")
         if rows.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
+            return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, whole) if whole else None
         rows = staged(branched(rows, tokens).dropDuplicates(["node", "rep"]), "paths")
 
 
@@ -219,7 +249,7 @@ def clusters(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
             m, rep, tree = matrix(part.column("sketch"), np.uint8), part.column("rep").to_numpy(), part.column("tree").to_numpy()
             ends, trees, names, reps = bounds(part.column("node").to_numpy()), [], [], []
             for lo, hi in zip(ends[:-1], ends[1:]):
-                near = (m[lo:hi, None] == m[None, lo:hi]).sum(2) >= least if hi - lo > 2 else None
+                near = np.concatenate([(m[at : min(at + 32, hi), None] == m[None, lo:hi]).sum(2) >= least for at in range(lo, hi, 32)]) if hi - lo > 2 else None
                 if near is None:
                     label = np.zeros(2, int) if hi - lo == 2 and (m[lo] == m[lo + 1]).sum() >= least else np.arange(hi - lo)
                 else:
@@ -304,6 +334,13 @@ def distinct_sets(some: DataFrame, firsts: DataFrame) -> DataFrame:
     return alone.select("rep", "tokens", "sketch").unionByName(first.select("rep", "tokens", "sketch"))
 
 
+def undecided(found: DataFrame, done: DataFrame) -> DataFrame:
+    """Rows of ``found`` (cluster, rep) in clusters that hold more than one component of ``done``."""
+    labelled = found.join(done.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("cluster", F.coalesce("root", "rep").alias("root"))
+    open_ = labelled.groupBy(F.col("cluster").alias("of")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("of")
+    return found.join(open_, F.col("cluster") == F.col("of"), "left_semi")
+
+
 def classes(docs: DataFrame, k: int, percent: int = PERCENT, trees: int = TREES, node: int = NODE) -> DataFrame:
     """tag, doc_id, n_shingles, root: each row's class as the least tag in it."""
     base = staged(sketches(docs, k), "sketches")
@@ -311,16 +348,16 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT, trees: int = TREES,
     firsts = some.groupBy("d1", "d2").agg(F.min("tag").alias("rep"), F.count("*").alias("copies"))
     firsts = staged(firsts, "distinct-sets")
     tokens = distinct_sets(some, firsts)
-    found = clusters(leaves(tokens, trees, node), tokens).groupBy("cluster", "rep").agg(F.min("tree").alias("tree"))
-    found = staged(found, "clusters")
+    nodes, large = leaves(tokens, trees, node)
+    found = staged(clusters(nodes, tokens).groupBy("cluster", "rep").agg(F.min("tree").alias("tree")), "clusters")
     sets = staged(full_sets(docs, found.select("rep").distinct(), k), "full-sets")
     edges = staged(links(found.where(F.col("tree") < FIRST_TREES), sets, percent), "links")
     done = components(edges)
-    rest = found.where(F.col("tree") >= FIRST_TREES)
-    labelled = rest.join(done.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("cluster", "rep", F.coalesce("root", "rep").alias("root"))
-    open_ = labelled.groupBy(F.col("cluster").alias("of")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("of")
-    more = links(rest.join(open_, F.col("cluster") == F.col("of"), "left_semi"), sets, percent)
-    done = components(done.unionByName(staged(more, "links")))
+    done = components(done.unionByName(staged(links(undecided(found.where(F.col("tree") >= FIRST_TREES), done), sets, percent), "links")))
+    if large is not None:
+        found = staged(clusters(crossed(large, done, CROSSED * node), tokens).select("cluster", "rep").distinct(), "clusters")
+        sets = staged(full_sets(docs, found.select("rep").distinct(), k), "full-sets")
+        done = components(done.unionByName(staged(links(undecided(found, done), sets, percent), "links")))
     of_set = firsts.join(done.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
     joined = base.select("tag", "doc_id", "n", "d1", "d2").join(of_set, ["d1", "d2"], "left")
     return joined.select("tag", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("tag")).alias("root"))

@@ -305,3 +305,35 @@ def test_inner_nodes_keep_about_one_common_path_a_level():
     paths = set(zip(node[row < pairs].tolist(), row[row < pairs].tolist())) & {(n, r - pairs) for n, r in zip(node[row >= pairs].tolist(), row[row >= pairs].tolist())}
     assert 0.8 < len(paths) / pairs < 1.3
     assert len({r for _, r in paths}) / pairs > 0.4
+
+
+def test_isolated_pairs_in_a_family(spark, tmp_path):
+    """Sets that no level parts (0.7 alike), and pairs (0.82) that are linked to each other alone: all pairs are found."""
+    import random
+
+    rng = random.Random(3)
+    core = [f"c{i}" for i in range(82)]
+    rows = []
+    for p in range(60):
+        for side in "ab":
+            rows.append((len(rows), " ".join(core + [f"p{p}w{i}" for i in range(8)] + [f"{side}{p}w{i}" for i in range(10)])))
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    found = minhash_dedup.classes(spark.read.parquet(str(tmp_path / "d")), 1, node=10).collect()
+    assert Counter(Counter(r["root"] for r in found).values()) == {2: 60}
+    by = defaultdict(set)
+    for r in found:
+        by[r["root"]].add(r["doc_id"] // 2)
+    assert all(len(x) == 1 for x in by.values())
+
+
+def test_all_pairs_of_an_unparted_node_meet(spark):
+    """All but those inside the node's largest component."""
+    large = spark.createDataFrame([(0, 7, r) for r in range(60)], "tree int, node long, rep long")
+    done = spark.createDataFrame([(r, 0) for r in range(1, 25)], "u long, v long")
+    met = defaultdict(set)
+    for r in minhash_dedup.crossed(large, done, 16).collect():
+        met[r["node"]].add(r["rep"])
+    pairs = {(a, b) for x in met.values() for a in x for b in x if a < b}
+    assert {(a, b) for b in range(25, 60) for a in range(b)} <= pairs
+    assert max(map(len, met.values())) < 40
