@@ -608,7 +608,7 @@ def labs(spark, d, *names: str) -> DataFrame:
     return pipelines.long_labs(dyn(spark, d), list(names))
 
 
-POSTERIOR = summaries.PosteriorConfig(window=SPAN, min_points=POINTS, df=6, frequency=1, draws=60)
+POSTERIOR = summaries.PosteriorConfig(window=SPAN, min_points=POINTS, df=6, frequency=1)
 GAM = summaries.GamConfig(window=SPAN, min_points=POINTS)
 
 
@@ -620,7 +620,7 @@ def m1(spark, d):
 
 @query("m2_spline_posterior_plain")
 def m2(spark, d):
-    plain = summaries.PosteriorConfig(window=SPAN, min_points=POINTS, df=4, frequency=1, draws=60, standardize=False, least_grid=6)
+    plain = summaries.PosteriorConfig(window=SPAN, min_points=POINTS, df=4, frequency=1, standardize=False, least_grid=6)
     rows = summaries.posterior_curves(labs(spark, d, "click"), plain)
     return rows.groupBy("patient_id", "time").agg(F.count("*").alias("draws"), F.avg(tr.mean(F.col("traj"))).alias("level"))
 

@@ -191,3 +191,12 @@ def test_facades_round_trip(spark, tmp_path):
     again.load(spark, str(tmp_path / "m"))
     both = again.model.score(rows, "twice").select("ps", "twice").collect()
     assert both and all(np.isfinite(r["ps"]) and r["ps"] == pytest.approx(r["twice"]) for r in both)
+
+
+def test_posterior_queries_take_the_default_draws(spark):
+    from driftline.plans import queries
+
+    assert queries.POSTERIOR.draws == summaries.PosteriorConfig().draws == 400
+    for made in (queries.m1, queries.m2):
+        counts = {r["draws"] for r in made(spark, "/root/testdata/sf0.001").collect()}
+        assert counts == {400}
