@@ -1,13 +1,16 @@
-"""What the operators share: table readers, staged tables, Arrow batch helpers."""
+"""What the operators share: table readers, staged tables, row keys, bit tables, Arrow batch helpers."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship
@@ -16,6 +19,8 @@ from ..session import shared_dir, ship
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
@@ -28,7 +33,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _paths[made] = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fold(modulus: int) -> Column:
@@ -48,26 +64,68 @@ def least_by_hash(df: DataFrame, rows: int, *columns: Column | str) -> DataFrame
     return df.orderBy(order, *columns).limit(rows)
 
 
-#: Bits of a bit table, which bounds its rows to BITS / 64.
-BITS = 1 << 24
+#: Bits of a row key that count rows of a file.
+ROW_BITS = 40
 
 
-def bit_table(keys: DataFrame, key: str) -> DataFrame:
-    """word_, mask_: the bits that the keys' hashes set. Its size has a bound, so it may be broadcast."""
-    slot = F.pmod(F.xxhash64(key), F.lit(BITS))
+def with_row_keys(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a long column ``name`` that tells its rows apart and is the same in every scan.
+
+    A row's key is its file's number, by the files' order, and its place in that file, so it does not change with the
+    number of executors. Rows that do not come straight from stored files (or are there twice, after a join) are stored
+    first. The table of files, a row for each, is broadcast; the driver has listed them anyway.
+    """
+    file, place = (F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index"))
+    try:
+        rows = docs.select(file.alias("file_"), place.alias("place_"))
+    except AnalysisException:
+        docs = staged(docs, "rows")
+    else:
+        n, kinds = rows.agg(F.count("*"), F.count_distinct(F.xxhash64("file_", "place_"))).first()
+        docs = docs if n == kinds else staged(docs, "rows")
+    own = free_name(docs.columns, "file_")
+    files = docs.select(file.alias(own)).distinct()
+    number, taken = free_name([*docs.columns, own], "number_"), free_name([*docs.columns, own], "of_file_")
+    files = staged(files.select(F.col(own).alias(taken), (F.row_number().over(Window.orderBy(own)) - 1).cast("long").alias(number)), "files")
+    at = free_name([*docs.columns, own, number, taken], "place_")
+    marked = docs.select("*", file.alias(own), place.alias(at)).join(F.broadcast(files), F.col(own) == F.col(taken))
+    return marked.select(*[f"`{c}`" for c in docs.columns], (F.shiftleft(number, ROW_BITS) + F.col(at)).alias(name))
+
+
+#: Bits of a bit table for each key, and at most: 2**27 are 2 million rows.
+BITS_PER_KEY, MOST_BITS = 16, 1 << 27
+
+
+@dataclass
+class BitTable:
+    """``words``: word_, mask_, the bits that the keys' hashes set, or None where the keys are too many for a table to help."""
+
+    words: DataFrame | None
+    bits: int
+
+
+def bit_table(keys: DataFrame, key: str, most: int = MOST_BITS) -> BitTable:
+    """A table of as many bits as the keys need, ``most`` at most: so it may be broadcast. ``keys`` is a stored table."""
+    n = keys.count()
+    bits = min(1 << max(12, (BITS_PER_KEY * n - 1).bit_length()), most)
+    if n > bits:  # over 6 of 10 bits would be set
+        return BitTable(None, bits)
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
     words = keys.select(F.floor(slot / 64).cast("int").alias("word_"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit_"))
-    return words.groupBy("word_").agg(F.bit_or("bit_").alias("mask_"))
+    return BitTable(words.groupBy("word_").agg(F.bit_or("bit_").alias("mask_")), bits)
 
 
-def split_by_bits(df: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_by_bits(df: DataFrame, key: str, bits: BitTable) -> tuple[DataFrame, DataFrame]:
     """Rows whose key may be among those of ``bits``, and rows whose key surely is not; nothing is shuffled.
 
-    With far more keys than bits all rows may be: what follows is as right, and as dear as without the table.
+    Without a table all rows may be: what follows is as right, and shuffles all rows.
     """
+    if bits.words is None:
+        return df, df.where(F.lit(False))
     names = df.columns
     slot, word, mask, may = (free_name(names, f"bits_{x}") for x in ("slot", "word", "mask", "may"))
-    marked = df.withColumn(slot, F.pmod(F.xxhash64(key), F.lit(BITS)))
-    marked = marked.join(F.broadcast(bits.toDF(word, mask)), F.floor(F.col(slot) / 64).cast("int") == F.col(word), "left")
+    marked = df.withColumn(slot, F.pmod(F.xxhash64(key), F.lit(bits.bits)))
+    marked = marked.join(F.broadcast(bits.words.toDF(word, mask)), F.floor(F.col(slot) / 64).cast("int") == F.col(word), "left")
     hit = F.call_function("shiftright", F.col(mask), (F.col(slot) % 64).cast("int")).bitwiseAND(F.lit(1)) != 0
     marked = marked.withColumn(may, F.coalesce(hit, F.lit(False)))
     return marked.where(F.col(may)).select(*names), marked.where(~F.col(may)).select(*names)
@@ -79,6 +137,18 @@ def without(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     return stays.unionByName(may.join(dropped, key, "left_anti").select(*df.columns))
 
 
+def looked_up(df: DataFrame, key: str, found: DataFrame, at: str) -> DataFrame:
+    """``df`` with the columns of ``found``, a stored table with one row for each ``at``; nulls where there is none.
+
+    Rows that surely have none are not shuffled. Both sides of the join come straight from its shuffle, so that Spark
+    splits a hot key's rows over tasks.
+    """
+    may, none = split_by_bits(df, key, bit_table(found, at))
+    joined = may.join(found, F.col(key) == F.col(at), "left")
+    empty = none.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields])
+    return joined.unionByName(empty)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -2,12 +2,13 @@
 
 Texts are equal when identical after each run of ASCII white space becomes one space. One scan gives a narrow row per
 document; documents are grouped by length, those of shared lengths by a hash of the first characters, and only those
-that still share a group by the SHA-256 of the whole text. Every step groups by one derived column, so counts combine
-before the shuffle and no step inherits the partitioning of a hot group from the step before.
+that still share a group by the SHA-256 of the whole text. Counts combine before their shuffle and are stored; what is
+joined to them comes straight from its own shuffle, so that Spark splits the rows of a hot group over tasks.
 
 Defined results: a null text equals the empty text. A null doc_id comes after all others. Rows with the same doc_id and
-text are copies like others: one of them stays. An empty table gives an empty result. Extra columns are ignored by
-``exact_groups`` and kept by ``drop_copies``.
+text are copies like others: one of them stays. Very long texts are read whole where they are and never shuffled. An empty
+table gives an empty result. Extra columns, whatever their names, are ignored by ``exact_groups`` and kept by
+``drop_copies``.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_name, staged, table, without
+from .common import SPACE, bit_table, free_name, looked_up, split_by_bits, staged, table, with_row_keys, without
 
 #: Characters of the second step's prefix.
 PREFIX = 256
@@ -26,33 +27,43 @@ def normalised(text: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
+def shared(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (a stored table) whose key another row has too. Only these are shuffled, and a hot key's rows are split."""
+    counts = rows.groupBy(F.col(key).alias("of_")).agg(F.count("*").alias("n_")).where("n_ > 1").select("of_")
+    found = staged(counts, f"shared-{key}")
+    may, _ = split_by_bits(rows, key, bit_table(found, "of_"))
+    return may.join(found, F.col(key) == F.col("of_"), "left_semi")
+
+
 def exact_groups(docs: DataFrame, every_digest: bool = False, prefix: int = PREFIX) -> DataFrame:
-    """One row per document: doc_id, tag, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, tag (its row key), keep_id, group_size, kept, text_sha256.
 
-    ``tag`` is ``monotonically_increasing_id()`` of ``docs``, so ``docs`` should read stored files. The digest of a
-    document that is alone by length or prefix is computed only where ``every_digest`` asks for it, else it is null.
+    The digest of a document that is alone by length or prefix is computed only where ``every_digest`` asks for it, else
+    it is null.
     """
+    return groups_of(with_row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "tag"), every_digest, prefix)
+
+
+def groups_of(docs: DataFrame, every_digest: bool, prefix: int = PREFIX) -> DataFrame:
+    """``exact_groups`` of documents (tag, doc_id, text) that have their row keys."""
     text = F.col("text_")
-    narrow = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tag"), normalised("text").alias("text_")
-    )
+    narrow = docs.select("doc_id", "tag", normalised("text").alias("text_"))
     first = narrow.select("doc_id", "tag", F.length(text).alias("k1"), F.xxhash64(F.length(text), F.substring(text, 1, prefix)).alias("k2"),
                           *([F.sha2(text, 256).alias("k3")] if every_digest else []))
     first = staged(first, "dedup-keys")
-    lengths = first.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1")
-    same_length = first.join(lengths, "k1", "left_semi")
-    prefixes = same_length.groupBy("k2").agg(F.count("*").alias("n")).where("n > 1").select("k2")
+    same_length = staged(shared(first, "k1"), "same-length")
+    same_prefix = staged(shared(same_length, "k2"), "same-prefix")
     if every_digest:
-        full = first.join(prefixes, "k2", "left_semi")
+        full = same_prefix.select("doc_id", "tag", "k3")
     else:  # whole texts are read again for the surviving groups alone
-        left = staged(first.join(prefixes, "k2", "left_semi").select("tag"), "dedup-left")
-        full = narrow.join(left, "tag", "left_semi").select("doc_id", "tag", F.sha2(text, 256).alias("k3"))
+        may, _ = split_by_bits(narrow.select("tag", "text_"), "tag", bit_table(same_prefix, "tag"))
+        digests = may.select(F.col("tag").alias("at_"), F.sha2(text, 256).alias("k3"))
+        full = staged(same_prefix.select("doc_id", "tag").join(digests, F.col("tag") == F.col("at_")).drop("at_"), "full-digests")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    groups = full.groupBy("k3").agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1")
-    if every_digest:
-        out = first.join(groups, "k3", "left")
-    else:
-        out = first.join(full.select("tag", "k3"), "tag", "left").join(groups, "k3", "left")
+    groups = staged(full.groupBy(F.col("k3").alias("of_")).agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1"), "dedup-groups")
+    if not every_digest:
+        first = looked_up(first.select("doc_id", "tag"), "tag", full.select(F.col("tag").alias("at_"), "k3"), "at_")
+    out = looked_up(first, "k3", groups, "of_")
     alone = F.col("n").isNull()
     return out.select(
         "doc_id", "tag", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
@@ -63,8 +74,10 @@ def exact_groups(docs: DataFrame, every_digest: bool = False, prefix: int = PREF
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that repeat another row's text."""
     tag = free_name(docs.columns, "tag")
-    dropped = staged(exact_groups(docs.select("doc_id", "text")).where("not kept").select(F.col("tag").alias(tag)), "dedup-dropped")
-    return without(docs.withColumn(tag, F.monotonically_increasing_id()), dropped, tag).drop(tag)
+    keyed = with_row_keys(docs, tag)
+    rows = keyed.select(F.col(tag).alias("tag"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dropped = staged(groups_of(rows, False).where("not kept").select(F.col("tag").alias(tag)), "dedup-dropped")
+    return without(keyed, dropped, tag).select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

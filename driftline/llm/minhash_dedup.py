@@ -1,26 +1,25 @@
 """Near-duplicates by a chosen-path set similarity join.
 
-A document is the set of its word shingles, and its 128 minwise tokens stand for the set. Independent trees branch the
-distinct sets: a node picks one coordinate of the tokens by its own hash, every fourth one two, and each set goes to the
-child that its token there names, so a pair of similarity 0.8 keeps about one common path a level. Nodes are counted at
-every level: those of at most ``NODE`` sets are compared exhaustively, once if trees give the same node; larger ones
-branch on. A large node that keeps more than ``STUCK`` of its parent's sets is one that levels do not part (below that
-share, the second coordinates add no more paths than the levels take); it is first compared in blocks, each together
-with the node's pivots. When these links are known, all pairs of its sets are compared but those inside its largest
-component: the sets outside it, in blocks, meet every block of the node.
-
-Comparison first parts a node's sets by how many tokens agree, with a margin of four and a half standard deviations.
-What is left are small clusters, mostly the same ones from all trees; each distinct cluster is compared once, on full
-sets read again from the texts, and confirmed links that join it make edges. Links inside what is already connected need
-no edge, so no group gives all its pairs. Clusters of the first trees go first, and of the others only those are compared
-that hold more than one component by then. The edges' connected components are the classes.
-
-Copies of a set are one set from the start, whatever their number.
+A document is the set of its word shingles, and its 128 minwise tokens stand for the set. Copies of a set are one set from
+the start, whatever their number. Independent trees branch the distinct sets: a node picks one coordinate of the tokens by
+its own hash, every fourth one two, and each set goes to the child that its token there names, so a pair of similarity
+0.8 keeps about one common path a level. A tree's first two levels need no counts and are made at once.
+
+The first ``FIRST_TREES`` trees go first: their nodes of at most ``NODE`` sets are compared exhaustively, larger ones in blocks,
+each with the node's pivots, and confirmed links give first components. The other trees then count a node's sets and its
+components: what one component has to itself is closed, since its links would join nothing. Of the open nodes small ones are
+compared exhaustively and large ones branch on, until they are small or branching does not part them any more (``parted``).
+Those are compared in full: the sets outside a node's largest component, in blocks, meet every block of the node.
+
+Comparison first parts a node's sets by how many tokens agree, with a margin of four and a half standard deviations. What
+is left are small clusters, mostly the same ones from all trees; each distinct cluster is compared once, on full sets read
+again from the texts, and confirmed links that join it make edges. Links inside what is already connected need no edge, so
+no group gives all its pairs. The edges' connected components are the classes.
 
 Defined results: null and empty texts have no shingles and are linked with nothing. A null doc_id comes after all others
 where the smallest id counts; a class of null ids alone has a null component_id. Rows that repeat an id are rows of their
-own; of equal ids one row is kept. An empty table gives an empty result. Extra columns are ignored by ``near_duplicates``
-and kept by ``keep_one``. ``docs`` should read stored files, as rows are known by their place in them.
+own; of equal ids one row is kept. Very long texts are taken whole, as one set each. An empty table gives an empty result.
+Extra columns, whatever their names, are ignored by ``near_duplicates`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -33,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bit_table, bounds, free_name, grouped, slices, split_by_bits, staged, table, without
+from .common import as_bytes, bit_table, bounds, discard, free_name, grouped, looked_up, slices, split_by_bits, staged, table, with_row_keys, without
 from .components import components
 
-#: Minwise tokens; trees; sets of a node that are compared exhaustively; share of its parent from which a node is not parted.
-TOKENS, TREES, NODE, STUCK = 128, 16, 256, 0.8
-#: Trees whose clusters are compared first; pivots of a block; nodes' sizes that two blocks of a large node make up together.
-FIRST_TREES, PIVOTS, CROSSED = 2, 8, 4
+#: Minwise tokens; trees, and those of them that go first; levels that are made at once; sets of a node that are compared exhaustively.
+TOKENS, TREES, FIRST_TREES, LEVELS, NODE = 128, 12, 3, 2, 256
+#: A large node branches on while its pairs across components are fewer than these shares of its parent's: of any node, and of one
+#: that has at most WHOLE sets, so that comparing them in full costs less than further levels would.
+STUCK, STUCK_WHOLE, WHOLE = 0.8, 0.5, 16_384
+#: Pivots of a block; sets that two blocks of a large node make up together, in nodes' sizes.
+PIVOTS, CROSSED = 8, 4
 #: Least similarity in percent, and standard deviations of the estimate below it that are still compared.
 PERCENT, DEVIATIONS = 80, 4.5
 
@@ -91,17 +93,17 @@ def shingles(text: bytes, k: int) -> np.ndarray:
 
 
 def minwise(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each of TOKENS hash functions over a set."""
+    """The least value of each of TOKENS hash functions over a set, 16 bits of it."""
     least = np.full(TOKENS, np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
         for at in range(0, len(hashes), 2048):
             made = ((hashes[at : at + 2048, None] ^ SHIFTS) * FACTORS) >> np.uint64(32)
             np.minimum(least, made.min(0).astype(np.uint32), out=least)
-    return least
+    return least.astype(np.uint16)  # the high bits of a minimum are zeros
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """tag, doc_id, n, d1, d2, tokens, sketch: each document's set size, digest, minwise tokens and their lowest bytes."""
+    """tag, doc_id, n, d1, d2, tokens: each document's set size, digest and minwise tokens. ``docs``: tag, doc_id, text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,84 +112,107 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     one = [int(mix(s).sum().astype(np.int64)) for s in sets]
                     two = [int(np.bitwise_xor.reduce(mix(s ^ BASE)).astype(np.int64)) if len(s) else 0 for s in sets]
-                tokens = [minwise(s) if len(s) else None for s in sets]
+                tokens = [minwise(s).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("tag"), part.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                     pa.array([None if t is None else t.tobytes() for t in tokens], pa.binary()), pa.array([None if t is None else t.astype(np.uint8).tobytes() for t in tokens], pa.binary())],
-                    ["tag", "doc_id", "n", "d1", "d2", "tokens", "sketch"],
-                )
+                    [part.column("tag"), part.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(tokens, pa.binary())],
+                    ["tag", "doc_id", "n", "d1", "d2", "tokens"],
+                )
 
-    tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tag"))
-    return tagged.mapInArrow(rows, "tag long, doc_id long, n long, d1 long, d2 long, tokens binary, sketch binary")
+    return docs.select("tag", "doc_id", "text").mapInArrow(rows, "tag long, doc_id long, n long, d1 long, d2 long, tokens binary")
 
 
-def matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.uint32) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, TOKENS)
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, TOKENS)
 
 
 def descend(node: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Children of nodes and the rows they hold; every fourth node branches on two coordinates."""
     pick = mix(node)
-    twice = np.flatnonzero((pick >> np.uint64(60)) < 4)
-    row = np.concatenate([np.arange(len(node)), twice])
-    at = np.concatenate([pick, pick[twice] >> np.uint64(20)]).astype(np.int64) % TOKENS
+    one, two = (pick % np.uint64(TOKENS)).astype(np.int64), ((pick >> np.uint64(20)) % np.uint64(TOKENS)).astype(np.int64)
+    twice = np.flatnonzero(((pick >> np.uint64(60)) < 4) & (one != two))
+    row, at = np.concatenate([np.arange(len(node)), twice]), np.concatenate([one, two[twice]])
     with np.errstate(over="ignore"):
         return mix(node[row] + mix((at.astype(np.uint64) << np.uint64(32)) + tokens[row, at])), row
 
 
-def roots(tokens: DataFrame, trees: int) -> DataFrame:
-    """tree, node, rep of the first level: tree t branches on coordinate t, every fourth on a second one."""
+def paths(sets: DataFrame, trees: range, levels: int = LEVELS) -> DataFrame:
+    """node, rep, root of the nodes after a tree's first levels, for ``sets`` (rep, root, tokens)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 4096):
-                m, rep = matrix(part.column("tokens")), part.column("rep").to_numpy()
-                for t in range(trees):
-                    for at in (t, trees + t)[: 2 if t % 4 == 3 else 1]:
-                        node = mix(mix(np.full(len(rep), t * TOKENS + at + 1, np.uint64)) ^ m[:, at])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rep), t, np.int32)), pa.array(node.view(np.int64)), pa.array(rep)], ["tree", "node", "rep"])
+                m, rep, root = matrix(part.column("tokens")), part.column("rep"), part.column("root")
+                for t in trees:
+                    node, row = mix(np.full(len(m), t + 1, np.uint64)), np.arange(len(m))
+                    for _ in range(levels):
+                        node, at = descend(node, m[row])
+                        row = row[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), rep.take(pa.array(row)), root.take(pa.array(row))], ["node", "rep", "root"])
 
-    return tokens.select("rep", "tokens").mapInArrow(rows, "tree int, node long, rep long")
+    return sets.select("rep", "root", "tokens").mapInArrow(rows, "node long, rep long, root long")
 
 
-def branched(large: DataFrame, tokens: DataFrame) -> DataFrame:
-    """tree, node, rep, above of the children of large nodes (tree, node, rep, n); ``above`` is the parent's n."""
+def branched(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, rep, root, above of the children of large nodes (node, rep, root, cross); ``above`` is the parent's cross."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 4096):
                 node, row = descend(part.column("node").to_numpy().view(np.uint64), matrix(part.column("tokens")))
-                tree, rep, above = (part.column(c).take(pa.array(row)) for c in ("tree", "rep", "n"))
-                yield pa.RecordBatch.from_arrays([tree, pa.array(node.view(np.int64)), rep, above], ["tree", "node", "rep", "above"])
+                rep, root, above = (part.column(c).take(pa.array(row)) for c in ("rep", "root", "cross"))
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), rep, root, above], ["node", "rep", "root", "above"])
 
-    may, _ = split_by_bits(tokens.select("rep", "tokens"), "rep", bit_table(large, "rep"))
-    return large.join(may, "rep").select("tree", "node", "rep", "n", "tokens").mapInArrow(rows, "tree int, node long, rep long, above long")
+    return with_tokens(large, sets).select("node", "rep", "root", "cross", "tokens").mapInArrow(rows, "node long, rep long, root long, above double")
+
+
+def with_tokens(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` (a stored table with a column rep) and each set's tokens. Of ``sets`` only what may be wanted is shuffled."""
+    may, _ = split_by_bits(sets.select(F.col("rep").alias("of_"), "tokens"), "of_", bit_table(rows, "rep"))
+    return rows.join(may, F.col("rep") == F.col("of_")).drop("of_")
+
+
+def members(rows: DataFrame, above: Column | None = None) -> DataFrame:
+    """node, rep, root, n, above of the open nodes of ``rows`` (node, rep, root), stored.
+
+    A node is open if it holds more than one component. Small nodes that trees or parents give again are there once.
+    """
+    sizes = rows.groupBy(F.col("node").alias("of")).agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("same"), *([F.max(above).alias("above")] if above is not None else []))
+    open_ = staged(sizes.where("lo < hi"), "open-nodes")
+    once = staged(open_.groupBy("n", "lo", "hi", "same").agg(F.min("of").alias("of")).select("of"), "nodes-once")
+    may, _ = split_by_bits(rows.select("node", "rep", "root"), "node", bit_table(once, "of"))
+    wanted = staged(open_.drop("lo", "hi", "same").join(once, "of", "left_semi"), "wanted-nodes")
+    found = staged(may.join(wanted, F.col("node") == F.col("of")).drop("of"), "members")
+    discard(open_, once, wanted)
+    return found
 
 
 def blocks(large: DataFrame, most: int) -> DataFrame:
-    """tree, node, rep of nodes that no level has parted: blocks of half a node's size, with the node's pivots in each."""
+    """node, rep: blocks of half a node's size of the large nodes' sets, with the node's pivots in each."""
     order = [F.xxhash64("rep", "node", F.lit(i)) for i in range(PIVOTS)]
-    pivots = large.groupBy(F.col("node").alias("of"), "tree").agg(F.max("n").alias("n_"), F.array(*[F.min_by("rep", o) for o in order]).alias("pivots"))
-    count = lambda n: F.ceil(n / F.lit(most // 2 - PIVOTS)).cast("int")
-    own = large.select("tree", F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), count(F.col("n")).cast("long"))).alias("node"), "rep")
-    shared = pivots.select("tree", "of", F.explode(F.sequence(F.lit(0), count(F.col("n_")) - 1)).alias("block"), "pivots")
-    shared = shared.select("tree", F.xxhash64("of", F.col("block").cast("long")).alias("node"), F.explode("pivots").alias("rep"))
+    pivots = large.groupBy(F.col("node").alias("of")).agg(F.max("n").alias("n_"), F.array(*[F.min_by("rep", o) for o in order]).alias("pivots"))
+    count = lambda n: F.ceil(n / F.lit(max(most // 2 - PIVOTS, 1))).cast("int")
+    own = large.select(F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), count(F.col("n")).cast("long"))).alias("node"), "rep")
+    shared = pivots.select("of", F.explode(F.sequence(F.lit(0), count(F.col("n_")) - 1)).alias("block"), "pivots")
+    shared = shared.select(F.xxhash64("of", F.col("block").cast("long")).alias("node"), F.explode("pivots").alias("rep"))
     return own.unionByName(shared).distinct()
 
 
-def crossed(large: DataFrame, done: DataFrame, most: int) -> DataFrame:
-    """tree, node, rep that bring together all pairs of a large node's sets but those inside its largest component.
+def outside(large: DataFrame) -> DataFrame:
+    """of, n, giant, most: each node's size, its largest component, and how many sets that has."""
+    by_root = large.groupBy("node", "root").agg(F.count("*").alias("n"))
+    found = by_root.groupBy(F.col("node").alias("of")).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    return found.select("of", "n", F.col("top.root").alias("giant"), F.col("top.n").alias("most"))
+
 
-    The node's sets are dealt to blocks, and so are those outside its largest component of ``done``. Each block of the
-    latter meets each of the former, once where the two are blocks of outsiders alone.
+def crossed(large: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """node, rep that bring together all pairs of a large node's sets but those inside its largest component.
+
+    The node's sets are dealt to blocks, and so are those outside its largest component (``sizes``, of ``outside``). Each
+    block of the latter meets each of the former, once where the two are blocks of outsiders alone.
     """
-    known = done.select(F.col("u").alias("rep"), F.col("v").alias("root"))
-    rows = large.select("tree", "node", "rep").join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    by_root = rows.groupBy("node", "root").agg(F.count("*").alias("n"))
-    sizes = by_root.groupBy(F.col("node").alias("of")).agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where("most.n < n")
     count = lambda n: F.ceil(n / F.lit(max(most // 2, 1))).cast("int")
-    sizes = sizes.select("of", F.col("most.root").alias("giant"), count(F.col("most.n")).alias("inside"), count(F.col("n") - F.col("most.n")).alias("outside"))
-    joined = rows.join(sizes, F.col("node") == F.col("of"))
+    dealt = sizes.select(F.col("of").alias("at_"), "giant", count(F.col("most")).alias("inside"), count(F.col("n") - F.col("most")).alias("outside"))
+    joined = large.select("node", "rep", "root").join(dealt, F.col("node") == F.col("at_"))
     inner = F.col("root") == F.col("giant")
     at = F.pmod(F.xxhash64("rep", "node", F.lit("block")), F.when(inner, F.col("inside")).otherwise(F.col("outside")).cast("long")).cast("int")
     every = F.sequence(F.lit(0), F.col("outside") - 1)
@@ -196,34 +221,40 @@ def crossed(large: DataFrame, done: DataFrame, most: int) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("inside") - 1), lambda x: F.struct(F.col("at").alias("a"), (-1 - x).alias("b"))),
     )
     met = F.when(F.col("inner"), F.transform(every, lambda x: F.struct(x.alias("a"), (-1 - F.col("at")).alias("b")))).otherwise(within)
-    pairs = joined.select("tree", "node", "rep", inner.alias("inner"), "outside", "inside", at.alias("at")).select("tree", "node", "rep", F.explode(met).alias("pair"))
-    return pairs.select("tree", F.xxhash64("node", "pair.a", "pair.b").alias("node"), "rep")
+    pairs = joined.select("node", "rep", inner.alias("inner"), "outside", "inside", at.alias("at")).select("node", "rep", F.explode(met).alias("pair"))
+    return pairs.select(F.xxhash64("node", "pair.a", "pair.b").alias("node"), "rep")
 
 
-def leaves(tokens: DataFrame, trees: int, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """tree, node, rep of all nodes that are to be compared: of 2 sets at least, and few at most; equal nodes once.
+def first_leaves(sets: DataFrame, trees: range, most: int) -> DataFrame:
+    """node, rep to compare from trees whose large nodes are only compared in blocks."""
+    found = members(paths(sets, trees))
+    return found.where(F.col("n") <= most).select("node", "rep").unionByName(blocks(found.where(F.col("n") > most), most))
 
-    Then tree, node, rep of the large nodes that no level has parted, of which only blocks are among the former.
-    """
-    parts, whole, rows = [], [], roots(tokens, trees).withColumn("above", F.lit(None).cast("long"))
+
+def leaves(sets: DataFrame, trees: range, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """node, rep of all small open nodes, and of the blocks of nodes that branching does not part (None if there are none)."""
+    small, whole = [], []
+    found = members(paths(sets, trees)).withColumn("above", F.lit(None).cast("double"))
     while True:
-        members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
-        sizes = rows.groupBy(F.col("node").alias("of")).agg(F.count("*").alias("n"), F.min("tree").alias("first"), F.max("above").alias("above"), *members).where("n > 1")
-        stuck = (F.col("n") > most) & F.coalesce(F.col("n") > STUCK * F.col("above"), F.lit(False))
-        sizes = staged(sizes.withColumn("stuck", stuck), "sizes")
-        on = (F.col("n") > most) & ~F.col("stuck")
-        last = sizes.where(~on).groupBy("n", "x0", "x1").agg(F.min(F.struct("first", "of")).alias("one")).select("one.of")
-        wanted = staged(last.join(sizes, "of").select(*sizes.columns).unionByName(sizes.where(on)).select("of", "n", "stuck"), "nodes")
-        may, _ = split_by_bits(rows.drop("above"), "node", bit_table(wanted, "of"))
-        counted = staged(may.join(wanted, F.col("node") == F.col("of")).select("tree", "node", "rep", "n", "stuck").dropDuplicates(["node", "rep"]), "members")
-        parts.append(counted.where(F.col("n") <= most).select("tree", "node", "rep"))
-        if not counted.where("stuck").isEmpty():
-            parts.append(blocks(counted.where("stuck"), most))
-            whole.append(counted.where("stuck").select("tree", "node", "rep"))
-        rows = counted.where(on).select("tree", "node", "rep", "n")
-        if rows.isEmpty():
-            return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, whole) if whole else None
-        rows = staged(branched(rows, tokens).dropDuplicates(["node", "rep"]), "paths")
+        small.append(found.where(F.col("n") <= most).select("node", "rep"))
+        large = found.where(F.col("n") > most)
+        if large.isEmpty():
+            break
+        sizes = staged(outside(large), "large-nodes").withColumn("cross", F.col("n").cast("double") * (F.col("n") - F.col("most")))
+        rows = large.drop("n").join(sizes.select("of", F.col("n"), "cross"), F.col("node") == F.col("of")).drop("of")
+        rows = staged(rows.withColumn("parted", parted(F.col("n"), F.col("cross"), F.col("above"))), "large-members")
+        if not rows.where("not parted").isEmpty():
+            whole.append(crossed(rows.where("not parted"), sizes, CROSSED * most))
+        children = staged(branched(rows.where("parted"), sets), "paths")
+        found = members(children, F.col("above"))
+        discard(children)
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, whole) if whole else None
+
+
+def parted(n: Column, cross: Column, above: Column) -> Column:
+    """Whether branching has left a node so few of its parent's pairs across components that it should go on."""
+    least = F.when(n <= WHOLE, STUCK_WHOLE).otherwise(STUCK)
+    return F.coalesce(cross <= least * above, F.lit(True))
 
 
 def roots_of(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -240,32 +271,33 @@ def roots_of(n: int, pairs: np.ndarray) -> np.ndarray:
     return label
 
 
-def clusters(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
-    """tree, cluster, rep: sets of a node that estimated similarities connect. A cluster's name is a hash of its sets."""
+def clusters(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """cluster, rep: sets of a node that estimated similarities connect. A cluster's name is a hash of its sets."""
     least = int(np.ceil(TOKENS * (PERCENT / 100 - DEVIATIONS * np.sqrt(PERCENT * (100 - PERCENT) / 1e4 / TOKENS))))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(batches, "node"):
-            m, rep, tree = matrix(part.column("sketch"), np.uint8), part.column("rep").to_numpy(), part.column("tree").to_numpy()
-            ends, trees, names, reps = bounds(part.column("node").to_numpy()), [], [], []
+            m, rep = matrix(part.column("tokens")), part.column("rep").to_numpy()
+            ends, names, reps = bounds(part.column("node").to_numpy()), [], []
             for lo, hi in zip(ends[:-1], ends[1:]):
                 near = np.concatenate([(m[at : min(at + 32, hi), None] == m[None, lo:hi]).sum(2) >= least for at in range(lo, hi, 32)]) if hi - lo > 2 else None
                 if near is None:
                     label = np.zeros(2, int) if hi - lo == 2 and (m[lo] == m[lo + 1]).sum() >= least else np.arange(hi - lo)
                 else:
                     label = roots_of(hi - lo, np.argwhere(np.triu(near, 1)))
-                for root in np.unique(label):
+                for root in np.flatnonzero(np.bincount(label) > 1):
                     inside = lo + np.flatnonzero(label == root)
-                    if len(inside) > 1:
-                        with np.errstate(over="ignore"):
-                            names.append(np.full(len(inside), mix(rep[inside].view(np.uint64)).sum(), np.uint64))
-                        reps.append(rep[inside])
-                        trees.append(tree[inside])
+                    with np.errstate(over="ignore"):
+                        names.append(np.full(len(inside), mix(rep[inside].view(np.uint64)).sum(), np.uint64))
+                    reps.append(rep[inside])
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(trees)), pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(reps))], ["tree", "cluster", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(reps))], ["cluster", "rep"])
 
-    held = nodes.join(tokens.select("rep", "sketch"), "rep").select("tree", "node", "rep", "sketch").repartition("node").sortWithinPartitions("node")
-    return held.mapInArrow(rows, "tree int, cluster long, rep long")
+    nodes = staged(nodes, "compared")
+    held = with_tokens(nodes, sets).select("node", "rep", "tokens").repartition("node").sortWithinPartitions("node")
+    found = staged(held.mapInArrow(rows, "cluster long, rep long").distinct(), "clusters")
+    discard(nodes)
+    return found
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -288,8 +320,8 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): edges that connect the sets of each cluster as far as confirmed links do."""
+def links(found: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(u, v): edges that connect the sets of each cluster (cluster, rep) as far as confirmed links do; ``whole``: rep, hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(batches, "cluster"):
@@ -307,7 +339,7 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    held = members.select("cluster", "rep").join(sets, "rep").select("cluster", "rep", "hashes").repartition("cluster").sortWithinPartitions("cluster")
+    held = found.join(whole, "rep").select("cluster", "rep", "hashes").repartition("cluster").sortWithinPartitions("cluster")
     return held.mapInArrow(rows, "u long, v long")
 
 
@@ -320,63 +352,86 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 made = [shingles(x, k).tobytes() for x in as_bytes(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("tag"), pa.array(made, pa.large_binary()).cast(pa.binary())], ["rep", "hashes"])
 
-    tagged = docs.select("text", F.monotonically_increasing_id().alias("tag"))
-    may, _ = split_by_bits(tagged, "tag", bit_table(wanted, "rep"))
-    return may.select("tag", "text").mapInArrow(rows, "rep long, hashes binary").join(wanted, "rep", "left_semi")
+    may, _ = split_by_bits(docs.select("tag", "text"), "tag", bit_table(wanted, "rep"))
+    return may.mapInArrow(rows, "rep long, hashes binary")
 
 
 def distinct_sets(some: DataFrame, firsts: DataFrame) -> DataFrame:
-    """rep, tokens, sketch of one document for each distinct set. Only what may be a copy is joined."""
-    copied = firsts.where("copies > 1")
-    may, alone = split_by_bits(some.select(F.col("tag").alias("rep"), "d1", "d2", "tokens", "sketch"), "d1", bit_table(copied, "d1"))
-    twice = copied.select("d1", "d2", F.col("rep").alias("first"))
-    first = may.join(twice, ["d1", "d2"], "left").where("first is null or first = rep")
-    return alone.select("rep", "tokens", "sketch").unionByName(first.select("rep", "tokens", "sketch"))
+    """rep, tokens of one document for each distinct set. Only what may be a copy is joined."""
+    copied = firsts.where("copies > 1").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("rep").alias("first"))
+    may, alone = split_by_bits(some.select(F.col("tag").alias("rep"), "d1", "d2", "tokens"), "d1", bit_table(copied, "e1"))
+    one = may.join(copied, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").where("first is null or first = rep")
+    return alone.select("rep", "tokens").unionByName(one.select("rep", "tokens"))
 
 
 def undecided(found: DataFrame, done: DataFrame) -> DataFrame:
     """Rows of ``found`` (cluster, rep) in clusters that hold more than one component of ``done``."""
-    labelled = found.join(done.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("cluster", F.coalesce("root", "rep").alias("root"))
+    labelled = looked_up(found, "rep", done.select(F.col("u").alias("of"), F.col("v").alias("root")), "of").select("cluster", "rep", F.coalesce("root", "rep").alias("root"))
     open_ = labelled.groupBy(F.col("cluster").alias("of")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("of")
     return found.join(open_, F.col("cluster") == F.col("of"), "left_semi")
 
 
+def joined_by(found: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Stored edges of the clusters ``found`` (cluster, rep; a stored table)."""
+    whole = full_sets(docs, found, k)
+    return staged(links(found, whole, percent), "links")
+
+
 def classes(docs: DataFrame, k: int, percent: int = PERCENT, trees: int = TREES, node: int = NODE) -> DataFrame:
-    """tag, doc_id, n_shingles, root: each row's class as the least tag in it."""
+    """tag, doc_id, n_shingles, root: each row's class as the least tag in it; a stored table. ``docs``: tag, doc_id, text."""
     base = staged(sketches(docs, k), "sketches")
     some = base.where("n > 0")
-    firsts = some.groupBy("d1", "d2").agg(F.min("tag").alias("rep"), F.count("*").alias("copies"))
-    firsts = staged(firsts, "distinct-sets")
+    firsts = staged(some.groupBy("d1", "d2").agg(F.min("tag").alias("rep"), F.count("*").alias("copies")), "distinct-sets")
     tokens = distinct_sets(some, firsts)
-    nodes, large = leaves(tokens, trees, node)
-    found = staged(clusters(nodes, tokens).groupBy("cluster", "rep").agg(F.min("tree").alias("tree")), "clusters")
-    sets = staged(full_sets(docs, found.select("rep").distinct(), k), "full-sets")
-    edges = staged(links(found.where(F.col("tree") < FIRST_TREES), sets, percent), "links")
+    first = clusters(first_leaves(tokens.withColumn("root", F.col("rep")), range(min(FIRST_TREES, trees)), node), tokens)
+    edges = joined_by(first, docs, k, percent)
     done = components(edges)
-    done = components(done.unionByName(staged(links(undecided(found.where(F.col("tree") >= FIRST_TREES), done), sets, percent), "links")))
-    if large is not None:
-        found = staged(clusters(crossed(large, done, CROSSED * node), tokens).select("cluster", "rep").distinct(), "clusters")
-        sets = staged(full_sets(docs, found.select("rep").distinct(), k), "full-sets")
-        done = components(done.unionByName(staged(links(undecided(found, done), sets, percent), "links")))
-    of_set = firsts.join(done.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
-    joined = base.select("tag", "doc_id", "n", "d1", "d2").join(of_set, ["d1", "d2"], "left")
-    return joined.select("tag", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("tag")).alias("root"))
+    discard(first, edges)
+    rooted = looked_up(tokens, "rep", done.select(F.col("u").alias("of"), F.col("v").alias("known")), "of").select("rep", "tokens", F.coalesce("known", "rep").alias("root"))
+    small, whole = leaves(rooted, range(FIRST_TREES, trees), node)
+    for nodes in (small, whole):
+        if nodes is not None:
+            found = clusters(nodes, tokens)
+            open_ = staged(undecided(found, done), "undecided")
+            edges = joined_by(open_, docs, k, percent)
+            now = components(done.unionByName(edges))
+            discard(found, open_, edges)
+            done = now
+    copies = firsts.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("rep").alias("first"), "copies")
+    of_set = looked_up(copies, "first", done.select(F.col("u").alias("of"), F.col("v").alias("root")), "of").where("copies > 1 or root is not null")
+    of_set = staged(of_set.select("e1", "e2", F.coalesce("root", "first").alias("root")), "set-roots")
+    may, alone = split_by_bits(base.select("tag", "doc_id", "n", "d1", "d2"), "d1", bit_table(of_set, "e1"))
+    joined = may.join(of_set, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").select("tag", "doc_id", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+    rows = joined.unionByName(alone.select("tag", "doc_id", "n", F.lit(None).cast("long").alias("root")))
+    made = staged(rows.select("tag", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "tag").alias("root")), "classes")
+    discard(base, firsts, done, of_set)
+    return made
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """tag, doc_id, n_shingles, component_id, kept: one row per document."""
-    rows = staged(classes(docs, k, percent), "classes")
-    least = rows.groupBy(F.col("root").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("least"))
-    joined = rows.join(least, F.col("root") == F.col("of"))
-    kept: Column = F.col("least.tag") == F.col("tag")
-    return joined.select("tag", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
+    rows = classes(with_row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "tag"), k, percent)
+    return represented(rows)
+
+
+def represented(rows: DataFrame) -> DataFrame:
+    """near_duplicates' columns from the stored rows of ``classes``."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    least = rows.groupBy(F.col("root").alias("of")).agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    joined = looked_up(rows, "root", staged(least, "class-heads"), "of")
+    alone = F.col("least").isNull()
+    kept = alone | (F.col("least.tag") == F.col("tag"))
+    return joined.select("tag", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each class."""
     tag = free_name(docs.columns, "tag")
-    dropped = staged(near_duplicates(docs.select("doc_id", "text"), k, percent).where("not kept").select(F.col("tag").alias(tag)), "near-dropped")
-    return without(docs.withColumn(tag, F.monotonically_increasing_id()), dropped, tag).drop(tag)
+    keyed = with_row_keys(docs, tag)
+    rows = classes(keyed.select(F.col(tag).alias("tag"), F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent)
+    dropped = staged(represented(rows).where("not kept").select(F.col("tag").alias(tag)), "near-dropped")
+    discard(rows)
+    return without(keyed, dropped, tag).select(*docs.columns)
 
 
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.llm import exact_dedup, minhash_dedup, piece_sampling, quality_classifier, quality_rules, source_mix, token_counts, toxicity, url_filters, warc
-from driftline.llm.common import BITS, bit_table, split_by_bits
+from driftline.llm.common import bit_table, split_by_bits, staged, with_row_keys
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -91,7 +91,7 @@ def test_near_duplicates_of_a_large_group(spark, tmp_path):
         rows.append((i, " ".join(own)))
     rows += [(i, " ".join(f"v{rng.randint(0, 9999)}" for _ in range(50))) for i in range(150, 180)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
+    docs = with_row_keys(spark.read.parquet(str(tmp_path / "d")), "tag")
     found = minhash_dedup.classes(docs, 5, node=24).collect()
     group = Counter(r["root"] for r in found)
     expect = Counter(k[2][1] for k in plain_classes(rows, 5))
@@ -286,7 +286,35 @@ def test_bit_tables(spark):
     may, sure = split_by_bits(spark.range(1000).withColumnRenamed("id", "k"), "k", bit_table(wanted, "k"))
     assert {r["k"] for r in wanted.collect()} <= {r["k"] for r in may.collect()}
     assert may.count() + sure.count() == 1000 and sure.count() > 800
-    assert bit_table(spark.range(100_000).withColumnRenamed("id", "k"), "k").count() <= BITS // 64
+    many = spark.range(100_000).withColumnRenamed("id", "k")
+    assert bit_table(many, "k").words.count() <= bit_table(many, "k").bits // 64
+    # beyond the bound there is no table, and all rows may be wanted
+    crowded = bit_table(many, "k", most=1 << 12)
+    may, sure = split_by_bits(many, "k", crowded)
+    assert crowded.words is None and may.count() == 100_000 and sure.count() == 0
+
+
+def test_row_keys_do_not_change_with_the_number_of_slots(spark, tmp_path):
+    """The same rows have the same keys in scans that Spark splits otherwise, and the right rows are dropped then."""
+    spark.range(5000).selectExpr("id AS doc_id", "concat('text ', id % 4000) AS text", "'x' AS file_").repartition(32).write.parquet(str(tmp_path / "d"))
+    keyed = with_row_keys(spark.read.parquet(str(tmp_path / "d")), "tag")
+    assert keyed.columns == ["doc_id", "text", "file_", "tag"]
+    split, keys = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(split)
+    for size in (before, "4000", "1500"):
+        spark.conf.set(split, size)
+        keys.append(({r["doc_id"]: r["tag"] for r in keyed.collect()}, keyed.rdd.getNumPartitions()))
+    kept = exact_dedup.drop_copies(spark.read.parquet(str(tmp_path / "d")))
+    spark.conf.set(split, before)  # planned with small splits, run with large ones
+    assert sorted(r["text"] for r in kept.collect()) == sorted({f"text {i % 4000}" for i in range(5000)})
+    assert len({n for _, n in keys}) > 1 and keys[0][0] == keys[1][0] == keys[2][0] and len(set(keys[0][0].values())) == 5000
+
+
+def test_row_keys_of_rows_that_are_no_files(spark, edge):
+    """Made rows, and rows that a join repeats, are stored first."""
+    for docs in (spark.range(10).withColumnRenamed("id", "doc_id"), edge.select("doc_id").crossJoin(spark.range(2))):
+        keyed = staged(with_row_keys(docs, "tag"), "keyed")
+        assert keyed.count() == docs.count() == keyed.select("tag").distinct().count()
 
 
 def test_inner_nodes_keep_about_one_common_path_a_level():
@@ -295,8 +323,8 @@ def test_inner_nodes_keep_about_one_common_path_a_level():
 
     rng = np.random.default_rng(2)
     pairs = 500
-    one = rng.integers(0, 1 << 32, (pairs, minhash_dedup.TOKENS), dtype=np.uint32)
-    other = np.where(rng.random(one.shape) < 0.8, one, rng.integers(0, 1 << 32, one.shape, dtype=np.uint32))
+    one = rng.integers(0, 1 << 16, (pairs, minhash_dedup.TOKENS), dtype=np.uint16)
+    other = np.where(rng.random(one.shape) < 0.8, one, rng.integers(0, 1 << 16, one.shape, dtype=np.uint16))
     tokens, row = np.concatenate([one, other]), np.arange(2 * pairs)
     node = minhash_dedup.mix(np.arange(1, pairs + 1, dtype=np.uint64))[row % pairs]
     for _ in range(6):
@@ -319,7 +347,7 @@ def test_isolated_pairs_in_a_family(spark, tmp_path):
             rows.append((len(rows), " ".join(core + [f"p{p}w{i}" for i in range(8)] + [f"{side}{p}w{i}" for i in range(10)])))
     rng.shuffle(rows)
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
-    found = minhash_dedup.classes(spark.read.parquet(str(tmp_path / "d")), 1, node=10).collect()
+    found = minhash_dedup.classes(with_row_keys(spark.read.parquet(str(tmp_path / "d")), "tag"), 1, node=10).collect()
     assert Counter(Counter(r["root"] for r in found).values()) == {2: 60}
     by = defaultdict(set)
     for r in found:
@@ -327,12 +355,32 @@ def test_isolated_pairs_in_a_family(spark, tmp_path):
     assert all(len(x) == 1 for x in by.values())
 
 
+def test_pairs_in_a_family_beyond_a_node(spark, tmp_path):
+    """Default parameters: 1,200 sets 0.5 to 0.7 alike, more than a node compares, with 300 isolated pairs (0.82) among them."""
+    import random
+
+    rng = random.Random(8)
+    rows, core = [], [f"c{i}" for i in range(70)]
+    for p in range(600):
+        own = [f"p{p}w{i}" for i in range(20)]
+        for side in "ab":
+            rows.append((len(rows), " ".join(core + (own if p < 300 else [f"{side}{w}" for w in own]) + [f"{side}{p}x{i}" for i in range(10)])))
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    found = minhash_dedup.classes(with_row_keys(spark.read.parquet(str(tmp_path / "d")), "tag"), 1).collect()
+    by = defaultdict(set)
+    for r in found:
+        by[r["root"]].add(r["doc_id"])
+    wanted = {frozenset((2 * p, 2 * p + 1)) for p in range(300)}
+    linked = {frozenset(x) for x in by.values() if len(x) > 1}
+    assert linked <= wanted and len(linked) == len(wanted)
+
+
 def test_all_pairs_of_an_unparted_node_meet(spark):
     """All but those inside the node's largest component."""
-    large = spark.createDataFrame([(0, 7, r) for r in range(60)], "tree int, node long, rep long")
-    done = spark.createDataFrame([(r, 0) for r in range(1, 25)], "u long, v long")
+    large = spark.createDataFrame([(7, r, 0 if r < 25 else r) for r in range(60)], "node long, rep long, root long")
     met = defaultdict(set)
-    for r in minhash_dedup.crossed(large, done, 16).collect():
+    for r in minhash_dedup.crossed(large, minhash_dedup.outside(large), 16).collect():
         met[r["node"]].add(r["rep"])
     pairs = {(a, b) for x in met.values() for a in x for b in x if a < b}
     assert {(a, b) for b in range(25, 60) for a in range(b)} <= pairs
