@@ -92,31 +92,51 @@ def with_row_keys(docs: DataFrame, name: str) -> DataFrame:
     return marked.select(*[f"`{c}`" for c in docs.columns], (F.shiftleft(number, ROW_BITS) + F.col(at)).alias(name))
 
 
-#: Bits of a bit table for each key, and at most: 2**27 are 2 million rows.
-BITS_PER_KEY, MOST_BITS = 16, 1 << 27
+#: Rows of a narrow table at most that is broadcast as it is, once it has been counted.
+SMALL_ROWS = 100_000
+#: Bits of a bit table for each key, and 64-bit words of a table at most: 2 million rows of 12 bytes.
+BITS_PER_KEY, MOST_WORDS = 16, 1 << 21
 
 
 @dataclass
 class BitTable:
-    """``words``: word_, mask_, the bits that the keys' hashes set, or None where the keys are too many for a table to help."""
+    """``words``: word_, mask_, the bits that keys set, or None where they are too many for a table to help.
+
+    Without ``bits`` a key is its own bit, and the table is exact; else it is a hash of ``bits`` values.
+    """
 
     words: DataFrame | None
-    bits: int
+    bits: int = 0
+
+    def slot(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.bits)) if self.bits else F.col(key)
 
 
-def bit_table(keys: DataFrame, key: str, most: int = MOST_BITS) -> BitTable:
-    """A table of as many bits as the keys need, ``most`` at most: so it may be broadcast. ``keys`` is a stored table."""
+def words_of(keys: DataFrame, slot: Column) -> DataFrame:
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    return keys.groupBy(F.shiftright(slot, 6).alias("word_")).agg(F.bit_or(bit).alias("mask_"))
+
+
+def bit_table(keys: DataFrame, key: str, most: int = MOST_WORDS) -> BitTable:
+    """A table of as many bits as the keys need, within ``most`` words: so it may be broadcast. ``keys`` is a stored table."""
     n = keys.count()
-    bits = min(1 << max(12, (BITS_PER_KEY * n - 1).bit_length()), most)
-    if n > bits:  # over 6 of 10 bits would be set
-        return BitTable(None, bits)
-    slot = F.pmod(F.xxhash64(key), F.lit(bits))
-    words = keys.select(F.floor(slot / 64).cast("int").alias("word_"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit_"))
-    return BitTable(words.groupBy("word_").agg(F.bit_or("bit_").alias("mask_")), bits)
+    made = BitTable(None, min(1 << max(12, (BITS_PER_KEY * n - 1).bit_length()), 64 * most))
+    if n <= made.bits:  # else over 6 of 10 bits would be set
+        made.words = words_of(keys, made.slot(key))
+    return made
+
+
+def row_bit_table(keys: DataFrame, key: str, most: int = MOST_WORDS) -> BitTable:
+    """An exact table of row keys (of ``with_row_keys``; those of one file are close), if it has at most ``most`` words."""
+    words = staged(words_of(keys, F.col(key)), "row-bits")
+    if words.count() <= most:
+        return BitTable(words)
+    discard(words)
+    return bit_table(keys, key, most)
 
 
 def split_by_bits(df: DataFrame, key: str, bits: BitTable) -> tuple[DataFrame, DataFrame]:
-    """Rows whose key may be among those of ``bits``, and rows whose key surely is not; nothing is shuffled.
+    """Rows whose key may be among those of ``bits`` (is, if the table is exact), and all others; nothing is shuffled.
 
     Without a table all rows may be: what follows is as right, and shuffles all rows.
     """
@@ -124,29 +144,62 @@ def split_by_bits(df: DataFrame, key: str, bits: BitTable) -> tuple[DataFrame, D
         return df, df.where(F.lit(False))
     names = df.columns
     slot, word, mask, may = (free_name(names, f"bits_{x}") for x in ("slot", "word", "mask", "may"))
-    marked = df.withColumn(slot, F.pmod(F.xxhash64(key), F.lit(bits.bits)))
-    marked = marked.join(F.broadcast(bits.words.toDF(word, mask)), F.floor(F.col(slot) / 64).cast("int") == F.col(word), "left")
-    hit = F.call_function("shiftright", F.col(mask), (F.col(slot) % 64).cast("int")).bitwiseAND(F.lit(1)) != 0
+    marked = df.withColumn(slot, bits.slot(key))
+    marked = marked.join(F.broadcast(bits.words.toDF(word, mask)), F.shiftright(slot, 6) == F.col(word), "left")
+    hit = F.call_function("shiftright", F.col(mask), F.col(slot).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) != 0
     marked = marked.withColumn(may, F.coalesce(hit, F.lit(False)))
-    return marked.where(F.col(may)).select(*names), marked.where(~F.col(may)).select(*names)
+    quoted = [f"`{c}`" for c in names]
+    return marked.where(F.col(may)).select(*quoted), marked.where(~F.col(may)).select(*quoted)
+
+
+def only_rows(df: DataFrame, wanted: DataFrame, key: str, at: str) -> DataFrame:
+    """Rows of ``df`` whose row key is in ``wanted``, a stored table. Nothing is shuffled if ``wanted`` is small or its bit table is exact."""
+    keys = wanted.select(F.col(at).alias("wanted_"))
+    on = F.col(key) == F.col("wanted_")
+    if wanted.count() <= SMALL_ROWS:
+        return df.join(F.broadcast(keys), on, "left_semi")
+    bits = row_bit_table(wanted, at)
+    may, _ = split_by_bits(df, key, bits)
+    return may if bits.words is not None and not bits.bits else may.join(keys, on, "left_semi")
 
 
 def without(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """``df`` less the rows whose key is in ``dropped``, a stored table. Rows that surely stay are not shuffled."""
-    may, stays = split_by_bits(df, key, bit_table(dropped, key))
-    return stays.unionByName(may.join(dropped, key, "left_anti").select(*df.columns))
+    """``df`` less the rows whose row key is in ``dropped``, a stored table. Nothing is shuffled if that is small or its bit table
+    is exact, else not the rows that surely stay."""
+    if dropped.count() <= SMALL_ROWS:
+        return df.join(F.broadcast(dropped), key, "left_anti").select(*[f"`{c}`" for c in df.columns])
+    bits = row_bit_table(dropped, key)
+    may, stays = split_by_bits(df, key, bits)
+    if bits.words is not None and not bits.bits:
+        return stays
+    return stays.unionByName(may.join(dropped, key, "left_anti").select(*[f"`{c}`" for c in df.columns]))
+
+
+def matched(df: DataFrame, key: str, found: DataFrame, at: str) -> DataFrame:
+    """``df`` joined to ``found``, a stored narrow table: rows whose ``key`` is an ``at`` there. Few rows are broadcast.
+
+    Beyond ``SMALL_ROWS`` only those rows of ``df`` are shuffled that may have a match, and both sides come straight from
+    the join's shuffle, so that Spark splits a hot key's rows over tasks.
+    """
+    on = F.col(key) == F.col(at)
+    if found.count() <= SMALL_ROWS:
+        return df.join(F.broadcast(found), on)
+    may, _ = split_by_bits(df, key, bit_table(found, at))
+    return may.join(found, on)
 
 
-def looked_up(df: DataFrame, key: str, found: DataFrame, at: str) -> DataFrame:
-    """``df`` with the columns of ``found``, a stored table with one row for each ``at``; nulls where there is none.
+def looked_up(df: DataFrame, key: str, found: DataFrame, at: str, also: Column | None = None) -> DataFrame:
+    """``df`` with the columns of ``found``, a stored narrow table with one row at most for each ``at`` (and for what else
+    the condition ``also`` compares); nulls where there is none.
 
-    Rows that surely have none are not shuffled. Both sides of the join come straight from its shuffle, so that Spark
-    splits a hot key's rows over tasks.
+    As in ``matched``, few rows are broadcast, and of more rows those that surely have no match are not shuffled.
     """
+    on = (F.col(key) == F.col(at)) & (also if also is not None else F.lit(True))
+    if found.count() <= SMALL_ROWS:
+        return df.join(F.broadcast(found), on, "left")
     may, none = split_by_bits(df, key, bit_table(found, at))
-    joined = may.join(found, F.col(key) == F.col(at), "left")
     empty = none.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields])
-    return joined.unionByName(empty)
+    return may.join(found, on, "left").unionByName(empty)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, looked_up, staged
+from .common import discard, staged
 
 
 def mark(edges: DataFrame) -> tuple:
@@ -17,8 +17,8 @@ def mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node of ``edges`` (u, v) but the least of its component, with that least node as v.
 
-    Each step shuffles edges and tables of one row per node. The least neighbours are stored before they are joined, so
-    a node of very many edges is no task's alone. The number of steps grows with the logarithm of a component's diameter.
+    Each step shuffles edges and tables of one row per node. The least neighbours are stored before they are joined, so that
+    Spark splits the edges of a hub over tasks. The number of steps grows with the logarithm of a component's diameter.
     """
     now = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     before = None
@@ -27,11 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = staged(both.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m")).select("of", F.least("of", "m").alias("m")), "least")
         # every larger neighbour is tied to the least of the neighbourhood
-        large = staged(looked_up(both.where("v > u"), "u", least, "of").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
+        large = staged(both.where("v > u").join(least, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
+        below = large.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m"))
+        small = large.join(below, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select(F.col("of").alias("u"), F.col("m").alias("v")))
         discard(now, least)
-        below = staged(large.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m"), F.count("*").alias("n")), "below")
-        # a node with one neighbour keeps it; others tie their neighbours to the least one
-        others = looked_up(large, "u", below.where("n > 1").drop("n"), "of").where("m is not null").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(others.unionByName(below.select(F.col("of").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "small-star")
-        discard(large, below)
+        now = staged(small.where("u <> v").distinct(), "small-star")
+        discard(large)
     return now

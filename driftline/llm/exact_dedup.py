@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, bit_table, free_name, looked_up, split_by_bits, staged, table, with_row_keys, without
+from .common import SPACE, free_name, looked_up, matched, only_rows, staged, table, with_row_keys, without
 
 #: Characters of the second step's prefix.
 PREFIX = 256
@@ -28,11 +28,10 @@ def normalised(text: Column | str) -> Column:
 
 
 def shared(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` (a stored table) whose key another row has too. Only these are shuffled, and a hot key's rows are split."""
+    """``rows`` (a stored table) whose key another row has too."""
     counts = rows.groupBy(F.col(key).alias("of_")).agg(F.count("*").alias("n_")).where("n_ > 1").select("of_")
     found = staged(counts, f"shared-{key}")
-    may, _ = split_by_bits(rows, key, bit_table(found, "of_"))
-    return may.join(found, F.col(key) == F.col("of_"), "left_semi")
+    return matched(rows, key, found, "of_").drop("of_")
 
 
 def exact_groups(docs: DataFrame, every_digest: bool = False, prefix: int = PREFIX) -> DataFrame:
@@ -56,8 +55,7 @@ def groups_of(docs: DataFrame, every_digest: bool, prefix: int = PREFIX) -> Data
     if every_digest:
         full = same_prefix.select("doc_id", "tag", "k3")
     else:  # whole texts are read again for the surviving groups alone
-        may, _ = split_by_bits(narrow.select("tag", "text_"), "tag", bit_table(same_prefix, "tag"))
-        digests = may.select(F.col("tag").alias("at_"), F.sha2(text, 256).alias("k3"))
+        digests = only_rows(narrow.select("tag", "text_"), same_prefix, "tag", "tag").select(F.col("tag").alias("at_"), F.sha2(text, 256).alias("k3"))
         full = staged(same_prefix.select("doc_id", "tag").join(digests, F.col("tag") == F.col("at_")).drop("at_"), "full-digests")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     groups = staged(full.groupBy(F.col("k3").alias("of_")).agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1"), "dedup-groups")

@@ -32,16 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bit_table, bounds, discard, free_name, grouped, looked_up, slices, split_by_bits, staged, table, with_row_keys, without
+from .common import as_bytes, bounds, discard, free_name, grouped, looked_up, matched, only_rows, slices, staged, table, with_row_keys, without
 from .components import components
 
 #: Minwise tokens; trees, and those of them that go first; levels that are made at once; sets of a node that are compared exhaustively.
-TOKENS, TREES, FIRST_TREES, LEVELS, NODE = 128, 12, 3, 2, 256
+TOKENS, TREES, FIRST_TREES, LEVELS, NODE = 128, 10, 2, 2, 512
 #: A large node branches on while its pairs across components are fewer than these shares of its parent's: of any node, and of one
 #: that has at most WHOLE sets, so that comparing them in full costs less than further levels would.
 STUCK, STUCK_WHOLE, WHOLE = 0.8, 0.5, 16_384
 #: Pivots of a block; sets that two blocks of a large node make up together, in nodes' sizes.
-PIVOTS, CROSSED = 8, 4
+PIVOTS, CROSSED = 8, 2
 #: Least similarity in percent, and standard deviations of the estimate below it that are still compared.
 PERCENT, DEVIATIONS = 80, 4.5
 
@@ -166,23 +166,19 @@ def branched(large: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def with_tokens(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """``rows`` (a stored table with a column rep) and each set's tokens. Of ``sets`` only what may be wanted is shuffled."""
-    may, _ = split_by_bits(sets.select(F.col("rep").alias("of_"), "tokens"), "of_", bit_table(rows, "rep"))
-    return rows.join(may, F.col("rep") == F.col("of_")).drop("of_")
+    """``rows`` (a stored table with a column rep) and each set's tokens. Of ``sets`` only what is wanted is shuffled."""
+    return matched(sets.select(F.col("rep").alias("of_"), "tokens"), "of_", rows, "rep").drop("of_")
 
 
 def members(rows: DataFrame, above: Column | None = None) -> DataFrame:
     """node, rep, root, n, above of the open nodes of ``rows`` (node, rep, root), stored.
 
-    A node is open if it holds more than one component. Small nodes that trees or parents give again are there once.
+    A node is open if it holds more than one component. Nodes of the same sets, which trees or parents give again, are there once.
     """
-    sizes = rows.groupBy(F.col("node").alias("of")).agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("same"), *([F.max(above).alias("above")] if above is not None else []))
-    open_ = staged(sizes.where("lo < hi"), "open-nodes")
-    once = staged(open_.groupBy("n", "lo", "hi", "same").agg(F.min("of").alias("of")).select("of"), "nodes-once")
-    may, _ = split_by_bits(rows.select("node", "rep", "root"), "node", bit_table(once, "of"))
-    wanted = staged(open_.drop("lo", "hi", "same").join(once, "of", "left_semi"), "wanted-nodes")
-    found = staged(may.join(wanted, F.col("node") == F.col("of")).drop("of"), "members")
-    discard(open_, once, wanted)
+    sizes = rows.groupBy(F.col("node").alias("of")).agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("same"), F.max(above if above is not None else F.lit(None).cast("double")).alias("above"))
+    wanted = staged(sizes.where("lo < hi").groupBy("n", "lo", "hi", "same").agg(F.min("of").alias("of"), F.max("above").alias("above")).select("of", "n", "above"), "open-nodes")
+    found = staged(matched(rows.select("node", "rep", "root"), "node", wanted, "of").drop("of"), "members")
+    discard(wanted)
     return found
 
 
@@ -234,7 +230,7 @@ def first_leaves(sets: DataFrame, trees: range, most: int) -> DataFrame:
 def leaves(sets: DataFrame, trees: range, most: int) -> tuple[DataFrame, DataFrame | None]:
     """node, rep of all small open nodes, and of the blocks of nodes that branching does not part (None if there are none)."""
     small, whole = [], []
-    found = members(paths(sets, trees)).withColumn("above", F.lit(None).cast("double"))
+    found = members(paths(sets, trees))
     while True:
         small.append(found.where(F.col("n") <= most).select("node", "rep"))
         large = found.where(F.col("n") > most)
@@ -352,21 +348,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 made = [shingles(x, k).tobytes() for x in as_bytes(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("tag"), pa.array(made, pa.large_binary()).cast(pa.binary())], ["rep", "hashes"])
 
-    may, _ = split_by_bits(docs.select("tag", "text"), "tag", bit_table(wanted, "rep"))
-    return may.mapInArrow(rows, "rep long, hashes binary")
-
-
-def distinct_sets(some: DataFrame, firsts: DataFrame) -> DataFrame:
-    """rep, tokens of one document for each distinct set. Only what may be a copy is joined."""
-    copied = firsts.where("copies > 1").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("rep").alias("first"))
-    may, alone = split_by_bits(some.select(F.col("tag").alias("rep"), "d1", "d2", "tokens"), "d1", bit_table(copied, "e1"))
-    one = may.join(copied, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").where("first is null or first = rep")
-    return alone.select("rep", "tokens").unionByName(one.select("rep", "tokens"))
+    return only_rows(docs.select("tag", "text"), wanted, "tag", "rep").mapInArrow(rows, "rep long, hashes binary")
 
 
 def undecided(found: DataFrame, done: DataFrame) -> DataFrame:
     """Rows of ``found`` (cluster, rep) in clusters that hold more than one component of ``done``."""
-    labelled = looked_up(found, "rep", done.select(F.col("u").alias("of"), F.col("v").alias("root")), "of").select("cluster", "rep", F.coalesce("root", "rep").alias("root"))
+    labelled = found.join(done.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("cluster", F.coalesce("root", "rep").alias("root"))
     open_ = labelled.groupBy(F.col("cluster").alias("of")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("of")
     return found.join(open_, F.col("cluster") == F.col("of"), "left_semi")
 
@@ -380,31 +367,32 @@ def joined_by(found: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 def classes(docs: DataFrame, k: int, percent: int = PERCENT, trees: int = TREES, node: int = NODE) -> DataFrame:
     """tag, doc_id, n_shingles, root: each row's class as the least tag in it; a stored table. ``docs``: tag, doc_id, text."""
     base = staged(sketches(docs, k), "sketches")
-    some = base.where("n > 0")
-    firsts = staged(some.groupBy("d1", "d2").agg(F.min("tag").alias("rep"), F.count("*").alias("copies")), "distinct-sets")
-    tokens = distinct_sets(some, firsts)
-    first = clusters(first_leaves(tokens.withColumn("root", F.col("rep")), range(min(FIRST_TREES, trees)), node), tokens)
+    # copies combine before the shuffle; one row stands for a set
+    sets = staged(base.where("n > 0").groupBy("d1", "d2").agg(F.min("tag").alias("rep"), F.count("*").alias("copies"), F.first("tokens").alias("tokens")), "sets")
+    narrow = staged(base.drop("tokens"), "documents")
+    discard(base)
+    first = clusters(first_leaves(sets.withColumn("root", F.col("rep")), range(min(FIRST_TREES, trees)), node), sets)
     edges = joined_by(first, docs, k, percent)
     done = components(edges)
     discard(first, edges)
-    rooted = looked_up(tokens, "rep", done.select(F.col("u").alias("of"), F.col("v").alias("known")), "of").select("rep", "tokens", F.coalesce("known", "rep").alias("root"))
+    known = done.select(F.col("u").alias("of"), F.col("v").alias("known"))
+    rooted = staged(looked_up(sets, "rep", known, "of").select("rep", "tokens", F.coalesce("known", "rep").alias("root")), "rooted-sets")
     small, whole = leaves(rooted, range(FIRST_TREES, trees), node)
-    for nodes in (small, whole):
-        if nodes is not None:
-            found = clusters(nodes, tokens)
-            open_ = staged(undecided(found, done), "undecided")
-            edges = joined_by(open_, docs, k, percent)
-            now = components(done.unionByName(edges))
-            discard(found, open_, edges)
-            done = now
-    copies = firsts.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("rep").alias("first"), "copies")
-    of_set = looked_up(copies, "first", done.select(F.col("u").alias("of"), F.col("v").alias("root")), "of").where("copies > 1 or root is not null")
-    of_set = staged(of_set.select("e1", "e2", F.coalesce("root", "first").alias("root")), "set-roots")
-    may, alone = split_by_bits(base.select("tag", "doc_id", "n", "d1", "d2"), "d1", bit_table(of_set, "e1"))
-    joined = may.join(of_set, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").select("tag", "doc_id", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"))
-    rows = joined.unionByName(alone.select("tag", "doc_id", "n", F.lit(None).cast("long").alias("root")))
+    found = clusters(small if whole is None else small.unionByName(whole), sets)
+    open_ = staged(undecided(found, done), "undecided")
+    discard(rooted, found)
+    if not open_.isEmpty():
+        edges, before = joined_by(open_, docs, k, percent), done
+        done = components(done.unionByName(edges))
+        discard(edges, before)
+    discard(open_)
+    copies = sets.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "rep", "copies")
+    of_set = looked_up(copies, "rep", done.select(F.col("u").alias("of"), F.col("v").alias("root")), "of").where("copies > 1 or root is not null")
+    of_set = staged(of_set.select("e1", "e2", F.coalesce("root", "rep").alias("root")), "set-roots")
+    discard(sets, done)
+    rows = looked_up(narrow, "d1", of_set, "e1", F.col("d2") == F.col("e2")).withColumn("root", F.when(F.col("n") > 0, F.col("root")))
     made = staged(rows.select("tag", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "tag").alias("root")), "classes")
-    discard(base, firsts, done, of_set)
+    discard(narrow, of_set)
     return made
 
 

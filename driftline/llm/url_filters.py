@@ -5,9 +5,13 @@ with the rule's path; the longest fitting rule wins. Rules are few and become on
 fits get the model's verdict: character n-grams of host and path, hashed, weighed by a logistic regression that
 ``pyspark.ml`` trains on a small labelled URL table. All of it runs in Spark's JVM.
 
+The table that comes with this module (``labelled_urls``) was written for it: names of junk sites (pills, casinos, loans, link
+farms) and of ordinary ones, each with a few paths. Any table (host, path, blocked) can take its place.
+
 Defined results: a null URL, or one without ``://``, has an empty host and path, no rule, and the verdict that the model
 gives to the empty text. Rows with one URL get one verdict. Without labelled URLs of both kinds all unruled URLs are
-allowed. An empty table gives an empty result.
+allowed. Very long URLs are taken whole. Extra columns, whatever their names, are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -25,6 +29,41 @@ from .common import least_by_hash, staged, table
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: n-gram lengths, hash buckets, and the bound on labelled rows of either kind.
 GRAMS, BUCKETS, MAX_LABELLED = (3, 4, 5), 1 << 16, 5_000
+#: Labelled URLs of a name.
+PER_NAME = 6
+
+
+#: Names before the domain: blocked, allowed. Written for this module.
+JUNK_NAMES = """
+cheap-pills pills-online buy-viagra discount-meds pharma-deals rx-outlet diet-pills-now miracle-cure weight-loss-tricks free-casino
+casino-bonus online-poker-win slots-jackpot lucky-spins betting-tips lottery-winner sports-bets-now roulette-cash easy-loans payday-cash
+quick-credit debt-relief-now get-rich-fast earn-from-home crypto-doubler forex-profits free-money spam-farm link-farm seo-links-cheap
+click-bait-hub traffic-exchange backlink-shop autoblog-spam content-scraper adult-cams hot-singles xxx-videos sexy-chat nude-pics
+replica-watches fake-rolex cheap-handbags outlet-shoes-sale free-iphone gift-card-win survey-rewards prize-claim free-download-crack
+keygen-warez torrent-movies-hd serial-keys hacked-accounts phishing-login verify-bank-account
+""".split()
+PLAIN_NAMES = """
+library museum gardening weather recipes history travel science physics chemistry biology geology mathematics astronomy archive journal
+news press magazine radio orchestra theatre cinema painting sculpture poetry literature languages dictionary encyclopedia school college
+university hospital clinic council parliament ministry court police railway harbour airport transit cycling hiking sailing football tennis
+chess software kernel compiler database networks security research institute laboratory observatory village township county region
+themer thonler anering tholand ertinde heran sterling rhonda ithaner thunder
+""".split()
+FRONTS = ("", "www.", "blog.", "m.")
+DOMAINS = ("example.com", "example.org", "example.net", "site.com", "pages.org", "web.net")
+JUNK_PATHS = ("/buy-now", "/offer/{n}", "/win?", "/click/{n}.html", "/en/{n}", "/de/{n}/", "/fr/{n}", "/es/{n}.html", "/{n}", "/")
+PLAIN_PATHS = ("/about", "/article/{n}", "/papers/{n}", "/index.html", "/en/{n}", "/de/{n}/", "/fr/{n}", "/es/{n}.html", "/{n}", "/")
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """host, path, blocked, name: the names above, each with ``PER_NAME`` combinations of what stands before and behind it."""
+    rows = []
+    for blocked, names, paths in ((1, JUNK_NAMES, JUNK_PATHS), (0, PLAIN_NAMES, PLAIN_PATHS)):
+        for i, name in enumerate(names):
+            for k in range(PER_NAME):
+                path = paths[(i + 3 * k) % len(paths)].format(n=(37 * i + 101 * k) % 1000)
+                rows.append((f"{FRONTS[(i + k) % len(FRONTS)]}{name}.{DOMAINS[(i + 5 * k) % len(DOMAINS)]}", path.rstrip("?"), blocked, name))
+    return spark.createDataFrame(rows, "host string, path string, blocked int, name string").coalesce(1)
 
 
 def host_of(url: Column) -> Column:
@@ -99,14 +138,6 @@ def judge(pages: DataFrame, model: UrlModel, rules: tuple[tuple[str, str], ...]
     return made.select("page_id", "host", "path", "rule", F.coalesce(verdict, F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")).alias("verdict"), "p_block")
 
 
-def ruled(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """The labelled URL table that the rules themselves give: host, path, blocked."""
-    urls = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    _, verdict = first_rule(rules, F.col("host"), F.col("path"))
-    return urls.select("host", "path", (verdict == "block").cast("int").alias("blocked")).where("blocked is not null")
-
-
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts for all pages; the labelled table is a bounded sample of the URLs that rules decide."""
-    pages = table(spark, sf_dir, "pages")
-    return judge(pages, train(ruled(pages))).select("page_id", "host", "path", "rule", "verdict")
+    """Verdicts for all pages: the rules', else those of a regression on the module's labelled URLs."""
+    return judge(table(spark, sf_dir, "pages"), train(labelled_urls(spark))).select("page_id", "host", "path", "rule", "verdict")

@@ -5,35 +5,39 @@ equal payload), and a metadata record with the page's id. Request and metadata n
 ``WARC-Concurrent-To``. A record ends with two line ends, which is the record separator of Spark's text writer, so
 records are built as column expressions and Spark writes the archives wherever its file systems reach.
 
-Reading. Archives are read as binary files, parsed by content length, and give one row per record. Transactions are
-assembled by joining requests and metadata to responses through the concurrent-to id: one nested row per capture.
+Reading. Archives are read as streams, all members of a gzip file, parsed by content length, and give one row per record.
+Transactions are assembled by joining requests and metadata to responses through the concurrent-to id: one nested row per
+capture.
 
 Defined results: a null html is an empty payload; a null URL leaves out the target URI; a null page_id leaves out the id,
 and the capture comes back with a null page_id, after all others where the largest id counts. Rows that repeat a page_id
 are captures of their own; of equal large payloads with equal ids one is the response. An empty table gives no captures.
-Extra columns are ignored.
+Extra columns, whatever their names, are ignored. A very long page is one record, which one task holds whole. A malformed or
+truncated archive fails the read with its name, unless ``strict=False`` asks for the records before the fault.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .common import table
+from .common import looked_up, staged, table, with_row_keys, without
 
 #: Payloads from this many bytes on are stored once.
 MIN_SHARED = 1000
 #: Records' fixed date: archives of the same pages are equal byte for byte.
 DATE = "2024-01-01T00:00:00Z"
 PAGES_PER_FILE = 2_000
-END = "\r\n"
+END, GAP = "\r\n", b"\r\n\r\n"
+#: Bytes of a record's headers at most.
+MAX_HEADER = 1 << 20
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, fields map<string,string>, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -50,17 +54,24 @@ def record(kind: str | Column, record_id: Column, headers: list[tuple[str, Colum
 
 
 def captures(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
-    """page_id, url, html, digest, key (of the response record), refers_key and refers_id (null unless a revisit)."""
+    """page_id, url, html (null for a revisit), bytes, digest, key (of the response record), refers_key and refers_id (null unless a revisit).
+
+    Equal payloads are found on narrow rows. Whole pages are never shuffled: responses are written where they are read.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
-    base = pages.select("page_id", F.regexp_replace("url", r"[\r\n]", "").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    base = base.withColumn("key", F.md5(F.concat_ws("|", F.monotonically_increasing_id(), "page_id", "digest")))
-    large = F.octet_length("html") >= min_shared
-    # narrow rows, combined before the shuffle; digests of one capture have nothing to refer to
-    firsts = base.where(large).groupBy(F.col("digest").alias("of")).agg(F.max(F.struct(F.col("page_id").isNotNull().alias("some"), "page_id", "key")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    other = F.col("first.key") != F.col("key")
-    return base.join(firsts.drop("n"), (F.col("digest") == F.col("of")) & large, "left").select(
-        "page_id", "url", "html", "digest", "key", F.when(other, F.col("first.key")).alias("refers_key"), F.when(other, F.col("first.page_id")).alias("refers_id")
-    )
+    keyed = with_row_keys(pages.select("page_id", F.regexp_replace("url", r"[\r\n]", "").alias("url"), html.alias("html")), "tag")
+    narrow = staged(keyed.select("page_id", "url", "tag", F.octet_length("html").cast("long").alias("bytes"), F.sha1(F.col("html").cast("binary")).alias("digest")), "payloads")
+    large = narrow.where(F.col("bytes") >= min_shared)
+    # combined before the shuffle; digests of one capture have nothing to refer to
+    order = F.struct(F.col("page_id").isNotNull().alias("some"), "page_id", "tag")
+    firsts = staged(large.groupBy(F.col("digest").alias("of")).agg(F.max(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared-payloads")
+    again = looked_up(large, "digest", firsts, "of").where("first.tag <> tag")
+    key = lambda tag, page: F.md5(F.concat_ws("|", tag, page, "digest"))
+    again = staged(again.select("page_id", "url", "tag", "bytes", "digest", key(F.col("first.tag"), F.col("first.page_id")).alias("refers_key"), F.col("first.page_id").alias("refers_id")), "revisits")
+    own = without(keyed, again.select("tag"), "tag").withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha1(F.col("html").cast("binary"))})
+    nothing = {"refers_key": F.lit(None).cast("string"), "refers_id": F.lit(None).cast("long")}
+    rows = own.withColumns(nothing).unionByName(again.withColumns({"html": F.lit(None).cast("string"), "refers_id": F.col("refers_id").cast("long")}))
+    return rows.withColumn("key", key(F.col("tag"), F.col("page_id"))).drop("tag")
 
 
 def write_archives(pages: DataFrame, path: str, min_shared: int = MIN_SHARED, pages_per_file: int = PAGES_PER_FILE) -> None:
@@ -72,7 +83,7 @@ def write_archives(pages: DataFrame, path: str, min_shared: int = MIN_SHARED, pa
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
     request = record("request", urn(F.md5(F.concat("key", F.lit("q")))), [uri, ("WARC-Concurrent-To", key), ("Content-Type", "application/http; msgtype=request")],
                      F.concat(F.lit("GET "), F.when(target == "", "/").otherwise(target), F.lit(f" HTTP/1.1{END}Host: "), host, F.lit(END + END)))
-    head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.octet_length("html").cast("string"), F.lit(END + END))
+    head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("bytes").cast("string"), F.lit(END + END))
     again = F.col("refers_key").isNotNull()
     response = record(F.when(again, "revisit").otherwise("response"), key,
                       [uri, ("WARC-Payload-Digest", digest), ("WARC-Refers-To", urn(F.col("refers_key"))), ("WARC-Profile", F.when(again, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("Content-Type", "application/http; msgtype=response")],
@@ -80,64 +91,128 @@ def write_archives(pages: DataFrame, path: str, min_shared: int = MIN_SHARED, pa
     facts = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(END)), F.lit("")),
                      F.coalesce(F.concat(F.lit("refers-to-page-id: "), F.col("refers_id").cast("string"), F.lit(END)), F.lit("")))
     metadata = record("metadata", urn(F.md5(F.concat("key", F.lit("m")))), [uri, ("WARC-Concurrent-To", key), ("Content-Type", "application/warc-fields")], facts)
-    gap = F.lit(END + END)
-    rows.select(F.concat(request, gap, response, gap, metadata).alias("value")).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", pages_per_file).text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8").split(END)
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+    gap = F.lit(GAP.decode())
+    rows.select(F.concat(request, gap, response, gap, metadata).alias("value")).write.option("lineSep", GAP.decode()).option("compression", "gzip").option("maxRecordsPerFile", pages_per_file).text(path)
+
+
+def parse(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names) and block of each record of an archive, whose bytes come in chunks of any length.
+
+    One record is held at a time. Raises ValueError where an archive is malformed or ends within a record.
+    """
+    it, held = iter(chunks), b""
+
+    def filled(n: int) -> bool:
+        """Hold n bytes at least, unless the archive ends."""
+        nonlocal held
+        parts, size = [held], len(held)
+        while size < n and (chunk := next(it, None)) is not None:
+            parts.append(chunk)
+            size += len(chunk)
+        held = b"".join(parts)
+        return size >= n
+
+    while True:
+        while not (held := held.lstrip(b"\r\n")):
+            if not filled(1):
+                return
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if len(held) > MAX_HEADER or not filled(len(held) + 1):
+                raise ValueError("a WARC record's headers do not end")
+        version, *lines = held[:end].decode("utf-8", "replace").split(END)
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        at = end + 4 + int(headers["content-length"])
-        yield headers, data[end + 4 : at]
-        at += 4
-
-
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row per record. A response's payload is its HTTP body; a revisit has the size and digest of the full one."""
+        if not version.startswith("WARC/") or not headers.get("content-length", "").isdigit() or "warc-type" not in headers or "warc-record-id" not in headers:
+            raise ValueError(f"no WARC record: {version[:60]!r}")
+        upto = end + 4 + int(headers["content-length"])
+        if not filled(upto):
+            raise ValueError(f"{headers['warc-record-id']} is cut off")
+        yield headers, held[end + 4 : upto]
+        held = held[upto:]
+
+
+def http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and body of an HTTP message."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split(END)[1:])}, body
+
+
+def record_row(h: dict[str, str], block: bytes, payloads: bool) -> tuple:
+    """A row of RECORD; raises ValueError if a payload is not what the headers say."""
+    kind, fields, size, digest, body = h["warc-type"], {}, None, None, None
+    told = h.get("warc-payload-digest", "")
+    if kind == "response":
+        _, body = http_parts(block)
+        size, digest = len(body), hashlib.sha1(body).hexdigest()
+        if told.startswith("sha1:") and len(told) == 45 and told[5:].lower() != digest:  # base-32 digests of other writers are not compared
+            raise ValueError(f"payload of {h['warc-record-id']} is not what its headers say")
+    elif kind == "revisit":
+        http, _ = http_parts(block)
+        length = http.get("content-length", "")
+        size, digest = int(length) if length.isdigit() else None, told[5:].lower() if told.startswith("sha1:") else None
+    elif kind == "metadata":
+        fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split(END) if x)}
+    return h["warc-record-id"], kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), list(fields.items()), size, digest, body if payloads else None
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, strict: bool = True) -> DataFrame:
+    """One row per record. A response's payload is its HTTP body; a revisit has the size and digest of the full one.
+
+    Archives are streams: Spark unpacks all members of a gzip file and deals its bytes out in pieces, so a task holds one
+    record at a time, however long the archive is. A malformed or truncated archive fails the read, or with
+    ``strict=False`` gives the records before the fault.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.replace("map<string,string>", "map").split(", ")]
         kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.binary()]
-        for batch in batches:
-            for content in batch.column("content"):
-                data = content.as_py()
-                data = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
-                found = []
-                for h, block in parse(data):
-                    kind, fields, size, digest, body = h["warc-type"], {}, None, None, None
-                    if kind in ("response", "revisit"):
-                        head, _, body = block.partition(b"\r\n\r\n")
-                        told = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split(END)[1:])}
-                        if kind == "response":
-                            size, digest = len(body), hashlib.sha1(body).hexdigest()
-                            if h["warc-payload-digest"] != f"sha1:{digest.upper()}" or size != int(told["content-length"]):
-                                raise ValueError(f"payload of {h['warc-record-id']} is not what its headers say")
-                        else:
-                            size, digest, body = int(told["content-length"]), h["warc-payload-digest"][5:].lower(), None
-                    elif kind == "metadata":
-                        fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode().split(END) if x)}
-                    found.append((h["warc-record-id"], kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), list(fields.items()), size, digest, body if payloads else None))
-                for k in range(0, len(found), 500):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[k : k + 500], strict=True), kinds, strict=True)], names)
-
-    # a binary row is a whole file: a few at a time
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(rows, RECORD)
+
+        def pieces() -> Iterator[tuple[str, bytes]]:
+            for batch in batches:
+                for file, value in zip(batch.column("file"), batch.column("value")):
+                    yield file.as_py(), value.as_py() + GAP
+
+        def found() -> Iterator[tuple]:
+            for file, own in groupby(pieces(), lambda x: x[0]):
+                try:
+                    for headers, block in parse(x[1] for x in own):
+                        yield record_row(headers, block, payloads)
+                except ValueError as fault:
+                    if strict:
+                        raise ValueError(f"{file}: {fault}") from fault
+
+        for some in by_size(found()):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names)
+
+    files = spark.read.option("lineSep", GAP.decode()).option("ignoreCorruptFiles", not strict).option("pathGlobFilter", "*.gz").text(path)
+    return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(rows, RECORD)
+
+
+def by_size(rows: Iterable[tuple], most: int = 500, most_bytes: int = 16 << 20) -> Iterator[list[tuple]]:
+    """Rows of RECORD in lists of a bounded number of rows and of payload bytes (or of one longer row)."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or b"")
+        if len(held) >= most or size >= most_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture_id, response, request, metadata (structs; null where there is none)."""
-    whole = F.struct(*[c for c in records.columns])
-    answers = records.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), whole.alias("response"))
-    asked = records.where("type = 'request'").select(F.col("concurrent_to").alias("capture_id"), whole.alias("request"))
-    facts = records.where("type = 'metadata'").select(F.col("concurrent_to").alias("capture_id"), whole.alias("metadata"))
-    return answers.join(asked, "capture_id", "left").join(facts, "capture_id", "left")
+    """One nested row per capture: capture_id, response, request, metadata (structs; null where there is none).
+
+    Requests and metadata meet their response by the id that they name as concurrent, in one shuffle for all three. A
+    capture without a response or revisit gives no row. Of records that repeat an id, one is taken.
+    """
+    answer = F.col("type").isin("response", "revisit")
+    own = F.when(answer, F.col("record_id")).otherwise(F.col("concurrent_to"))
+    whole = F.struct(*records.columns)
+    pick = lambda what, name: F.first(F.when(what, whole), ignorenulls=True).alias(name)
+    rows = records.where(answer | F.col("type").isin("request", "metadata")).withColumn("capture_id", own).where("capture_id is not null")
+    made = rows.groupBy("capture_id").agg(pick(answer, "response"), pick(F.col("type") == "request", "request"), pick(F.col("type") == "metadata", "metadata"))
+    return made.where("response is not null")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

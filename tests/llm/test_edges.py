@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.llm import exact_dedup, minhash_dedup, piece_sampling, quality_classifier, quality_rules, source_mix, token_counts, toxicity, url_filters, warc
-from driftline.llm.common import bit_table, split_by_bits, staged, with_row_keys
+from driftline.llm.common import bit_table, only_rows, row_bit_table, split_by_bits, staged, with_row_keys
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -163,6 +163,25 @@ def test_token_counts_and_cache(edge, edge_rows, tmp_path):
         assert edge.sparkSession.read.parquet(cache).count() == len({t or "" for _, t, *_ in edge_rows})
 
 
+def test_a_cache_that_lacks_some_rows(spark, edge, edge_rows, tmp_path):
+    """Counts that are stored are taken from the cache, and only the texts that it lacks are encoded."""
+    path, cache = token_counts.tokenizer_path(), str(tmp_path / "cache")
+    token_counts.count_tokens(edge.where("doc_id < 20"), cache, path).count()
+    stored = spark.read.parquet(cache)
+    before = stored.count()
+    marked = stored.withColumn("n_tokens", F.col("n_tokens") + 1_000_000)  # what can only come from the cache
+    marked.write.parquet(str(tmp_path / "marked"))
+    known = {r["digest"] for r in stored.collect()}
+    found = token_counts.count_tokens(edge, str(tmp_path / "marked"), path).collect()
+    text = {d: t for d, t, *_ in edge_rows if d is not None and d != 12}
+    for r in found:
+        if r["doc_id"] in text:
+            digest = hashlib.sha256((text[r["doc_id"]] or "").encode()).hexdigest()
+            assert (r["n_tokens"] >= 1_000_000) == (digest in known)
+    all_ = len({t or "" for _, t, *_ in edge_rows})
+    assert before < all_ and spark.read.parquet(str(tmp_path / "marked")).count() == all_
+
+
 def test_special_strings_are_the_librarys_default(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")
     assert token_counts.count_tokens(docs, str(tmp_path / "c"), token_counts.tokenizer_path()).first()["n_tokens"] == 3
@@ -191,6 +210,18 @@ def test_url_model_learns(spark):
     assert one_kind.fitted is None
 
 
+def test_url_model_on_held_out_names(spark):
+    """Names that the model has not seen: no URL of theirs is learned from."""
+    rows = url_filters.labelled_urls(spark).toPandas()
+    held = {n for names in (url_filters.JUNK_NAMES, url_filters.PLAIN_NAMES) for n in names[::4]}
+    labelled = spark.createDataFrame(rows[~rows["name"].isin(held)])
+    new = rows[rows["name"].isin(held)].reset_index(drop=True)
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(zip(new["host"], new["path"]))], "page_id long, url string")
+    found = {r["page_id"]: r["verdict"] == "block" for r in url_filters.judge(pages, url_filters.train(labelled), rules=()).collect()}
+    right = [found[i] == bool(b) for i, b in enumerate(new["blocked"])]
+    assert len(held) > 30 and sum(right) / len(right) > 0.85
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "é" * 800 + "\r\n\r\nWARC/1.1\r\n</p>"
     rows = [(1, "http://a/x?y#z", big), (2, "http://b/", big), (2, "http://b/", big), (3, None, None), (4, "http://c\r\nd", ""), (None, "http://e", "small"), (5, "http://f", "small"), (6, "u", "y" * 300_000)]
@@ -209,6 +240,42 @@ def test_warc_round_trip(spark, tmp_path):
     assert html["2"] == big.encode() and html["3"] == b"" and html["6"] == b"y" * 300_000
 
 
+def raw_record(kind, record_id, block, more=""):
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {record_id}\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    """A gzip member for each record, blocks that end in line ends or hold empty lines, chunks of any length, faults."""
+    import gzip
+
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>\r\n\r\n\r\n</p>\r\n"
+    made = [raw_record("warcinfo", "<w>", b""), raw_record("request", "<q>", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <r>\r\n"), raw_record("response", "<r>", body), raw_record("metadata", "<m>", b"via: x\r\n", "WARC-Concurrent-To: <r>\r\n"), raw_record("metadata", "<alone>", b"")]
+    whole = b"".join(made)
+    for size in (1, 3, 7, 10_000):
+        assert [h["warc-record-id"] for h, _ in warc.parse(whole[i : i + size] for i in range(0, len(whole), size))] == ["<w>", "<q>", "<r>", "<m>", "<alone>"]
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good" / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in made))
+    (tmp_path / "good" / "b.warc.gz").write_bytes(gzip.compress(whole.replace(b"<r>", b"<s>")))
+    assert warc.read_archives(spark, str(tmp_path / "good")).count() == 10
+    found = {r["capture_id"]: r for r in warc.assemble(warc.read_archives(spark, str(tmp_path / "good"))).collect()}
+    assert set(found) == {"<r>", "<s>"} and found["<r>"]["metadata"]["fields"] == {"via": "x"} and found["<s>"]["request"]["record_id"] == "<q>"
+    assert found["<r>"]["response"]["payload"] == b"<p>\r\n\r\n\r\n</p>\r\n" and found["<r>"]["response"]["payload_digest"] == hashlib.sha1(b"<p>\r\n\r\n\r\n</p>\r\n").hexdigest()
+    for name, data in (("cut", gzip.compress(whole[:-60])), ("torn", gzip.compress(made[0]) + gzip.compress(made[1])[:-30]), ("junk", gzip.compress(made[0] + b"no record\r\n\r\nx"))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc.gz").write_bytes(data)
+        with pytest.raises(Exception, match=r"(?s)a\.warc\.gz|EOF|Unexpected end"):
+            warc.read_archives(spark, str(tmp_path / name)).count()
+        assert warc.read_archives(spark, str(tmp_path / name), strict=False).count() >= 1
+
+
+def test_a_page_of_100_megabytes(spark, tmp_path):
+    pages = spark.range(3).selectExpr("id AS page_id", "concat('http://x/', id) AS url", "repeat('0123456789', CASE WHEN id = 1 THEN 10500000 ELSE 100 END) AS html")
+    pages.repartition(1).write.parquet(str(tmp_path / "p"))
+    warc.write_archives(spark.read.parquet(str(tmp_path / "p")), str(tmp_path / "w"))
+    found = warc.assemble(warc.read_archives(spark, str(tmp_path / "w"), payloads=False)).select("metadata.fields", "response.payload_bytes", "response.type").collect()
+    assert sorted((r["fields"]["page-id"], r["payload_bytes"], r["type"]) for r in found) == [("0", 1000, "revisit"), ("1", 105_000_000, "response"), ("2", 1000, "response")]
+
+
 def test_pieces_are_lossless_and_seeded(edge, edge_rows):
     model = token_counts.tokenizer_path(piece_sampling.MODEL)
     made = piece_sampling.encode(edge, model, name="ids")
@@ -276,7 +343,7 @@ def test_empty_tables(nothing, labels, tmp_path):
     ):
         assert df.count() == 0
     pages = nothing.sparkSession.createDataFrame([], "page_id long, url string, html string")
-    assert url_filters.judge(pages, url_filters.train(url_filters.ruled(pages))).count() == 0
+    assert url_filters.judge(pages, url_filters.train(url_filters.labelled_urls(nothing.sparkSession))).count() == 0
     warc.write_archives(pages, str(tmp_path / "w"))
     assert warc.assemble(warc.read_archives(pages.sparkSession, str(tmp_path / "w"))).count() == 0
 
@@ -288,8 +355,11 @@ def test_bit_tables(spark):
     assert may.count() + sure.count() == 1000 and sure.count() > 800
     many = spark.range(100_000).withColumnRenamed("id", "k")
     assert bit_table(many, "k").words.count() <= bit_table(many, "k").bits // 64
+    exact, all_ = row_bit_table(wanted, "k"), spark.range(1000).withColumnRenamed("id", "k")
+    assert {r["k"] for r in split_by_bits(all_, "k", exact)[0].collect()} == set(range(0, 1000, 7)) and row_bit_table(wanted, "k", most=2).bits
+    assert {r["k"] for r in only_rows(all_, wanted, "k", "k").collect()} == set(range(0, 1000, 7))
     # beyond the bound there is no table, and all rows may be wanted
-    crowded = bit_table(many, "k", most=1 << 12)
+    crowded = bit_table(many, "k", most=64)
     may, sure = split_by_bits(many, "k", crowded)
     assert crowded.words is None and may.count() == 100_000 and sure.count() == 0
 
