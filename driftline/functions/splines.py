@@ -8,25 +8,30 @@ import numpy as np
 
 
 def bspline_basis(x: np.ndarray, knots: np.ndarray, degree: int) -> np.ndarray:
-    """Columns of the B-spline basis on a full knot vector; the last interval is closed."""
-    x = np.clip(x, knots[degree], knots[-degree - 1])
-    last = np.flatnonzero(knots[:-1] < knots[1:])[-1]
-    b = ((x[:, None] >= knots[:-1]) & (x[:, None] < knots[1:])).astype(float)
-    b[x >= knots[last + 1], last] = 1.0
+    """Columns of the B-spline basis on a full knot vector; the last interval is closed. Leading axes are further curves."""
+    x = np.clip(x, knots[..., degree, None], knots[..., -degree - 1, None])[..., None]
+    at = knots[..., None, :]
+    there = knots[..., :-1] < knots[..., 1:]
+    last = there.shape[-1] - 1 - there[..., ::-1].argmax(-1)
+    end = np.take_along_axis(knots, last[..., None] + 1, -1)[..., None]
+    b = np.where(x >= end, np.arange(there.shape[-1]) == last[..., None, None], (x >= at[..., :-1]) & (x < at[..., 1:])).astype(float)
     for d in range(1, degree + 1):
-        n = len(knots) - d - 1
-        left, right = knots[d : d + n] - knots[:n], knots[d + 1 : d + 1 + n] - knots[1 : 1 + n]
+        n = knots.shape[-1] - d - 1
+        left, right = at[..., d : d + n] - at[..., :n], at[..., d + 1 : d + 1 + n] - at[..., 1 : 1 + n]
         with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.where(left > 0, (x[:, None] - knots[:n]) / left, 0.0)
-            down = np.where(right > 0, (knots[d + 1 : d + 1 + n] - x[:, None]) / right, 0.0)
-        b = up * b[:, :n] + down * b[:, 1 : n + 1]
+            up = np.where(left > 0, (x - at[..., :n]) / left, 0.0)
+            down = np.where(right > 0, (at[..., d + 1 : d + 1 + n] - x) / right, 0.0)
+        b = up * b[..., :n] + down * b[..., 1 : n + 1]
     return b
 
 
 def quantile_knots(x: np.ndarray, df: int, degree: int) -> np.ndarray:
-    """Knots for ``df`` functions, the inner ones at quantiles of the data."""
-    inner = np.quantile(x, np.linspace(0, 1, df - degree + 1)[1:-1]) if df > degree + 1 else np.zeros(0)
-    return np.concatenate([np.repeat(x.min(), degree + 1), inner, np.repeat(max(x.max(), x.min() + 1e-9), degree + 1)])
+    """Knots for ``df`` functions, the inner ones at quantiles of the data. Leading axes are further curves."""
+    lead = x.shape[:-1]
+    inner = np.moveaxis(np.quantile(x, np.linspace(0, 1, df - degree + 1)[1:-1], axis=-1), 0, -1) if df > degree + 1 else np.zeros((*lead, 0))
+    low, high = x.min(-1), np.maximum(x.max(-1), x.min(-1) + 1e-9)
+    ends = [np.repeat(v[..., None], degree + 1, -1) for v in (low, high)]
+    return np.concatenate([ends[0], inner, ends[1]], -1)
 
 
 def even_knots(n_splines: int, degree: int) -> np.ndarray:
@@ -115,34 +120,43 @@ def effective_df(df: int, n: int) -> int:
 
 @dataclass
 class Posterior:
-    """Draws of sigma and curves on a grid, in the fit's units."""
+    """Draws of curves on a grid and of sigma, in the fit's units."""
 
     curves: np.ndarray
     sigma: np.ndarray
 
 
 def spline_posterior(x: np.ndarray, y: np.ndarray, grid: np.ndarray, df: int, draws: int, rng: np.random.Generator) -> Posterior:
-    """Exact draws for y = B b + e with b ~ N(0, 1) and a half-normal sigma.
+    """``spline_posteriors`` of one curve."""
+    fit = spline_posteriors(x[None], y[None], grid[None], df, draws, [rng])
+    return Posterior(fit.curves[0], fit.sigma[0])
+
+
+def spline_posteriors(x: np.ndarray, y: np.ndarray, grid: np.ndarray, df: int, draws: int, rngs: list[np.random.Generator]) -> Posterior:
+    """Exact draws for y = B b + e with b ~ N(0, 1) and a half-normal sigma; a row of x, y and grid for each curve.
 
     With the singular values of B the likelihood of sigma is known in closed form; sigma is drawn from a grid by its
-    distribution function, and b given sigma is normal in the singular directions.
+    distribution function, and b given sigma is normal in the singular directions. Each curve has its own random numbers.
     """
     degree = min(3, df - 1)
     knots = quantile_knots(x, df, degree)
-    design = np.column_stack([np.ones(len(x)), bspline_basis(x, knots, degree)])
-    at = np.column_stack([np.ones(len(grid)), bspline_basis(grid, knots, degree)])
+    ones = lambda z: np.ones((*z.shape, 1))
+    design = np.concatenate([ones(x), bspline_basis(x, knots, degree)], -1)
+    at = np.concatenate([ones(grid), bspline_basis(grid, knots, degree)], -1)
+    n, p = design.shape[1:]
+    m = min(n, p)
     u, s, vt = np.linalg.svd(design, full_matrices=True)
-    s = np.append(s, np.zeros(max(0, design.shape[1] - len(s))))[: design.shape[1]]
-    m = min(design.shape)
-    z = u[:, :m].T @ y
-    rest = max(float(y @ y - z @ z), 0.0)
+    z = np.einsum("wnm,wn->wm", u[:, :, :m], y)
+    rest = np.maximum((y * y).sum(-1) - (z * z).sum(-1), 0.0)
     sigma = np.exp(np.linspace(np.log(1e-3), np.log(4.0), 200))
-    var = s[:m, None] ** 2 + sigma**2
-    log_p = -(sigma**2) / 2 - 0.5 * (np.log(var).sum(0) + (len(x) - m) * np.log(sigma**2) + (z[:, None] ** 2 / var).sum(0) + rest / sigma**2) + np.log(sigma)
-    weight = np.cumsum(np.exp(log_p - log_p.max()))
-    drawn = sigma[np.searchsorted(weight, rng.uniform(size=draws) * weight[-1]).clip(0, len(sigma) - 1)]
-    zz = np.append(z, np.zeros(design.shape[1] - m))
-    mean = s * zz / (s**2 + drawn[:, None] ** 2)
-    sd = drawn[:, None] / np.sqrt(s**2 + drawn[:, None] ** 2)
-    beta = (mean + sd * rng.standard_normal(mean.shape)) @ vt
-    return Posterior(beta @ at.T, drawn)
+    var = s[:, :m, None] ** 2 + sigma**2
+    log_p = -(sigma**2) / 2 - 0.5 * (np.log(var).sum(1) + (n - m) * np.log(sigma**2) + (z[:, :, None] ** 2 / var).sum(1) + rest[:, None] / sigma**2) + np.log(sigma)
+    weight = np.cumsum(np.exp(log_p - log_p.max(-1, keepdims=True)), -1)
+    drawn, normal = np.empty((len(x), draws)), np.empty((len(x), draws, p))
+    for i, rng in enumerate(rngs):
+        drawn[i] = sigma[np.searchsorted(weight[i], rng.uniform(size=draws) * weight[i, -1]).clip(0, len(sigma) - 1)]
+        rng.standard_normal(out=normal[i])
+    s, zz = (np.pad(v[:, :m], ((0, 0), (0, p - m)))[:, None] for v in (s, z))
+    spread = s**2 + drawn[..., None] ** 2
+    beta = s * zz / spread + drawn[..., None] / np.sqrt(spread) * normal
+    return Posterior(beta @ vt @ np.swapaxes(at, 1, 2), drawn)

@@ -13,11 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import splines
-from ..functions.trajectory import Classifier, coefficient_columns, decline_flags
+from ..functions import shapes, splines
+from ..functions.trajectory import Classifier, coefficient_columns, decline_flags, four_class_flags, increase_flags
 from .trailing import trailing_rows
 
 KEYS = ["patient_id", "lab", "time"]
@@ -41,32 +42,75 @@ class PosteriorConfig:
     min_points: int = 5
     df: int = 6
     frequency: int = 12
-    draws: int = 400
+    draws: int = 4_000
     standardize: bool = True
     least_grid: int | None = None
     seed: int = 920
 
 
+#: Drawn values that a kernel holds at once.
+CHUNK_VALUES = 1 << 21
+
+
+def posteriors(batch: pa.RecordBatch, c: PosteriorConfig) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a batch of windows, their grids, and their curves (row, draw, place) in the windows' own units.
+
+    Windows of as many points and as long a grid are fitted together.
+    """
+    patient, lab, time = (batch.column(k).to_pylist() for k in KEYS)
+    t, v = ([np.asarray(x, float) for x in batch.column(k).to_pylist()] for k in ("t", "v"))
+    low, high = np.array([x.min() for x in t]), np.array([x.max() for x in t])
+    length = np.maximum(np.rint((high - low) * c.frequency).astype(int), max(c.least_grid if c.least_grid is not None else c.frequency, 2))
+    alike: dict[tuple[int, int], list[int]] = {}
+    for i, (x, g) in enumerate(zip(t, length)):
+        alike.setdefault((len(x), int(g)), []).append(i)
+    for (n, g), rows in alike.items():
+        step = max(1, CHUNK_VALUES // (c.draws * g))
+        for k in range(0, len(rows), step):
+            own = np.array(rows[k : k + step])
+            x, y = np.stack([t[i] for i in own]), np.stack([v[i] for i in own])
+            lo, span = low[own, None], (high - low)[own, None]
+            grid = lo + span * np.linspace(0, 1, g)
+            if c.standardize:
+                mu, sd, scale, df = y.mean(1, keepdims=True), y.std(1, keepdims=True), np.maximum(span, 1e-8), splines.effective_df(c.df, n)
+                sd[sd == 0] = 1.0
+            else:
+                mu, sd, scale, df = np.zeros((len(own), 1)), np.ones((len(own), 1)), 1.0, c.df
+            rngs = [seed(patient[i], lab[i], time[i], c.seed) for i in own]
+            fit = splines.spline_posteriors((x - lo) / scale, (y - mu) / sd, (grid - lo) / scale, df, c.draws, rngs)
+            yield own, grid, fit.curves * sd[:, :, None] + mu[:, :, None]
+
+
+def listed(values: np.ndarray) -> pa.ListArray:
+    """Rows of a table of numbers as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(np.ascontiguousarray(values).ravel()))
+
+
 def posterior_curves(long: DataFrame, config: PosteriorConfig) -> DataFrame:
     """patient_id, lab, time, draw, grid, traj: posterior curves of every window in its own units, one row for each draw."""
-    c = config
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                t, v = np.asarray(r.t, float), np.asarray(r.v, float)
-                span = t.max() - t.min()
-                n = max(c.least_grid if c.least_grid is not None else c.frequency, int(round(span * c.frequency)), 2)
-                grid = np.linspace(t.min(), t.max(), n)
-                if c.standardize:
-                    mu, sd, scale = v.mean(), v.std() or 1.0, max(span, 1e-8)
-                    df = splines.effective_df(c.df, len(t))
-                else:
-                    mu, sd, scale, df = 0.0, 1.0, 1.0, c.df
-                fit = splines.spline_posterior((t - t.min()) / scale, (v - mu) / sd, (grid - t.min()) / scale, df, c.draws, seed(r.patient_id, r.lab, r.time, c.seed))
-                yield pd.DataFrame({"patient_id": r.patient_id, "lab": r.lab, "time": r.time, "draw": np.arange(c.draws), "grid": [grid.tolist()] * c.draws, "traj": (fit.curves * sd + mu).tolist()})
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, grid, curves in posteriors(batch, config):
+                at = pa.array(np.repeat(own, config.draws))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).take(at) for k in KEYS), pa.array(np.tile(np.arange(config.draws, dtype=np.int32), len(own))), listed(np.repeat(grid, config.draws, 0)), listed(curves.reshape(-1, curves.shape[-1]))],
+                    [*KEYS, "draw", "grid", "traj"],
+                )
+
+    return windows(long, config.window, config.min_points).mapInArrow(rows, "patient_id string, lab string, time double, draw int, grid array<double>, traj array<double>")
+
 
-    return windows(long, c.window, c.min_points).mapInPandas(rows, "patient_id string, lab string, time double, draw int, grid array<double>, traj array<double>")
+def posterior_summaries(long: DataFrame, config: PosteriorConfig) -> DataFrame:
+    """patient_id, lab, time, draws, grid, mean, sd: every window's posterior curve, one row for each window."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, grid, curves in posteriors(batch, config):
+                keys = [batch.column(k).take(pa.array(own)) for k in KEYS]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(own), config.draws, np.int64)), listed(grid), listed(curves.mean(1)), listed(curves.std(1))], [*KEYS, "draws", "grid", "mean", "sd"])
+
+    return windows(long, config.window, config.min_points).mapInArrow(rows, "patient_id string, lab string, time double, draws long, grid array<double>, mean array<double>, sd array<double>")
 
 
 def posterior_frequencies(curves: DataFrame, classifier: Classifier = decline_flags, **thresholds: float) -> DataFrame:
@@ -75,9 +119,28 @@ def posterior_frequencies(curves: DataFrame, classifier: Classifier = decline_fl
     return curves.groupBy(*KEYS).agg(*[F.avg(f.cast("double")).alias(f"traj_prob_{name}") for name, f in flags.items()])
 
 
+#: Classifiers that kernels know too.
+SHAPES = {decline_flags: shapes.decline, increase_flags: shapes.increase, four_class_flags: shapes.four_class}
+
+
 def trajectory_probabilities(long: DataFrame, config: PosteriorConfig, classifier: Classifier = decline_flags, **thresholds: float) -> DataFrame:
-    """Windows, posterior curves, flags and their shares for all labs at once."""
-    return posterior_frequencies(posterior_curves(long, config), classifier, **thresholds)
+    """traj_prob_<class> of every window of all labs. The known classifiers run where curves are drawn; any other gets the curves."""
+    if classifier not in SHAPES:
+        return posterior_frequencies(posterior_curves(long, config), classifier, **thresholds)
+    shape = SHAPES[classifier]
+    names = list(shape(np.zeros((1, 1)), **thresholds))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, grid, curves in posteriors(batch, config):
+                apart = np.diff(grid, axis=1)[:, None]
+                known = apart[:, 0, 0] > 0  # slopes over no time count for nothing
+                flags = shape(np.diff(curves, axis=2) / np.where(apart > 0, apart, 1.0), **thresholds)
+                shares = [pa.array(np.where(known, flags[x].mean(1), 0.0)) for x in names]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(own)) for k in KEYS), *shares], [*KEYS, *(f"traj_prob_{x}" for x in names)])
+
+    schema = ", ".join(["patient_id string, lab string, time double", *(f"traj_prob_{x} double" for x in names)])
+    return windows(long, config.window, config.min_points).mapInArrow(rows, schema)
 
 
 @dataclass

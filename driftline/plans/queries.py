@@ -614,15 +614,15 @@ GAM = summaries.GamConfig(window=SPAN, min_points=POINTS)
 
 @query("m1_spline_posterior")
 def m1(spark, d):
-    rows = summaries.posterior_curves(labs(spark, d, "view"), POSTERIOR)
-    return rows.groupBy("patient_id", "time").agg(F.count("*").alias("draws"), F.avg(tr.mean(F.col("traj"))).alias("level"))
+    rows = summaries.posterior_summaries(labs(spark, d, "view"), POSTERIOR)
+    return rows.select("patient_id", "time", "draws", "grid", "mean", "sd", tr.mean(F.col("mean")).alias("level"))
 
 
 @query("m2_spline_posterior_plain")
 def m2(spark, d):
     plain = summaries.PosteriorConfig(window=SPAN, min_points=POINTS, df=4, frequency=1, standardize=False, least_grid=6)
-    rows = summaries.posterior_curves(labs(spark, d, "click"), plain)
-    return rows.groupBy("patient_id", "time").agg(F.count("*").alias("draws"), F.avg(tr.mean(F.col("traj"))).alias("level"))
+    rows = summaries.posterior_summaries(labs(spark, d, "click"), plain)
+    return rows.select("patient_id", "time", "draws", "grid", "mean", "sd", tr.mean(F.col("mean")).alias("level"))
 
 
 @query("m3_trajectory_probabilities")

@@ -126,6 +126,27 @@ def long(spark):
     return pipelines.long_labs(tables.event_dynamic(spark, SF), ["view", "click"])
 
 
+def test_a_batch_of_posteriors_is_each_alone():
+    rng = np.random.default_rng(6)
+    x, y = np.sort(rng.uniform(size=(4, 7)), 1), rng.normal(size=(4, 7))
+    x[3, 4:] = x[3, 4]  # tied times at the end
+    together = splines.spline_posteriors(x, y, x, 6, 50, [np.random.default_rng(i) for i in range(4)])
+    for i in range(4):
+        alone = splines.spline_posterior(x[i], y[i], x[i], 6, 50, np.random.default_rng(i))
+        assert np.allclose(together.curves[i], alone.curves) and np.allclose(together.sigma[i], alone.sigma)
+
+
+@pytest.mark.parametrize("classifier", list(summaries.SHAPES))
+def test_kernels_flags_are_the_columns_flags(spark, classifier):
+    rng = np.random.default_rng(7)
+    rows = [(f"P{i % 9}", "view", float(t), float(v)) for i in range(9) for t, v in zip(np.sort(rng.integers(0, 40, 30)) / 2, rng.normal(size=30).cumsum())]
+    long = spark.createDataFrame(rows, "patient_id string, lab string, time double, lab_value double")
+    config = summaries.PosteriorConfig(window=5.0, min_points=5, frequency=2, draws=60)
+    one = {tuple(r)[:3]: tuple(r)[3:] for r in summaries.trajectory_probabilities(long, config, classifier).collect()}
+    two = {tuple(r)[:3]: tuple(r)[3:] for r in summaries.posterior_frequencies(summaries.posterior_curves(long, config), classifier).collect()}
+    assert len(one) > 50 and set(one) == set(two) and all(np.allclose(one[k], two[k]) for k in one)
+
+
 def test_posterior_draws_do_not_depend_on_partitions(spark):
     config = summaries.PosteriorConfig(window=14.0, min_points=6, frequency=1, draws=20)
     one = summaries.trajectory_probabilities(long(spark).coalesce(1), config).collect()
@@ -196,7 +217,7 @@ def test_facades_round_trip(spark, tmp_path):
 def test_posterior_queries_take_the_default_draws(spark):
     from driftline.plans import queries
 
-    assert queries.POSTERIOR.draws == summaries.PosteriorConfig().draws == 400
+    assert queries.POSTERIOR.draws == summaries.PosteriorConfig().draws == 4_000
     for made in (queries.m1, queries.m2):
         counts = {r["draws"] for r in made(spark, "/root/testdata/sf0.001").collect()}
         assert counts == {400}
