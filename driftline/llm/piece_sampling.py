@@ -14,7 +14,8 @@ Spaces are kept as they are, with no dummy prefix and no normalisation: decoding
 byte. Control pieces are never used.
 
 Defined results: a null text counts as empty, and has no pieces. A null key counts as a key of its own. Repeated rows
-are segmented alike. An empty table gives an empty result. Extra columns are kept.
+are segmented alike. Very long texts are segmented whole, a few texts at a time. An empty table gives an empty result. Extra
+columns are kept; a new column whose name is taken gets underscores.
 """
 
 from __future__ import annotations
@@ -224,6 +225,7 @@ def row_key(column: str = "doc_id") -> Column:
 
 def encode(docs: DataFrame, model: str, theta: float = THETA, seed: int = SEED, key: Column | None = None, name: str = "pieces") -> DataFrame:
     """``docs`` with the sampled piece ids of each whole text. ``model`` is the path of a file that all executors have."""
+    name = free_name(docs.columns, name)
     keyed = free_name([*docs.columns, name], "row_key")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
     at = docs.columns.index("text")
@@ -242,6 +244,7 @@ def encode(docs: DataFrame, model: str, theta: float = THETA, seed: int = SEED,
 
 def decode(encoded: DataFrame, model: str, pieces: str = "pieces", name: str = "decoded") -> DataFrame:
     """``encoded`` with the text that its pieces spell."""
+    name = free_name(encoded.columns, name)
     schema = T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())])
     at = encoded.columns.index(pieces)
 

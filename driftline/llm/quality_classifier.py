@@ -4,14 +4,15 @@ Each word and each character n-gram of it has a learned vector, found by hash; s
 has the event that a word repeats the word before. A text's vector is the mean over all its
 words' features; a softmax over two linear outputs gives the probability of quality. Vectors and outputs are trained
 together by stochastic gradient descent in numpy, on a bounded sample of labelled rows: ``MAX_ROWS`` of either class,
-those of least hash, with texts of at most ``MAX_CHARS`` characters (longer texts are scored whole like all others).
+those of least hash, with texts of at most ``max_chars`` characters. Both bounds are parameters of ``fit`` and bound what the
+driver holds; class shares are those of all learnable rows, and longer texts are scored whole like all others.
 
 The softmax of a mean is linear in the features up to its end, so a trained model needs one number a feature; a word's
 sum is kept by word while a task runs.
 
 Defined results: a null text counts as empty, and an empty text's score is the share of good rows. Repeated rows get
 equal scores. Without learnable rows of both classes all scores are that share (0 without labels). An empty table gives
-an empty result. Labels outside 0 and 1 are ignored.
+an empty result. Labels outside 0 and 1 are ignored. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, free_name, table
 from .toxicity import sample_rows, with_columns
 from .words import WordTable, framed, ngram_hashes
 
@@ -107,9 +108,9 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, rate: float = R
     return vectors @ (outputs[1] - outputs[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> QualityModel:
-    """A model from the learnable labelled rows."""
-    short = docs.where(F.length(F.coalesce("text", F.lit(""))) <= MAX_CHARS)
+def fit(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> QualityModel:
+    """A model from learnable labelled rows: at most ``max_rows`` of a class, of texts of at most ``max_chars`` characters."""
+    short = docs.where(F.length(F.coalesce("text", F.lit(""))) <= max_chars)
     sample, sizes = sample_rows(short, labels, "quality", learnable, max_rows)
     share = sizes.get(1, 0) / max(sum(sizes.values()), 1)
     if len(sizes) < 2:
@@ -123,8 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = M
     return QualityModel(share, weights, float(np.log(sizes[1] / sizes[0]) - np.log(there[1] / there[0])))
 
 
-def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with a column score."""
+def scored(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
+    """``docs`` with a score, under ``name`` with underscores if a column has that name."""
+    name = free_name(docs.columns, name)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def values():
@@ -144,7 +146,7 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
 
         return made
 
-    return with_columns(docs, {"score": T.DoubleType()}, values)
+    return with_columns(docs, {name: T.DoubleType()}, values)
 
 
 def learnable() -> Column:

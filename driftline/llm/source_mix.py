@@ -11,7 +11,8 @@ above. That fixed point is min(most * size, weight * level), with one level for
 
 Defined results: a null text has size 0, a null doc_id hashes as the empty text. Documents of one hash are taken or left
 together. A budget over a source's size takes all its documents once or twice, and a part of them once more. Documents
-of size 0 follow their hash like others and take 0 tokens. An empty table gives an empty result.
+of size 0 follow their hash like others and take 0 tokens. Very long texts count whole; one moves whole. An empty table gives
+an empty result. Extra columns are kept by ``take_mix``, whatever their names.
 """
 
 from __future__ import annotations

@@ -278,10 +278,10 @@ def test_a_page_of_100_megabytes(spark, tmp_path):
 
 def test_pieces_are_lossless_and_seeded(edge, edge_rows):
     model = token_counts.tokenizer_path(piece_sampling.MODEL)
-    made = piece_sampling.encode(edge, model, name="ids")
-    back = piece_sampling.decode(made, model, "ids", "again")
-    assert made.columns == [*edge.columns, "ids"]
-    rows = back.select("doc_id", "text", "ids", "again").collect()
+    made = piece_sampling.encode(edge, model)
+    back = piece_sampling.decode(made, model, "pieces_", "text")
+    assert made.columns == [*edge.columns, "pieces_"] and back.columns == [*made.columns, "text_"]
+    rows = back.selectExpr("doc_id", "text", "pieces_ AS ids", "text_ AS again").collect()
     assert len(rows) == len(edge_rows) and all((r["text"] or "") == r["again"] for r in rows)
     other = piece_sampling.encode(edge.repartition(5), model, name="ids").select("doc_id", "text", "ids").collect()
     as_key = lambda r: key((r["doc_id"], r["text"], tuple(r["ids"])))
@@ -315,11 +315,123 @@ def test_pieces_have_the_lattices_distribution():
 
 def test_classifiers_on_edges(edge, edge_rows, labels):
     for module in (toxicity, quality_classifier):
-        found = module.scored(edge.select("doc_id", "text", "tag"), module.fit(edge, labels, module.learnable())).collect()
-        assert len(found) == len(edge_rows) and all(0 <= r["score"] <= 1 for r in found)
-        assert len({r["score"] for r in found if not WORD.findall(r["text"] or "")}) == 1
+        made = module.scored(edge, module.fit(edge, labels, module.learnable()))
+        # the table has a column score already
+        assert made.columns[: len(edge.columns)] == edge.columns and made.columns[-1] == "score_" and len(set(made.columns)) == len(made.columns)
+        found = made.collect()
+        assert len(found) == len(edge_rows) and all(0 <= r["score_"] <= 1 for r in found)
+        assert len({r["score_"] for r in found if not WORD.findall(r["text"] or "")}) == 1
         no_labels = module.fit(edge, labels.where("false"), module.learnable())
-        assert {r["score"] for r in module.scored(edge.select("doc_id", "text"), no_labels).collect()} == {0.0}
+        assert {r["score_"] for r in module.scored(edge, no_labels).collect()} == {0.0}
+
+
+def plain_kneser_ney(words, counts, word, order=6, unseen=1e-5, off=2.0):
+    """Both classes' log-likelihoods of a word by dictionaries: the definition, letter by letter."""
+    import math
+
+    kinds, sums, longest = [defaultdict(set) for _ in range(order + 1)], [Counter() for _ in range(order + 1)], [[Counter() for _ in range(order + 1)] for _ in (0, 1)]
+    for w, (a, b) in zip(words, counts):
+        f = f"<{w}>"
+        for end in range(1, len(f) + 1):
+            for n in range(1, min(order, end) + 1):
+                gram = f[end - n : end]
+                if n < order and end > n:
+                    kinds[n][gram].add(f[end - n - 1])
+                if n == order or end == n:
+                    sums[n][gram] += a + b
+                    longest[0][n][gram] += a
+                    longest[1][n][gram] += b
+    shared = [Counter() for _ in range(order + 1)]
+    for n in range(1, order + 1):
+        for gram in set(kinds[n]) | set(sums[n]):
+            shared[n][gram] = sums[n][gram] if n == order or gram[0] == "<" else len(kinds[n][gram])
+            if n == 1 and gram == "<":
+                shared[n][gram] = 0
+    d = []
+    for n in range(order + 1):
+        ones, twos = sum(v == 1 for v in shared[n].values()), sum(v == 2 for v in shared[n].values())
+        d.append(min(max(ones / max(ones + 2 * twos, 1) if ones else 0.5, 0.1), 0.9))
+
+    def of(counter, n, context):
+        return {g: v for g, v in counter[n].items() if g[:-1] == context and v > 0}
+
+    def interpolated(n, gram):
+        if n == 0:
+            return unseen
+        context = gram[:-1]
+        own = of(shared, n, context)
+        if n > 1 and not any(context in x for x in (shared[n - 1],)):
+            return interpolated(n - 1, gram[1:])
+        total = sum(own.values())
+        if not total:
+            return interpolated(n - 1, gram[1:])
+        backoff = sum(min(v, d[n]) for v in own.values()) / total if n > 1 else 1.0
+        return max(own.get(gram, 0) - d[n], 0) / total + backoff * interpolated(n - 1, gram[1:])
+
+    f, out = f"<{word}>", []
+    for c in (0, 1):
+        log = 0.0
+        for end in range(2, len(f) + 1):
+            n = min(order, end)
+            gram = f[end - n : end]
+            own = of(longest[c], n, gram[:-1])
+            total, p = sum(own.values()), interpolated(n, gram)
+            if total:
+                p = max(own.get(gram, 0) - off, 0) / total + sum(min(v, off) for v in own.values()) / total * p
+            log += math.log(p)
+        out.append(log)
+    return out
+
+
+def test_kneser_ney_against_dictionaries():
+    import numpy as np
+
+    words = ["idiot", "idiots", "ideal", "dear", "trash", "ash", "a", "thrash", "rash", "deal", "xx"]
+    counts = np.array([[0, 5], [1, 4], [6, 0], [3, 3], [0, 7], [4, 1], [9, 9], [2, 2], [0, 1], [5, 1], [1, 0]])
+    model = toxicity.KneserNey.fit(words, counts)
+    asked = [*words, "idiotic", "trashed", "qqq", "de", "thrashes"]
+    found = model.words(asked)
+    for w, row in zip(asked, found):
+        assert row[:2] == pytest.approx(plain_kneser_ney(words, counts.tolist(), w), rel=1e-4) and row[2] == len(w) + 1
+
+
+def test_forest_against_plain_paths():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 4))
+    forest = quality_rules.Forest.grow(x, trees=20)
+
+    def path(row, root):
+        at = root
+        while forest.feature[at] >= 0:
+            at = forest.left[at] + (row[forest.feature[at]] >= forest.value[at])
+        return forest.path[at]
+
+    c = 2 * (np.log(255) + 0.5772156649) - 2 * 255 / 256
+    for row, score in zip(x[:40], forest.score(x[:40])):
+        assert score == pytest.approx(2 ** (-np.mean([path(row, r) for r in forest.roots]) / c))
+
+
+def test_quality_scores_against_a_plain_forward_pass(spark, edge, edge_rows, labels):
+    """Each word's features one by one: mean of the weights over all features of the text, then the logistic function."""
+    import math
+
+    import numpy as np
+
+    model = quality_classifier.fit(edge, labels, quality_classifier.learnable())
+    assert model.weights is not None
+    for r in quality_classifier.scored(edge.where("doc_id > 15").select("doc_id", "text"), model).collect():
+        words = (r["text"] or "").split()
+        if not words:
+            continue
+        total, n = 0.0, 0
+        for at, w in enumerate(words):
+            ids, _ = quality_classifier.word_features([w])
+            total, n = total + sum(model.weights[i] for i in ids), n + len(ids)
+            if at and w == words[at - 1]:
+                total, n = total + quality_classifier.ECHO_TIMES * model.weights[quality_classifier.ECHO], n + quality_classifier.ECHO_TIMES
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-np.clip(total / n + model.shift, -30, 30))), rel=1e-6)
 
 
 def test_kneser_ney_models_are_distributions():
@@ -339,7 +451,7 @@ def test_empty_tables(nothing, labels, tmp_path):
     for df in (
         exact_dedup.exact_groups(nothing), exact_dedup.drop_copies(nothing), source_mix.mix_sources(nothing), source_mix.take_mix(nothing), minhash_dedup.near_duplicates(nothing), minhash_dedup.keep_one(nothing),
         quality_rules.judge(nothing, labels), token_counts.count_tokens(nothing, str(tmp_path / "c"), path), piece_sampling.round_trip(nothing, model),
-        toxicity.scored(nothing.select("doc_id", "text"), toxicity.fit(nothing, labels, toxicity.learnable())), quality_classifier.scored(nothing.select("doc_id", "text"), quality_classifier.fit(nothing, labels, quality_classifier.learnable())),
+        toxicity.scored(nothing, toxicity.fit(nothing, labels, toxicity.learnable())), quality_classifier.scored(nothing, quality_classifier.fit(nothing, labels, quality_classifier.learnable())),
     ):
         assert df.count() == 0
     pages = nothing.sparkSession.createDataFrame([], "page_id long, url string, html string")

@@ -37,3 +37,20 @@ def test_run_is_the_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "minhash_near_dedup", "mix_sources", "sentencepiece"]
     one, two = corpus_pipeline.run(spark, SF), corpus_pipeline.run(spark, SF)
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+@pytest.mark.parametrize("which", ["edge", "nothing"])
+def test_stages_on_edges(spark, request, labels, tmp_path, which):
+    """Nulls, repeated rows and ids, very long texts, clashing columns, and an empty table, through each stage in turn."""
+    docs = request.getfixturevalue(which)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    names, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        n = docs.count()
+        assert n <= before if name not in ("mix_sources", "sentencepiece") else n <= 3 * before
+        if name != "sentencepiece":
+            assert docs.columns == names
+        before = n
+    assert (before == 0) == (which == "nothing") and {"doc_id", "pieces"} <= set(docs.columns)

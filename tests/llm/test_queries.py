@@ -36,6 +36,45 @@ def test_quality_rules_keep_good_rows(spark):
     assert rows["kept"][good].mean() > 0.98 and rows["kept"][~good].mean() < 0.1
 
 
+COUNTS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(l[i:i + 4], ' ') AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) - 3)) AS i FROM d WHERE len(l) >= 5)
+), r AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS times FROM g), (SELECT unnest(range(5)) AS j) WHERE times > 1 GROUP BY doc_id
+), s AS (
+  SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+)
+SELECT d.doc_id, len(l)::BIGINT AS n_words, length(array_to_string(l, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+       (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+       len(l) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(l) AS base_failed
+FROM d JOIN s USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_rule_counts_are_sqls(spark, sf):
+    rows = QUERIES["op2_quality_rules"](spark, sf).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert spark_rows(rows) == sql_rows(connect(sf), COUNTS_SQL)
+
+
+def test_token_counts_bytes_are_sqls(spark):
+    rows = QUERIES["op5_token_counts"](spark, SF).select("doc_id", "n_bytes")
+    assert spark_rows(rows) == sql_rows(connect(SF), "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents")
+
+
+@pytest.mark.parametrize(("sf", "recall", "precision"), [(SF, 0.6, 0.8), ("/root/testdata/sf0.01", 0.6, 0.9), ("/root/testdata/sf0.1", 0.85, 0.93)])
+def test_toxicity_by_scale(spark, sf, recall, precision):
+    """Of all labelled rows, and of rows that are held out; few labels must not make clean rows toxic."""
+    rows = QUERIES["op1_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").toPandas()
+    known = rows[rows["toxic"].notna()]
+    for some in (known, known[known["held_out"]]):
+        hit = int(((some["predicted"] == 1) & (some["toxic"] == 1)).sum())
+        assert hit >= recall * (some["toxic"] == 1).sum() and hit >= precision * (some["predicted"] == 1).sum()
+    assert rows["predicted"].mean() < 1.6 * known["toxic"].mean()
+
+
 def test_url_verdicts(spark):
     rows = QUERIES["op6_url_filters"](spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count() and {r["verdict"] for r in rows} <= {"allow", "block"}
