@@ -121,3 +121,9 @@ def linear_predictor(columns: list[str], beta: list[float], means: list[float] |
     for c, b, m in zip(columns, beta, means or [0.0] * len(columns), strict=True):
         eta = eta + (F.col(c).cast("double") - F.lit(float(m))) * F.lit(float(b))
     return eta
+
+
+def dealt(key: Column | str, parts: int, seed: str = "") -> Column:
+    """A number below ``parts`` from the MD5 of a key as text: the same on any engine and partitioning."""
+    text = F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))
+    return F.pmod(F.conv(F.substring(F.md5(F.concat(text, F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(parts)).cast("int")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import asof
+from .ranks import medians
 
 
 def bin_count(tmax: Column, width: float) -> Column:
@@ -81,13 +82,12 @@ def forward_fill(df: DataFrame, columns: list[str], order: str = "bin_idx") -> D
 
 
 def median_fill(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """Nulls become the column's median, one row of medians for the table.
-
-    The exact median gathers a column's distinct values with their counts; ``exact=False`` takes a sketch instead.
-    """
-    middle = F.median if exact else (lambda c: F.percentile_approx(c, 0.5, 10_000))
-    medians = df.agg(*[middle(c).alias(f"median_{c}") for c in columns])
-    return df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"median_{c}") for c in columns}).drop(*[f"median_{c}" for c in columns])
+    """Nulls become the column's median; the exact one needs no task that holds a column. ``exact=False`` takes a sketch instead."""
+    if exact:
+        found = medians(df, columns)
+    else:
+        found = df.agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in columns]).first().asDict()
+    return df.withColumns({c: F.coalesce(c, F.lit(found[c]).cast("double")) for c in columns})
 
 
 def wide(rows: DataFrame, features: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 def mixed_model(rows: DataFrame, fixed_intercept: bool = False, key: str = "patient_id") -> tuple[DataFrame, dict[str, float]]:
     """``rows`` with ``predicted`` and ``u`` (the patient's intercept) of value ~ time + time^2 with random intercepts.
@@ -78,7 +80,8 @@ def stratified_folds(rows: DataFrame, label: str, key: str, folds: int = 5, seed
 
 def supervised_check(rows: DataFrame, columns: list[str], label: str, key: str, folds: int = 5, model: str = "logistic") -> DataFrame:
     """fold, accuracy: standardised features, a linear model for the label, held-out accuracy of each fold."""
-    held = stratified_folds(StringIndexer(inputCol=label, outputCol="y_").fit(rows).transform(rows), label, key, folds).persist()
+    held = stratified_folds(StringIndexer(inputCol=label, outputCol="y_").fit(rows).transform(rows), label, key, folds)
+    held = staged(held, "folds")
     learner = LogisticRegression(featuresCol="z_", labelCol="y_", predictionCol="guess_", probabilityCol="p_", rawPredictionCol="r_", family="multinomial", regParam=0.01, maxIter=50)
     if model == "svm":
         learner = OneVsRest(classifier=LinearSVC(featuresCol="z_", labelCol="y_", maxIter=30), featuresCol="z_", labelCol="y_", predictionCol="guess_")

@@ -147,6 +147,10 @@ def fit_cox(design: DataFrame, columns: list[str], event: str = "treatment", gro
         held.unpersist()
 
 
+#: Groups whose coefficients and sums the driver holds.
+MAX_GROUPS = 10_000
+
+
 def score_pass(design: DataFrame, columns: list[str], beta: list[float], event: str = "treatment", group: str = "bin_idx") -> DataFrame:
     """bin_idx, deaths, s0, s1_i: the sums of one pass at fixed coefficients, for checking and for custom solvers."""
     p = len(columns)
@@ -162,8 +166,12 @@ def fit_discrete(rows: DataFrame, columns: list[str], event: str = "y_event", ri
 def fit_grouped_logistic(rows: DataFrame, columns: list[str], event: str, group: str, steps: int = 25, ridge: float = 1e-3) -> dict[int, HazardModel]:
     """A logistic regression for each value of ``group``, all fitted in the same passes.
 
-    Each pass joins no coefficients: they are sent to the tasks as one small array per group.
+    Each pass joins no coefficients: they are sent to the tasks as one small array per group, so there may be ``MAX_GROUPS``
+    groups at most; more are an error.
     """
+    n = rows.select(F.col(group).cast("long")).distinct().count()
+    if n > MAX_GROUPS:
+        raise ValueError(f"{n} groups, more than {MAX_GROUPS}: coarsen {group}, or fit parts of the table")
     held = rows.select(F.col(group).cast("long").alias(group), F.col(event).cast("double").alias(event), *[F.col(c).cast("double").alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         mean, sd = column_moments(held, columns)

@@ -4,38 +4,46 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
+from ..session import staged
+from .ranks import FEW, medians, running_sum
+
 
 def brier(rows: DataFrame, p: str = "ps", y: str = "y") -> DataFrame:
     """brier: mean squared distance of probability and outcome."""
     return rows.agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"))
 
 
-def concordance(rows: DataFrame, time: str = "stop", score: str = "ps", event: str = "treatment", orientation: str = "survival") -> DataFrame:
+def concordance(rows: DataFrame, time: str = "stop", score: str = "ps", event: str = "treatment", orientation: str = "survival", few: int = FEW) -> DataFrame:
     """concordant, tied, comparable, c_index over all comparable pairs, without making them.
 
     A row with an event at time t is compared with all rows of later time, and with those of the same time without an
-    event. Rows are counted by (time, event, score); at each event time, running counts over scores tell how many
-    comparable rows score above and equal. Where times are bins that is one small table per time, made by an equi join of
-    each event time with the later times' counts by score.
+    event: with those of a later place, if distinct times are numbered with events first. Two places differ in the first bit, from
+    the top, that one has and the other has not; so each row counts once for each bit, among the rows that share the bits above
+    it. There, running counts over scores tell how many comparable rows score above and equal. That is rows times bits,
+    for a few bins or for continuous times. Rows without a time or score are left out.
 
-    ``survival``: larger scores should mean later events, ``risk``: earlier ones.
+    ``survival``: larger scores should mean later events, ``risk``: earlier ones. No window holds more than a range of scores.
     """
     sign = F.lit(1.0 if orientation == "survival" else -1.0)
-    cells = rows.groupBy(F.col(time).alias("t"), (F.col(event) > 0).alias("e"), (F.col(score) * sign).alias("s")).agg(F.count("*").alias("n"))
-    # each cell counts at its own time and at every earlier time that has events
-    times = cells.where("e").select(F.col("t").alias("at")).distinct()
-    listed = times.agg(F.array_sort(F.collect_set("at")).alias("times"))
-    spread = cells.crossJoin(F.broadcast(listed)).select("t", "e", "s", "n", F.explode(F.filter("times", lambda x: (x < F.col("t")) | ((x == F.col("t")) & ~F.col("e")))).alias("at"))
-    later = spread.groupBy("at", "s").agg(F.sum("n").alias("others"))
-    mine = cells.where("e").select(F.col("t").alias("at"), "s", F.col("n").alias("events"))
-    both = later.select("at", "s", "others", F.lit(0).cast("long").alias("events")).unionByName(mine.select("at", "s", F.lit(0).cast("long").alias("others"), "events")).groupBy("at", "s").agg(F.sum("others").alias("others"), F.sum("events").alias("events"))
-    above = F.sum("others").over(Window.partitionBy("at").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1))
-    made = both.withColumn("above", F.coalesce(above, F.lit(0)))
-    total = F.sum("others").over(Window.partitionBy("at"))
-    sums = made.withColumn("total", total).agg(
+    cells = rows.groupBy(F.col(time).cast("double").alias("t"), F.coalesce(F.col(event) > 0, F.lit(False)).alias("e"), (F.col(score) * sign).alias("s")).agg(F.count("*").alias("n"))
+    cells = staged(cells.where("t is not null and s is not null"), "score-cells")
+    times = staged(cells.groupBy("t").agg(F.max(F.col("e").cast("long")).alias("with_"), F.max((~F.col("e")).cast("long")).alias("without_")).withColumn("kinds_", F.col("with_") + F.col("without_")), "event-times")
+    places = running_sum(times, "t", "kinds_", "place_", few=few).select(F.col("t").alias("at_"), "with_", "place_")
+    bits = max(1, int((times.agg(F.sum("kinds_")).first()[0] or 1) - 1).bit_length())
+    place = F.col("place_") + F.when(F.col("e"), 0).otherwise(F.col("with_"))
+    spread = cells.join(places, F.col("t") == F.col("at_")).select("e", "s", "n", place.alias("place"), F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    later = F.expr("shiftright(place, bit) % 2 = 1")
+    both = spread.where(later | F.col("e")).groupBy("bit", F.expr("shiftright(place, bit + 1)").alias("above_bit"), "s").agg(
+        F.sum(F.when(later, F.col("n")).otherwise(0)).alias("others"), F.sum(F.when(~later & F.col("e"), F.col("n")).otherwise(0)).alias("events")
+    )
+    both = staged(both, "score-counts")
+    above = running_sum(both, "s", "others", "above", ("bit", "above_bit"), descending=True, few=few)
+    totals = both.groupBy(F.col("bit").alias("bit_"), F.col("above_bit").alias("above_bit_")).agg(F.sum("others").alias("total"))
+    made = above.where("events > 0").join(totals, (F.col("bit") == F.col("bit_")) & (F.col("above_bit") == F.col("above_bit_")))
+    sums = made.agg(
         F.sum(F.col("events") * F.col("above")).alias("concordant"), F.sum(F.col("events") * F.col("others")).alias("tied"), F.sum(F.col("events") * F.col("total")).alias("comparable")
     )
     return sums.withColumn("c_index", F.try_divide(F.col("concordant") + F.col("tied") / 2, F.col("comparable")))
@@ -50,61 +58,87 @@ def split_chains(trace: DataFrame) -> DataFrame:
     return cut.where((F.col("i_") <= F.col("m_")) | (F.col("i_") > F.col("n_") - F.col("m_"))).withColumn("half", F.col("chain") * 2 + (F.col("i_") > F.col("m_")).cast("int")).drop("n_", "i_", "m_")
 
 
-def normal_quantile(p: np.ndarray) -> np.ndarray:
-    """Inverse of the normal distribution function, by bisection on its error function."""
-    from math import erf, sqrt
+@F.pandas_udf(T.DoubleType())
+def normal_score(p: pd.Series) -> pd.Series:
+    """Inverse of the normal distribution function."""
+    from statistics import NormalDist
+
+    return p.map(NormalDist().inv_cdf)
 
-    phi = np.vectorize(lambda z: 0.5 * (1 + erf(z / sqrt(2))))
-    lo, hi = np.full(np.shape(p), -9.0), np.full(np.shape(p), 9.0)
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        less = phi(mid) < p
-        lo, hi = np.where(less, mid, lo), np.where(less, hi, mid)
-    return (lo + hi) / 2
 
+def rank_normalised(rows: DataFrame, value: str, name: str, few: int = FEW) -> DataFrame:
+    """``rows`` (with param), stored, and the normal score of each value's mean rank among the parameter's."""
+    counts = staged(rows.groupBy("param", value).agg(F.count("*").alias("n_")), "draw-counts")
+    ranked = running_sum(counts, value, "n_", "less_", ("param",), few=few)
+    totals = counts.groupBy(F.col("param").alias("param_")).agg(F.sum("n_").alias("total_"))
+    rank = F.col("less_") + (F.col("n_") + 1) / 2
+    scores = ranked.join(F.broadcast(totals), F.col("param") == F.col("param_")).select("param", value, normal_score((rank - 0.375) / (F.col("total_") + 0.25)).alias(name))
+    return staged(rows.join(scores, ["param", value]), "normal-scores")
 
-def rank_normalised(values: np.ndarray) -> np.ndarray:
-    """Normal scores of mean ranks."""
-    _, back, times = np.unique(values, return_inverse=True, return_counts=True)
-    last = np.cumsum(times)
-    rank = (last - (times - 1) / 2)[back]
-    return normal_quantile((rank - 0.375) / (len(values) + 0.25))
 
+def autocovariance(x: np.ndarray) -> np.ndarray:
+    """Of one chain at each lag, its squares' mean at lag 0."""
+    x = x - x.mean()
+    size = 1 << int(2 * len(x) - 1).bit_length()
+    return np.fft.irfft(np.abs(np.fft.rfft(x, size)) ** 2, size)[: len(x)] / len(x)
 
-def chain_statistics(x: np.ndarray) -> tuple[float, float]:
-    """R-hat and effective size of chains (a row each)."""
-    m, n = x.shape
-    if n < 2:
+
+def chain_statistics(n: np.ndarray, mean: np.ndarray, variance: np.ndarray, acov: list[np.ndarray] | None = None) -> tuple[float, float]:
+    """R-hat and effective size from chains' lengths, means, variances (n - 1) and autocovariances.
+
+    Chains need not be equally long: the within variance is the mean over chains, a lag's autocovariance the mean over the chains
+    that reach it, up to the shortest one's length, and the size counts all draws.
+    """
+    m, length = len(n), float(n.mean())
+    if n.min() < 2:
         return float("nan"), float("nan")
-    within, between = x.var(1, ddof=1).mean(), n * x.mean(1).var(ddof=1) if m > 1 else 0.0
-    pooled = (n - 1) / n * within + between / n
+    within, between = variance.mean(), mean.var(ddof=1) if m > 1 else 0.0
+    pooled = (length - 1) / length * within + between
     rhat = float(np.sqrt(pooled / within)) if within > 0 else float("nan")
-    centred = x - x.mean(1, keepdims=True)
-    size = 1 << int(2 * n - 1).bit_length()
-    power = np.abs(np.fft.rfft(centred, size, axis=1)) ** 2
-    acov = np.fft.irfft(power, size, axis=1)[:, :n].mean(0) / n
-    rho = 1 - (within - acov * n / (n - 1)) / pooled if pooled > 0 else np.zeros(n)
+    if acov is None:
+        return rhat, float("nan")
+    short = int(n.min())
+    there = np.mean([a[:short] * k / (k - 1) for a, k in zip(acov, n)], axis=0)
+    rho = 1 - (within - there) / pooled if pooled > 0 else np.zeros(short)
     rho[0] = 1.0
-    pairs = rho[: n - n % 2].reshape(-1, 2).sum(1)
+    pairs = rho[: short - short % 2].reshape(-1, 2).sum(1)
     stop = np.flatnonzero(pairs < 0)
     pairs = np.minimum.accumulate(pairs[: stop[0]] if len(stop) else pairs)
-    tau = max(-1 + 2 * pairs.sum(), 1 / np.log10(m * n))
-    return rhat, float(m * n / tau)
+    total = float(n.sum())
+    tau = max(-1 + 2 * pairs.sum(), 1 / np.log10(total))
+    return rhat, float(total / tau)
 
 
-def trace_diagnostics(trace: DataFrame) -> DataFrame:
-    """param, rhat, ess_bulk of rank-normalised split chains; a parameter's draws are one group."""
+def trace_diagnostics(trace: DataFrame, few: int = FEW) -> DataFrame:
+    """param, rhat, ess_bulk of rank-normalised split chains; chains may differ in length, and all their draws count.
+
+    Ranks come from counts by ranges of values; a task holds one half of a chain, and then one row for each half.
+    """
+    halves = staged(split_chains(trace), "half-chains")
+    middle = halves.groupBy("param").agg(F.median("value").alias("middle_")) if halves.count() <= few else centres(halves)
+    folded = halves.join(F.broadcast(middle), "param").withColumn("folded", F.abs(F.col("value") - F.col("middle_"))).drop("middle_")
+    scored = rank_normalised(rank_normalised(folded, "value", "z", few), "folded", "f", few)
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["half", "draw"])
-        n = pdf.groupby("half").size().min()
-        x = pdf.groupby("half").head(n)["value"].to_numpy().reshape(-1, n)
-        z = rank_normalised(x.ravel()).reshape(x.shape)
-        folded = rank_normalised(np.abs(x - np.median(x)).ravel()).reshape(x.shape)
-        rhat, ess = chain_statistics(z)
-        return pd.DataFrame({"param": [key[0]], "rhat": [max(rhat, chain_statistics(folded)[0])], "ess_bulk": [ess]})
-
-    return split_chains(trace).groupBy("param").applyInPandas(one, "param string, rhat double, ess_bulk double")
+        pdf = pdf.sort_values("draw")
+        z, f = pdf["z"].to_numpy(), pdf["f"].to_numpy()
+        spread = lambda x: float(x.var(ddof=1)) if len(x) > 1 else float("nan")
+        return pd.DataFrame({"param": [key[0]], "n": [len(z)], "mean": [z.mean()], "var": [spread(z)], "fmean": [f.mean()], "fvar": [spread(f)], "acov": [autocovariance(z)]})
+
+    def all_(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["n"].to_numpy()
+        rhat, ess = chain_statistics(n, pdf["mean"].to_numpy(), pdf["var"].to_numpy(), list(pdf["acov"]))
+        return pd.DataFrame({"param": [key[0]], "rhat": [max(rhat, chain_statistics(n, pdf["fmean"].to_numpy(), pdf["fvar"].to_numpy())[0])], "ess_bulk": [ess]})
+
+    made = scored.groupBy("param", "half").applyInPandas(one, "param string, n long, mean double, var double, fmean double, fvar double, acov array<double>")
+    return made.groupBy("param").applyInPandas(all_, "param string, rhat double, ess_bulk double")
+
+
+def centres(rows: DataFrame) -> DataFrame:
+    """param, middle_: exact medians by parameter, of which there are few."""
+    names = [r["param"] for r in rows.select("param").distinct().collect()]
+    made = {p: medians(rows.where(F.col("param") == p), ["value"])["value"] for p in names}
+    return rows.sparkSession.createDataFrame(list(made.items()), "param string, middle_ double")
 
 
 def check_rhat(diagnostics: DataFrame, threshold: float = 1.01) -> DataFrame:

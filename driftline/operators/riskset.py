@@ -5,25 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.trajectory import dealt
+from ..session import staged
+from .ranks import FEW
+
+
+#: Width of the blocks of eta in which exponentials are added up: no sum overflows, and one pass finds both maximum and sum.
+BLOCK = 64.0
+
+
+def exponential_sums(rows: DataFrame, by: list[str], eta: Column) -> DataFrame:
+    """by, shift_, sum_: sum of exp(eta - shift_), where shift_ is the start of the key's highest block; one pass over ``rows``."""
+    block = F.floor(eta / BLOCK)
+    parts = rows.where(eta.isNotNull()).select(*by, block.alias("block_"), F.exp(eta - block * BLOCK).alias("e_")).groupBy(*by, "block_").agg(F.sum("e_").alias("s_"))
+    tops = parts.groupBy(*by).agg(F.max("block_").alias("top_"), F.collect_list(F.struct("block_", "s_")).alias("parts_"))
+    total = F.aggregate("parts_", F.lit(0.0), lambda a, x: a + x["s_"] * F.exp((x["block_"] - F.col("top_")) * BLOCK))
+    return tops.select(*by, (F.col("top_") * BLOCK).alias("shift_"), total.alias("sum_"))
+
 
 def riskset_softmax(rows: DataFrame, by: str = "bin_idx", eta: str = "eta", risk: str = "at_risk", name: str = "ps") -> DataFrame:
     """Softmax of eta over the rows at risk at each time; 0 for others.
 
-    Two grouped aggregates and joins back, not a window, so that a time's whole risk set never sits in one task.
+    One pass adds up a row for each time, which are stored and counted; few are broadcast, more are joined by a shuffle. A
+    time's whole risk set never sits in one task.
     """
     there = F.col(risk) > 0
-    top = rows.where(there).groupBy(F.col(by).alias("k_")).agg(F.max(eta).alias("top_"))
-    shifted = rows.join(top, F.col(by) == F.col("k_"), "left").withColumn("e_", F.when(there, F.exp(F.col(eta) - F.col("top_"))).otherwise(0.0)).drop("k_", "top_")
-    total = shifted.groupBy(F.col(by).alias("k_")).agg(F.sum("e_").alias("sum_"))
-    return shifted.join(total, F.col(by) == F.col("k_"), "left").withColumn(name, F.when(F.col("e_") > 0, F.col("e_") / F.col("sum_")).otherwise(0.0)).drop("k_", "e_", "sum_")
+    sums = staged(exponential_sums(rows.where(there), [by], F.col(eta)).withColumnRenamed(by, "k_"), "risk-sets")
+    few = sums.count() <= FEW
+    joined = rows.join(F.broadcast(sums) if few else sums, F.col(by) == F.col("k_"), "left")
+    return joined.withColumn(name, F.when(there & F.col("sum_").isNotNull(), F.exp(F.col(eta) - F.col("shift_")) / F.col("sum_")).otherwise(0.0)).drop("k_", "shift_", "sum_")
 
 
 def log_sum_exp(rows: DataFrame, by: list[str], eta: Column, alias: str = "lse") -> DataFrame:
-    """Of all rows of a key, shifted by the key's maximum."""
-    rows = rows.withColumn("eta_", eta)
-    top = rows.groupBy(*by).agg(F.max("eta_").alias("top_"))
-    joined = rows.join(top, by) if by else rows.crossJoin(F.broadcast(top))
-    return joined.groupBy(*by, "top_").agg(F.sum(F.exp(F.col("eta_") - F.col("top_"))).alias("s_")).select(*by, (F.col("top_") + F.log("s_")).alias(alias))
+    """Of all rows of a key, from sums by block."""
+    return exponential_sums(rows, by, eta).select(*by, (F.col("shift_") + F.log("sum_")).alias(alias))
 
 
 def binned_cox_loss(rows: DataFrame) -> DataFrame:
@@ -67,4 +82,4 @@ def running_max(rows: DataFrame, column: str, key: str = "pid", order: str = "ti
 
 def patient_split(rows: DataFrame, key: str = "pid", train_percent: int = 80, seed: int = 0) -> DataFrame:
     """is_train: a split of patients by hash, the same on any partitioning."""
-    return rows.withColumn("is_train", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < train_percent)
+    return rows.withColumn("is_train", dealt(key, 100, f"|{seed}") < train_percent)

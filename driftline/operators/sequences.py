@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.trajectory import gather, padded
+from ..functions.trajectory import dealt, gather, padded
 from .asof import asof
 from .binning import bin_grid, event_targets, treated_at, treatment_start
 
@@ -83,15 +83,15 @@ def pad_batches(samples: DataFrame, batch_size: int, arrays: dict[str, str]) ->
     ``batch_size`` to a batch.
     """
     n = max(1, -(-samples.count() // batch_size))
-    dealt = samples.withColumn("batch_id", F.pmod(F.xxhash64("pid"), F.lit(n)))
+    rows = samples.withColumn("batch_id", dealt("pid", n))
     for c, kind in arrays.items():
         longest = F.max(F.size(c)).over(Window.partitionBy("batch_id"))
         width = F.max(F.coalesce(F.size(F.get(c, F.lit(0))), F.lit(0))).over(Window.partitionBy("batch_id")) if kind == "nested" else None
         fill = F.array_repeat(F.lit(0.0), F.col("width_")) if kind == "nested" else F.lit(-1) if kind == "index" else F.lit(0.0)
-        dealt = dealt.withColumn("longest_", longest)
-        dealt = dealt.withColumn("width_", width) if width is not None else dealt
-        dealt = dealt.withColumn(c, padded(F.col(c), F.col("longest_"), fill)).drop("longest_", "width_")
-    return dealt
+        rows = rows.withColumn("longest_", longest)
+        rows = rows.withColumn("width_", width) if width is not None else rows
+        rows = rows.withColumn(c, padded(F.col(c), F.col("longest_"), fill)).drop("longest_", "width_")
+    return rows
 
 
 def embedding_rows(rows: DataFrame, vectors: str, width: int, key: str = "pid", prefix: str = "h", first: int = 1) -> DataFrame:

@@ -173,6 +173,13 @@ RAW = {
     "w3_event_targets": "SELECT * FROM w3",
     "w4_trailing_statistics": "SELECT DISTINCT pid, feature_name, " + ", ".join(f"{r(c)} AS {c}" for c in ("time", "mean", "sd", "tmin", "tmax", "slope")) + ", n FROM win WHERE n >= 6",
     "w5_riskset_softmax": f"SELECT pid, bin_idx, {r('eta')} AS eta, at_risk, {fine('CASE WHEN at_risk > 0 THEN exp(eta) / sum(exp(eta)) FILTER (WHERE at_risk > 0) OVER (PARTITION BY bin_idx) ELSE 0.0 END')} AS ps FROM sb",
+    "w7_batch_padding": f"""SELECT pid, batch_id, longest::INT AS n_time, longest::INT AS n_std, longest::INT AS n_index, (unseen + longest - n_agg)::INT AS n_filled, sum_time, {r('sum_std')} AS sum_std,
+        (sum_idx - (longest - n_agg))::BIGINT AS sum_index FROM (SELECT *, max(n_agg) OVER (PARTITION BY batch_id) AS longest FROM (
+          SELECT g.*, i.sum_idx, i.unseen, coalesce(h.sum_std, 0.0) AS sum_std, (('0x' || substr(md5(g.pid), 1, 8))::BIGINT % ceil(count(*) OVER () / 32.0)::BIGINT)::INT AS batch_id
+          FROM (SELECT pid, count(*) AS n_agg, sum("start") AS sum_time FROM grid GROUP BY pid) g
+          JOIN (SELECT pid, sum(idx) AS sum_idx, count(*) FILTER (WHERE idx = -1) AS unseen FROM idxm GROUP BY pid) i USING (pid)
+          LEFT JOIN (SELECT pid, sum(v) AS sum_std FROM held WHERE feature_name IN ('purchase', 'Med_error') GROUP BY pid) h USING (pid)))""",
+    "p11_patient_split": "SELECT pid, ('0x' || substr(md5(pid || '|0'), 1, 8))::BIGINT % 100 < 80 AS is_train FROM sta",
     "w6_row_index": f"SELECT pid, {r('time')} AS time, (row_number() OVER (PARTITION BY pid ORDER BY time) - 1)::INT AS t_idx FROM (SELECT DISTINCT pid, time FROM dyn)",
     "w8_latest": f"SELECT pid, {r('time')} AS time, feature_name, value FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY time DESC, feature_name DESC, value DESC) AS k FROM dyn) WHERE k = 1",
     "o1_ordering": f"SELECT pid, {r('dyn.time')} AS time, value FROM dyn WHERE feature_name = 'view' ORDER BY pid, dyn.time, value",

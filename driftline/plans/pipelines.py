@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.trajectory import Classifier, decline_flags
 from ..operators import binning, cox, design, riskset, sequences, summaries
+from ..session import staged
 
 STATIC = ["age", "sex", "cci", "Tmax"]
 
@@ -100,6 +101,7 @@ class PosteriorPropensity(CoxPropensity):
         return summaries.trajectory_probabilities(long_labs(dynamic, self.labs), self.config, self.classifier, **self.thresholds)
 
     def aligned(self, embedded: DataFrame, bins: DataFrame) -> DataFrame:
+        embedded = staged(embedded, "embedded")  # each lab reads it
         return design.align_by_lab(bins, {lab: embedded.where(F.col("lab") == lab).drop("lab") for lab in self.labs})
 
 

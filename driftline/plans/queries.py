@@ -352,7 +352,7 @@ def j13(spark, d):
 def j14(spark, d):
     first = binning.treatment_start(dyn(spark, d)).where("t_start is not null").select(F.col("t_start").alias("event_time"))
     own = sta(spark, d).select("pid", F.lit(0.0).alias("start"), F.col("Tmax").alias("stop"))
-    return design.at_risk_intervals(own, first).groupBy(r("event_time").alias("event_time")).agg(F.count("*").alias("n_risk"))
+    return design.risk_counts(own, first).groupBy(r("event_time").alias("event_time")).agg(F.sum("n_risk").alias("n_risk"))
 
 
 @query("j15_time_attach")
@@ -504,8 +504,11 @@ def w6(spark, d):
 @query("w7_batch_padding")
 def w7(spark, d):
     kinds = {"agg_time": "flat", "STD_agg": "nested", "idx_map": "index"}
-    rows = sequences.pad_batches(kept(samples(spark, d).select("pid", *kinds), "samples"), 32, kinds)
-    return rows.groupBy("batch_id").agg(F.min(F.size("agg_time")).alias("shortest"), F.max(F.size("agg_time")).alias("longest"), F.min(F.size("idx_map")).alias("short_index"))
+    made = sequences.pad_batches(kept(samples(spark, d).select("pid", *kinds), "samples"), 32, kinds)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    sizes = [F.size(c).alias(n) for c, n in (("agg_time", "n_time"), ("STD_agg", "n_std"), ("idx_map", "n_index"))]
+    fill = F.size(F.filter("idx_map", lambda x: x == -1)).alias("n_filled")
+    return made.select("pid", "batch_id", *sizes, fill, total("agg_time").alias("sum_time"), r(total(F.flatten("STD_agg"))).alias("sum_std"), total(F.transform("idx_map", lambda x: x.cast("double"))).cast("long").alias("sum_index"))
 
 
 @query("w8_latest")

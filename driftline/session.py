@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
-#: Rows of an Arrow batch at most: whole texts go to Python tasks, and a batch is held several times over.
-BATCH_ROWS = 2_000
+#: Rows and bytes of an Arrow batch at most: whole texts go to Python tasks, and a batch is held several times over.
+BATCH_ROWS, BATCH_BYTES = 2_000, 32 << 20
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session, and bound the session's Arrow batches to BATCH_ROWS."""
+    """Send this package to the executors, once a session, and bound the session's Arrow batches to BATCH_ROWS and BATCH_BYTES."""
     context = spark.sparkContext
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if context.applicationId in _shipped:
         return
     here = Path(__file__).parent
@@ -46,3 +50,22 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="driftline-")
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: lineage ends there, and no executor's loss matters."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _paths[made] = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -220,4 +220,4 @@ def test_posterior_queries_take_the_default_draws(spark):
     assert queries.POSTERIOR.draws == summaries.PosteriorConfig().draws == 4_000
     for made in (queries.m1, queries.m2):
         counts = {r["draws"] for r in made(spark, "/root/testdata/sf0.001").collect()}
-        assert counts == {400}
+        assert counts == {4_000}
