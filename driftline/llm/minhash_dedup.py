@@ -36,12 +36,12 @@ from .common import as_bytes, bounds, discard, free_name, grouped, looked_up, ma
 from .components import components
 
 #: Minwise tokens; trees, and those of them that go first; levels that are made at once; sets of a node that are compared exhaustively.
-TOKENS, TREES, FIRST_TREES, LEVELS, NODE = 128, 10, 2, 2, 512
+TOKENS, TREES, FIRST_TREES, LEVELS, NODE = 128, 10, 2, 2, 256
 #: A large node branches on while its pairs across components are fewer than these shares of its parent's: of any node, and of one
 #: that has at most WHOLE sets, so that comparing them in full costs less than further levels would.
 STUCK, STUCK_WHOLE, WHOLE = 0.8, 0.5, 16_384
 #: Pivots of a block; sets that two blocks of a large node make up together, in nodes' sizes.
-PIVOTS, CROSSED = 8, 2
+PIVOTS, CROSSED = 8, 1
 #: Least similarity in percent, and standard deviations of the estimate below it that are still compared.
 PERCENT, DEVIATIONS = 80, 4.5
 
@@ -296,46 +296,55 @@ def clusters(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return found
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of a few sets."""
-    if len(sets) == 2:
+def intersections(sets: list[np.ndarray], asked: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of some of a few sets (a row each) with all of them."""
+    if len(sets) == 2 and len(asked) == 2:
         n = len(np.intersect1d(*sets, assume_unique=True))
         return np.array([[len(sets[0]), n], [n, len(sets[1])]])
     values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    if len(asked) < len(sets):  # what no asked set holds is in no intersection
+        wanted = np.unique(np.concatenate([sets[i] for i in asked]))
+        there = wanted[np.searchsorted(wanted, values).clip(0, len(wanted) - 1)] == values
+        values, owner = values[there], owner[there]
     _, column, times = np.unique(values, return_inverse=True, return_counts=True)
     shared = times[column] > 1
     column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    out = np.zeros((len(sets), len(sets)))
+    out = np.zeros((len(asked), len(sets)))
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, 16384):
         lo, hi = np.searchsorted(column, [at, at + 16384])
         there = np.zeros((len(sets), 16384), np.float32)
         there[owner[lo:hi], column[lo:hi] - at] = 1
-        out += there @ there.T
+        out += there[asked] @ there.T
+    out[np.arange(len(asked)), asked] = [len(sets[i]) for i in asked]
     return out.astype(np.int64)
 
 
 def links(found: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """(u, v): edges that connect the sets of each cluster (cluster, rep) as far as confirmed links do; ``whole``: rep, hashes."""
+    """(u, v): edges that connect the components in each cluster (cluster, rep, root) as far as confirmed links do.
+
+    ``whole``: rep, hashes. Only sets outside the cluster's largest component are compared, with all of it.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(batches, "cluster"):
-            rep, ends, u, v = part.column("rep").to_numpy(), bounds(part.column("cluster").to_numpy()), [], []
+            roots, ends, u, v = part.column("root").to_numpy(), bounds(part.column("cluster").to_numpy()), [], []
             hashes = part.column("hashes")
             for lo, hi in zip(ends[:-1], ends[1:]):
                 held = [np.frombuffer(x.as_py(), np.uint64) for x in hashes.slice(lo, hi - lo)]
-                both = intersections(held)
+                kinds, root, times = np.unique(roots[lo:hi], return_inverse=True, return_counts=True)
+                asked = np.flatnonzero(root != times.argmax()) if len(kinds) < hi - lo else np.arange(hi - lo)
+                both = intersections(held, asked)
                 n = np.array([len(s) for s in held])
-                linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-                label = roots_of(hi - lo, np.argwhere(np.triu(linked, 1)))
-                for i in np.flatnonzero(label != np.arange(hi - lo)):
-                    u.append(rep[lo + i])
-                    v.append(rep[lo + label[i]])
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    held = found.join(whole, "rep").select("cluster", "rep", "hashes").repartition("cluster").sortWithinPartitions("cluster")
+                linked = np.argwhere(100 * both >= percent * (n[asked, None] + n[None, :] - both))
+                label = roots_of(len(kinds), np.unique(np.column_stack([root[asked[linked[:, 0]]], root[linked[:, 1]]]), axis=0))
+                moved = np.flatnonzero(label != np.arange(len(kinds)))
+                u.append(kinds[moved])
+                v.append(kinds[label[moved]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+    held = found.join(whole, "rep").select("cluster", "root", "hashes").repartition("cluster").sortWithinPartitions("cluster")
     return held.mapInArrow(rows, "u long, v long")
 
 
@@ -352,14 +361,14 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def undecided(found: DataFrame, done: DataFrame) -> DataFrame:
-    """Rows of ``found`` (cluster, rep) in clusters that hold more than one component of ``done``."""
-    labelled = found.join(done.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("cluster", F.coalesce("root", "rep").alias("root"))
+    """cluster, rep, root of ``found`` (cluster, rep) in clusters that hold more than one component of ``done``."""
+    labelled = found.join(done.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("cluster", "rep", F.coalesce("root", "rep").alias("root"))
     open_ = labelled.groupBy(F.col("cluster").alias("of")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("of")
-    return found.join(open_, F.col("cluster") == F.col("of"), "left_semi")
+    return labelled.join(open_, F.col("cluster") == F.col("of"), "left_semi")
 
 
 def joined_by(found: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Stored edges of the clusters ``found`` (cluster, rep; a stored table)."""
+    """Stored edges of the clusters ``found`` (cluster, rep, root; a stored table)."""
     whole = full_sets(docs, found, k)
     return staged(links(found, whole, percent), "links")
 
@@ -372,7 +381,7 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT, trees: int = TREES,
     narrow = staged(base.drop("tokens"), "documents")
     discard(base)
     first = clusters(first_leaves(sets.withColumn("root", F.col("rep")), range(min(FIRST_TREES, trees)), node), sets)
-    edges = joined_by(first, docs, k, percent)
+    edges = joined_by(first.withColumn("root", F.col("rep")), docs, k, percent)
     done = components(edges)
     discard(first, edges)
     known = done.select(F.col("u").alias("of"), F.col("v").alias("known"))
