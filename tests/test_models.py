@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import splines
-from driftline.operators import cohort, cox, evaluate, riskset, sequences, summaries
+from driftline.operators import cohort, cox, design, evaluate, ranks, riskset, sequences, summaries
 from driftline.plans import pipelines
 from driftline.sources import tables
 
@@ -176,12 +176,62 @@ def test_encoder_step_by_step(spark):
 
 def test_rhat_and_ess():
     rng = np.random.default_rng(6)
-    rhat, ess = evaluate.chain_statistics(rng.normal(size=(4, 500)))
+    of = lambda x: evaluate.chain_statistics(np.full(len(x), x.shape[1]), x.mean(1), x.var(1, ddof=1), [evaluate.autocovariance(c) for c in x])
+    rhat, ess = of(rng.normal(size=(4, 500)))
     assert abs(rhat - 1) < 0.02 and 1200 < ess < 2600
     apart = rng.normal(size=(4, 500)) + np.arange(4)[:, None] * 3
-    assert evaluate.chain_statistics(apart)[0] > 2
+    assert of(apart)[0] > 2
     slow = np.cumsum(rng.normal(size=(4, 500)), 1)
-    assert evaluate.chain_statistics(slow)[1] < 100
+    assert of(slow)[1] < 100
+
+
+def test_diagnostics_use_all_draws_of_unequal_chains(spark):
+    """Against ranks and moments by numpy; the same in one range of values and in many; each draw counts."""
+    from statistics import NormalDist
+
+    rng = np.random.default_rng(12)
+    rows = [("a", c, i, float(np.round(rng.normal() + 0.3 * c, 1))) for c, n in enumerate((40, 61, 25)) for i in range(n)]
+    df = spark.createDataFrame(rows, "param string, chain int, draw int, value double")
+    one, many = evaluate.trace_diagnostics(df).first(), evaluate.trace_diagnostics(df, few=5).first()
+    assert one["rhat"] == pytest.approx(many["rhat"]) and one["ess_bulk"] == pytest.approx(many["ess_bulk"])
+    halves = []
+    for c, n in enumerate((40, 61, 25)):
+        v = [r[3] for r in rows if r[1] == c]
+        halves += [v[: n // 2], v[n - n // 2 :]]
+
+    def scores(parts):
+        flat = np.concatenate(parts)
+        z = [NormalDist().inv_cdf(((flat < x).sum() + ((flat == x).sum() + 1) / 2 - 0.375) / (len(flat) + 0.25)) for x in flat]
+        return np.split(np.array(z), np.cumsum([len(p) for p in parts])[:-1])
+
+    def rhat(parts):
+        n = np.mean([len(p) for p in parts])
+        within, between = np.mean([np.var(p, ddof=1) for p in parts]), np.var([np.mean(p) for p in parts], ddof=1)
+        return np.sqrt(((n - 1) / n * within + between) / within)
+
+    middle = np.median(np.concatenate(halves))
+    assert one["rhat"] == pytest.approx(max(rhat(scores(halves)), rhat(scores([np.abs(np.array(p) - middle) for p in halves]))))
+
+
+@pytest.mark.parametrize("few", [100_000, 20])
+def test_orders_over_ranges(spark, few):
+    """Concordance at continuous times, risk counts and medians against plain loops, in one range of values and in many."""
+    rng = np.random.default_rng(13)
+    rows = [(float(rng.uniform(0, 9)) if i % 3 else float(rng.integers(0, 9)), float(np.round(rng.normal(), 1)), int(rng.uniform() < 0.4)) for i in range(150)]
+    df = spark.createDataFrame(rows, "stop double, ps double, treatment int")
+    found = evaluate.concordance(df, few=few).first()
+    pairs = [(a, b) for a in rows for b in rows if a[2] and (b[0] > a[0] or (b[0] == a[0] and not b[2]))]
+    assert (found["comparable"], found["concordant"], found["tied"]) == (len(pairs), sum(b[1] > a[1] for a, b in pairs), sum(b[1] == a[1] for a, b in pairs))
+    spans = [(float(a), float(a + rng.integers(0, 5))) for a in rng.integers(0, 20, 80)]
+    times = sorted({float(x) for x in rng.integers(0, 25, 12)} | {3.5, 7.25})
+    counts = design.risk_counts(spark.createDataFrame(spans, "start double, stop double"), spark.createDataFrame([(t,) for t in times], "event_time double"), few=few).collect()
+    expect = {t: sum(a < t <= b for a, b in spans) for t in times}
+    assert {r["event_time"]: r["n_risk"] for r in counts} == {t: n for t, n in expect.items() if n}
+    values = [*rng.lognormal(0, 8, 101).tolist(), None, float("nan"), -1e300, 1e300]
+    both = spark.createDataFrame([(v, None if v is None else v * 2, None) for v in values[:-1]], "a double, b double, c double")
+    known = [v for v in values[:-1] if v is not None and v == v]
+    made = ranks.medians(both, ["a", "b", "c"])
+    assert made["a"] == np.median(known) and made["b"] == 2 * np.median(known) and made["c"] is None
 
 
 def test_mixed_model_recovers_effects(spark):
