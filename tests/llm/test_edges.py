@@ -395,6 +395,12 @@ def test_kneser_ney_against_dictionaries():
         assert row[:2] == pytest.approx(plain_kneser_ney(words, counts.tolist(), w), rel=1e-4) and row[2] == len(w) + 1
 
 
+def test_shared_counts_cover_all_texts(edge, edge_rows):
+    words = ["one", "two", "same", "日本語", "nowhere", ""]
+    expect = [sum(w in (t or "").lower().split() for _, t, *_ in edge_rows) for w in words]
+    assert toxicity.corpus_counts(edge, words).tolist() == expect and expect[0] == 5 and expect[4:] == [0, 0]
+
+
 def test_forest_against_plain_paths():
     import numpy as np
 
