@@ -6,7 +6,7 @@ fits get the model's verdict: character n-grams of host and path, hashed, weighe
 ``pyspark.ml`` trains on a small labelled URL table. All of it runs in Spark's JVM.
 
 The table that comes with this module (``labelled_urls``) was written for it: names of junk sites (pills, casinos, loans, link
-farms) and of ordinary ones, each with a few paths. Any table (host, path, blocked) can take its place.
+farms) and of ordinary ones, made of some fifty words each by a rule, with a few paths. Any table (host, path, blocked) can take its place.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no rule, and the verdict that the model
 gives to the empty text. Rows with one URL get one verdict. Without labelled URLs of both kinds all unruled URLs are
@@ -30,39 +30,42 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 #: n-gram lengths, hash buckets, and the bound on labelled rows of either kind.
 GRAMS, BUCKETS, MAX_LABELLED = (3, 4, 5), 1 << 16, 5_000
 #: Labelled URLs of a name.
-PER_NAME = 6
+PER_NAME = 4
 
 
-#: Names before the domain: blocked, allowed. Written for this module.
-JUNK_NAMES = """
-cheap-pills pills-online buy-viagra discount-meds pharma-deals rx-outlet diet-pills-now miracle-cure weight-loss-tricks free-casino
-casino-bonus online-poker-win slots-jackpot lucky-spins betting-tips lottery-winner sports-bets-now roulette-cash easy-loans payday-cash
-quick-credit debt-relief-now get-rich-fast earn-from-home crypto-doubler forex-profits free-money spam-farm link-farm seo-links-cheap
-click-bait-hub traffic-exchange backlink-shop autoblog-spam content-scraper adult-cams hot-singles xxx-videos sexy-chat nude-pics
-replica-watches fake-rolex cheap-handbags outlet-shoes-sale free-iphone gift-card-win survey-rewards prize-claim free-download-crack
-keygen-warez torrent-movies-hd serial-keys hacked-accounts phishing-login verify-bank-account
+#: Words of names before the domain: blocked, allowed. Written for this module.
+JUNK_WORDS = """
+cheap free online casino poker slots bets win prize lottery jackpot pills viagra meds pharma diet cure loans payday cash credit money crypto
+forex profits rich seo links backlink spam farm clickbait traffic adult cams singles porn sexy replica rolex handbags outlet discount deals
+bonus giveaway survey rewards crack keygen warez torrent serial hacked phishing scraper
 """.split()
-PLAIN_NAMES = """
-library museum gardening weather recipes history travel science physics chemistry biology geology mathematics astronomy archive journal
-news press magazine radio orchestra theatre cinema painting sculpture poetry literature languages dictionary encyclopedia school college
-university hospital clinic council parliament ministry court police railway harbour airport transit cycling hiking sailing football tennis
-chess software kernel compiler database networks security research institute laboratory observatory village township county region
-themer thonler anering tholand ertinde heran sterling rhonda ithaner thunder
+PLAIN_WORDS = """
+library museum garden weather recipes history travel science physics chemistry biology geology maths astronomy archive journal news press
+radio orchestra theatre cinema painting sculpture poetry language dictionary school college university hospital clinic council parliament
+court railway harbour airport transit cycling hiking sailing football tennis chess software kernel compiler database network research
+observatory village county region
 """.split()
 FRONTS = ("", "www.", "blog.", "m.")
 DOMAINS = ("example.com", "example.org", "example.net", "site.com", "pages.org", "web.net")
-JUNK_PATHS = ("/buy-now", "/offer/{n}", "/win?", "/click/{n}.html", "/en/{n}", "/de/{n}/", "/fr/{n}", "/es/{n}.html", "/{n}", "/")
+JUNK_PATHS = ("/buy-now", "/offer/{n}", "/win", "/click/{n}.html", "/en/{n}", "/de/{n}/", "/fr/{n}", "/es/{n}.html", "/{n}", "/")
 PLAIN_PATHS = ("/about", "/article/{n}", "/papers/{n}", "/index.html", "/en/{n}", "/de/{n}/", "/fr/{n}", "/es/{n}.html", "/{n}", "/")
 
 
+def names_of(words: list[str]) -> list[str]:
+    """Each word alone, with a hyphen before another, and joined to a third."""
+    n = len(words)
+    pairs = ((w, words[(5 * i + 1) % n], words[(11 * i + 3) % n]) for i, w in enumerate(words))
+    return [name for w, a, b in pairs for name in (w, f"{w}-{a}", f"{w}{b}")]
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """host, path, blocked, name: the names above, each with ``PER_NAME`` combinations of what stands before and behind it."""
+    """host, path, blocked, name: names of either kind, each with ``PER_NAME`` combinations of what stands before and behind it."""
     rows = []
-    for blocked, names, paths in ((1, JUNK_NAMES, JUNK_PATHS), (0, PLAIN_NAMES, PLAIN_PATHS)):
-        for i, name in enumerate(names):
+    for blocked, words, paths in ((1, JUNK_WORDS, JUNK_PATHS), (0, PLAIN_WORDS, PLAIN_PATHS)):
+        for i, name in enumerate(names_of(words)):
             for k in range(PER_NAME):
                 path = paths[(i + 3 * k) % len(paths)].format(n=(37 * i + 101 * k) % 1000)
-                rows.append((f"{FRONTS[(i + k) % len(FRONTS)]}{name}.{DOMAINS[(i + 5 * k) % len(DOMAINS)]}", path.rstrip("?"), blocked, name))
+                rows.append((f"{FRONTS[(i + k) % len(FRONTS)]}{name}.{DOMAINS[(i + 5 * k) % len(DOMAINS)]}", path, blocked, name))
     return spark.createDataFrame(rows, "host string, path string, blocked int, name string").coalesce(1)
 
 

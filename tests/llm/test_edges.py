@@ -213,7 +213,7 @@ def test_url_model_learns(spark):
 def test_url_model_on_held_out_names(spark):
     """Names that the model has not seen: no URL of theirs is learned from."""
     rows = url_filters.labelled_urls(spark).toPandas()
-    held = {n for names in (url_filters.JUNK_NAMES, url_filters.PLAIN_NAMES) for n in names[::4]}
+    held = {n for words in (url_filters.JUNK_WORDS, url_filters.PLAIN_WORDS) for n in url_filters.names_of(words)[::4]}
     labelled = spark.createDataFrame(rows[~rows["name"].isin(held)])
     new = rows[rows["name"].isin(held)].reset_index(drop=True)
     pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(zip(new["host"], new["path"]))], "page_id long, url string")
