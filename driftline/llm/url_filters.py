@@ -6,7 +6,7 @@ fits get the model's verdict: character n-grams of host and path, hashed, weighe
 ``pyspark.ml`` trains on a small labelled URL table. All of it runs in Spark's JVM.
 
 The table that comes with this module (``labelled_urls``) was written for it: names of junk sites (pills, casinos, loans, link
-farms) and of ordinary ones, made of some fifty words each by a rule, with a few paths. Any table (host, path, blocked) can take its place.
+farms) and of ordinary ones, made of some fifty words each (the ordinary ones of letters too) by a rule, with a few paths. Any table (host, path, blocked) can take its place.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no rule, and the verdict that the model
 gives to the empty text. Rows with one URL get one verdict. Without labelled URLs of both kinds all unruled URLs are
@@ -45,6 +45,8 @@ radio orchestra theatre cinema painting sculpture poetry language dictionary sch
 court railway harbour airport transit cycling hiking sailing football tennis chess software kernel compiler database network research
 observatory village county region
 """.split()
+#: Frequent pairs of letters in English: most names are no words, and that alone is nothing bad.
+PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 FRONTS = ("", "www.", "blog.", "m.")
 DOMAINS = ("example.com", "example.org", "example.net", "site.com", "pages.org", "web.net")
 JUNK_PATHS = ("/buy-now", "/offer/{n}", "/win", "/click/{n}.html", "/en/{n}", "/de/{n}/", "/fr/{n}", "/es/{n}.html", "/{n}", "/")
@@ -60,9 +62,10 @@ def names_of(words: list[str]) -> list[str]:
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """host, path, blocked, name: names of either kind, each with ``PER_NAME`` combinations of what stands before and behind it."""
-    rows = []
-    for blocked, words, paths in ((1, JUNK_WORDS, JUNK_PATHS), (0, PLAIN_WORDS, PLAIN_PATHS)):
-        for i, name in enumerate(names_of(words)):
+    rows, n = [], len(PAIRS)
+    letters = [PAIRS[i % n] + "".join(PAIRS[(i * step + i // n) % n] for step in (3, 7, 1)[: 1 + i % 3]) for i in range(6 * n)]
+    for blocked, names, paths in ((1, names_of(JUNK_WORDS), JUNK_PATHS), (0, names_of(PLAIN_WORDS), PLAIN_PATHS), (0, letters, PLAIN_PATHS)):
+        for i, name in enumerate(names):
             for k in range(PER_NAME):
                 path = paths[(i + 3 * k) % len(paths)].format(n=(37 * i + 101 * k) % 1000)
                 rows.append((f"{FRONTS[(i + k) % len(FRONTS)]}{name}.{DOMAINS[(i + 5 * k) % len(DOMAINS)]}", path, blocked, name))
