@@ -44,7 +44,7 @@ WITH d AS (
 ), r AS (
   SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS times FROM g), (SELECT unnest(range(5)) AS j) WHERE times > 1 GROUP BY doc_id
 ), s AS (
-  SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+  SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
 )
 SELECT d.doc_id, len(l)::BIGINT AS n_words, length(array_to_string(l, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
@@ -64,15 +64,17 @@ def test_token_counts_bytes_are_sqls(spark):
     assert spark_rows(rows) == sql_rows(connect(SF), "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents")
 
 
-@pytest.mark.parametrize(("sf", "recall", "precision"), [(SF, 0.6, 0.8), ("/root/testdata/sf0.01", 0.6, 0.9), ("/root/testdata/sf0.1", 0.85, 0.93)])
-def test_toxicity_by_scale(spark, sf, recall, precision):
-    """Of all labelled rows, and of rows that are held out; few labels must not make clean rows toxic."""
+@pytest.mark.parametrize(("sf", "recall"), [(SF, 0.8), ("/root/testdata/sf0.01", 0.8), ("/root/testdata/sf0.1", 0.88)])
+def test_toxicity_by_scale(spark, sf, recall):
+    """Few labels must not make clean rows toxic: at most 3 % of them, labelled or held out, and no flood among all rows."""
     rows = QUERIES["op1_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").toPandas()
     known = rows[rows["toxic"].notna()]
+    assert known["predicted"][known["toxic"] == 1].mean() >= recall
     for some in (known, known[known["held_out"]]):
-        hit = int(((some["predicted"] == 1) & (some["toxic"] == 1)).sum())
-        assert hit >= recall * (some["toxic"] == 1).sum() and hit >= precision * (some["predicted"] == 1).sum()
-    assert rows["predicted"].mean() < 1.6 * known["toxic"].mean()
+        assert some["predicted"][some["toxic"] == 0].mean() <= 0.03
+    assert rows["predicted"].mean() < 1.3 * known["toxic"].mean()
+    held = known[known["held_out"] & (known["toxic"] == 1)]
+    assert len(held) < 50 or held["predicted"].mean() >= 0.8
 
 
 def test_url_verdicts(spark):
