@@ -1,4 +1,7 @@
-"""The shape flags of ``functions.trajectory`` over many numpy curves at once. No Spark here."""
+"""The shape flags of ``functions.trajectory`` over many numpy curves at once. No Spark here.
+
+Slopes lie along the last axis but one, draws along the last.
+"""
 
 from __future__ import annotations
 
@@ -7,34 +10,38 @@ import numpy as np
 
 def halves_apart(s: np.ndarray) -> np.ndarray:
     """Distance between the means of the lower and the upper half of the sorted slopes; of a single one less than any."""
-    half = s.shape[-1] // 2
+    n = s.shape[-2]
+    half = n // 2
     if not half:
-        return np.full(s.shape[:-1], -np.inf)
-    ordered = np.sort(s, -1)
-    return np.abs(ordered[..., :half].mean(-1) - ordered[..., half:].mean(-1))
+        return np.full((*s.shape[:-2], s.shape[-1]), -np.inf)
+    lower = np.sort(np.ascontiguousarray(np.swapaxes(s, -1, -2)), -1)[..., :half].sum(-1)
+    return np.abs(lower / half - (s.sum(-2) - lower) / (n - half))
+
+
+def share(hit: np.ndarray) -> np.ndarray:
+    return hit.sum(-2, dtype=np.int16) / hit.shape[-2]
 
 
 def decline(s: np.ndarray, flat: float = -1.0, decline: float = -2.0, gap: float = 3.0) -> dict[str, np.ndarray]:
-    """Of slopes (last axis)."""
     return {
-        "prolonged_nonprogression": ((s >= decline).mean(-1) >= 0.8) & (s.mean(-1) >= flat),
-        "linear_decline": (s < decline).mean(-1) >= 0.8,
+        "prolonged_nonprogression": (share(s >= decline) >= 0.8) & (s.mean(-2) >= flat),
+        "linear_decline": share(s < decline) >= 0.8,
         "nonlinear": halves_apart(s) > gap,
     }
 
 
 def increase(s: np.ndarray, flat: float = 0.5, decline: float = 1.0, gap: float = 2.0) -> dict[str, np.ndarray]:
     return {
-        "prolonged_nonprogression": ((s <= decline).mean(-1) >= 0.8) & (s.mean(-1) <= flat),
-        "linear_decline": (s > decline).mean(-1) >= 0.8,
+        "prolonged_nonprogression": (share(s <= decline) >= 0.8) & (s.mean(-2) <= flat),
+        "linear_decline": share(s > decline) >= 0.8,
         "nonlinear": halves_apart(s) > gap,
     }
 
 
 def four_class(s: np.ndarray, flat: float = -0.3, decline: float = -1.5, gap: float = 1.0, aging: float = -0.5) -> dict[str, np.ndarray]:
     return {
-        "prolonged_nonprogression": ((s >= aging).mean(-1) >= 0.8) & (s.mean(-1) >= flat),
-        "slow_linear_decline": ((s >= decline) & (s < aging)).mean(-1) >= 0.8,
-        "fast_linear_decline": (s < decline).mean(-1) >= 0.8,
+        "prolonged_nonprogression": (share(s >= aging) >= 0.8) & (s.mean(-2) >= flat),
+        "slow_linear_decline": share((s >= decline) & (s < aging)) >= 0.8,
+        "fast_linear_decline": share(s < decline) >= 0.8,
         "nonlinear": halves_apart(s) > gap,
     }

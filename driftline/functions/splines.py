@@ -120,23 +120,38 @@ def effective_df(df: int, n: int) -> int:
 
 @dataclass
 class Posterior:
-    """Draws of curves on a grid and of sigma, in the fit's units."""
+    """Draws of curves on a grid (a row each) and of sigma, in the fit's units."""
 
     curves: np.ndarray
     sigma: np.ndarray
 
 
+@dataclass
+class Posteriors:
+    """Draws for some curves at once: coefficients (curve, function, draw), functions on the grids (curve, place, function), sigma (curve, draw)."""
+
+    beta: np.ndarray
+    at: np.ndarray
+    sigma: np.ndarray
+
+    @property
+    def curves(self) -> np.ndarray:
+        """curve, draw, place."""
+        return np.swapaxes(self.at @ self.beta, 1, 2)
+
+
 def spline_posterior(x: np.ndarray, y: np.ndarray, grid: np.ndarray, df: int, draws: int, rng: np.random.Generator) -> Posterior:
     """``spline_posteriors`` of one curve."""
     fit = spline_posteriors(x[None], y[None], grid[None], df, draws, [rng])
     return Posterior(fit.curves[0], fit.sigma[0])
 
 
-def spline_posteriors(x: np.ndarray, y: np.ndarray, grid: np.ndarray, df: int, draws: int, rngs: list[np.random.Generator]) -> Posterior:
+def spline_posteriors(x: np.ndarray, y: np.ndarray, grid: np.ndarray, df: int, draws: int, rngs: list[np.random.Generator]) -> Posteriors:
     """Exact draws for y = B b + e with b ~ N(0, 1) and a half-normal sigma; a row of x, y and grid for each curve.
 
     With the singular values of B the likelihood of sigma is known in closed form; sigma is drawn from a grid by its
-    distribution function, and b given sigma is normal in the singular directions. Each curve has its own random numbers.
+    distribution function, and b given sigma is normal in the singular directions, which the coefficients are kept in. Each curve
+    has its own random numbers.
     """
     degree = min(3, df - 1)
     knots = quantile_knots(x, df, degree)
@@ -152,11 +167,14 @@ def spline_posteriors(x: np.ndarray, y: np.ndarray, grid: np.ndarray, df: int, d
     var = s[:, :m, None] ** 2 + sigma**2
     log_p = -(sigma**2) / 2 - 0.5 * (np.log(var).sum(1) + (n - m) * np.log(sigma**2) + (z[:, :, None] ** 2 / var).sum(1) + rest[:, None] / sigma**2) + np.log(sigma)
     weight = np.cumsum(np.exp(log_p - log_p.max(-1, keepdims=True)), -1)
-    drawn, normal = np.empty((len(x), draws)), np.empty((len(x), draws, p))
+    s, zz = (np.pad(v[:, :m], ((0, 0), (0, p - m)))[:, :, None] for v in (s, z))
+    spread = s**2 + sigma**2
+    middle, sd = s * zz / spread, sigma / np.sqrt(spread)  # of each direction, at each sigma of the grid
+    beta, drawn = np.empty((len(x), p, draws)), np.empty((len(x), draws))
     for i, rng in enumerate(rngs):
-        drawn[i] = sigma[np.searchsorted(weight[i], rng.uniform(size=draws) * weight[i, -1]).clip(0, len(sigma) - 1)]
-        rng.standard_normal(out=normal[i])
-    s, zz = (np.pad(v[:, :m], ((0, 0), (0, p - m)))[:, None] for v in (s, z))
-    spread = s**2 + drawn[..., None] ** 2
-    beta = s * zz / spread + drawn[..., None] / np.sqrt(spread) * normal
-    return Posterior(beta @ vt @ np.swapaxes(at, 1, 2), drawn)
+        which = np.searchsorted(weight[i], rng.uniform(size=draws) * weight[i, -1]).clip(0, len(sigma) - 1)
+        drawn[i] = sigma[which]
+        rng.standard_normal(out=beta[i])
+        beta[i] *= sd[i].take(which, 1)
+        beta[i] += middle[i].take(which, 1)
+    return Posteriors(beta, at @ np.swapaxes(vt, 1, 2), drawn)

@@ -52,8 +52,8 @@ class PosteriorConfig:
 CHUNK_VALUES = 1 << 21
 
 
-def posteriors(batch: pa.RecordBatch, c: PosteriorConfig) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of a batch of windows, their grids, and their curves (row, draw, place) in the windows' own units.
+def posteriors(batch: pa.RecordBatch, c: PosteriorConfig) -> Iterator[tuple[np.ndarray, np.ndarray, splines.Posteriors, np.ndarray]]:
+    """Rows of a batch of windows, their grids, and their posteriors in the windows' own units but for the last array, which is to be added.
 
     Windows of as many points and as long a grid are fitted together.
     """
@@ -78,7 +78,8 @@ def posteriors(batch: pa.RecordBatch, c: PosteriorConfig) -> Iterator[tuple[np.n
                 mu, sd, scale, df = np.zeros((len(own), 1)), np.ones((len(own), 1)), 1.0, c.df
             rngs = [seed(patient[i], lab[i], time[i], c.seed) for i in own]
             fit = splines.spline_posteriors((x - lo) / scale, (y - mu) / sd, (grid - lo) / scale, df, c.draws, rngs)
-            yield own, grid, fit.curves * sd[:, :, None] + mu[:, :, None]
+            fit.at *= sd[:, :, None]
+            yield own, grid, fit, mu
 
 
 def listed(values: np.ndarray) -> pa.ListArray:
@@ -91,7 +92,8 @@ def posterior_curves(long: DataFrame, config: PosteriorConfig) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, grid, curves in posteriors(batch, config):
+            for own, grid, fit, mu in posteriors(batch, config):
+                curves = fit.curves + mu[:, :, None]
                 at = pa.array(np.repeat(own, config.draws))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).take(at) for k in KEYS), pa.array(np.tile(np.arange(config.draws, dtype=np.int32), len(own))), listed(np.repeat(grid, config.draws, 0)), listed(curves.reshape(-1, curves.shape[-1]))],
@@ -106,7 +108,8 @@ def posterior_summaries(long: DataFrame, config: PosteriorConfig) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, grid, curves in posteriors(batch, config):
+            for own, grid, fit, mu in posteriors(batch, config):
+                curves = fit.curves + mu[:, :, None]
                 keys = [batch.column(k).take(pa.array(own)) for k in KEYS]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(own), config.draws, np.int64)), listed(grid), listed(curves.mean(1)), listed(curves.std(1))], [*KEYS, "draws", "grid", "mean", "sd"])
 
@@ -128,14 +131,14 @@ def trajectory_probabilities(long: DataFrame, config: PosteriorConfig, classifie
     if classifier not in SHAPES:
         return posterior_frequencies(posterior_curves(long, config), classifier, **thresholds)
     shape = SHAPES[classifier]
-    names = list(shape(np.zeros((1, 1)), **thresholds))
+    names = list(shape(np.zeros((1, 1, 1)), **thresholds))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, grid, curves in posteriors(batch, config):
-                apart = np.diff(grid, axis=1)[:, None]
+            for own, grid, fit, _ in posteriors(batch, config):
+                apart = np.diff(grid, axis=1)[:, :, None]
                 known = apart[:, 0, 0] > 0  # slopes over no time count for nothing
-                flags = shape(np.diff(curves, axis=2) / np.where(apart > 0, apart, 1.0), **thresholds)
+                flags = shape((np.diff(fit.at, axis=1) / np.where(apart > 0, apart, 1.0)) @ fit.beta, **thresholds)
                 shares = [pa.array(np.where(known, flags[x].mean(1), 0.0)) for x in names]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(own)) for k in KEYS), *shares], [*KEYS, *(f"traj_prob_{x}" for x in names)])
 
