@@ -7,8 +7,8 @@ from driftline.plans.oracles import ORACLE
 from driftline.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-#: Those without SQL.
-RUN = sorted(set(QUERIES) - set(ORACLE))
+#: Of those without SQL the ones that fit no model over many passes; ``test_models`` has the fits.
+RUN = "ag11_rhat ag12_ess m1_spline_posterior m2_spline_posterior_plain m3_trajectory_probabilities m8_block_pca m16_time_logistic".split()
 
 
 @pytest.fixture(scope="module")
