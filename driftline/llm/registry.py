@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash_dedup, piece_sampling, quality_classifier, quality_rules, source_mix, token_counts, toxicity, url_filters, warc
+from . import exact_dedup, lexical_search, minhash_dedup, neighbour_graph, piece_sampling, quality_classifier, quality_rules, source_mix, token_counts, toxicity, url_filters, warc, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sentencepiece": piece_sampling.op8_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_neighbour_graph": neighbour_graph.op11_neighbour_graph,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE = {
@@ -22,4 +25,5 @@ ORACLE = {
     "op4_minhash_neardup": minhash_dedup.SQL,
     "op7_warc": warc.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op12_lexical_search": lexical_search.SQL,
 }
