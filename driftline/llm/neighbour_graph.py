@@ -37,7 +37,7 @@ ORDERS, SIGNS, CHUNK, DEAL = 6, 30, 512, 16
 #: Rounds at most, and the share of list places whose change keeps them going.
 ROUNDS, CHANGE = 12, 0.02
 #: A query's pool, how many of it are expanded at once, and the sampled nodes that a query may start from.
-POOL, EXPAND, ENTRIES = 200, 40, 256
+POOL, EXPAND, ENTRIES = 200, 64, 256
 #: Queries whose vectors are broadcast at once.
 BLOCK = 1 << 16
 TOP = 5
@@ -103,37 +103,51 @@ def nearest_in(ids: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids if k else ids[:0]), *lists], ["node", "vs", "sims"])
 
 
-def first_neighbours(nodes: DataFrame, order: int, n: int, degree: int) -> DataFrame:
-    """node, vs, sims from chunks of the nodes in one order: by random signs, or (order 0) dealt by hash."""
-    size = CHUNK if order else DEAL
+def first_neighbours(nodes: DataFrame, n: int, degree: int) -> DataFrame:
+    """node, vs, sims from chunks of the nodes in several orders at once: by random signs, and (order 0) dealt by hash."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = halves(batch.column("unit").to_pylist())
+            if not batch.num_rows:
+                continue
+            x, node = halves(batch.column("unit").to_pylist()), batch.column("node").to_numpy().astype(np.uint64)
+            with np.errstate(over="ignore"):
+                mixed = (node + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int32)), pa.array(((mixed ^ mixed >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(2)).astype(np.int64)), batch.column("node"), batch.column("unit")], ["turn", "code", "node", "unit"])
+            for order in range(1, ORDERS + 1):
                 signs = x @ np.random.default_rng(order).standard_normal((x.shape[1], SIGNS)).astype(np.float32) > 0
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("unit"), pa.array(signs @ (1 << np.arange(SIGNS, dtype=np.int64)))], ["node", "unit", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), order, np.int32)), pa.array(signs @ (1 << np.arange(SIGNS, dtype=np.int64))), batch.column("node"), batch.column("unit")], ["turn", "code", "node", "unit"])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        units: list[bytes] = []
-        done = 0
-        for batch in batches:
-            ids += batch.column("node").to_pylist()
-            units += batch.column("unit").to_pylist()
-            while len(ids) - done >= size:
-                yield nearest_in(np.array(ids[done : done + size]), halves(units[done : done + size]), degree)
-                done += size
-            ids, units, done = ids[max(0, done - size) :], units[max(0, done - size) :], min(done, size)
-        if done < len(ids):  # the rest, with some of the chunk before
-            ids, units = ids[-size:], units[-size:]
-            yield nearest_in(np.array(ids), halves(units), degree)
-
-    coded = nodes.select("node", "unit").mapInArrow(codes, "node long, unit binary, code long") if order else nodes.select("node", "unit", F.xxhash64("node").alias("code"))
-    dealt = coded.repartitionByRange(max(1, n // (64 * CHUNK)), "code").sortWithinPartitions("code", "node")
+        for part in runs(batches):
+            order, ids, units = part.column("turn")[0].as_py(), part.column("node").to_numpy(), part.column("unit").to_pylist()
+            size = CHUNK if order else DEAL
+            starts = list(range(0, max(1, len(ids) - size + 1), size))
+            if starts[-1] + size < len(ids):  # the rest, with some of the chunk before
+                starts.append(len(ids) - size)
+            for at in starts:
+                yield nearest_in(ids[at : at + size], halves(units[at : at + size]), degree // 2 if order else degree)
+
+    coded = nodes.select("node", "unit").mapInArrow(codes, "turn int, code long, node long, unit binary")
+    dealt = coded.repartitionByRange(max(1, (ORDERS + 1) * n // (16 * CHUNK)), "turn", "code").sortWithinPartitions("turn", "code", "node")
     return dealt.mapInArrow(chunks, "node long, vs array<long>, sims array<float>")
 
 
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one order in a row, 32 chunks at most at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        ends = np.flatnonzero(np.diff(batch.column("turn").to_numpy())) + 1 if batch.num_rows else []
+        for at, end in zip([0, *ends], [*ends, batch.num_rows]):
+            part = batch.slice(at, end - at)
+            if held and (not part.num_rows or held[-1].column("turn")[0] != part.column("turn")[0] or sum(x.num_rows for x in held) >= 32 * CHUNK):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held += [part] if part.num_rows else []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def rank_in_runs(keys: np.ndarray) -> np.ndarray:
     """Places within runs of equal keys, from 0."""
     starts = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
@@ -250,10 +264,7 @@ def build(rows: DataFrame, degree: int = DEGREE, sample: int = SAMPLE, rounds: i
     n = nodes.count()
     empty = [F.array().cast(f"array<{k}>").alias(c) for c, k in (("vs", "long"), ("sims", "float"), ("fresh", "boolean"), ("pick", "byte"))]
     bare = nodes.select("node", "unit", *empty)
-    first = first_neighbours(nodes, 0, n, degree)
-    for order in range(1, ORDERS + 1):
-        first = first.unionByName(first_neighbours(nodes, order, n, degree // 2))
-    graph, done = merged(bare, first, degree, sample, 0), 0
+    graph, done = merged(bare, first_neighbours(nodes, n, degree), degree, sample, 0), 0
     for turn in range(1, rounds + 1):
         now = merged(graph, offers(graph, degree, sample, turn), degree, sample, turn)
         discard(graph)
@@ -309,17 +320,25 @@ def pools(index: Index, queries: DataFrame, pool: int = POOL, expand: int = EXPA
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = units.value
-        x = halves(x)
+        x, held = halves(x), []
+
+        def offered() -> pa.RecordBatch:
+            q, v, sims = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(q, kind="stable")
+            own, lists = nested(q[order], [v[order], sims[order], np.zeros(len(q), bool)], [pa.int64(), pa.float32(), pa.bool_()])
+            return pa.RecordBatch.from_arrays([pa.array(own), *lists], ["q", "vs", "sims", "done"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = batch.column("q").to_numpy()
-            sims = np.einsum("ij,ij->i", x[np.searchsorted(ids, q)], halves(batch.column("unit").to_pylist()))
-            keep = np.flatnonzero(sims > batch.column("worst").to_numpy())
-            if len(keep):
-                order = keep[np.argsort(q[keep], kind="stable")]
-                own, lists = nested(q[order], [batch.column("node").to_numpy()[order], sims[order], np.zeros(len(order), bool)], [pa.int64(), pa.float32(), pa.bool_()])
-                yield pa.RecordBatch.from_arrays([pa.array(own), *lists], ["q", "vs", "sims", "done"])
+            if batch.num_rows:
+                q = batch.column("q").to_numpy()
+                sims = np.einsum("ij,ij->i", x[np.searchsorted(ids, q)], halves(batch.column("unit").to_pylist()))
+                keep = sims > batch.column("worst").to_numpy()
+                held.append((q[keep], batch.column("node").to_numpy()[keep], sims[keep]))
+            if sum(len(h[0]) for h in held[-256:]) >= 1 << 18 or len(held) >= 256:
+                yield offered()
+                held = []
+        if held:
+            yield offered()
 
     lists = "q long, vs array<long>, sims array<float>, done array<boolean>"
     state = advanced(queries.select("q", "unit", "node").mapInArrow(begin, lists), pool, expand)
