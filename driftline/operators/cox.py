@@ -1,7 +1,7 @@
 """Hazard models fitted by Newton steps whose sums Spark makes.
 
 A step is one pass over the persisted design: each partition adds up small records per risk set in numpy, these are
-summed by risk set, and the driver sees sums of the size of the coefficients alone.
+summed by risk set, tasks turn risk sets into terms of the likelihood, and the driver sees sums of the size of the coefficients.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.trajectory import linear_predictor, sigmoid
+from ..session import discard, staged
+from .ranks import FEW, running_sum
 
 
 @dataclass
@@ -83,32 +85,188 @@ def partial_sums(design: DataFrame, columns: list[str], event: str, group: str,
     return made.groupBy(group).agg(*(F.sum(n).alias(n) for n in names))
 
 
+#: The smallest factors of a falling product that are taken one by one; the rest is in closed form.
+DIRECT = 16
+
+
+def falling_sums(top: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over k < n of log(top - k), 1 / (top - k) and 1 / (top - k) ** 2, for top >= n: in time that does not grow with n.
+
+    Differences of log-gamma, digamma and trigamma, by their asymptotic series from DIRECT + 1 on, written so that large
+    arguments do not cancel.
+    """
+    least, few = top - n + 1, np.minimum(n, DIRECT)
+    logs, first, second = (np.zeros(len(top)) for _ in range(3))
+    for j in range(DIRECT):
+        on = few > j
+        x = least[on] + j
+        logs[on] += np.log(x)
+        first[on] += 1 / x
+        second[on] += 1 / x**2
+    on = n > DIRECT
+    x, y = least[on] + DIRECT, top[on] + 1
+    gap, inverse, other = n[on] - DIRECT, 1 / x, 1 / y
+    apart = lambda k: other**k - inverse**k
+    logs[on] += (x - 0.5) * np.log1p(gap / x) + gap * np.log(y) - gap + apart(1) / 12 - apart(3) / 360 + apart(5) / 1260 - apart(7) / 1680
+    first[on] += np.log1p(gap / x) - apart(1) / 2 - apart(2) / 12 + apart(4) / 120 - apart(6) / 252 + apart(8) / 240
+    second[on] += gap * inverse * other - apart(2) / 2 - apart(3) / 6 + apart(5) / 30 - apart(7) / 42 + apart(9) / 30
+    return logs, first, second
+
+
+def risk_set_terms(deaths: np.ndarray, risk: list[np.ndarray], dead: list[np.ndarray], ties: str) -> tuple[float, np.ndarray, np.ndarray]:
+    """What risk sets take from the log likelihood, the score and the information; moments of order 0, 1 and 2 of all rows and of deaths.
+
+    Efron's d terms divide by s0 - k / d * d0 for k < d, which is d0 / d times a falling product's factor, so that all sums over k are
+    closed; Breslow's are d equal ones.
+    """
+    s0, s1, s2 = risk
+    d0, d1, d2 = dead
+    d = np.rint(deaths)
+    outer = lambda a, b: np.einsum("ni,nj->nij", a, b)
+    if ties != "efron":
+        m = s1 / s0[:, None]
+        return float((d * np.log(s0)).sum()), (d[:, None] * m).sum(0), (d[:, None, None] * (s2 / s0[:, None, None] - outer(m, m))).sum(0)
+    logs, r1, r2 = falling_sums(np.maximum(d * s0 / d0, d), d)
+    unit = d / d0
+    logs, r1, r2 = logs - d * np.log(unit), r1 * unit, r2 * unit**2
+    # sums of phi / a, phi / a ** 2 and phi ** 2 / a ** 2, as phi = (s0 - a) / d0
+    f1, f2, f3 = (s0 * r1 - d) / d0, (s0 * r2 - r1) / d0, (s0 * (s0 * r2 - 2 * r1) + d) / d0**2
+    cross = outer(s1, d1)
+    square = outer(s1, s1) * r2[:, None, None] - (cross + cross.transpose(0, 2, 1)) * f2[:, None, None] + outer(d1, d1) * f3[:, None, None]
+    return float(logs.sum()), (s1 * r1[:, None] - d1 * f1[:, None]).sum(0), (s2 * r1[:, None, None] - d2 * f1[:, None, None] - square).sum(0)
+
+
 def efron(sums: DataFrame, p: int, ties: str = "efron") -> tuple[float, np.ndarray, np.ndarray]:
-    """Log partial likelihood, score and information from sums per risk set (bins: one row each)."""
-    rows = sums.where("deaths > 0").toPandas()
+    """Log partial likelihood, score and information from sums per risk set. Tasks add up risk sets; the driver sees one row."""
     upper = np.triu_indices(p)
+    names = ["ll", *(f"u_{i}" for i in range(p)), *(f"i_{k}" for k in range(len(upper[0])))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            take = lambda names: np.column_stack([batch.column(c).to_numpy() for c in names])
+
+            def unpack(prefix: str) -> list[np.ndarray]:
+                m = take([f"{prefix}{c}" for c in moments(p)])
+                square = np.zeros((len(m), p, p))
+                square[:, upper[0], upper[1]] = m[:, 1 + p :]
+                square[:, upper[1], upper[0]] = m[:, 1 + p :]
+                return [m[:, 0], m[:, 1 : 1 + p], square]
+
+            ll, score, info = risk_set_terms(batch.column("deaths").to_numpy(), unpack(""), unpack("d_"), ties)
+            row = np.concatenate([[batch.column("eta").to_numpy().sum() - ll], take([f"x_{i}" for i in range(p)]).sum(0) - score, info[upper]])
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names)
+
+    total = sums.where("deaths > 0").mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n) for n in names)).first()
+    row = np.array([v or 0.0 for v in total])
+    info = np.zeros((p, p))
+    info[upper] = row[1 + p :]
+    return float(row[0]), row[1 : 1 + p], info + np.triu(info, 1).T
 
-    def unpack(prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        s = rows[[f"{prefix}{m}" for m in moments(p)]].to_numpy()
-        square = np.zeros((len(s), p, p))
-        square[:, upper[0], upper[1]] = s[:, 1 + p :]
-        square[:, upper[1], upper[0]] = s[:, 1 + p :]
-        return s[:, 0], s[:, 1 : 1 + p], square
-
-    s0, s1, s2 = unpack("")
-    d0, d1, d2 = unpack("d_")
-    ll, score, info = float(rows["eta"].sum()), rows[[f"x_{i}" for i in range(p)]].to_numpy().sum(0), np.zeros((p, p))
-    deaths = rows["deaths"].to_numpy().round().astype(int)
-    for k in range(deaths.max(initial=0)):
-        on = deaths > k
-        phi = (k / deaths[on] if ties == "efron" else np.zeros(on.sum()))[:, None]
-        a0 = s0[on] - phi[:, 0] * d0[on]
-        m1 = (s1[on] - phi * d1[on]) / a0[:, None]
-        m2 = (s2[on] - phi[..., None] * d2[on]) / a0[:, None, None]
-        ll -= np.log(a0).sum()
-        score = score - m1.sum(0)
-        info += (m2 - m1[:, :, None] * m1[:, None, :]).sum(0)
-    return ll, score, info
+
+#: Levels of the tree of event times that one group of ``interval_sums`` holds: its rows are at most some 2 ** LEVELS times three.
+LEVELS = 12
+
+
+def event_index(rows: DataFrame, start: str, stop: str, event: str) -> tuple[DataFrame, int]:
+    """``rows`` with ``lo_`` and ``hi_``, the first and last place of an event time in (start, stop], and how many event times there are.
+
+    Rows whose interval is empty, unknown or holds no event time are left out. Places come from running sums by ranges of values.
+    """
+    known = rows.where((F.col(start) < F.col(stop)) & ~F.isnan(F.col(start).cast("double")) & ~F.isnan(F.col(stop).cast("double")))
+    ends = known.select(F.explode(F.array(F.struct(F.col(start).cast("double").alias("t_"), F.lit(0).alias("e_")), F.struct(F.col(stop).cast("double").alias("t_"), (F.col(event) > 0).cast("int").alias("e_")))).alias("p_"))
+    times = staged(ends.groupBy(F.col("p_.t_").alias("t_")).agg(F.max(F.coalesce("p_.e_", F.lit(0))).alias("e_")), "event-times")
+    n = times.agg(F.sum("e_")).first()[0] or 0
+    few = times.count() <= FEW
+    places = staged(running_sum(times, "t_", "e_", "before_").select("t_", (F.col("before_") + F.col("e_")).cast("long").alias("upto_")), "event-places")
+    discard(times)
+    for column, name in ((start, "lo_"), (stop, "hi_")):
+        side = places.select(F.col("t_").alias(f"at_{name}"), F.col("upto_").alias(name))
+        known = known.join(F.broadcast(side) if few else side, F.col(column).cast("double") == F.col(f"at_{name}")).drop(f"at_{name}")
+    return known.withColumn("hi_", F.col("hi_") - 1).where("lo_ <= hi_"), int(n)
+
+
+def interval_sums(held: DataFrame, columns: list[str], event: str, n: int, beta: np.ndarray, centre: np.ndarray, scale: np.ndarray, levels: int = LEVELS) -> tuple[DataFrame, list[DataFrame]]:
+    """As ``partial_sums``, and the stored tables that it reads, for rows at risk from event place ``lo_`` to ``hi_`` of ``n``: a row for each event time.
+
+    A row counts in the few nodes of a binary tree over the places that make up its span, so nothing is listed once an event time and
+    no sum is taken from another. An event time's risk set is the sum of the nodes above it, which groups of ``levels`` levels
+    add up, from the root down.
+    """
+    p = len(columns)
+    upper = np.triu_indices(p)
+    names = ["deaths", "eta", *(f"x_{i}" for i in range(p)), *moments(p)]
+    schema = "level int, node long, " + ", ".join(f"{m} double" for m in names)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = (np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns]) - centre) / scale
+            d = batch.column(event).to_numpy(zero_copy_only=False).astype(float)
+            eta = np.clip(x @ beta, -500, 500)
+            w = np.exp(eta)
+            weighed = np.column_stack([w, w[:, None] * x, w[:, None] * x[:, upper[0]] * x[:, upper[1]]])
+            low, high = batch.column("lo_").to_numpy(), batch.column("hi_").to_numpy() + 1
+            dead = np.flatnonzero(d > 0)
+            parts = [(-1, high[dead] - 1, np.column_stack([d, d * eta, d[:, None] * x, d[:, None] * weighed])[dead])]
+            plain = np.column_stack([np.zeros((len(x), 2 + p)), weighed])
+            level = 0
+            while (low < high).any():
+                odd = (low < high) & (low & 1 == 1)
+                parts.append((level, low[odd], plain[odd]))
+                low = low + odd
+                odd = (low < high) & (high & 1 == 1)
+                high = high - odd
+                parts.append((level, high[odd], plain[odd]))
+                low, high, level = low >> 1, high >> 1, level + 1
+            for level, node, rows in parts:
+                if len(node):
+                    kinds, back = np.unique(node, return_inverse=True)
+                    total = np.zeros((len(kinds), rows.shape[1]))
+                    np.add.at(total, back, rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), level, np.int32)), pa.array(kinds), *(pa.array(c) for c in total.T)], ["level", "node", *names])
+
+    nodes = held.select("lo_", "hi_", F.col(event).cast("double").alias(event), *columns).mapInArrow(spread, schema).groupBy("level", "node").agg(*(F.sum(m).alias(m) for m in names))
+    depth, stored = max(1, (n - 1).bit_length() + 1), []
+    if depth > levels:  # several groups of levels read them
+        nodes = staged(nodes, "risk-nodes")
+        stored.append(nodes)
+    sums = moments(p)
+    last = [*names[: 2 + p], *sums, *(f"d_{m}" for m in sums)]
+
+    def gather(low: int, out: list[str]):
+        def run(table: pa.Table) -> pa.Table:
+            level, node = table.column("level").to_numpy(), table.column("node").to_numpy()
+            values = np.column_stack([table.column(c).to_numpy() for c in names])
+            asked = np.flatnonzero(level == -1)
+            at, total = node[asked], np.zeros((len(asked), len(sums)))
+            for k in np.unique(level[level >= 0]):
+                own = np.flatnonzero(level == k)
+                own = own[np.argsort(node[own])]
+                place = np.searchsorted(node[own], at >> (int(k) - low)).clip(0, len(own) - 1)
+                hit = node[own[place]] == at >> (int(k) - low)
+                total[hit] += values[own[place[hit]], 2 + p :]
+            made = {**dict(zip(names[: 2 + p], values[asked, : 2 + p].T)), **dict(zip(sums, total.T)), **{f"d_{m}": c for m, c in zip(sums, values[asked, 2 + p :].T)}}
+            return pa.table([pa.array(at), *(pa.array(made[c]) for c in out)], ["node", *out])
+
+        return run
+
+    base = None
+    for low in range((depth - 1) // levels * levels, -1, -levels):
+        top = low + levels
+        own = nodes.where((F.col("level") >= low) & (F.col("level") < top)).withColumn("range_", F.expr(f"shiftright(node, {top} - level)"))
+        asked = nodes.where("level = -1")
+        if low:
+            asked = asked.select(F.lit(-1).alias("level"), F.shiftright("node", low).alias("node")).distinct().select("*", *(F.lit(0.0).alias(m) for m in names))
+        rows = own.unionByName(asked.withColumn("range_", F.shiftright("node", levels)))
+        if base is not None:
+            rows = rows.unionByName(base.select(F.lit(top).alias("level"), "node", *(F.lit(0.0).alias(m) for m in names[: 2 + p]), *sums, F.col("node").alias("range_")))
+        out = sums if low else last
+        made = rows.groupBy("range_").applyInArrow(gather(low, out), "node long, " + ", ".join(f"{c} double" for c in out))
+        base = made
+    return base.withColumnRenamed("node", "place"), stored
 
 
 def column_moments(design: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,14 +277,33 @@ def column_moments(design: DataFrame, columns: list[str]) -> tuple[np.ndarray, n
     return mean, np.where(sd > 1e-12, sd, 1.0)
 
 
-def fit_cox(design: DataFrame, columns: list[str], event: str = "treatment", group: str = "bin_idx", ties: str = "efron", ridge: float = 1e-6, steps: int = 30, tolerance: float = 1e-7) -> HazardModel:
-    """Time-varying Cox model on rows of aligned bins; a small ridge holds constant and collinear columns."""
-    held = design.select(group, event, *columns).persist(StorageLevel.MEMORY_AND_DISK)
+def fit_cox(
+    design: DataFrame, columns: list[str], event: str = "treatment", group: str | None = "bin_idx", ties: str = "efron", ridge: float = 1e-6, steps: int = 30, tolerance: float = 1e-7, start: str = "start", stop: str = "stop", levels: int = LEVELS
+) -> HazardModel:
+    """Time-varying Cox model; a small ridge holds constant and collinear columns.
+
+    Rows of aligned bins: ``group`` names the bin. General intervals (start, stop]: ``group=None``; a row is at risk at every event
+    time in its interval and has its event at its stop.
+    """
+    if group is None:
+        rows, n = event_index(design.select(start, stop, event, *columns), start, stop, event)
+        held = rows.select("lo_", "hi_", event, *columns).persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        held = design.select(group, event, *columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         mean, sd = column_moments(held, columns)
         p = len(columns)
+
+        def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            if group is None:
+                sums, stored = interval_sums(held, columns, event, n, beta, mean, sd, levels)
+                made = efron(sums, p, ties)
+                discard(*stored)
+                return made
+            return efron(partial_sums(held, columns, event, group, beta, mean, sd), p, ties)
+
         beta = np.zeros(p)
-        now = efron(partial_sums(held, columns, event, group, beta, mean, sd), p, ties)
+        now = at(beta)
         step_no = 0
         for step_no in range(1, steps + 1):
             ll, score, info = now
@@ -134,7 +311,7 @@ def fit_cox(design: DataFrame, columns: list[str], event: str = "treatment", gro
             part = 1.0
             while True:
                 tried = beta + part * move
-                made = efron(partial_sums(held, columns, event, group, tried, mean, sd), p, ties)
+                made = at(tried)
                 if made[0] - ridge / 2 * tried @ tried >= ll - ridge / 2 * beta @ beta - 1e-9 or part < 1e-4:
                     break
                 part /= 2

@@ -39,6 +39,73 @@ def test_cox_maximises_the_partial_likelihood(spark, ties):
         assert partial_likelihood(x, d, k, fit.beta + step, ties) <= best + 1e-9
 
 
+def interval_likelihood(x, start, stop, d, beta, ties):
+    ll = 0.0
+    w = np.exp(x @ beta)
+    for t in np.unique(stop[d > 0]):
+        at, dead = (start < t) & (t <= stop), (stop == t) & (d > 0)
+        ll += (x[dead] @ beta).sum()
+        for i in range(dead.sum()):
+            ll -= np.log(w[at].sum() - (i / dead.sum() if ties == "efron" else 0) * w[dead].sum())
+    return ll
+
+
+@pytest.mark.parametrize(("ties", "levels", "digits"), [("efron", 12, 1), ("breslow", 2, 6), ("efron", 3, 6)])
+def test_cox_on_general_intervals(spark, ties, levels, digits):
+    """Continuous and tied times, overlapping intervals, none, empty and unknown ones; trees of one and of several groups of levels."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2))
+    start = np.round(rng.uniform(0, 8, 400), digits)
+    stop = np.round(start + rng.exponential(2, 400), digits) + 10.0**-digits
+    d = (rng.uniform(size=400) < 0.4 / (1 + np.exp(-x[:, 0]))).astype(int)
+    rows = [(float(a), float(b), int(e), float(u), float(v)) for a, b, e, (u, v) in zip(start, stop, d, x)]
+    odd = [(3.0, 3.0, 1, 0.1, 0.1), (4.0, 3.0, 1, 0.1, 0.1), (None, 3.0, 1, 0.1, 0.1), (1.0, float("nan"), 0, 0.1, 0.1)]
+    df = spark.createDataFrame(rows + odd, "start double, stop double, treatment int, a double, b double")
+    fit = cox.fit_cox(df, ["a", "b"], group=None, ties=ties, ridge=0.0, levels=levels)
+    best = interval_likelihood(x, start, stop, d, fit.beta, ties)
+    assert fit.log_likelihood == pytest.approx(interval_likelihood(x - fit.mean, start, stop, d, fit.beta, ties), abs=1e-8)
+    for step in itertools.product((-1e-3, 0, 1e-3), repeat=2):
+        assert interval_likelihood(x, start, stop, d, fit.beta + step, ties) <= best + 1e-9
+
+
+def test_cox_on_bins_as_intervals(spark):
+    rng = np.random.default_rng(6)
+    x, k = rng.normal(size=(500, 2)), rng.integers(0, 30, 500)
+    d = (rng.uniform(size=500) < 0.3).astype(int)
+    d[k == 7] = 0
+    df = spark.createDataFrame([(int(b), float(b), float(b + 1), int(e), float(u), float(v)) for b, e, (u, v) in zip(k, d, x)], "bin_idx int, start double, stop double, treatment int, a double, b double")
+    one, other = cox.fit_cox(df, ["a", "b"], ridge=0.0), cox.fit_cox(df.where("bin_idx <> 7"), ["a", "b"], group=None, ridge=0.0, levels=3)
+    assert np.allclose(one.beta, other.beta, atol=1e-8) and np.allclose(one.se, other.se, atol=1e-8)
+    none = cox.fit_cox(df.withColumn("treatment", F.lit(0)), ["a", "b"], group=None)
+    assert np.allclose(none.beta, 0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 15, 16, 17, 40, 5000])
+@pytest.mark.parametrize("factor", [1.0, 1.0000001, 3.7, 1e6, 1e12])
+def test_ties_in_closed_form_are_the_loop(n, factor):
+    top = n * factor
+    k = np.arange(n)
+    logs, first, second = (v[0] for v in cox.falling_sums(np.array([top]), np.array([float(n)])))
+    assert logs == pytest.approx(float(np.log(np.longdouble(top) - k).sum()), rel=1e-12, abs=1e-10)
+    assert first == pytest.approx(float((1 / (np.longdouble(top) - k)).sum()), rel=1e-12)
+    assert second == pytest.approx(float((1 / (np.longdouble(top) - k) ** 2).sum()), rel=1e-12)
+
+
+def test_risk_set_terms_are_the_loops(spark):
+    rng = np.random.default_rng(8)
+    for n, dead in ((30, 1), (50, 7), (400, 333)):
+        x = rng.normal(size=(n, 2))
+        w = np.exp(x @ [0.4, -0.9])
+        m = lambda on: [np.array([w[on].sum()]), (w[on, None] * x[on]).sum(0)[None], np.einsum("n,ni,nj->ij", w[on], x[on], x[on])[None]]
+        risk, died = m(np.arange(n)), m(np.arange(dead))
+        ll, score, info = 0.0, np.zeros(2), np.zeros((2, 2))
+        for k in range(dead):
+            s0, s1, s2 = (a[0] - k / dead * b[0] for a, b in zip(risk, died))
+            ll, score, info = ll + np.log(s0), score + s1 / s0, info + s2 / s0 - np.outer(s1, s1) / s0**2
+        made = cox.risk_set_terms(np.array([float(dead)]), risk, died, "efron")
+        assert made[0] == pytest.approx(ll, rel=1e-10) and np.allclose(made[1], score, rtol=1e-10, atol=1e-10) and np.allclose(made[2], info, rtol=1e-10, atol=1e-9)
+
+
 def test_efron_ties_closed_form(spark):
     df = spark.createDataFrame([(0, 1, 0.0), (0, 1, 1.0), (0, 0, 2.0)], "bin_idx int, treatment int, a double")
     b = 0.3
