@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .asof import asof
 from .ranks import medians
 
@@ -82,8 +83,12 @@ def forward_fill(df: DataFrame, columns: list[str], order: str = "bin_idx") -> D
 
 
 def median_fill(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """Nulls become the column's median; the exact one needs no task that holds a column. ``exact=False`` takes a sketch instead."""
+    """Nulls become the column's median; the exact one needs no task that holds a column. ``exact=False`` takes a sketch instead.
+
+    For exact medians ``df`` is stored, so that what makes it runs once.
+    """
     if exact:
+        df = staged(df, "to-fill")
         found = medians(df, columns)
     else:
         found = df.agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in columns]).first().asDict()

@@ -47,7 +47,8 @@ def running_sum(df: DataFrame, column: str, value: str, name: str, keys: tuple[s
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Exact medians of number columns, null and NaN left out; None where nothing is left.
+    """Exact medians of number columns, null and NaN left out; None where nothing is left. Infinite values count; between both infinities
+    the middle is NaN.
 
     Values are counted once by value. Then histograms of the two middle values' ranges are refined until a bucket holds one value;
     the driver sees ``BUCKETS`` counts for each.
@@ -56,10 +57,16 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     counts = staged(df.select(cells).select("cell.*").where("v is not null and not isnan(v)").groupBy("name", "v").agg(F.count("*").alias("n")), "value-counts")
     found: dict[tuple[str, int], float] = {}
     open_: dict[tuple[str, int], tuple[float, float, int]] = {}
-    totals = {r["name"]: r for r in counts.groupBy("name").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    infinite = F.col("v") == float("inf")
+    finite = F.when(F.abs("v") < float("inf"), F.col("v"))
+    sums = [F.sum("n").alias("n"), F.sum(F.when(F.col("v") == float("-inf"), F.col("n")).otherwise(0)).alias("under"), F.sum(F.when(infinite, F.col("n")).otherwise(0)).alias("over")]
+    totals = {r["name"]: r for r in counts.groupBy("name").agg(*sums, F.min(finite).alias("lo"), F.max(finite).alias("hi")).collect()}
     for c, r in totals.items():
         for rank in {(r["n"] - 1) // 2, r["n"] // 2}:
-            open_[c, rank] = (r["lo"], r["hi"], 0)
+            if rank < r["under"] or rank >= r["n"] - r["over"]:  # infinities are end cells, no range to part
+                found[c, rank] = float("-inf") if rank < r["under"] else float("inf")
+            else:
+                open_[c, rank] = (r["lo"], r["hi"], r["under"])
     while open_:
         asked = counts.sparkSession.createDataFrame([(c, k, lo, hi) for (c, k), (lo, hi, _) in open_.items()], "of_ string, rank_ long, lo_ double, hi_ double")
         inside = counts.join(F.broadcast(asked), (F.col("name") == F.col("of_")) & F.col("v").between(F.col("lo_"), F.col("hi_")))

@@ -50,6 +50,8 @@ PARTS = {
     "w3": "SELECT pid, bin_idx, coalesce(bin_idx = f, false)::DOUBLE AS y_event, coalesce(bin_idx <= f, true)::DOUBLE AS at_risk FROM (SELECT *, min(bin_idx) FILTER (WHERE treatment = 1) OVER (PARTITION BY pid) AS f FROM tgrid)",
     "visit": "SELECT 'C' || o_custkey AS patient_id, datediff('day', DATE '1995-01-01', o_orderdate::DATE) / 365.25::DOUBLE AS time, o_totalprice::DOUBLE / 1000.0::DOUBLE AS lab_value FROM orders",
     "ov": "SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY time) - 1 AS i FROM (SELECT patient_id, time, sum(lab_value) / 100.0::DOUBLE AS y FROM visit GROUP BY patient_id, time)",
+    "iv": 'SELECT * FROM (SELECT lag(time) OVER w AS "start", time AS "stop", (y > 2)::INT AS treatment, lag(y) OVER w AS x0, lag(time) OVER w / 10 AS x1 FROM ov WINDOW w AS (PARTITION BY patient_id ORDER BY time)) WHERE "start" IS NOT NULL',
+    "ivt": 'SELECT "stop" AS t, row_number() OVER (ORDER BY "stop") - 1 AS place, count(*) AS deaths, sum(exp(x0 * 0.3 + x1 * -0.2)) AS d_s0 FROM iv WHERE treatment = 1 GROUP BY "stop"',
     "sl": "SELECT patient_id, i - 1 AS i, (y - y0) / (time - t0) AS slope FROM (SELECT *, lag(y) OVER w AS y0, lag(time) OVER w AS t0 FROM ov WINDOW w AS (PARTITION BY patient_id ORDER BY time)) WHERE i > 0",
     "sv": "SELECT patient_id, list_sort(list(slope)) AS s, len(list(slope)) AS k, len(list(slope)) // 2 AS half FROM sl GROUP BY patient_id HAVING count(*) > 1",
     "emb": "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings",
@@ -196,6 +198,8 @@ RAW = {
     "a12_gather": f"SELECT pid, bin_idx, x0 AS h1, x1 AS h2 FROM ({seen_at('(SELECT * FROM grid)', 'pid, bin_idx', chr(34) + 'start' + chr(34))})",
     "a13_embedding_rows": "SELECT vec_id, i::INT AS t_idx, " + ", ".join(f"{r(f'x[i * 8 + {k}]')} AS h{k}" for k in range(1, 9)) + " FROM (SELECT *, unnest(range(8)) AS i FROM emb)",
     "x1_custom_classifier": flags({"mostly_rising": f"{part_of('x > 0.5')} > 0.5"}),
+    "m9_interval_pass": f"""SELECT place, {r('any_value(deaths)')} AS deaths, {r('sum(exp(x0 * 0.3 + x1 * -0.2))')} AS s0, {r('sum(exp(x0 * 0.3 + x1 * -0.2) * x0)')} AS s1_0, {r('sum(exp(x0 * 0.3 + x1 * -0.2) * x1)')} AS s1_1, {r('any_value(d_s0)')} AS d_s0
+        FROM ivt JOIN iv ON "start" < t AND t <= "stop" GROUP BY place""",
     "m9_cox_pass": f"SELECT bin_idx, {r('sum(treatment)')} AS deaths, {r('sum(exp(eta))')} AS s0, " + ", ".join(f"{r(f'sum(exp(eta) * {c})')} AS s1_{i}" for i, c in enumerate(("purchase", "Med_error", "age", "sex", "cci"))) + " FROM sb GROUP BY bin_idx",
     "m10_cox_score": f"SELECT pid, bin_idx, {r('exp((purchase - 50) * 0.02 + (Med_error - 0.5) * -0.3 + (age - 60) * 0.01 + (sex - 0.5) * 0.2 + (cci - 2.5) * -0.05)')} AS ps FROM sb",
     "k1_counting_process": f'SELECT a.pid, a.bin_idx, "start", "stop", treatment, {r("purchase")} AS purchase, Med_error, coalesce(traj_prob_slope__view, 0.0) AS traj_prob_slope__view, traj_prob_level__view, coalesce(traj_prob_slope__click, 0.0) AS traj_prob_slope__click, traj_prob_level__click, age, sex, cci, Tmax FROM agg a JOIN ali USING (pid, bin_idx) JOIN sta USING (pid)',

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import trajectory as tr
@@ -678,6 +678,27 @@ def m9_fit(spark, d):
     return spark.createDataFrame([(c, float(b), float(s)) for c, b, s in zip(fit.columns, fit.beta, fit.se)], "name string, beta double, se double")
 
 
+def visit_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals between a customer's visits, an event where the later visit is a large one: x0 is the earlier visit's size, x1 its time."""
+    rows = tables.order_visits(spark, d).groupBy("patient_id", "time").agg((F.sum("lab_value") / 100.0).alias("y"))
+    w = Window.partitionBy("patient_id").orderBy("time")
+    made = rows.select(F.lag("time").over(w).alias("start"), F.col("time").alias("stop"), (F.col("y") > 2).cast("int").alias("treatment"), F.lag("y").over(w).alias("x0"), (F.lag("time").over(w) / 10).alias("x1"))
+    return made.where("start is not null")
+
+
+@query("m9_interval_pass")
+def m9_interval_pass(spark, d):
+    rows, n = cox.event_index(visit_intervals(spark, d), "start", "stop", "treatment")
+    sums, _ = cox.interval_sums(rows, ["x0", "x1"], "treatment", n, np.array([0.3, -0.2]), np.zeros(2), np.ones(2), levels=6)
+    return sums.select("place", r("deaths").alias("deaths"), r("s0").alias("s0"), r("s1_0").alias("s1_0"), r("s1_1").alias("s1_1"), r("d_s0").alias("d_s0"))
+
+
+@query("m9_interval_fit")
+def m9_interval_fit(spark, d):
+    fit = cox.fit_cox(visit_intervals(spark, d), ["x0", "x1"], group=None)
+    return spark.createDataFrame([(c, float(b), float(s)) for c, b, s in zip(fit.columns, fit.beta, fit.se)], "name string, beta double, se double")
+
+
 @query("m10_cox_score")
 def m10(spark, d):
     rows = scored_bins(spark, d)

@@ -338,3 +338,12 @@ def test_posterior_queries_take_the_default_draws(spark):
     for made in (queries.m1, queries.m2):
         counts = {r["draws"] for r in made(spark, "/root/testdata/sf0.001").collect()}
         assert counts == {4_000}
+
+
+@pytest.mark.parametrize(
+    ("values", "middle"),
+    [([1.0, 2.0, 3.0, np.inf], 2.5), ([np.inf, np.inf, 1.0], np.inf), ([-np.inf, np.inf], np.nan), ([-np.inf, 1.0, 2.0, 5.0, np.inf], 2.0), ([-np.inf, -np.inf, 3.0, np.nan, None], -np.inf), ([np.inf], np.inf), ([1e308, -1e308, 2.0], 2.0)],
+)
+def test_medians_with_infinite_values(spark, values, middle):
+    found = ranks.medians(spark.createDataFrame([(v,) for v in values], "a double"), ["a"])["a"]
+    assert found == middle or np.isnan(found) and np.isnan(middle)
