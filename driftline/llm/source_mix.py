@@ -83,7 +83,9 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
                 # without a boundary all fits: the threshold goes past this prefix
                 F.coalesce("bound", F.shiftleft(F.col("prefix") + 1, STEP)).alias("prefix"),
             ), "mix-edge")
-    return edge.select(*targets.columns, "full", (F.col("prefix") - 1).alias("threshold"))
+    # where nothing is left, nothing is taken once more, empty documents neither
+    none = (F.col("full") > 0) & (F.col("full") * F.col("source_size") >= F.col("target"))
+    return edge.select(*targets.columns, "full", F.when(none, F.lit(-1)).otherwise(F.col("prefix") - 1).cast("long").alias("threshold"))
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: float = 3.0) -> tuple[DataFrame, DataFrame]:

@@ -119,6 +119,14 @@ def test_mix(edge, edge_rows):
     assert taken.columns == edge.columns and taken.count() == sum(r["copies"] for r in found)
 
 
+def test_no_document_is_taken_a_fourth_time(spark):
+    """A source at its cap has nothing left over, not even for documents without words."""
+    rows = [(i, "" if i % 2 else "a b c", "small") for i in range(60)] + [(100 + i, "w " * 50, "large") for i in range(60)]
+    found = source_mix.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), (1, 100)).collect()
+    assert {r["source"]: r["copies"] for r in found if r["size"] and r["source"] == "small"} == {"small": 3}
+    assert max(r["copies"] for r in found) == 3
+
+
 def test_a_larger_budget_takes_a_superset(edge):
     less = {r["doc_id"]: r["copies"] for r in source_mix.mix_sources(edge, share=0.4).where("doc_id <> 12 and doc_id <> 13").collect()}
     more = {r["doc_id"]: r["copies"] for r in source_mix.mix_sources(edge, share=0.7).where("doc_id <> 12 and doc_id <> 13").collect()}
@@ -435,11 +443,28 @@ def test_quality_scores_against_a_plain_forward_pass(spark, edge, edge_rows, lab
         for at, w in enumerate(words):
             ids, _ = quality_classifier.word_features([w])
             total, n = total + sum(model.weights[i] for i in ids), n + len(ids)
-            if at and w == words[at - 1]:
-                total, n = total + quality_classifier.ECHO_TIMES * model.weights[quality_classifier.ECHO], n + quality_classifier.ECHO_TIMES
+            for k in range(1, 5):
+                if at >= k and w == words[at - k]:
+                    total, n = total + model.weights[quality_classifier.BUCKETS - k], n + 1
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-np.clip(total / n + model.shift, -30, 30))), rel=1e-6)
 
 
+@pytest.mark.parametrize(("sf", "loss"), [("0.001", 0.69), ("0.01", 0.2), ("0.1", 0.06)])
+def test_quality_training_converges(spark, sf, loss):
+    """Bounded weights, held-out log loss, and scores that are no bare 0 or 1, at three scales."""
+    import numpy as np
+
+    d = f"/root/testdata/sf{sf}"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality_classifier.fit(docs, labels, quality_classifier.learnable())
+    assert np.abs(model.weights).max() < 100 and np.isfinite(model.loss)
+    rows = quality_classifier.scored(docs, model).join(labels, "doc_id", "left").withColumn("held", ~quality_classifier.learnable()).toPandas()
+    assert (np.abs(np.log(rows["score"] / (1 - rows["score"]))) > 29).mean() < 0.01
+    held = rows[rows["held"] & rows["quality"].notna()]
+    p = np.where(held["quality"] == 1, held["score"], 1 - held["score"])
+    assert -np.log(p).mean() < loss
+
+
 def test_kneser_ney_models_are_distributions():
     """Probabilities of all continuations of a context add up to no more than one, for the shared and each class's model."""
     import numpy as np
