@@ -114,6 +114,115 @@ def choose_first_good(x: np.ndarray, y: np.ndarray, low: int, high: int, lams: l
     return None, tried
 
 
+@dataclass
+class ChosenFits:
+    """The chosen fit of each window: coefficients (intercept first, 0 beyond the basis), basis size and penalty (0 without a fit), candidates tried."""
+
+    coefficients: np.ndarray
+    n_splines: np.ndarray
+    lam: np.ndarray
+    tried: np.ndarray
+
+    @classmethod
+    def none(cls, windows: int, high: int) -> ChosenFits:
+        return cls(np.zeros((windows, high + 1)), np.zeros(windows, int), np.zeros(windows), np.zeros(windows, int))
+
+    def take(self, rows: np.ndarray, which: np.ndarray, beta: np.ndarray, n_splines: int, lams: list[float]) -> None:
+        """``rows`` have their fit of penalty number ``which`` with ``n_splines`` functions."""
+        self.coefficients[rows] = 0.0
+        self.coefficients[rows, : n_splines + 1] = beta[rows, which]
+        self.n_splines[rows], self.lam[rows] = n_splines, np.array(lams)[which]
+
+
+def penalised_fits(x: np.ndarray, y: np.ndarray, n_splines: int, lams: list[float], degree: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """``penalised_fit`` of many windows of one length and all penalties: coefficients (window, penalty, function), GCV (window, penalty).
+
+    The Gram matrices are made once; coefficients that are not finite, or a basis that is too small, have NaN for both.
+    """
+    w, size = len(x), n_splines + 1
+    if n_splines <= degree:
+        return np.full((w, len(lams), size), np.nan), np.full((w, len(lams)), np.nan)
+    design = np.concatenate([np.ones((*x.shape, 1)), bspline_basis(x, even_knots(n_splines, degree), degree)], -1)
+    difference = np.diff(np.eye(n_splines), 2, axis=0)
+    penalty = np.zeros((len(lams), size, size))
+    penalty[:, 1:, 1:] = np.array(lams)[:, None, None] * (difference.T @ difference) + 1e-6 * np.eye(n_splines)
+    across = np.swapaxes(design, 1, 2)
+    gram, right = across @ design, across @ y[:, :, None]
+    whole = gram[:, None] + penalty
+    try:
+        inverse = np.linalg.inv(whole)
+    except np.linalg.LinAlgError:  # one of them is singular: the others are not its fault
+        inverse = np.full_like(whole, np.nan)
+        for i, j in np.ndindex(w, len(lams)):
+            try:
+                inverse[i, j] = np.linalg.inv(whole[i, j])
+            except np.linalg.LinAlgError:
+                continue
+    beta = (inverse @ right[:, None])[..., 0]
+    edof = np.einsum("wlij,wji->wl", inverse, gram)
+    rss = ((y[:, None] - np.einsum("wni,wli->wln", design, beta)) ** 2).sum(-1)
+    room = x.shape[1] - 1.4 * edof
+    gcv = np.where(room > 0, x.shape[1] * rss / np.where(room > 0, room, 1.0) ** 2, np.inf)
+    fine = np.isfinite(beta).all(-1)
+    return np.where(fine[..., None], beta, np.nan), np.where(fine, gcv, np.nan)
+
+
+def choose_all_by_gcv(x: np.ndarray, y: np.ndarray, low: int, high: int, lams: list[float], degree: int) -> ChosenFits:
+    """``choose_by_gcv`` of windows of one length."""
+    out, least = ChosenFits.none(len(x), high), np.full(len(x), np.nan)
+    for k in candidates(x.shape[1], low, high, degree):
+        beta, gcv = penalised_fits(x, y, k, lams, degree)
+        out.tried += len(lams)
+        for j in range(len(lams)):
+            better = ~np.isnan(gcv[:, j]) & (np.isnan(least) | (gcv[:, j] < least))
+            rows = np.flatnonzero(better)
+            out.take(rows, np.full(len(rows), j), beta, k, lams)
+            least[rows] = gcv[rows, j]
+    return out
+
+
+def choose_all_by_folds(x: np.ndarray, y: np.ndarray, low: int, high: int, lams: list[float], degree: int, folds: int, rngs: list[np.random.Generator]) -> ChosenFits:
+    """``choose_by_folds`` of windows of one length, each dealt by its own random numbers: folds are as large in all of them."""
+    n = x.shape[1]
+    fold = np.stack([rng.permutation(n) % folds for rng in rngs])
+    out, least = ChosenFits.none(len(x), high), np.full(len(x), np.inf)
+    for k in candidates(n, low, high, degree):
+        beta, _ = penalised_fits(x, y, k, lams, degree)
+        error = np.zeros((len(x), len(lams)))
+        for i in range(folds):
+            on = fold == i
+            parts, _ = penalised_fits(x[~on].reshape(len(x), -1), y[~on].reshape(len(x), -1), k, lams, degree)
+            if k > degree:
+                basis = bspline_basis(x[on].reshape(len(x), -1), even_knots(k, degree), degree)
+                made = parts[:, :, :1] + np.einsum("wni,wli->wln", basis, parts[:, :, 1:])
+                error += ((y[on].reshape(len(x), 1, -1) - made) ** 2).sum(-1)
+        error = np.where(np.isnan(error), np.inf, error)
+        out.tried += len(lams)
+        for j in range(len(lams)):
+            rows = np.flatnonzero(~np.isnan(beta[:, j, 0]) & (error[:, j] < least))
+            out.take(rows, np.full(len(rows), j), beta, k, lams)
+            least[rows] = error[rows, j]
+    return out
+
+
+def choose_all_first_good(x: np.ndarray, y: np.ndarray, low: int, high: int, lams: list[float], degree: int) -> ChosenFits:
+    """``choose_first_good`` of windows of one length: smaller bases are fitted only to windows without a fit."""
+    out = ChosenFits.none(len(x), high)
+    left = np.arange(len(x))
+    for k in reversed(candidates(x.shape[1], low, high, degree)):
+        beta, _ = penalised_fits(x[left], y[left], k, lams, degree)
+        good = np.nan_to_num(np.linalg.norm(beta, axis=-1)) > 1e-12
+        some, first = good.any(1), good.argmax(1)
+        out.tried[left] += np.where(some, first + 1, len(lams))
+        wide = np.zeros((len(x), len(lams), k + 1))
+        wide[left] = beta
+        out.take(left[some], first[some], wide, k, lams)
+        left = left[~some]
+        if not len(left):
+            break
+    return out
+
+
 def effective_df(df: int, n: int) -> int:
     return min(df, max(2, n - 1), 8)
 

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,28 +161,45 @@ class GamConfig:
 
 
 def gam_fits(long: DataFrame, config: GamConfig) -> DataFrame:
-    """patient_id, lab, time, coefficients (intercept first), n_splines, lam, fit_success, zero_beta, attempts."""
+    """patient_id, lab, time, coefficients (intercept first), n_splines, lam, fit_success, zero_beta, attempts.
+
+    Windows of as many points are fitted together, all penalties at once.
+    """
     c = config
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                t, v = np.asarray(r.t, float), np.asarray(r.v, float)
-                x, y = (t - t.min()) / max(t.max() - t.min(), 1e-12), (v - v.mean()) / (v.std() or 1.0)
-                if c.mode == "robust":
-                    fit, tried = splines.choose_first_good(x, y, c.low, c.high, c.lams, c.degree)
-                elif c.mode == "folds" and len(x) >= max(c.folds, 5):
-                    fit, tried = splines.choose_by_folds(x, y, c.low, c.high, c.lams, c.degree, c.folds, seed(r.patient_id, r.lab, r.time, c.seed))
-                else:
-                    fit, tried = splines.choose_by_gcv(x, y, c.low, c.high, c.lams, c.degree)
-                good = fit is not None
-                beta = fit.coefficients.tolist() if good else [0.0] * (c.high + 1)
-                out.append((r.patient_id, r.lab, r.time, beta, float(fit.n_splines) if good else None, float(fit.lam) if good else None, float(good), float(not np.any(beta)), float(tried)))
-            yield pd.DataFrame(out, columns=[*KEYS, "coefficients", "n_splines", "lam", "fit_success", "zero_beta", "attempts"])
+    def chosen(x: np.ndarray, y: np.ndarray, keys: list[tuple]) -> splines.ChosenFits:
+        if c.mode == "robust":
+            return splines.choose_all_first_good(x, y, c.low, c.high, c.lams, c.degree)
+        if c.mode == "folds" and x.shape[1] >= max(c.folds, 5):
+            return splines.choose_all_by_folds(x, y, c.low, c.high, c.lams, c.degree, c.folds, [seed(*k, c.seed) for k in keys])
+        return splines.choose_all_by_gcv(x, y, c.low, c.high, c.lams, c.degree)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, v = (batch.column(k) for k in ("t", "v"))
+            lengths = t.value_lengths().to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(lengths)])
+            t, v = (a.flatten().to_numpy(zero_copy_only=False).astype(float) for a in (t, v))
+            for n in np.unique(lengths):
+                alike = np.flatnonzero(lengths == n)
+                step = max(1, CHUNK_VALUES // int(n * (c.high + 1) * len(c.lams)))
+                for k in range(0, len(alike), step):
+                    own = alike[k : k + step]
+                    at = starts[own][:, None] + np.arange(n)
+                    low, sd = t[at].min(1, keepdims=True), v[at].std(1, keepdims=True)
+                    x = (t[at] - low) / np.maximum(t[at].max(1, keepdims=True) - low, 1e-12)
+                    y = (v[at] - v[at].mean(1, keepdims=True)) / np.where(sd == 0, 1.0, sd)
+                    keys = [batch.column(name).take(pa.array(own)) for name in KEYS]
+                    fit = chosen(x, y, list(zip(*(a.to_pylist() for a in keys))))
+                    good = fit.n_splines > 0
+                    size = np.where(good, fit.n_splines, c.high) + 1
+                    values = fit.coefficients[np.arange(c.high + 1) < size[:, None]]
+                    beta = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values))
+                    flags = [pa.array(fit.n_splines.astype(float), mask=~good), pa.array(fit.lam, mask=~good), *(pa.array(a.astype(float)) for a in (good, ~fit.coefficients.any(1), fit.tried))]
+                    yield pa.RecordBatch.from_arrays([*keys, beta, *flags], [*KEYS, "coefficients", "n_splines", "lam", "fit_success", "zero_beta", "attempts"])
 
     schema = "patient_id string, lab string, time double, coefficients array<double>, n_splines double, lam double, fit_success double, zero_beta double, attempts double"
-    return windows(long, c.window, c.min_points).mapInPandas(rows, schema)
+    return windows(long, c.window, c.min_points).mapInArrow(rows, schema)
 
 
 def fitted_anchors(wide: DataFrame, labs: list[str]) -> DataFrame:

@@ -347,3 +347,27 @@ def test_posterior_queries_take_the_default_draws(spark):
 def test_medians_with_infinite_values(spark, values, middle):
     found = ranks.medians(spark.createDataFrame([(v,) for v in values], "a double"), ["a"])["a"]
     assert found == middle or np.isnan(found) and np.isnan(middle)
+
+
+@pytest.mark.parametrize("n", [4, 5, 6, 9, 30])
+def test_batched_fits_are_the_single_ones(n):
+    """Smooth, noisy, constant and repeated points: the same candidate, coefficients and number tried as one window at a time."""
+    rng = np.random.default_rng(n)
+    x = np.sort(rng.uniform(size=(12, n)), 1)
+    x[:, 0], x[:, -1] = 0.0, 1.0
+    x[3, 1:-1] = 0.5
+    y = np.sin(5 * x) + rng.normal(size=x.shape) * np.linspace(0, 1, 12)[:, None]
+    y[4] = 0.0
+    lams = [0.3, 1.0, 3.0]
+    seeds = lambda: [np.random.default_rng(i) for i in range(12)]
+    for many, one in (
+        (splines.choose_all_by_gcv(x, y, 4, 6, lams, 3), lambda i: splines.choose_by_gcv(x[i], y[i], 4, 6, lams, 3)),
+        (splines.choose_all_first_good(x, y, 4, 6, lams, 3), lambda i: splines.choose_first_good(x[i], y[i], 4, 6, lams, 3)),
+        (splines.choose_all_by_folds(x, y, 4, 6, lams, 3, 3, seeds()), lambda i: splines.choose_by_folds(x[i], y[i], 4, 6, lams, 3, 3, seeds()[i])),
+    ):
+        for i in range(12):
+            fit, tried = one(i)
+            assert many.tried[i] == tried and (many.n_splines[i] > 0) == (fit is not None)
+            if fit is not None and i != 4:
+                assert (many.n_splines[i], many.lam[i]) == (fit.n_splines, fit.lam)
+                assert np.allclose(many.coefficients[i, : fit.n_splines + 1], fit.coefficients, atol=1e-6)
