@@ -6,7 +6,6 @@ Everything about one patient sits in one row as arrays; no join is made by posit
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.trajectory import dealt, gather, padded
-from .asof import asof
 from .binning import bin_grid, event_targets, treated_at, treatment_start
 
 
@@ -24,14 +22,29 @@ def union_timeline(dynamic: DataFrame, features: list[str]) -> DataFrame:
 
 
 def feature_values(asked: DataFrame, dynamic: DataFrame, features: list[str], order: str, before_first: str = "zero") -> DataFrame:
-    """pid, ``order``, time and for feature j: x_j, m_j (seen by then), dt_j (time since, 1e-6 at least, null if unseen)."""
-    parts = []
-    for j, f in enumerate(features):
-        own = dynamic.where(F.col("feature_name") == f)
-        hit = asof(asked, own, ["pid"], ["value"], before_first="first" if before_first == "first" else "null")
-        seen = F.col("time_at").isNotNull() & (F.col("time_at") <= F.col("time"))
-        parts.append(hit.select("pid", order, *(["time"] if j == 0 else []), F.coalesce("value", F.lit(0.0)).alias(f"x_{j}"), seen.cast("double").alias(f"m_{j}"), F.when(seen, F.greatest(F.lit(1e-6), F.col("time") - F.col("time_at"))).alias(f"dt_{j}")))
-    return reduce(lambda a, b: a.join(b, ["pid", order]), parts)
+    """pid, ``order``, time and for feature j: x_j, m_j (seen by then), dt_j (time since, 1e-6 at least, null if unseen).
+
+    One union and one shuffle by patient for all features: the window carries each feature's latest row. Of rows of a feature at one time
+    the greatest value counts.
+    """
+    event = F.struct(F.col("time").alias("t"), F.col("value").alias("v"))
+    left = asked.select("pid", F.col("time").alias("at_"), F.lit(1).alias("side_"), F.col(order).alias("order_"), *[F.lit(None).cast("struct<t:double,v:double>").alias(f"e_{j}") for j in range(len(features))])
+    right = dynamic.where(F.col("feature_name").isin(features)).select(
+        "pid", F.col("time").alias("at_"), F.lit(0).alias("side_"), F.lit(None).cast(asked.schema[order].dataType).alias("order_"), *[F.when(F.col("feature_name") == f, event).alias(f"e_{j}") for j, f in enumerate(features)]
+    )
+    value = F.coalesce(*[F.col(f"e_{j}.v") for j in range(len(features))])
+    rows = left.unionByName(right).withColumn("v_", value)
+    sorted_ = Window.partitionBy("pid").orderBy("at_", "side_", "v_")
+    upto, whole = sorted_.rowsBetween(Window.unboundedPreceding, 0), sorted_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hits = {f"h_{j}": F.last(f"e_{j}", ignorenulls=True).over(upto) for j in range(len(features))}
+    if before_first == "first":
+        hits = {h: F.coalesce(c, F.first(f"e_{h[2:]}", ignorenulls=True).over(whole)) for h, c in hits.items()}
+    out = []
+    for j in range(len(features)):
+        t = F.col(f"h_{j}.t")
+        seen = t.isNotNull() & (t <= F.col("at_"))
+        out += [F.coalesce(F.col(f"h_{j}.v"), F.lit(0.0)).alias(f"x_{j}"), seen.cast("double").alias(f"m_{j}"), F.when(seen, F.greatest(F.lit(1e-6), F.col("at_") - t)).alias(f"dt_{j}")]
+    return rows.withColumns(hits).where("side_ = 1").select("pid", F.col("order_").alias(order), F.col("at_").alias("time"), *out)
 
 
 def time_gap(n: int, mode: str = "last_feature") -> Column:

@@ -371,3 +371,22 @@ def test_batched_fits_are_the_single_ones(n):
             if fit is not None and i != 4:
                 assert (many.n_splines[i], many.lam[i]) == (fit.n_splines, fit.lam)
                 assert np.allclose(many.coefficients[i, : fit.n_splines + 1], fit.coefficients, atol=1e-6)
+
+
+def test_one_shuffle_finds_all_features(spark):
+    """Missing features, null values, ties in time, rows before the first measurement; one exchange whatever the number of features."""
+    rows = [("a", 1.0, "f", 3.0), ("a", 1.0, "f", 5.0), ("a", 2.0, "g", None), ("a", 4.0, "f", 1.0), ("b", 3.0, "g", 7.0), ("c", 1.0, "other", 9.0)]
+    dynamic = spark.createDataFrame(rows, "pid string, time double, feature_name string, value double")
+    asked = spark.createDataFrame([(p, t, int(t)) for p in "abcd" for t in (0.0, 1.0, 2.0, 5.0)], "pid string, time double, bin_idx int")
+    for rule in ("zero", "first"):
+        made = sequences.feature_values(asked, dynamic, ["f", "g", "h"], "bin_idx", rule)
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        for r in made.collect():
+            for j, f in enumerate("fgh"):
+                own = sorted((t, v is not None, v) for p, t, n, v in rows if p == r["pid"] and n == f)
+                past = [e for e in own if e[0] <= r["time"]]
+                hit = past[-1] if past else own[0] if own and rule == "first" else None
+                if past == [] and own and rule == "first":
+                    hit = min(own)
+                assert r[f"x_{j}"] == (hit[2] or 0.0 if hit else 0.0) and r[f"m_{j}"] == float(bool(past))
+                assert r[f"dt_{j}"] == (max(1e-6, r["time"] - past[-1][0]) if past else None)
