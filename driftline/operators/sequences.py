@@ -8,8 +8,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
 from ..functions.trajectory import dealt, gather, padded
@@ -118,41 +118,81 @@ def gather_steps(samples: DataFrame, vectors: str, index: str, width: int, name:
     return samples.withColumn(name, F.transform(index, lambda i: gather(F.col(vectors), i, width)))
 
 
-def encoder_weights(inputs: int, hidden: int, seed: int = 0) -> dict[str, np.ndarray]:
-    """Weights of the right shapes, for tests and as a template for trained ones."""
+def encoder_weights(inputs: int, hidden: int, seed: int = 0, light: bool = False) -> dict[str, np.ndarray]:
+    """Weights of the right shapes, for tests and as a template for trained ones. Those of the light recurrence have no ``W_h`` and ``b_h``."""
     rng = np.random.default_rng(seed)
     u = lambda *shape: rng.uniform(-1, 1, shape) / np.sqrt(hidden)
-    return {"W_h": u(hidden, inputs), "b_h": u(hidden), "W_ih": u(3 * hidden, 2 * inputs), "W_hh": u(3 * hidden, hidden), "b_ih": u(3 * hidden), "b_hh": u(3 * hidden)}
+    decay = {} if light else {"W_h": u(hidden, inputs), "b_h": u(hidden)}
+    return {**decay, "W_ih": u(3 * hidden, 2 * inputs + light), "W_hh": u(3 * hidden, hidden), "b_ih": u(3 * hidden), "b_hh": u(3 * hidden)}
 
 
-def encode_sequence(x: np.ndarray, m: np.ndarray, dt: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
-    """States after each step: decay towards an input image by the gap, then a gated update (gates r, z, n)."""
-    hidden = w["b_h"].shape[0]
-    sig = lambda a: 1 / (1 + np.exp(-a))
-    h, out = np.zeros(hidden), np.zeros((len(x), hidden))
-    for k in range(len(x)):
-        seen = m[k] * x[k]
-        decay = np.exp(-np.log1p(np.exp(dt[k].sum())))
-        h = decay * h + (1 - decay) * np.tanh(w["W_h"] @ seen + w["b_h"])
-        a, b = w["W_ih"] @ np.concatenate([seen, m[k]]) + w["b_ih"], w["W_hh"] @ h + w["b_hh"]
-        r, z = sig(a[:hidden] + b[:hidden]), sig(a[hidden : 2 * hidden] + b[hidden : 2 * hidden])
-        n = np.tanh(a[2 * hidden :] + r * b[2 * hidden :])
-        h = (1 - z) * n + z * h
-        out[k] = h
+def hidden_size(weights: dict[str, np.ndarray]) -> int:
+    return weights["W_hh"].shape[1]
+
+
+#: Numbers that padded patients take at once.
+PADDED = 1 << 20
+
+
+def encode_steps(x: np.ndarray, m: np.ndarray, dt: np.ndarray, lengths: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """States after each step of many sequences, which lie end to end in ``x``, ``m`` and ``dt``; a step of all sequences at once.
+
+    With ``W_h`` a state decays by the gap towards an image of the seen values, and gates (r, z, n) run on [seen values, m]; without
+    it, in the light recurrence, gates run on [x, m, gap]. Sequences go longest first, so that those that have ended are the last rows.
+    """
+    hidden = hidden_size(w)
+    sig = lambda a: 0.5 * (1 + np.tanh(a / 2))
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(int)
+    out = np.zeros((len(x), hidden))
+    order = np.argsort(-lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    per = max(1, PADDED // (8 * hidden + 4 * x.shape[1]))
+    for k in range(0, len(order), per):
+        own = order[k : k + per]
+        h = np.zeros((len(own), hidden))
+        for step in range(lengths[own[0]]):
+            live = int(np.searchsorted(-lengths[own], -step))
+            at = starts[own[:live]] + step
+            h = h[:live]
+            if "W_h" in w:
+                seen = m[at] * x[at]
+                decay = np.exp(-np.logaddexp(0, dt[at].sum(1)))[:, None]
+                h = decay * h + (1 - decay) * np.tanh(seen @ w["W_h"].T + w["b_h"])
+                entry = np.concatenate([seen, m[at]], 1)
+            else:
+                entry = np.concatenate([x[at], m[at], dt[at]], 1)
+            a, b = entry @ w["W_ih"].T + w["b_ih"], h @ w["W_hh"].T + w["b_hh"]
+            r, z = sig(a[:, :hidden] + b[:, :hidden]), sig(a[:, hidden : 2 * hidden] + b[:, hidden : 2 * hidden])
+            h = (1 - z) * np.tanh(a[:, 2 * hidden :] + r * b[:, 2 * hidden :]) + z * h
+            out[at] = h
     return out
 
 
-def encode(samples: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
-    """``samples`` with H_raw, a state for each raw step."""
-    held = samples.sparkSession.sparkContext.broadcast(weights)
+def encode_sequence(x: np.ndarray, m: np.ndarray, dt: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """``encode_steps`` of one sequence."""
+    return encode_steps(x, m, dt, np.array([len(x)]), w)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            two = lambda v: np.array([np.asarray(r, float) for r in v]) if len(v) else np.zeros((0, 1))
-            yield pd.DataFrame({"pid": pdf["pid"], "H_raw": [encode_sequence(two(x), two(m), two(d), held.value).tolist() for x, m, d in zip(pdf["X_raw"], pdf["M_raw"], pdf["DT_raw"])]})
 
-    made = samples.select("pid", "X_raw", "M_raw", "DT_raw").mapInPandas(rows, "pid string, H_raw array<array<double>>")
-    return samples.join(made, "pid")
+def encode(samples: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+    """``samples`` with H_raw, a state for each raw step. All columns pass through the map: samples are made once and joined to nothing."""
+    held = samples.sparkSession.sparkContext.broadcast(weights)
+    kept = [c for c in samples.columns if c != "H_raw"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = held.value
+        hidden = hidden_size(w)
+        for batch in batches:
+            lists = [batch.column(c) for c in ("X_raw", "M_raw", "DT_raw")]
+            lengths = lists[0].value_lengths().to_numpy(zero_copy_only=False)
+            total = int(lengths.sum())
+            x, m, dt = (v.flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(total, -1 if total else 1) for v in lists)
+            states = encode_steps(x, m, dt, lengths, w) if total else np.zeros((0, hidden))
+            steps = pa.ListArray.from_arrays(pa.array(np.arange(total + 1) * hidden, pa.int32()), pa.array(states.ravel()))
+            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), steps)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], [*kept, "H_raw"])
+
+    plain = samples.select(*kept)
+    return plain.mapInArrow(rows, T.StructType([*plain.schema.fields, T.StructField("H_raw", T.ArrayType(T.ArrayType(T.DoubleType())))]))
 
 
 def sample_violations(samples: DataFrame, arrays: dict[str, list[str]]) -> DataFrame:

@@ -8,7 +8,7 @@ seeded by patient, lab and anchor: results are the same on any partitioning.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -125,21 +125,44 @@ def posterior_frequencies(curves: DataFrame, classifier: Classifier = decline_fl
 SHAPES = {decline_flags: shapes.decline, increase_flags: shapes.increase, four_class_flags: shapes.four_class}
 
 
-def trajectory_probabilities(long: DataFrame, config: PosteriorConfig, classifier: Classifier = decline_flags, **thresholds: float) -> DataFrame:
-    """traj_prob_<class> of every window of all labs. The known classifiers run where curves are drawn; any other gets the curves."""
-    if classifier not in SHAPES:
+@dataclass
+class CurveClassifier:
+    """Any numpy function of (curves: draw x place, grid, **thresholds) that gives a flag or a probability by draw for each of ``names``."""
+
+    names: list[str]
+    flags: Callable[..., dict[str, np.ndarray]]
+
+
+def trajectory_probabilities(long: DataFrame, config: PosteriorConfig, classifier: Classifier | CurveClassifier = decline_flags, **thresholds: float) -> DataFrame:
+    """traj_prob_<class> of every window of all labs, one row a window.
+
+    The known classifiers and any ``CurveClassifier`` run where curves are drawn; a classifier of columns gets the curves as rows.
+    """
+    if isinstance(classifier, CurveClassifier):
+        names = classifier.names
+
+        def shares(grid: np.ndarray, fit: splines.Posteriors, mu: np.ndarray) -> list[np.ndarray]:
+            made = [classifier.flags(curves + m, g, **thresholds) for curves, m, g in zip(fit.curves, mu, grid)]
+            return [np.array([np.mean(np.asarray(flags[x], float)) for flags in made]) for x in names]
+
+    elif classifier in SHAPES:
+        shape = SHAPES[classifier]
+        names = list(shape(np.zeros((1, 1, 1)), **thresholds))
+
+        def shares(grid: np.ndarray, fit: splines.Posteriors, mu: np.ndarray) -> list[np.ndarray]:
+            apart = np.diff(grid, axis=1)[:, :, None]
+            known = apart[:, 0, 0] > 0  # slopes over no time count for nothing
+            flags = shape((np.diff(fit.at, axis=1) / np.where(apart > 0, apart, 1.0)) @ fit.beta, **thresholds)
+            return [np.where(known, flags[x].mean(1), 0.0) for x in names]
+
+    else:
         return posterior_frequencies(posterior_curves(long, config), classifier, **thresholds)
-    shape = SHAPES[classifier]
-    names = list(shape(np.zeros((1, 1, 1)), **thresholds))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, grid, fit, _ in posteriors(batch, config):
-                apart = np.diff(grid, axis=1)[:, :, None]
-                known = apart[:, 0, 0] > 0  # slopes over no time count for nothing
-                flags = shape((np.diff(fit.at, axis=1) / np.where(apart > 0, apart, 1.0)) @ fit.beta, **thresholds)
-                shares = [pa.array(np.where(known, flags[x].mean(1), 0.0)) for x in names]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(own)) for k in KEYS), *shares], [*KEYS, *(f"traj_prob_{x}" for x in names)])
+            for own, grid, fit, mu in posteriors(batch, config):
+                made = [pa.array(x) for x in shares(grid, fit, mu)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(own)) for k in KEYS), *made], [*KEYS, *(f"traj_prob_{x}" for x in names)])
 
     schema = ", ".join(["patient_id string, lab string, time double", *(f"traj_prob_{x} double" for x in names)])
     return windows(long, config.window, config.min_points).mapInArrow(rows, schema)

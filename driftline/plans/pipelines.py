@@ -127,7 +127,7 @@ class SequencePropensity:
 
     @property
     def hidden(self) -> int:
-        return len(self.weights["b_h"])
+        return sequences.hidden_size(self.weights)
 
     def embed(self, dynamic: DataFrame, static: DataFrame) -> DataFrame:
         """Samples with H_raw and H_agg."""

@@ -604,6 +604,16 @@ def x1(spark, d):
     return flag_rows(spark, d, custom, cut=0.5)
 
 
+def falls_by_two(curves: np.ndarray, grid: np.ndarray, drop: float = 2.0) -> dict[str, np.ndarray]:
+    """A user's classifier: by how much a curve ends below its start, and whether it ever rises above it."""
+    return {"falls": curves[:, 0] - curves[:, -1] > drop, "peaks": curves.max(1) > curves[:, 0] + drop}
+
+
+@query("x1_kernel_classifier")
+def x1_kernel(spark, d):
+    return summaries.trajectory_probabilities(labs(spark, d, *EMBED), POSTERIOR, summaries.CurveClassifier(["falls", "peaks"], falls_by_two), drop=5.0)
+
+
 # statistical jobs ----------------------------------------------------------------------------------------------------
 
 
@@ -729,6 +739,12 @@ def m13(spark, d):
     return rounded(sequences.embedding_rows(rows, "H_raw", 4), "h1", "h2", "h3", "h4")
 
 
+@query("m13_light_encoder")
+def m13_light(spark, d):
+    rows = sequences.encode(samples(spark, d), sequences.encoder_weights(2, 4, 3, light=True))
+    return rounded(sequences.embedding_rows(rows, "H_raw", 4), "h1", "h2", "h3", "h4")
+
+
 @query("m14_mixed_model")
 def m14(spark, d):
     rows, _ = cohort.mixed_model(tables.order_visits(spark, d), fixed_intercept=True)

@@ -390,3 +390,56 @@ def test_one_shuffle_finds_all_features(spark):
                     hit = min(own)
                 assert r[f"x_{j}"] == (hit[2] or 0.0 if hit else 0.0) and r[f"m_{j}"] == float(bool(past))
                 assert r[f"dt_{j}"] == (max(1e-6, r["time"] - past[-1][0]) if past else None)
+
+
+@pytest.mark.parametrize("light", [False, True])
+def test_batched_recurrence_is_step_by_step(spark, light):
+    """Many patients of unequal length, none too, against one gate at a time; the samples' columns come back unchanged."""
+    rng = np.random.default_rng(5)
+    w = sequences.encoder_weights(2, 3, 1, light)
+    rows = []
+    for i, n in enumerate([0, 1, 5, 5, 2, 17]):
+        m = rng.integers(0, 2, (n, 2)).astype(float)
+        rows.append((f"p{i}", i, rng.normal(size=(n, 2)).tolist(), m.tolist(), rng.uniform(0, 3, (n, 1)).tolist()))
+    df = spark.createDataFrame(rows, "pid string, more int, X_raw array<array<double>>, M_raw array<array<double>>, DT_raw array<array<double>>")
+    found = {r["pid"]: r for r in sequences.encode(df, w).collect()}
+    sig = lambda a: 1 / (1 + np.exp(-a))
+    for pid, more, x, m, dt in rows:
+        h, want = np.zeros(3), []
+        for xk, mk, dk in zip(*(map(np.array, v) for v in (x, m, dt))):
+            if light:
+                entry = np.concatenate([xk, mk, dk])
+            else:
+                decay = np.exp(-np.log1p(np.exp(dk.sum())))
+                h = decay * h + (1 - decay) * np.tanh(w["W_h"] @ (mk * xk) + w["b_h"])
+                entry = np.concatenate([mk * xk, mk])
+            a, b = w["W_ih"] @ entry + w["b_ih"], w["W_hh"] @ h + w["b_hh"]
+            r, z = sig(a[:3] + b[:3]), sig(a[3:6] + b[3:6])
+            h = (1 - z) * np.tanh(a[6:] + r * b[6:]) + z * h
+            want.append(h)
+        assert found[pid]["more"] == more and found[pid]["X_raw"] == x
+        assert np.allclose(np.array(found[pid]["H_raw"]).reshape(-1, 3), np.array(want).reshape(-1, 3))
+
+
+def test_curve_classifiers_run_in_the_kernel(spark):
+    def decline_again(curves, grid, flat=-1.0, decline=-2.0, gap=3.0):
+        """The built-in declines, curve by curve."""
+        out = {"prolonged_nonprogression": [], "linear_decline": [], "nonlinear": []}
+        for s in np.diff(curves, axis=1) / np.diff(grid):
+            half = np.sort(s)
+            n = len(s) // 2
+            out["prolonged_nonprogression"].append((s >= decline).mean() >= 0.8 and s.mean() >= flat)
+            out["linear_decline"].append((s < decline).mean() >= 0.8)
+            out["nonlinear"].append(bool(n) and abs(half[:n].mean() - half[n:].mean()) > gap)
+        return {k: np.array(v) for k, v in out.items()}
+
+    long = pipelines.long_labs(tables.event_dynamic(spark, SF), ["view"])
+    config = summaries.PosteriorConfig(window=14.0, min_points=6, df=6, frequency=1, draws=50)
+    limits = {"flat": -5.0, "decline": -10.0, "gap": 15.0}
+    one = summaries.trajectory_probabilities(long, config, **limits)
+    own = summaries.trajectory_probabilities(long, config, summaries.CurveClassifier(["prolonged_nonprogression", "linear_decline", "nonlinear"], decline_again), **limits)
+    assert one.columns == own.columns
+    key = lambda r: (r["patient_id"], r["lab"], r["time"])
+    a, b = ({key(r): tuple(r)[3:] for r in df.collect()} for df in (one, own))
+    assert len(a) == own.count() and a.keys() == b.keys()
+    assert all(np.allclose(a[k], b[k], atol=0.021) for k in a) and np.mean([np.allclose(a[k], b[k]) for k in a]) > 0.99
