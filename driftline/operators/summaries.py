@@ -1,7 +1,8 @@
 """Trajectory summaries per patient, lab and anchor: spline posteriors and penalised-spline coefficients.
 
-Windows are made by Spark, one row for each anchor with its window as an array, so a patient with a long history is many
-small rows and no task holds all of it. A kernel in numpy turns an Arrow batch of windows into rows. Random numbers are
+Spark cuts each series in chunks of time with what lies a window before them, so a patient with a long history is many
+small rows, no task holds all of it, and no point is sent more than twice. A task slides the window over a chunk, and a kernel in numpy
+turns batches of windows into rows. Random numbers are
 seeded by patient, lab and anchor: results are the same on any partitioning.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import shapes, splines
 from ..functions.trajectory import Classifier, coefficient_columns, decline_flags, four_class_flags, increase_flags
-from .trailing import trailing_rows
+from .trailing import series_chunks, sliding_windows
 
 KEYS = ["patient_id", "lab", "time"]
 
@@ -27,10 +28,14 @@ def seed(patient: str, lab: str, time: float, base: int) -> np.random.Generator:
     return np.random.default_rng(zlib.crc32(f"{patient}|{lab}|{time!r}|{base}".encode()))
 
 
-def windows(long: DataFrame, width: float, min_points: int) -> DataFrame:
-    """patient_id, lab, time, n, t, v: the trailing window of every anchor with enough points, as arrays."""
-    made = trailing_rows(long.withColumnRenamed("lab_value", "value"), ["patient_id", "lab"], width, min_points)
-    return made.select(*KEYS, "n", F.col("window.t").alias("t"), F.col("window.v").alias("v"))
+def over_windows(long: DataFrame, width: float, min_points: int, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``kernel`` makes of batches of windows (patient_id, lab, time, t, v): those of every anchor with enough points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliding_windows(batches, KEYS[:2], width, min_points):
+            yield from kernel(batch)
+
+    return series_chunks(long, KEYS[:2], width, "time", "lab_value").mapInArrow(run, schema)
 
 
 @dataclass
@@ -89,30 +94,28 @@ def listed(values: np.ndarray) -> pa.ListArray:
 def posterior_curves(long: DataFrame, config: PosteriorConfig) -> DataFrame:
     """patient_id, lab, time, draw, grid, traj: posterior curves of every window in its own units, one row for each draw."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own, grid, fit, mu in posteriors(batch, config):
-                curves = fit.curves + mu[:, :, None]
-                at = pa.array(np.repeat(own, config.draws))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(at) for k in KEYS), pa.array(np.tile(np.arange(config.draws, dtype=np.int32), len(own))), listed(np.repeat(grid, config.draws, 0)), listed(curves.reshape(-1, curves.shape[-1]))],
-                    [*KEYS, "draw", "grid", "traj"],
-                )
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for own, grid, fit, mu in posteriors(batch, config):
+            curves = fit.curves + mu[:, :, None]
+            at = pa.array(np.repeat(own, config.draws))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(at) for k in KEYS), pa.array(np.tile(np.arange(config.draws, dtype=np.int32), len(own))), listed(np.repeat(grid, config.draws, 0)), listed(curves.reshape(-1, curves.shape[-1]))],
+                [*KEYS, "draw", "grid", "traj"],
+            )
 
-    return windows(long, config.window, config.min_points).mapInArrow(rows, "patient_id string, lab string, time double, draw int, grid array<double>, traj array<double>")
+    return over_windows(long, config.window, config.min_points, rows, "patient_id string, lab string, time double, draw int, grid array<double>, traj array<double>")
 
 
 def posterior_summaries(long: DataFrame, config: PosteriorConfig) -> DataFrame:
     """patient_id, lab, time, draws, grid, mean, sd: every window's posterior curve, one row for each window."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own, grid, fit, mu in posteriors(batch, config):
-                curves = fit.curves + mu[:, :, None]
-                keys = [batch.column(k).take(pa.array(own)) for k in KEYS]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(own), config.draws, np.int64)), listed(grid), listed(curves.mean(1)), listed(curves.std(1))], [*KEYS, "draws", "grid", "mean", "sd"])
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for own, grid, fit, mu in posteriors(batch, config):
+            curves = fit.curves + mu[:, :, None]
+            keys = [batch.column(k).take(pa.array(own)) for k in KEYS]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(own), config.draws, np.int64)), listed(grid), listed(curves.mean(1)), listed(curves.std(1))], [*KEYS, "draws", "grid", "mean", "sd"])
 
-    return windows(long, config.window, config.min_points).mapInArrow(rows, "patient_id string, lab string, time double, draws long, grid array<double>, mean array<double>, sd array<double>")
+    return over_windows(long, config.window, config.min_points, rows, "patient_id string, lab string, time double, draws long, grid array<double>, mean array<double>, sd array<double>")
 
 
 def posterior_frequencies(curves: DataFrame, classifier: Classifier = decline_flags, **thresholds: float) -> DataFrame:
@@ -158,14 +161,13 @@ def trajectory_probabilities(long: DataFrame, config: PosteriorConfig, classifie
     else:
         return posterior_frequencies(posterior_curves(long, config), classifier, **thresholds)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own, grid, fit, mu in posteriors(batch, config):
-                made = [pa.array(x) for x in shares(grid, fit, mu)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(own)) for k in KEYS), *made], [*KEYS, *(f"traj_prob_{x}" for x in names)])
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for own, grid, fit, mu in posteriors(batch, config):
+            made = [pa.array(x) for x in shares(grid, fit, mu)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(own)) for k in KEYS), *made], [*KEYS, *(f"traj_prob_{x}" for x in names)])
 
     schema = ", ".join(["patient_id string, lab string, time double", *(f"traj_prob_{x} double" for x in names)])
-    return windows(long, config.window, config.min_points).mapInArrow(rows, schema)
+    return over_windows(long, config.window, config.min_points, rows, schema)
 
 
 @dataclass
@@ -197,32 +199,31 @@ def gam_fits(long: DataFrame, config: GamConfig) -> DataFrame:
             return splines.choose_all_by_folds(x, y, c.low, c.high, c.lams, c.degree, c.folds, [seed(*k, c.seed) for k in keys])
         return splines.choose_all_by_gcv(x, y, c.low, c.high, c.lams, c.degree)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t, v = (batch.column(k) for k in ("t", "v"))
-            lengths = t.value_lengths().to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(lengths)])
-            t, v = (a.flatten().to_numpy(zero_copy_only=False).astype(float) for a in (t, v))
-            for n in np.unique(lengths):
-                alike = np.flatnonzero(lengths == n)
-                step = max(1, CHUNK_VALUES // int(n * (c.high + 1) * len(c.lams)))
-                for k in range(0, len(alike), step):
-                    own = alike[k : k + step]
-                    at = starts[own][:, None] + np.arange(n)
-                    low, sd = t[at].min(1, keepdims=True), v[at].std(1, keepdims=True)
-                    x = (t[at] - low) / np.maximum(t[at].max(1, keepdims=True) - low, 1e-12)
-                    y = (v[at] - v[at].mean(1, keepdims=True)) / np.where(sd == 0, 1.0, sd)
-                    keys = [batch.column(name).take(pa.array(own)) for name in KEYS]
-                    fit = chosen(x, y, list(zip(*(a.to_pylist() for a in keys))))
-                    good = fit.n_splines > 0
-                    size = np.where(good, fit.n_splines, c.high) + 1
-                    values = fit.coefficients[np.arange(c.high + 1) < size[:, None]]
-                    beta = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values))
-                    flags = [pa.array(fit.n_splines.astype(float), mask=~good), pa.array(fit.lam, mask=~good), *(pa.array(a.astype(float)) for a in (good, ~fit.coefficients.any(1), fit.tried))]
-                    yield pa.RecordBatch.from_arrays([*keys, beta, *flags], [*KEYS, "coefficients", "n_splines", "lam", "fit_success", "zero_beta", "attempts"])
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        t, v = (batch.column(k) for k in ("t", "v"))
+        lengths = t.value_lengths().to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        t, v = (a.flatten().to_numpy(zero_copy_only=False).astype(float) for a in (t, v))
+        for n in np.unique(lengths):
+            alike = np.flatnonzero(lengths == n)
+            step = max(1, CHUNK_VALUES // int(n * (c.high + 1) * len(c.lams)))
+            for k in range(0, len(alike), step):
+                own = alike[k : k + step]
+                at = starts[own][:, None] + np.arange(n)
+                low, sd = t[at].min(1, keepdims=True), v[at].std(1, keepdims=True)
+                x = (t[at] - low) / np.maximum(t[at].max(1, keepdims=True) - low, 1e-12)
+                y = (v[at] - v[at].mean(1, keepdims=True)) / np.where(sd == 0, 1.0, sd)
+                keys = [batch.column(name).take(pa.array(own)) for name in KEYS]
+                fit = chosen(x, y, list(zip(*(a.to_pylist() for a in keys))))
+                good = fit.n_splines > 0
+                size = np.where(good, fit.n_splines, c.high) + 1
+                values = fit.coefficients[np.arange(c.high + 1) < size[:, None]]
+                beta = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values))
+                flags = [pa.array(fit.n_splines.astype(float), mask=~good), pa.array(fit.lam, mask=~good), *(pa.array(a.astype(float)) for a in (good, ~fit.coefficients.any(1), fit.tried))]
+                yield pa.RecordBatch.from_arrays([*keys, beta, *flags], [*KEYS, "coefficients", "n_splines", "lam", "fit_success", "zero_beta", "attempts"])
 
     schema = "patient_id string, lab string, time double, coefficients array<double>, n_splines double, lam double, fit_success double, zero_beta double, attempts double"
-    return windows(long, c.window, c.min_points).mapInArrow(rows, schema)
+    return over_windows(long, c.window, c.min_points, rows, schema)
 
 
 def fitted_anchors(wide: DataFrame, labs: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import splines
-from driftline.operators import cohort, cox, design, evaluate, ranks, riskset, sequences, summaries
+from driftline.operators import cohort, cox, design, evaluate, ranks, riskset, sequences, summaries, trailing
 from driftline.plans import pipelines
 from driftline.sources import tables
 
@@ -443,3 +443,17 @@ def test_curve_classifiers_run_in_the_kernel(spark):
     a, b = ({key(r): tuple(r)[3:] for r in df.collect()} for df in (one, own))
     assert len(a) == own.count() and a.keys() == b.keys()
     assert all(np.allclose(a[k], b[k], atol=0.021) for k in a) and np.mean([np.allclose(a[k], b[k]) for k in a]) > 0.99
+
+
+def test_windows_slide_over_chunks_as_over_the_table(spark):
+    """The same anchors and points as Spark's range frame: ties in time, times at chunk bounds and a whole width apart, negative times, nulls."""
+    rng = np.random.default_rng(7)
+    rows = [(p, "a" if i % 3 else "b", float(t), float(v)) for p in "xyz" for i, (t, v) in enumerate(zip(np.round(rng.uniform(-20, 60, 150) * 4) / 4, rng.normal(size=150)))]
+    rows += [("x", "a", 8.0 * k, 1.0) for k in range(-3, 6)] + [("x", "a", 3.0, None), ("y", "b", 0.1 + 0.2, 2.0), ("y", "b", 2.3, 2.0)]
+    df = spark.createDataFrame(rows, "patient_id string, lab string, time double, value double")
+    made = {(r["patient_id"], r["lab"], r["time"]): [tuple(w) for w in r["window"]] for r in trailing.trailing_rows(df, ["patient_id", "lab"], 2.0, 3).collect()}
+    chunks = trailing.series_chunks(df, ["patient_id", "lab"], 2.0)
+    assert chunks.selectExpr("sum(size(t))").first()[0] <= 2 * len(rows)
+    slid = chunks.mapInArrow(lambda batches: trailing.sliding_windows(batches, ["patient_id", "lab"], 2.0, 3), "patient_id string, lab string, time double, t array<double>, v array<double>")
+    found = {(r["patient_id"], r["lab"], r["time"]): list(zip(r["t"], r["v"])) for r in slid.collect()}
+    assert found == made and len(made) > 100
