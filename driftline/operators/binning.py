@@ -82,16 +82,21 @@ def forward_fill(df: DataFrame, columns: list[str], order: str = "bin_idx") -> D
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
-def median_fill(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+def median_fill(df: DataFrame, columns: list[str], exact: bool = True, fills: dict[str, float | None] | None = None) -> DataFrame:
     """Nulls become the column's median; the exact one needs no task that holds a column. ``exact=False`` takes a sketch instead.
 
-    For exact medians ``df`` is stored, so that what makes it runs once.
+    For exact medians ``df`` is stored, so that what makes it runs once. ``fills`` are the medians of an earlier table: an empty
+    dictionary receives those found, a filled one is used instead of this table's.
     """
-    if exact:
+    if fills:
+        found = fills
+    elif exact:
         df = staged(df, "to-fill")
         found = medians(df, columns)
     else:
         found = df.agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in columns]).first().asDict()
+    if fills is not None:
+        fills.update(found)
     return df.withColumns({c: F.coalesce(c, F.lit(found[c]).cast("double")) for c in columns})
 
 
@@ -100,11 +105,11 @@ def wide(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.groupBy("pid", "bin_idx").pivot("feature_name", features).agg(F.first("value"))
 
 
-def aggregate_to_bins(dynamic: DataFrame, static: DataFrame, features: list[str], width: float = 1.0, prefixes: tuple[str, ...] = ("Med",)) -> DataFrame:
+def aggregate_to_bins(dynamic: DataFrame, static: DataFrame, features: list[str], width: float = 1.0, prefixes: tuple[str, ...] = ("Med",), fills: dict[str, float | None] | None = None) -> DataFrame:
     """pid, bin_idx, start, stop, treatment, one column a feature: one row for each bin of each patient.
 
     Binary features carry the last value at or before the bin's start, and the first value before that (0 without rows).
-    Others take the bin's mean, carry it forward, and fill what is left with the median over all bins.
+    Others take the bin's mean, carry it forward, and fill what is left with the median over all bins (``fills`` as in ``median_fill``).
     """
     own = dynamic.where(F.col("feature_name").isin(features))
     grid = bin_grid(static, dynamic, width)
@@ -118,7 +123,7 @@ def aggregate_to_bins(dynamic: DataFrame, static: DataFrame, features: list[str]
     absent = {c: F.lit(0.0) if c.startswith(prefixes) else F.lit(None).cast("double") for c in features}
     found = found.withColumns({c: F.coalesce(f"held_{c}", f"mean_{c}", absent[c]) for c in features})
     found = found.join(treatment_start(dynamic), "pid", "left").withColumn("treatment", treated_at(F.col("start"), F.col("t_start")))
-    return median_fill(forward_fill(found, features), features).select("pid", "bin_idx", "start", "stop", "treatment", *features)
+    return median_fill(forward_fill(found, features), features, fills=fills).select("pid", "bin_idx", "start", "stop", "treatment", *features)
 
 
 def aggregate_last(dynamic: DataFrame, static: DataFrame, features: list[str], width: float = 1.0, prefixes: tuple[str, ...] = ("Med",)) -> DataFrame:

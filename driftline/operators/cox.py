@@ -324,7 +324,7 @@ def fit_cox(
         held.unpersist()
 
 
-#: Groups whose coefficients and sums the driver holds.
+#: Groups that are returned to the driver as model objects.
 MAX_GROUPS = 10_000
 
 
@@ -340,74 +340,77 @@ def fit_discrete(rows: DataFrame, columns: list[str], event: str = "y_event", ri
     return fit_grouped_logistic(rows.where(F.col(risk) > 0).withColumn("one_", F.lit(0)), columns, event, "one_", steps, ridge)[0]
 
 
-def fit_grouped_logistic(rows: DataFrame, columns: list[str], event: str, group: str, steps: int = 25, ridge: float = 1e-3) -> dict[int, HazardModel]:
-    """A logistic regression for each value of ``group``, all fitted in the same passes.
+def grouped_logistic(rows: DataFrame, columns: list[str], event: str, group: str, steps: int = 25, ridge: float = 1e-3) -> DataFrame:
+    """group, beta, variance (of columns and, last, the intercept): a logistic regression for each value of ``group``, fitted in the same passes.
 
-    Each pass joins no coefficients: they are sent to the tasks as one small array per group, so there may be ``MAX_GROUPS``
-    groups at most; more are an error.
+    A pass joins rows with their group's coefficients, adds up score and information in each batch and then by group, and takes
+    all Newton steps in tasks. Coefficients stay a table, stored after each pass; the driver sees the largest move. A hot
+    group's rows may lie in many tasks. Rows without a group are left out.
     """
-    n = rows.select(F.col(group).cast("long")).distinct().count()
-    if n > MAX_GROUPS:
-        raise ValueError(f"{n} groups, more than {MAX_GROUPS}: coarsen {group}, or fit parts of the table")
-    held = rows.select(F.col(group).cast("long").alias(group), F.col(event).cast("double").alias(event), *[F.col(c).cast("double").alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    held = rows.select(F.col(group).cast("long").alias("g_"), F.col(event).cast("double").alias("y_"), *[F.col(c).cast("double").alias(f"x_{i}") for i, c in enumerate(columns)])
+    held = held.where("g_ is not null").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        mean, sd = column_moments(held, columns)
+        inputs = [f"x_{i}" for i in range(len(columns))]
+        mean, sd = column_moments(held, inputs) if inputs else (np.zeros(0), np.ones(0))
         q = len(columns) + 1
         upper = np.triu_indices(q)
-        names = [f"g{i}" for i in range(q)] + [f"h{i}" for i in range(len(upper[0]))] + ["n"]
-        betas: dict[int, np.ndarray] = {}
-        cov: dict[int, np.ndarray] = {}
+        names = [*(f"s{i}" for i in range(q)), *(f"h{i}" for i in range(len(upper[0])))]
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = (np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]) - mean) / sd if columns else np.zeros((batch.num_rows, 0))
-                x = np.column_stack([x, np.ones(len(x))])
-                y, key = batch.column(event).to_numpy(zero_copy_only=False), batch.column(group).to_numpy(zero_copy_only=False)
-                kinds, back = np.unique(key, return_inverse=True)
-                own = np.array([betas.get(k, np.zeros(q)) for k in kinds.tolist()])[back]
-                p = 1 / (1 + np.exp(-np.clip((x * own).sum(1), -30, 30)))
-                made = np.column_stack([x * (y - p)[:, None], (p * (1 - p))[:, None] * x[:, upper[0]] * x[:, upper[1]], np.ones(len(x))])
-                added = np.zeros((len(kinds), made.shape[1]))
+                x = np.column_stack([*((batch.column(c).to_numpy(zero_copy_only=False) - m) / s for c, m, s in zip(inputs, mean, sd)), np.ones(batch.num_rows)])
+                key, first, back = np.unique(batch.column("g_").to_numpy(), return_index=True, return_inverse=True)
+                beta = batch.column("beta").flatten().to_numpy().reshape(-1, q)
+                p = 1 / (1 + np.exp(-np.clip((x * beta).sum(1), -30, 30)))
+                made = np.column_stack([x * (batch.column("y_").to_numpy(zero_copy_only=False) - p)[:, None], (p * (1 - p))[:, None] * x[:, upper[0]] * x[:, upper[1]]])
+                added = np.zeros((len(key), made.shape[1]))
                 np.add.at(added, back, made)
-                for k, row in zip(kinds.tolist(), added):
-                    total[k] = total[k] + row if k in total else row
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), *(pa.array(c) for c in np.array(list(total.values())).T)], [group, *names])
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("beta").take(pa.array(first)), *(pa.array(c) for c in added.T)], ["g_", "beta", *names])
 
+        def newton(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                beta = batch.column("beta").flatten().to_numpy().reshape(-1, q)
+                made = np.column_stack([batch.column(n).to_numpy() for n in names])
+                info = np.zeros((len(made), q, q))
+                info[:, upper[0], upper[1]] = info[:, upper[1], upper[0]] = made[:, q:]
+                info += ridge * np.eye(q)
+                move = np.linalg.solve(info, (made[:, :q] - ridge * beta)[:, :, None])[:, :, 0]
+                move /= np.maximum(1.0, np.abs(move).max(1, keepdims=True) / 4)
+                variance = np.diagonal(np.linalg.inv(info), axis1=1, axis2=2)
+                yield pa.RecordBatch.from_arrays([batch.column("g_"), pa.array(list(beta + move), pa.list_(pa.float64())), pa.array(list(variance), pa.list_(pa.float64())), pa.array(np.abs(move).max(1))], ["g_", "beta", "variance", "move"])
+
+        zeros = F.array(*[F.lit(0.0)] * q)
+        now = staged(held.select("g_").distinct().select("g_", zeros.alias("beta"), zeros.alias("variance"), F.lit(0.0).alias("move")), "time-coefficients")
         for _ in range(steps):
-            made = held.mapInArrow(sums, f"{group} long, " + ", ".join(f"{n} double" for n in names)).groupBy(group).agg(*(F.sum(n).alias(n) for n in names)).toPandas()
-            furthest = 0.0
-            for row in made[[group, *names]].itertuples(index=False):
-                k, g = int(row[0]), np.array(row[1 : 1 + q])
-                h = np.zeros((q, q))
-                h[upper] = row[1 + q : -1]
-                h = h + np.triu(h, 1).T + ridge * np.eye(q)
-                beta = betas.get(k, np.zeros(q))
-                move = np.linalg.solve(h, g - ridge * beta)
-                move /= max(1.0, np.abs(move).max() / 4)
-                betas[k], cov[k] = beta + move, np.linalg.inv(h)
-                furthest = max(furthest, np.abs(move).max())
-            if furthest < 1e-7:
+            added = held.join(now.select("g_", "beta"), "g_").mapInArrow(sums, "g_ long, beta array<double>, " + ", ".join(f"{n} double" for n in names))
+            added = added.groupBy("g_").agg(F.first("beta").alias("beta"), *(F.sum(n).alias(n) for n in names))
+            before, now = now, staged(added.mapInArrow(newton, "g_ long, beta array<double>, variance array<double>, move double"), "time-coefficients")
+            discard(before)
+            if (now.agg(F.max("move")).first()[0] or 0.0) < 1e-7:
                 break
-        scale, shift = np.append(sd, 1.0), np.append(mean, 0.0)
-        out = {}
-        for k, b in betas.items():
-            own = b / scale
-            own[-1] -= (own[:-1] * shift[:-1]).sum()
-            out[k] = HazardModel([*columns, "intercept"], own, np.zeros(q), np.sqrt(np.maximum(np.diag(cov[k]), 0)) / scale)
-        return out
+        own = [F.get("beta", F.lit(i)) / float(s) for i, s in enumerate(sd)]
+        shift = sum((b * float(m) for b, m in zip(own, mean)), F.lit(0.0))
+        spread = [F.get("variance", F.lit(i)) / float(s) ** 2 for i, s in enumerate([*sd, 1.0])]
+        return now.select(F.col("g_").alias(group), F.array(*own, F.get("beta", F.lit(q - 1)) - shift).alias("beta"), F.array(*spread).alias("variance"))
     finally:
         held.unpersist()
 
 
+def fit_grouped_logistic(rows: DataFrame, columns: list[str], event: str, group: str, steps: int = 25, ridge: float = 1e-3) -> dict[int, HazardModel]:
+    """The regressions of ``grouped_logistic`` as model objects, for ``MAX_GROUPS`` groups at most; more are an error before any pass."""
+    n = rows.select(F.col(group).cast("long")).distinct().count()
+    if n > MAX_GROUPS:
+        raise ValueError(f"{n} groups, more than {MAX_GROUPS}: take grouped_logistic, which keeps coefficients in a table")
+    names, none = [*columns, "intercept"], np.zeros(len(columns) + 1)
+    made = grouped_logistic(rows, columns, event, group, steps, ridge).collect()
+    return {r[group]: HazardModel(names, np.array(r["beta"]), none, np.sqrt(np.maximum(np.array(r["variance"]), 0))) for r in made}
+
+
 def time_propensity(rows: DataFrame, columns: list[str], event: str, group: str) -> DataFrame:
-    """``rows`` with ``ps``, the probability by the regression of their own time."""
-    models = fit_grouped_logistic(rows, columns, event, group)
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(int(k), [float(b) for b in m.beta]) for k, m in models.items()], "g_ long, beta_ array<double>")
+    """``rows`` with ``ps``, the probability by the regression of their own time; any number of times. Rows without a time are left out."""
+    table = grouped_logistic(rows, columns, event, group).select(F.col(group).alias("g_"), F.col("beta").alias("beta_"))
     eta = F.get("beta_", F.lit(len(columns)))
     for i, c in enumerate(columns):
         eta = eta + F.col(c).cast("double") * F.get("beta_", F.lit(i))

@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
-from ..session import staged
-from .ranks import FEW, medians, running_sum
+from ..session import discard, staged
+from .ranks import FEW, running_sum
 
 
 def brier(rows: DataFrame, p: str = "ps", y: str = "y") -> DataFrame:
@@ -66,14 +66,26 @@ def normal_score(p: pd.Series) -> pd.Series:
     return p.map(NormalDist().inv_cdf)
 
 
-def rank_normalised(rows: DataFrame, value: str, name: str, few: int = FEW) -> DataFrame:
-    """``rows`` (with param), stored, and the normal score of each value's mean rank among the parameter's."""
-    counts = staged(rows.groupBy("param", value).agg(F.count("*").alias("n_")), "draw-counts")
+def value_ranks(rows: DataFrame, value: str, few: int = FEW) -> DataFrame:
+    """param, value, n_, less_, total_, stored: a parameter's values with how many draws equal them, lie below, and there are. NaN is no value."""
+    counts = staged(rows.where(~F.isnan(value)).groupBy("param", value).agg(F.count("*").alias("n_")), "draw-counts")
     ranked = running_sum(counts, value, "n_", "less_", ("param",), few=few)
     totals = counts.groupBy(F.col("param").alias("param_")).agg(F.sum("n_").alias("total_"))
+    made = staged(ranked.join(totals, F.col("param") == F.col("param_")).drop("param_"), "value-ranks")
+    discard(counts)
+    return made
+
+
+def normal_scores(ranks: DataFrame, value: str, name: str) -> DataFrame:
+    """param, value and the normal score of its mean rank."""
     rank = F.col("less_") + (F.col("n_") + 1) / 2
-    scores = ranked.join(F.broadcast(totals), F.col("param") == F.col("param_")).select("param", value, normal_score((rank - 0.375) / (F.col("total_") + 0.25)).alias(name))
-    return staged(rows.join(scores, ["param", value]), "normal-scores")
+    return ranks.select("param", value, normal_score((rank - 0.375) / (F.col("total_") + 0.25)).alias(name))
+
+
+def middles(ranks: DataFrame, value: str, name: str) -> DataFrame:
+    """param and its exact median: the mean of the values that hold the two middle places."""
+    holds = lambda place: F.max(F.when((F.col("less_") <= place) & (place < F.col("less_") + F.col("n_")), F.col(value)))
+    return ranks.groupBy("param").agg((holds(F.floor((F.col("total_") - 1) / 2)) * 0.5 + holds(F.floor(F.col("total_") / 2)) * 0.5).alias(name))
 
 
 def autocovariance(x: np.ndarray) -> np.ndarray:
@@ -112,12 +124,15 @@ def chain_statistics(n: np.ndarray, mean: np.ndarray, variance: np.ndarray, acov
 def trace_diagnostics(trace: DataFrame, few: int = FEW) -> DataFrame:
     """param, rhat, ess_bulk of rank-normalised split chains; chains may differ in length, and all their draws count.
 
-    Ranks come from counts by ranges of values; a task holds one half of a chain, and then one row for each half.
+    Ranks, and the medians that values are folded around, come from counts by ranges of values, of all parameters together. A task
+    holds one half of a chain, and then one row for each half.
     """
     halves = staged(split_chains(trace), "half-chains")
-    middle = halves.groupBy("param").agg(F.median("value").alias("middle_")) if halves.count() <= few else centres(halves)
-    folded = halves.join(F.broadcast(middle), "param").withColumn("folded", F.abs(F.col("value") - F.col("middle_"))).drop("middle_")
-    scored = rank_normalised(rank_normalised(folded, "value", "z", few), "folded", "f", few)
+    ranks = value_ranks(halves, "value", few)
+    scores = normal_scores(ranks, "value", "z").join(middles(ranks, "value", "middle_"), "param").withColumn("folded", F.abs(F.col("value") - F.col("middle_"))).drop("middle_")
+    folded = staged(halves.join(scores, ["param", "value"]), "folded-draws")
+    discard(halves, ranks)
+    scored = folded.join(normal_scores(value_ranks(folded, "folded", few), "folded", "f"), ["param", "folded"])
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("draw")
@@ -134,13 +149,6 @@ def trace_diagnostics(trace: DataFrame, few: int = FEW) -> DataFrame:
     return made.groupBy("param").applyInPandas(all_, "param string, rhat double, ess_bulk double")
 
 
-def centres(rows: DataFrame) -> DataFrame:
-    """param, middle_: exact medians by parameter, of which there are few."""
-    names = [r["param"] for r in rows.select("param").distinct().collect()]
-    made = {p: medians(rows.where(F.col("param") == p), ["value"])["value"] for p in names}
-    return rows.sparkSession.createDataFrame(list(made.items()), "param string, middle_ double")
-
-
 def check_rhat(diagnostics: DataFrame, threshold: float = 1.01) -> DataFrame:
     """max_rhat and how many parameters are over the threshold."""
     return diagnostics.agg(F.max("rhat").alias("max_rhat"), F.sum((F.col("rhat") > threshold).cast("long")).alias("n_over"))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.trajectory import Classifier, decline_flags
+from ..functions.trajectory import Classifier, decline_flags, four_class_flags, increase_flags
 from ..operators import binning, cox, design, riskset, sequences, summaries
 from ..session import staged
 
 STATIC = ["age", "sex", "cci", "Tmax"]
+#: Classifiers that a stored model names; any other is given to ``load``.
+CLASSIFIERS = {f.__name__: f for f in (decline_flags, increase_flags, four_class_flags)}
 
 
 def feature_slice(dynamic: DataFrame, lab: str) -> DataFrame:
@@ -46,7 +49,10 @@ def onset_only(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class CoxPropensity:
-    """Cox model on a counting-process design whose trajectory columns a subclass makes."""
+    """Cox model on a counting-process design whose trajectory columns a subclass makes.
+
+    ``fills`` are the medians that ``fit`` found for bins without a value; later tables are filled with them, not with their own.
+    """
 
     labs: list[str]
     aggregate: list[str]
@@ -54,6 +60,7 @@ class CoxPropensity:
     event_mode: str = "status"
     static_cols: list[str] = field(default_factory=lambda: list(STATIC))
     model: cox.HazardModel | None = None
+    fills: dict[str, float | None] = field(default_factory=dict)
 
     def embed(self, dynamic: DataFrame) -> DataFrame:
         """patient_id, time and the trajectory columns of all labs."""
@@ -63,8 +70,11 @@ class CoxPropensity:
         values = [c for c in embedded.columns if c not in ("patient_id", "time")]
         return design.align_rows(bins, embedded, values)
 
-    def design(self, dynamic: DataFrame, static: DataFrame) -> DataFrame:
-        bins = binning.aggregate_to_bins(dynamic, static, self.aggregate, self.width)
+    def design(self, dynamic: DataFrame, static: DataFrame, learn: bool = False) -> DataFrame:
+        """The counting process; ``learn`` keeps the medians of these bins."""
+        fills = {} if learn else self.fills or None
+        bins = binning.aggregate_to_bins(dynamic, static, self.aggregate, self.width, fills=fills)
+        self.fills = fills if learn else self.fills
         made = design.counting_process(static, bins, self.aligned(self.embed(dynamic), bins), self.static_cols)
         return onset_only(made) if self.event_mode == "onset" else made
 
@@ -72,8 +82,8 @@ class CoxPropensity:
         return [c for c in rows.columns if c not in ("pid", "bin_idx", "start", "stop", "treatment")]
 
     def fit(self, dynamic: DataFrame, static: DataFrame) -> DataFrame:
-        """Fit and return the design with ``ps``. The design is kept for the passes and the score."""
-        rows = self.design(dynamic, static).persist()
+        """Fit and return the design with ``ps``. The design is stored for the passes and the score."""
+        rows = staged(self.design(dynamic, static, learn=True), "design")
         self.model = cox.fit_cox(rows, self.covariates(rows))
         return self.model.score(rows)
 
@@ -82,11 +92,19 @@ class CoxPropensity:
             raise ValueError("fit or load first")
         return self.model.score(self.design(dynamic, static))
 
+    def settings(self) -> dict:
+        """What ``save`` keeps besides the coefficients."""
+        return {c: getattr(self, c) for c in ("labs", "aggregate", "width", "event_mode", "static_cols", "fills")}
+
     def save(self, spark: SparkSession, path: str) -> None:
-        self.model.save(spark, path)
+        """Two tables under ``path``: settings (one row) and coefficients."""
+        if self.model is None:
+            raise ValueError("fit or load first")
+        write_settings(spark, path, self)
+        self.model.save(spark, f"{path}/coefficients")
 
-    def load(self, spark: SparkSession, path: str) -> None:
-        self.model = cox.HazardModel.load(spark, path)
+    def restore(self, spark: SparkSession, path: str) -> None:
+        self.model = cox.HazardModel.load(spark, f"{path}/coefficients")
 
 
 @dataclass
@@ -104,6 +122,10 @@ class PosteriorPropensity(CoxPropensity):
         embedded = staged(embedded, "embedded")  # each lab reads it
         return design.align_by_lab(bins, {lab: embedded.where(F.col("lab") == lab).drop("lab") for lab in self.labs})
 
+    def settings(self) -> dict:
+        name = getattr(self.classifier, "__name__", "")
+        return {**super().settings(), "config": asdict(self.config), "thresholds": self.thresholds, "classifier": name if CLASSIFIERS.get(name) is self.classifier else None}
+
 
 @dataclass
 class GamPropensity(CoxPropensity):
@@ -114,6 +136,9 @@ class GamPropensity(CoxPropensity):
     def embed(self, dynamic: DataFrame) -> DataFrame:
         return summaries.gam_covariates(long_labs(dynamic, self.labs), self.labs, self.config)
 
+    def settings(self) -> dict:
+        return {**super().settings(), "config": asdict(self.config)}
+
 
 @dataclass
 class SequencePropensity:
@@ -160,3 +185,43 @@ class SequencePropensity:
         """pid, t_idx, time, h1..: one row for each bin."""
         rows = self.steps(self.embed(dynamic, static))
         return rows.select("pid", "t_idx", "time", *[f"h{i + 1}" for i in range(self.hidden)])
+
+    def settings(self) -> dict:
+        return {c: getattr(self, c) for c in ("embed_features", "aggregate", "width")}
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Three tables under ``path``: settings (one row), the encoder's weights and the head's coefficients."""
+        if self.head is None:
+            raise ValueError("fit or load first")
+        write_settings(spark, path, self)
+        rows = [(name, list(w.shape), w.ravel().tolist()) for name, w in self.weights.items()]
+        spark.createDataFrame(rows, "name string, shape array<int>, numbers array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
+        self.head.save(spark, f"{path}/coefficients")
+
+    def restore(self, spark: SparkSession, path: str) -> None:
+        self.weights = {w["name"]: np.array(w["numbers"]).reshape(w["shape"]) for w in spark.read.parquet(f"{path}/weights").collect()}
+        self.head = cox.HazardModel.load(spark, f"{path}/coefficients")
+
+
+KINDS = {k.__name__: k for k in (PosteriorPropensity, GamPropensity, SequencePropensity)}
+CONFIGS = {"PosteriorPropensity": summaries.PosteriorConfig, "GamPropensity": summaries.GamConfig}
+
+
+def write_settings(spark: SparkSession, path: str, model: CoxPropensity | SequencePropensity) -> None:
+    made = spark.createDataFrame([(type(model).__name__, json.dumps(model.settings()))], "kind string, settings string")
+    made.coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def load(spark: SparkSession, path: str, classifier: Classifier | summaries.CurveClassifier | None = None) -> CoxPropensity | SequencePropensity:
+    """The model that ``save`` wrote, ready to score new tables. ``classifier`` only where the model had one of its own: code is not stored."""
+    row = spark.read.parquet(f"{path}/settings").first()
+    kind, settings = row["kind"], json.loads(row["settings"])
+    if kind in CONFIGS:
+        settings["config"] = CONFIGS[kind](**settings["config"])
+    if "classifier" in settings:
+        settings["classifier"] = classifier or CLASSIFIERS.get(settings["classifier"])
+        if settings["classifier"] is None:
+            raise ValueError("this model had a classifier of its own: give it as classifier")
+    made = KINDS[kind](**settings, **({"weights": {}} if kind == "SequencePropensity" else {}))
+    made.restore(spark, path)
+    return made

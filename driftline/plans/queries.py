@@ -429,7 +429,7 @@ def ag10(spark, d):
 
 def trace(spark, d) -> DataFrame:
     """Embedding coordinates as a sampler's trace: a parameter per coordinate, a chain per label."""
-    e = tables.embedding_rows(spark, d).select((F.col("label") % 4).alias("chain"), F.col("vec_id").cast("int").alias("draw"), F.posexplode(F.slice("x", 1, 8)).alias("param", "value"))
+    e = tables.embedding_rows(spark, d).select((F.col("label") % 4).alias("chain"), F.col("vec_id").cast("int").alias("draw"), F.posexplode("x").alias("param", "value"))
     return e.select(F.concat(F.lit("x"), "param").alias("param"), "chain", "draw", "value")
 
 
@@ -823,9 +823,8 @@ def k7(spark, d):
     rows = model.fit(dyn(spark, d), sta(spark, d))
     path = scratch(spark, "facade")
     model.save(spark, path)
-    again = pipelines.GamPropensity(EMBED, AGG, config=GAM, event_mode="onset")
-    again.load(spark, path)
-    return again.model.score(rows, "ps_again").select("pid", "bin_idx", r("ps").alias("ps"), r("ps_again").alias("ps_again"))
+    again = pipelines.load(spark, path).ps(dyn(spark, d), sta(spark, d)).select("pid", "bin_idx", r("ps").alias("ps_again"))
+    return rows.select("pid", "bin_idx", r("ps").alias("ps")).join(again, ["pid", "bin_idx"])
 
 
 @query("flagship_propensity")

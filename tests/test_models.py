@@ -133,6 +133,34 @@ def test_grouped_logistic(spark):
         assert abs((y[g == k] - p).sum()) < 1e-4 and abs(((y[g == k] - p) * x[g == k]).sum()) < 1e-4
 
 
+@pytest.mark.parametrize("n", [3, 12_001])
+def test_regressions_of_many_times_stay_distributed(spark, n):
+    """More times than the driver would hold; a third of all rows at one time. Scores of some times against their own Newton fit."""
+    rows = spark.range(6 * n).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % n).alias("t"), ((F.col("id") * 37 % 101) / 50.0 - 1).alias("x"), F.when(F.pmod(F.xxhash64("id"), F.lit(5)) < 2, 1.0).otherwise(0.0).alias("y"))
+    scored = cox.time_propensity(rows, ["x"], "y", "t")
+    assert scored.columns == ["t", "x", "y", "ps"] and scored.count() == 6 * n
+    every = np.array(rows.select("x").collect(), float)[:, 0]
+    mean, sd = every.mean(), every.std()
+    for t in (0, 1, n - 1):
+        own = np.array(scored.where(F.col("t") == t).select("x", "y", "ps").collect(), float)
+        z = np.column_stack([(own[:, 0] - mean) / sd, np.ones(len(own))])
+        beta = np.zeros(2)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-z @ beta))
+            beta += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (own[:, 1] - p) - 1e-3 * beta)
+        assert np.allclose(own[:, 2], 1 / (1 + np.exp(-z @ beta)), atol=1e-5)
+    if n > cox.MAX_GROUPS:
+        with pytest.raises(ValueError):
+            cox.fit_grouped_logistic(rows, ["x"], "y", "t")
+
+
+def test_regressions_by_time_of_empty_tables_and_nulls(spark):
+    rows = spark.createDataFrame([(1, 0.5, 1.0), (1, -0.5, 0.0), (None, 0.1, 1.0)], "t int, x double, y double")
+    assert cox.time_propensity(rows.limit(0), ["x"], "y", "t").collect() == []
+    made = {r["t"] for r in cox.time_propensity(rows, ["x"], "y", "t").collect()}
+    assert made == {1}
+
+
 def test_discrete_hazard_minimises_its_loss(spark):
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=200), (rng.uniform(size=200) < 0.3).astype(float)
@@ -252,6 +280,26 @@ def test_rhat_and_ess():
     assert of(slow)[1] < 100
 
 
+def test_diagnostics_of_many_parameters_take_no_more_jobs(spark):
+    """Medians and ranks of all parameters are found together: the same figures as each alone, in as many jobs."""
+    rng = np.random.default_rng(5)
+    rows = [(f"p{j}", c, i, float(rng.normal() + j)) for j in range(12) for c in range(2) for i in range(9 + j % 2)]
+    df = spark.createDataFrame(rows, "param string, chain int, draw int, value double")
+    context = spark.sparkContext
+
+    def jobs(rows, group):
+        context.setJobGroup(group, group)
+        try:
+            return {r["param"]: (r["rhat"], r["ess_bulk"]) for r in evaluate.trace_diagnostics(rows, few=20).collect()}, len(context.statusTracker().getJobIdsForGroup(group))
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    many, n = jobs(df, "many")
+    two, m = jobs(df.where("param in ('p3', 'p4')"), "two")
+    assert len(many) == 12 and all(many[p] == pytest.approx(two[p], nan_ok=True) for p in two)
+    assert n <= m + 6  # broadcasts may become shuffles
+
+
 def test_diagnostics_use_all_draws_of_unequal_chains(spark):
     """Against ranks and moments by numpy; the same in one range of values and in many; each draw counts."""
     from statistics import NormalDist
@@ -325,10 +373,58 @@ def test_facades_round_trip(spark, tmp_path):
     model = pipelines.PosteriorPropensity(["view"], ["purchase", "Med_error"], config=summaries.PosteriorConfig(window=14.0, min_points=6, frequency=1, draws=10))
     rows = model.fit(d, s)
     model.save(spark, str(tmp_path / "m"))
-    again = pipelines.PosteriorPropensity(["view"], ["purchase", "Med_error"])
-    again.load(spark, str(tmp_path / "m"))
+    again = pipelines.load(spark, str(tmp_path / "m"))
     both = again.model.score(rows, "twice").select("ps", "twice").collect()
     assert both and all(np.isfinite(r["ps"]) and r["ps"] == pytest.approx(r["twice"]) for r in both)
+    assert (again.settings(), again.classifier) == (model.settings(), model.classifier)
+
+
+@pytest.fixture(scope="module")
+def two_halves(spark):
+    """Events and patients to learn from, and others to score, whose medians differ."""
+    d, s = tables.event_dynamic(spark, SF), tables.event_static(spark, SF)
+    first = F.pmod(F.xxhash64("pid"), F.lit(2)) == 0
+    raised = F.when(F.col("feature_name") == "purchase", F.col("value") + 500).otherwise(F.col("value"))
+    return d, s, d.where(~first).withColumn("value", raised), s.where(~first)
+
+
+def test_a_loaded_model_scores_new_tables_as_the_fitted_one(spark, two_halves, tmp_path):
+    """Nothing is given to ``load``; bins without a value take the medians of the table that was learned from."""
+    d, s, other, others = two_halves
+    model = pipelines.GamPropensity(["view"], ["purchase"], config=summaries.GamConfig(window=14.0, min_points=6, low=4, high=4, mode="gcv"), static_cols=["age"])
+    model.fit(d, s)
+    assert set(model.fills) == {"purchase"} and model.fills["purchase"] < 500
+    model.save(spark, str(tmp_path / "m"))
+    again = pipelines.load(spark, str(tmp_path / "m"))
+    assert isinstance(again, pipelines.GamPropensity) and again.settings() == model.settings()
+    wanted = {(r["pid"], r["bin_idx"]): r["ps"] for r in model.ps(other, others).collect()}
+    got = {(r["pid"], r["bin_idx"]): r["ps"] for r in again.ps(other, others).collect()}
+    assert wanted and wanted.keys() == got.keys() and all(got[k] == pytest.approx(v, rel=1e-12) for k, v in wanted.items())
+    filled = again.design(other, others).where(F.col("purchase") == model.fills["purchase"]).count()
+    assert filled > 0
+
+
+def test_a_loaded_sequence_model_has_head_and_weights(spark, two_halves, tmp_path):
+    d, s, other, others = two_halves
+    model = pipelines.SequencePropensity(["view", "click"], ["purchase"], sequences.encoder_weights(2, 2, 3))
+    with pytest.raises(ValueError):
+        model.save(spark, str(tmp_path / "m"))
+    model.fit(d, s, ridge=1.0)
+    model.save(spark, str(tmp_path / "m"))
+    again = pipelines.load(spark, str(tmp_path / "m"))
+    key = lambda r: (r["patient_id"], r["t_idx"])
+    wanted, got = ({key(r): r["ps"] for r in m.ps(other, others).collect()} for m in (model, again))
+    assert wanted and wanted.keys() == got.keys() and all(got[k] == pytest.approx(v, rel=1e-12) for k, v in wanted.items())
+
+
+def test_a_classifier_of_ones_own_is_given_to_load(spark, tmp_path):
+    own = summaries.CurveClassifier(["up"], lambda curves, grid: {"up": curves[:, -1] > curves[:, 0]})
+    model = pipelines.PosteriorPropensity(["view"], ["purchase"], event_mode="onset", classifier=own, model=cox.HazardModel(["purchase"], np.ones(1), np.zeros(1), np.ones(1)))
+    model.save(spark, str(tmp_path / "m"))
+    with pytest.raises(ValueError, match="classifier"):
+        pipelines.load(spark, str(tmp_path / "m"))
+    again = pipelines.load(spark, str(tmp_path / "m"), own)
+    assert again.classifier is own and again.event_mode == "onset"
 
 
 def test_posterior_queries_take_the_default_draws(spark):
