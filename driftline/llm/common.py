@@ -44,12 +44,24 @@ def least_by_hash(df: DataFrame, rows: int, *columns: Column | str) -> DataFrame
 ROW_BITS = 40
 
 
+def whole_files(rows: DataFrame) -> bool:
+    """Whether ``rows`` (file_, place_) has each of a file's places 0 to n - 1 once, by their number, greatest, sum and sum of squares.
+
+    These are added up where the rows are: what is shuffled is a row a task and file, and no row meets another.
+    A row that is there twice in place of others would have to keep both sums.
+    """
+    n, whole = F.col("n").cast("decimal(12,0)"), F.col("place_").cast("decimal(12,0)")
+    sums = rows.groupBy("file_").agg(F.count("*").alias("n"), F.max("place_").alias("last"), F.sum(whole).alias("first_power"), F.sum(whole * whole).alias("second_power"))
+    once = (F.col("last") == F.col("n") - 1) & (2 * F.col("first_power") == n * (n - 1)) & (6 * F.col("second_power") == n * (n - 1) * (2 * n - 1))
+    return sums.where(~F.coalesce(once, F.lit(False))).isEmpty()
+
+
 def with_row_keys(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a long column ``name`` that tells its rows apart and is the same in every scan.
 
     A row's key is its file's number, by the files' order, and its place in that file, so it does not change with the
     number of executors. Rows that do not come straight from stored files (or are there twice, after a join) are stored
-    first. The table of files, a row for each, is broadcast; the driver has listed them anyway.
+    first, and so are files read in part (see ``whole_files``). The table of files, a row for each, is broadcast; the driver has listed them anyway.
     """
     file, place = (F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index"))
     try:
@@ -57,8 +69,7 @@ def with_row_keys(docs: DataFrame, name: str) -> DataFrame:
     except AnalysisException:
         docs = staged(docs, "rows")
     else:
-        n, kinds = rows.agg(F.count("*"), F.count_distinct(F.xxhash64("file_", "place_"))).first()
-        docs = docs if n == kinds else staged(docs, "rows")
+        docs = docs if whole_files(rows) else staged(docs, "rows")
     own = free_name(docs.columns, "file_")
     files = docs.select(file.alias(own)).distinct()
     number, taken = free_name([*docs.columns, own], "number_"), free_name([*docs.columns, own], "of_file_")
