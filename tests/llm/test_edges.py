@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, against plain Python."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.llm import exact_dedup, minhash_dedup, piece_sampling, quality_classifier, quality_rules, source_mix, token_counts, toxicity, url_filters, warc
-from driftline.llm.common import bit_table, only_rows, row_bit_table, split_by_bits, staged, with_row_keys
+from driftline.llm.common import bit_table, only_rows, row_bit_table, split_by_bits, staged, whole_files, with_row_keys
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -403,6 +404,24 @@ def test_kneser_ney_against_dictionaries():
         assert row[:2] == pytest.approx(plain_kneser_ney(words, counts.tolist(), w), rel=1e-4) and row[2] == len(w) + 1
 
 
+def test_toxicity_features_against_plain_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 60, 900):
+        words = [f"w{i}" for i in rng.integers(0, n, n)]
+        words += words[:3]
+        of = {w: (-rng.random() * 20, -rng.random() * 20, 1.0 + rng.integers(1, 9)) for w in dict.fromkeys(words)}
+        found = toxicity.text_features(words, np.array([of[w] for w in words]))
+        toxic_first = sorted(of.values(), key=lambda v: v[0] - v[1])[: max(math.ceil(toxicity.TOP_SHARE * len(of)), toxicity.TOP_LEAST)]
+        per_character = lambda some: sum(t - o for o, t, _ in some) / sum(n for *_, n in some)
+        every = [of[w] for w in words]
+        clear = sum(min(max(t - o - toxicity.MARGIN, 0), toxicity.REACH) for o, t, _ in of.values()) / (sum(v[2] for v in every) + toxicity.SHORT)
+        expect = [per_character(every), per_character(toxic_first), clear]
+        assert found[2:] == pytest.approx(expect) and found[1] - found[0] == pytest.approx(found[2])
+    assert toxicity.text_features([], np.zeros((0, 3))) == (0.0,) * toxicity.FEATURES
+
+
 def test_shared_counts_cover_all_texts(edge, edge_rows):
     words = ["one", "two", "same", "日本語", "nowhere", ""]
     expect = [sum(w in (t or "").lower().split() for _, t, *_ in edge_rows) for w in words]
@@ -531,6 +550,22 @@ def test_row_keys_of_rows_that_are_no_files(spark, edge):
         assert keyed.count() == docs.count() == keyed.select("tag").distinct().count()
 
 
+def test_rows_that_stand_in_for_others_are_found(spark, tmp_path):
+    """As many rows as the file has, with the same sum of places, some of them twice: keys are made of stored rows then."""
+    path = str(tmp_path / "d")
+    spark.range(0, 1000, 1, 1).withColumnRenamed("id", "doc_id").write.parquet(path)
+    docs = spark.read.parquet(path)
+    places = lambda df: df.selectExpr("1 AS file_", "_metadata.row_index AS place_")
+    twice = docs.where("doc_id not in (1, 2)").unionByName(docs.where("doc_id in (0, 3)"))
+    places_twice = places(docs.where("doc_id not in (1, 2)")).unionByName(places(docs.where("doc_id in (0, 3)")))
+    assert twice.count() == 1000 and places_twice.selectExpr("sum(place_)").first() == places(docs).selectExpr("sum(place_)").first()
+    assert whole_files(places(docs)) and not whole_files(places_twice) and not whole_files(places(docs.where("doc_id < 900 or doc_id = 950")))
+    assert whole_files(places(docs.where("false")))
+    for some in (docs.where("doc_id % 3 = 1"), docs.join(spark.range(2).hint("broadcast"), F.lit(True)).where("id = 0 or doc_id < 10").drop("id"), twice):
+        keyed = staged(with_row_keys(some, "tag"), "keyed")
+        assert keyed.count() == some.count() == keyed.select("tag").distinct().count()
+
+
 def test_inner_nodes_keep_about_one_common_path_a_level():
     """Six levels of branching lose no share of the pairs of similarity 0.8 that 16 trees would not make up for."""
     import numpy as np
