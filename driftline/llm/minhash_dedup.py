@@ -8,10 +8,11 @@ its own hash, every fourth one two, and each set goes to the child that its toke
 The first ``FIRST_TREES`` trees go first: their nodes of at most ``NODE`` sets are compared exhaustively, larger ones in blocks,
 each with the node's pivots, and confirmed links give first components. The other trees then count a node's sets and its
 components: what one component has to itself is closed, since its links would join nothing. Of the open nodes small ones are
-compared exhaustively and large ones branch on, until they are small or branching does not part them any more (``parted``).
+compared exhaustively and large ones branch on, until they are small, or few of their sets are outside the largest component, or
+branching does not part them any more (``parted``).
 Those are compared in full: the sets outside a node's largest component, in blocks, meet every block of the node.
 
-Comparison first parts a node's sets by how many tokens agree, with a margin of four and a half standard deviations. What
+Comparison first parts a node's sets by how many tokens agree across components, with a margin of four and a half standard deviations. What
 is left are small clusters, mostly the same ones from all trees; each distinct cluster is compared once, on full sets read
 again from the texts, and confirmed links that join it make edges. Links inside what is already connected need no edge, so
 no group gives all its pairs. The edges' connected components are the classes.
@@ -183,14 +184,14 @@ def members(rows: DataFrame, above: Column | None = None) -> DataFrame:
 
 
 def blocks(large: DataFrame, most: int) -> DataFrame:
-    """node, rep: blocks of half a node's size of the large nodes' sets, with the node's pivots in each."""
+    """node, rep, root: blocks of half a node's size of the large nodes' sets, with the node's pivots in each. Each set is its own root."""
     order = [F.xxhash64("rep", "node", F.lit(i)) for i in range(PIVOTS)]
     pivots = large.groupBy(F.col("node").alias("of")).agg(F.max("n").alias("n_"), F.array(*[F.min_by("rep", o) for o in order]).alias("pivots"))
     count = lambda n: F.ceil(n / F.lit(max(most // 2 - PIVOTS, 1))).cast("int")
     own = large.select(F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), count(F.col("n")).cast("long"))).alias("node"), "rep")
     shared = pivots.select("of", F.explode(F.sequence(F.lit(0), count(F.col("n_")) - 1)).alias("block"), "pivots")
     shared = shared.select(F.xxhash64("of", F.col("block").cast("long")).alias("node"), F.explode("pivots").alias("rep"))
-    return own.unionByName(shared).distinct()
+    return own.unionByName(shared).distinct().withColumn("root", F.col("rep"))
 
 
 def outside(large: DataFrame) -> DataFrame:
@@ -201,7 +202,7 @@ def outside(large: DataFrame) -> DataFrame:
 
 
 def crossed(large: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
-    """node, rep that bring together all pairs of a large node's sets but those inside its largest component.
+    """node, rep, root that bring together all pairs of a large node's sets but those inside its largest component.
 
     The node's sets are dealt to blocks, and so are those outside its largest component (``sizes``, of ``outside``). Each
     block of the latter meets each of the former, once where the two are blocks of outsiders alone.
@@ -217,34 +218,59 @@ def crossed(large: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("inside") - 1), lambda x: F.struct(F.col("at").alias("a"), (-1 - x).alias("b"))),
     )
     met = F.when(F.col("inner"), F.transform(every, lambda x: F.struct(x.alias("a"), (-1 - F.col("at")).alias("b")))).otherwise(within)
-    pairs = joined.select("node", "rep", inner.alias("inner"), "outside", "inside", at.alias("at")).select("node", "rep", F.explode(met).alias("pair"))
-    return pairs.select(F.xxhash64("node", "pair.a", "pair.b").alias("node"), "rep")
+    pairs = joined.select("node", "rep", "root", inner.alias("inner"), "outside", "inside", at.alias("at")).select("node", "rep", "root", F.explode(met).alias("pair"))
+    return pairs.select(F.xxhash64("node", "pair.a", "pair.b").alias("node"), "rep", "root")
 
 
 def first_leaves(sets: DataFrame, trees: range, most: int) -> DataFrame:
-    """node, rep to compare from trees whose large nodes are only compared in blocks."""
+    """node, rep, root to compare from trees whose large nodes are only compared in blocks."""
     found = members(paths(sets, trees))
-    return found.where(F.col("n") <= most).select("node", "rep").unionByName(blocks(found.where(F.col("n") > most), most))
+    return found.where(F.col("n") <= most).select("node", "rep", "root").unionByName(blocks(found.where(F.col("n") > most), most))
 
 
 def leaves(sets: DataFrame, trees: range, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """node, rep of all small open nodes, and of the blocks of nodes that branching does not part (None if there are none)."""
+    """node, rep, root of all small open nodes, and of the blocks of nodes that branching does not part (None if there are none).
+
+    A node with at most ``most`` sets outside its largest component does not branch on: comparing these with all of it takes some
+    four rows a set, while branching would list a family of near copies again at every level.
+    """
     small, whole = [], []
     found = members(paths(sets, trees))
     while True:
-        small.append(found.where(F.col("n") <= most).select("node", "rep"))
+        small.append(found.where(F.col("n") <= most).select("node", "rep", "root"))
         large = found.where(F.col("n") > most)
         if large.isEmpty():
             break
         sizes = staged(outside(large), "large-nodes").withColumn("cross", F.col("n").cast("double") * (F.col("n") - F.col("most")))
-        rows = large.drop("n").join(sizes.select("of", F.col("n"), "cross"), F.col("node") == F.col("of")).drop("of")
-        rows = staged(rows.withColumn("parted", parted(F.col("n"), F.col("cross"), F.col("above"))), "large-members")
+        rows = large.drop("n").join(sizes.select("of", F.col("n"), "giant", "most", "cross"), F.col("node") == F.col("of")).drop("of")
+        on = parted(F.col("n"), F.col("cross"), F.col("above")) & (F.col("n") - F.col("most") > most)
+        rows = staged(rows.withColumn("parted", on).drop("most"), "large-members")
         if not rows.where("not parted").isEmpty():
-            whole.append(crossed(rows.where("not parted"), sizes, CROSSED * most))
+            whole.append(rows.where("not parted").select("node", "rep", "root", "giant"))
         children = staged(branched(rows.where("parted"), sets), "paths")
         found = members(children, F.col("above"))
         discard(children)
-    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, whole) if whole else None
+    if not whole:
+        return reduce(DataFrame.unionByName, small), None
+    large = staged(merged(staged(reduce(DataFrame.unionByName, whole), "whole-nodes"), CROSSED * most), "merged-nodes")
+    return reduce(DataFrame.unionByName, small), crossed(large, outside(large), CROSSED * most)
+
+
+def merged(whole: DataFrame, most: int) -> DataFrame:
+    """node, rep, root of the nodes ``whole`` (node, rep, root, giant), those of one largest component as one where that takes fewer rows to cross.
+
+    Trees bring the same outsiders to the same family again and again; together they meet it once.
+    """
+    inner, half = F.col("root") == F.col("giant"), max(most // 2, 1)
+    rows = lambda n, m: n * F.ceil((n - m) / half) + (n - m) * F.ceil(m / half)
+    sizes = [F.count("*").alias("n"), F.count_if(inner).alias("m")]
+    apart = whole.groupBy("node", "giant").agg(*sizes).groupBy("giant").agg(F.sum(rows(F.col("n"), F.col("m"))).alias("apart"))
+    families = whole.select("giant", "rep", "root").distinct()
+    together = families.groupBy("giant").agg(*sizes).select("giant", rows(F.col("n"), F.col("m")).alias("together"))
+    fewer = staged(together.join(apart, "giant").where("together < apart").select(F.col("giant").alias("of")), "merged-families")
+    on = F.col("giant") == F.col("of")
+    one = families.join(fewer, on, "left_semi").select(F.xxhash64("giant", F.lit("family")).alias("node"), "rep", "root")
+    return whole.join(fewer, on, "left_anti").select("node", "rep", "root").unionByName(one)
 
 
 def parted(n: Column, cross: Column, above: Column) -> Column:
@@ -268,30 +294,38 @@ def roots_of(n: int, pairs: np.ndarray) -> np.ndarray:
 
 
 def clusters(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """cluster, rep: sets of a node that estimated similarities connect. A cluster's name is a hash of its sets."""
+    """cluster, rep, root: sets of a node (node, rep, root) that estimated similarities of different components connect.
+
+    Similarities inside a component join nothing, so a family that is already connected gives no rows by itself. A cluster's
+    name is a hash of its sets.
+    """
     least = int(np.ceil(TOKENS * (PERCENT / 100 - DEVIATIONS * np.sqrt(PERCENT * (100 - PERCENT) / 1e4 / TOKENS))))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(batches, "node"):
-            m, rep = matrix(part.column("tokens")), part.column("rep").to_numpy()
-            ends, names, reps = bounds(part.column("node").to_numpy()), [], []
+            m, rep, own = matrix(part.column("tokens")), part.column("rep").to_numpy(), part.column("root").to_numpy()
+            ends, names, reps, roots = bounds(part.column("node").to_numpy()), [], [], []
             for lo, hi in zip(ends[:-1], ends[1:]):
-                near = np.concatenate([(m[at : min(at + 32, hi), None] == m[None, lo:hi]).sum(2) >= least for at in range(lo, hi, 32)]) if hi - lo > 2 else None
-                if near is None:
-                    label = np.zeros(2, int) if hi - lo == 2 and (m[lo] == m[lo + 1]).sum() >= least else np.arange(hi - lo)
-                else:
-                    label = roots_of(hi - lo, np.argwhere(np.triu(near, 1)))
+                near = [np.zeros((0, 2), int)]
+                for at in range(lo, hi, 32):
+                    i, j = np.nonzero(own[at : min(at + 32, hi), None] < own[None, lo:hi])  # each pair of different components once
+                    for k in range(0, len(i), 8192):
+                        a, b = i[k : k + 8192] + at - lo, j[k : k + 8192]
+                        hit = (m[lo + a] == m[lo + b]).sum(1) >= least
+                        near.append(np.column_stack([a[hit], b[hit]]))
+                label = roots_of(hi - lo, np.concatenate(near))
                 for root in np.flatnonzero(np.bincount(label) > 1):
                     inside = lo + np.flatnonzero(label == root)
                     with np.errstate(over="ignore"):
                         names.append(np.full(len(inside), mix(rep[inside].view(np.uint64)).sum(), np.uint64))
                     reps.append(rep[inside])
+                    roots.append(own[inside])
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(reps))], ["cluster", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(roots))], ["cluster", "rep", "root"])
 
     nodes = staged(nodes, "compared")
-    held = with_tokens(nodes, sets).select("node", "rep", "tokens").repartition("node").sortWithinPartitions("node")
-    found = staged(held.mapInArrow(rows, "cluster long, rep long").distinct(), "clusters")
+    held = with_tokens(nodes, sets).select("node", "rep", "root", "tokens").repartition("node").sortWithinPartitions("node")
+    found = staged(held.mapInArrow(rows, "cluster long, rep long, root long").distinct(), "clusters")
     discard(nodes)
     return found
 
@@ -360,13 +394,6 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return only_rows(docs.select("tag", "text"), wanted, "tag", "rep").mapInArrow(rows, "rep long, hashes binary")
 
 
-def undecided(found: DataFrame, done: DataFrame) -> DataFrame:
-    """cluster, rep, root of ``found`` (cluster, rep) in clusters that hold more than one component of ``done``."""
-    labelled = found.join(done.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("cluster", "rep", F.coalesce("root", "rep").alias("root"))
-    open_ = labelled.groupBy(F.col("cluster").alias("of")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("of")
-    return labelled.join(open_, F.col("cluster") == F.col("of"), "left_semi")
-
-
 def joined_by(found: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Stored edges of the clusters ``found`` (cluster, rep, root; a stored table)."""
     whole = full_sets(docs, found, k)
@@ -381,15 +408,14 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT, trees: int = TREES,
     narrow = staged(base.drop("tokens"), "documents")
     discard(base)
     first = clusters(first_leaves(sets.withColumn("root", F.col("rep")), range(min(FIRST_TREES, trees)), node), sets)
-    edges = joined_by(first.withColumn("root", F.col("rep")), docs, k, percent)
+    edges = joined_by(first, docs, k, percent)
     done = components(edges)
     discard(first, edges)
     known = done.select(F.col("u").alias("of"), F.col("v").alias("known"))
     rooted = staged(looked_up(sets, "rep", known, "of").select("rep", "tokens", F.coalesce("known", "rep").alias("root")), "rooted-sets")
     small, whole = leaves(rooted, range(FIRST_TREES, trees), node)
-    found = clusters(small if whole is None else small.unionByName(whole), sets)
-    open_ = staged(undecided(found, done), "undecided")
-    discard(rooted, found)
+    open_ = clusters(small if whole is None else small.unionByName(whole), sets)
+    discard(rooted)
     if not open_.isEmpty():
         edges, before = joined_by(open_, docs, k, percent), done
         done = components(done.unionByName(edges))
