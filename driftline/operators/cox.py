@@ -85,6 +85,88 @@ def partial_sums(design: DataFrame, columns: list[str], event: str, group: str,
     return made.groupBy(group).agg(*(F.sum(n).alias(n) for n in names))
 
 
+#: Rows of a task that are added up at once.
+ROWS_AT_ONCE = 1 << 16
+
+
+def group_moments(x: np.ndarray, d: np.ndarray, key: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of ``key`` and for each a row of deaths, eta and x over deaths, and the moments of all rows and of deaths, by matrix products."""
+    order = np.argsort(key, kind="stable")
+    x, d, key = x[order], d[order], key[order]
+    ends = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    eta = np.clip(x @ beta, -500, 500)
+    one = np.column_stack([np.ones(len(x)), x])
+    weighed, upper = np.exp(eta)[:, None] * one, np.triu_indices(x.shape[1] + 1)
+    out = []
+    for lo, hi in zip(ends[:-1], ends[1:]):
+        own, dead = one[lo:hi], np.flatnonzero(d[lo:hi]) + lo
+        fallen = d[dead]
+        out.append(np.concatenate([[fallen.sum(), fallen @ eta[dead]], fallen @ x[dead], (weighed[lo:hi].T @ own)[upper], (weighed[dead].T @ (fallen[:, None] * one[dead]))[upper]]))
+    return key[ends[:-1]], np.array(out)
+
+
+def likelihood(design: DataFrame, columns: list[str], event: str, group: str, beta: np.ndarray, centre: np.ndarray, scale: np.ndarray, ties: str) -> tuple[float, np.ndarray, np.ndarray]:
+    """``efron`` of ``partial_sums`` for designs of many columns: a risk set's sums travel as one array.
+
+    Tasks add up their rows, then whole risk sets; the driver adds a row a task of the coefficients' size.
+    """
+    p = len(columns)
+    moved, upper = 1 + p + p * (p + 1) // 2, np.triu_indices(p)
+
+    def added(held: dict[int, np.ndarray], keys, rows) -> None:
+        for k, row in zip(keys.tolist(), rows):
+            held[k] = held[k] + row if k in held else row
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        waiting, n = [], 0
+
+        def flush() -> None:
+            table = pa.Table.from_batches(waiting)
+            take = lambda c: table.column(c).to_numpy()
+            x = (np.column_stack([take(c).astype(float) for c in columns]) - centre) / scale
+            added(held, *group_moments(x, take(event).astype(float), take(group), beta))
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                n += batch.num_rows
+            if n >= ROWS_AT_ONCE:
+                flush()
+                waiting, n = [], 0
+        if n:
+            flush()
+        if held:
+            values = np.array(list(held.values()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), lists], [group, "sums"])
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                added(held, batch.column(group).to_numpy(), batch.column("sums").flatten().to_numpy().reshape(batch.num_rows, -1))
+        rows = np.array([v for v in held.values() if v[0] > 0])
+        if len(rows):
+
+            def unpack(m: np.ndarray) -> list[np.ndarray]:
+                square = np.zeros((len(m), p, p))
+                square[:, upper[0], upper[1]] = m[:, 1 + p :]
+                square[:, upper[1], upper[0]] = m[:, 1 + p :]
+                return [m[:, 0], m[:, 1 : 1 + p], square]
+
+            ll, score, info = risk_set_terms(rows[:, 0], unpack(rows[:, 2 + p : 2 + p + moved]), unpack(rows[:, 2 + p + moved :]), ties)
+            row = np.concatenate([[rows[:, 1].sum() - ll], rows[:, 2 : 2 + p].sum(0) - score, info[upper]])
+            yield pa.RecordBatch.from_arrays([pa.array([row.tolist()], pa.list_(pa.float64()))], ["terms"])
+
+    made = design.select(F.col(group).cast("long").alias(group), F.col(event).cast("double").alias(event), *[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(sums, f"{group} long, sums array<double>")
+    found = [r["terms"] for r in made.repartition(group).mapInArrow(terms, "terms array<double>").collect()]
+    row = np.sum(np.array(found), axis=0) if found else np.zeros(moved)
+    info = np.zeros((p, p))
+    info[upper] = row[1 + p :]
+    return float(row[0]), row[1 : 1 + p], info + np.triu(info, 1).T
+
+
 #: The smallest factors of a falling product that are taken one by one; the rest is in closed form.
 DIRECT = 16
 
@@ -300,7 +382,7 @@ def fit_cox(
                 made = efron(sums, p, ties)
                 discard(*stored)
                 return made
-            return efron(partial_sums(held, columns, event, group, beta, mean, sd), p, ties)
+            return likelihood(held, columns, event, group, beta, mean, sd, ties)
 
         beta = np.zeros(p)
         now = at(beta)
