@@ -248,6 +248,13 @@ class Posteriors:
         """curve, draw, place."""
         return np.swapaxes(self.at @ self.beta, 1, 2)
 
+    def moments(self) -> tuple[np.ndarray, np.ndarray]:
+        """Means and standard deviations over draws at each place of the grid, from those of the coefficients: no curve is made."""
+        middle = self.beta.mean(2)
+        apart = self.beta - middle[:, :, None]
+        spread = apart @ np.swapaxes(apart, 1, 2) / self.beta.shape[2]
+        return (self.at @ middle[:, :, None])[:, :, 0], np.sqrt(np.maximum(((self.at @ spread) * self.at).sum(-1), 0.0))
+
 
 def spline_posterior(x: np.ndarray, y: np.ndarray, grid: np.ndarray, df: int, draws: int, rng: np.random.Generator) -> Posterior:
     """``spline_posteriors`` of one curve."""

@@ -53,7 +53,7 @@ class PosteriorConfig:
 
 
 #: Drawn values that a kernel holds at once.
-CHUNK_VALUES = 1 << 21
+CHUNK_VALUES = 1 << 18
 
 
 def posteriors(batch: pa.RecordBatch, c: PosteriorConfig) -> Iterator[tuple[np.ndarray, np.ndarray, splines.Posteriors, np.ndarray]]:
@@ -111,9 +111,9 @@ def posterior_summaries(long: DataFrame, config: PosteriorConfig) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for own, grid, fit, mu in posteriors(batch, config):
-            curves = fit.curves + mu[:, :, None]
+            middle, sd = fit.moments()
             keys = [batch.column(k).take(pa.array(own)) for k in KEYS]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(own), config.draws, np.int64)), listed(grid), listed(curves.mean(1)), listed(curves.std(1))], [*KEYS, "draws", "grid", "mean", "sd"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(own), config.draws, np.int64)), listed(grid), listed(middle + mu), listed(sd)], [*KEYS, "draws", "grid", "mean", "sd"])
 
     return over_windows(long, config.window, config.min_points, rows, "patient_id string, lab string, time double, draws long, grid array<double>, mean array<double>, sd array<double>")
 

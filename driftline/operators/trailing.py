@@ -51,7 +51,9 @@ def series_chunks(rows: DataFrame, keys: list[str], width: float, time: str = "t
     known = rows.where(F.col(value).isNotNull() & F.col(time).isNotNull()).select(*keys, F.col(time).cast("double").alias("t_"), F.col(value).cast("double").alias("v_"))
     # a little further than the width, so that rounding leaves no point out; the kernel compares times itself
     listed = known.select("*", F.explode(F.sequence(place(F.col("t_")), place(F.col("t_") + F.lit(width * (1 + 1e-9) + 1e-9)))).alias("chunk_"))
-    made = listed.groupBy(*keys, "chunk_").agg(F.array_sort(F.collect_list(F.struct("t_", "v_"))).alias("p_"))
+    # as many partitions as a shuffle has: few bytes of points are much work, which adaptive coalescing would put into one task
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = listed.repartition(max(parts, 2 * rows.sparkSession.sparkContext.defaultParallelism), *keys, "chunk_").groupBy(*keys, "chunk_").agg(F.array_sort(F.collect_list(F.struct("t_", "v_"))).alias("p_"))
     return made.select(*keys, "chunk_", F.col("p_.t_").alias("t"), F.col("p_.v_").alias("v"))
 
 
