@@ -110,9 +110,11 @@ def aggregate_to_bins(dynamic: DataFrame, static: DataFrame, features: list[str]
 
     Binary features carry the last value at or before the bin's start, and the first value before that (0 without rows).
     Others take the bin's mean, carry it forward, and fill what is left with the median over all bins (``fills`` as in ``median_fill``).
+    ``dynamic`` is read twice: the patients' starts, the features' rows and the grid are stored, as several branches read each.
     """
-    own = dynamic.where(F.col("feature_name").isin(features))
-    grid = bin_grid(static, dynamic, width)
+    own = staged(dynamic.where(F.col("feature_name").isin(features)).select("pid", "time", "feature_name", "value"), "features")
+    starts = staged(treatment_start(dynamic), "treatment-starts")
+    grid = staged(bin_grid(static, starts, width), "grid")
     kinds = binary_features(own, prefixes)
     flagged = own.join(kinds, ["pid", "feature_name"])
     means = wide(binned_mean(flagged.where(~F.col("is_binary")), grid, width), features)
@@ -122,7 +124,7 @@ def aggregate_to_bins(dynamic: DataFrame, static: DataFrame, features: list[str]
     found = grid.join(means.withColumnsRenamed({c: f"mean_{c}" for c in features}), ["pid", "bin_idx"], "left").join(carried.withColumnsRenamed({c: f"held_{c}" for c in features}), ["pid", "bin_idx"], "left")
     absent = {c: F.lit(0.0) if c.startswith(prefixes) else F.lit(None).cast("double") for c in features}
     found = found.withColumns({c: F.coalesce(f"held_{c}", f"mean_{c}", absent[c]) for c in features})
-    found = found.join(treatment_start(dynamic), "pid", "left").withColumn("treatment", treated_at(F.col("start"), F.col("t_start")))
+    found = found.join(starts, "pid", "left").withColumn("treatment", treated_at(F.col("start"), F.col("t_start")))
     return median_fill(forward_fill(found, features), features, fills=fills).select("pid", "bin_idx", "start", "stop", "treatment", *features)
 
 
