@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -484,6 +485,35 @@ def test_quality_training_converges(spark, sf, loss):
     assert -np.log(p).mean() < loss
 
 
+def test_models_count_all_texts_and_labelled_rows(spark, tmp_path):
+    """Spark's counts make the model that all words at hand make: more rows of a class than any sample had, texts without a label too."""
+    import numpy as np
+
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("ab<") + rng.choice("abcdefgh") * rng.randint(1, 4) + rng.choice(["", ".", "é"]) for _ in range(6))) for i in range(3_600)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([*rows, (9_999, None)], "doc_id long, text string").repartition(3).write.parquet(path)
+    docs, marked = spark.read.parquet(path), spark.createDataFrame([(i, i % 2) for i in range(2_600)], "doc_id long, toxic int")
+    taught, sizes = toxicity.labelled_rows(docs, marked, "toxic", F.lit(True))
+    assert sizes == {0: 1300, 1: 1300} and taught.count() == 2600
+    grams = toxicity.counted_grams(docs, taught)
+    counts = {}
+    for i, text in rows:
+        for w in set(text.split()):
+            of = counts.setdefault(w, [0, 0, 0])
+            of[0] += 1
+            if i < 2_600:
+                of[1 + i % 2] += 1
+    n = np.array(list(counts.values()))
+    asked = [*counts, "abba", "zz"]
+    plain = toxicity.KneserNey.fit(list(counts), n[:, 1:], (1.0, 4.0), n[:, 0])
+    assert toxicity.collected(grams).model((1.0, 4.0)).words(asked) == pytest.approx(plain.words(asked), rel=1e-5)
+    # with few keys n-grams share them, and every count is still there
+    few = toxicity.collected(grams, 64)
+    assert few.counts.sum() == toxicity.collected(grams).counts.sum() and len(few.keys) <= 6 * 64
+    assert np.isfinite(few.model((2.0,)).words(asked)).all()
+
+
 def test_kneser_ney_models_are_distributions():
     """Probabilities of all continuations of a context add up to no more than one, for the shared and each class's model."""
     import numpy as np
