@@ -150,6 +150,19 @@ def test_quality_rules(edge, edge_rows, labels):
         assert not (r["base_failed"] and r["kept"]) and 0 <= r["anomaly"] <= 1
 
 
+def test_limit_is_of_all_labelled_rows(spark):
+    """More labelled rows than any sample had, put in order."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    bad = rng.integers(0, 2, 25_000)
+    score = np.round(np.clip(rng.normal(0.4 + 0.2 * bad, 0.1), 0, 1), 3)
+    for max_loss in (0.0, 0.01, 0.3):
+        best = max(((bad[score >= x].sum() / bad.sum() - (1 - bad[score >= x]).sum() / (1 - bad).sum(), x) for x in np.unique(score) if (1 - bad[score >= x]).sum() / (1 - bad).sum() <= max_loss), default=(0, 2.0))
+        limit = quality_rules.best_limit(spark.createDataFrame(list(zip(score.tolist(), bad.tolist())), "anomaly double, bad int"), max_loss)
+        assert limit == (best[1] if best[0] > 0 else 2.0)
+
+
 def test_forest_tells_outliers():
     import numpy as np
 
