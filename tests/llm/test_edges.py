@@ -527,6 +527,32 @@ def test_models_count_all_texts_and_labelled_rows(spark, tmp_path):
     assert np.isfinite(few.model((2.0,)).words(asked)).all()
 
 
+def test_driver_keeps_class_counts_of_counted_grams_alone(spark):
+    """Most n-grams are of no class: the driver holds no counts for them, and leaving out a fold still takes off its own."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, f"plain{i:03} words{i % 7} here{i % 5}") for i in range(200)], "doc_id long, text string")
+    marked = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    rows, _ = toxicity.labelled_rows(docs, marked, "toxic", F.lit(True))
+    counted = toxicity.collected(toxicity.counted_grams(docs, rows))
+    assert counted.counts.any(1).all() and len(counted.counts) == len(counted.counted) < len(counted.keys) / 2
+    start = counted.counts[counted.parent[counted.counted] < 0].sum(0)  # every word starts with the frame
+    kinds = rows.collect()
+    of = lambda fold, label: sum(len(r["text"].split()) for r in kinds if (r["fold"], r["label"]) == (fold, label))
+    assert start.tolist() == [of(f, c) for f in range(toxicity.FOLDS) for c in (0, 1)]
+    for fold in range(toxicity.FOLDS):
+        assert np.isfinite(counted.model((1.0,), fold).words(["plain000", "zzz"])).all()
+
+
+def test_driver_sends_models_without_a_second_copy(spark, edge, labels, monkeypatch):
+    """What is broadcast is the model itself, which Spark writes to a file, and not bytes that the driver holds beside it."""
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(type(value)) or send(self, value))
+    model = toxicity.fit(edge, labels, toxicity.learnable())
+    assert toxicity.scored(edge, model).count() == edge.count()
+    assert toxicity.ToxicityModel in sent and not {bytes, bytearray} & set(sent)
+
+
 def test_kneser_ney_models_are_distributions():
     """Probabilities of all continuations of a context add up to no more than one, for the shared and each class's model."""
     import numpy as np
