@@ -553,6 +553,74 @@ def test_driver_sends_models_without_a_second_copy(spark, edge, labels, monkeypa
     assert toxicity.ToxicityModel in sent and not {bytes, bytearray} & set(sent)
 
 
+@pytest.mark.parametrize("most", [1, 7, 10_000])
+def test_texts_are_scored_together_as_one_by_one(monkeypatch, most):
+    """Texts of one batch share their words' likelihoods; features are those of each text, even if the kept words start afresh within a batch."""
+    import numpy as np
+
+    from driftline.llm import words as W
+
+    monkeypatch.setattr(W, "BLOCK", 300)
+    rng = random.Random(5)
+    value = lambda w: (-1.0 - len(w) % 3 - ord(w[0]) % 5 if w else -1.0, -1.0 - ord(w[-1]) % 7 if w else -2.0, len(w) + 1.0)
+    asked = []
+    kept = W.CodedTable(lambda words: asked.append(words) or np.array([value(w) for w in words]), most)
+    texts = [" ".join(rng.choice(["", "\u201e", "<"]) + rng.choice("abcdefé日") * rng.randint(1, 3) + rng.choice(["", ",", "..."]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    texts += [None, "", " \n\u00a0", "...", texts[3], "\u0130STANBUL"]
+    found = toxicity.features(texts, kept, 1)
+    for text, row in zip(texts, found, strict=True):
+        split = toxicity.split(text)
+        expect = toxicity.text_features(split, np.array([value(w.strip(toxicity.EDGE)) for w in split]).reshape(-1, 3))
+        assert row == pytest.approx(expect, rel=1e-12, abs=1e-12)
+    assert all(w == w.strip(toxicity.EDGE) and len(ws) == len(set(ws)) for ws in asked for w in ws)
+    assert found[3].tolist() == found[-2].tolist()
+
+
+def test_word_tables_that_start_afresh_know_all_words_asked():
+    """Known and new words of one text that together are more than the table keeps."""
+    import numpy as np
+
+    from driftline.llm.words import WordTable
+
+    kept = WordTable(lambda words: np.array([[float(len(w))] for w in words]), 5)
+    kept(["a", "bb", "ccc", "dddd"])
+    both = ["a", "bb", "ccc", "dddd", "e" * 5, "e" * 6, "e" * 7]
+    assert kept(both)[:, 0].tolist() == [float(len(w)) for w in both]
+
+
+@pytest.mark.parametrize("most", [2, 400_000])
+def test_word_counts_by_kind(spark, most):
+    """In how many texts of each kind a word is, however often it was passed on; of two forms of a word a text counts for each."""
+    texts = [("One, one two two", 0), ("two 日本, ...", 1), (None, 0), ("", 1), ("one\u2003TWO \U0001f600", 1), ("İx", 0)] * 3
+    made = toxicity.word_counts(spark.createDataFrame(texts, "text string, kind int"), 2, toxicity.EDGE, most).groupBy("word").agg(F.sum("n0"), F.sum("n1"))
+    expect = {}
+    for text, kind in texts:
+        for w in set((text or "").lower().split()):
+            expect.setdefault(w.strip(toxicity.EDGE), [0, 0])[kind] += 1
+    assert {r[0]: [r[1], r[2]] for r in made.collect()} == expect and expect["one"] == [6, 3]
+
+
+def test_only_ngrams_are_shuffled(spark):
+    """An n-gram's count is the sum of its words': one shuffle adds it up, and words are not shuffled before."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(k, f"ab{k % 3} (cab), cab") for k in range(9)], "kind long, text string").selectExpr("kind % 2 AS kind", "text")
+    made = toxicity.gram_counts(docs, ["a", "b"], 1, 2)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    found = {r[0]: tuple(r)[1:] for r in made.groupBy("gram").agg(F.max("initial"), F.sum("a"), F.sum("b")).collect()}
+    n = np.array([[len(set(r["text"].split())) * (r["kind"] == k) for k in (0, 1)] for r in docs.collect()]).sum(0)
+    assert found["<"] == (True, *n) and found["cab>"] == (False, 10, 8) and found["<ab0"] == (True, 2, 1)
+
+
+def test_strings_of_code_points():
+    import numpy as np
+
+    from driftline.llm.words import strings
+
+    words = ["ab", "é日", "x\U0001f600", "\x7f\x80", "\u07ff\u0800", "\uffff\U00010000"]
+    assert strings(np.array([[ord(c) for c in w] for w in words], np.uint64)).to_pylist() == words
+
+
 def test_kneser_ney_models_are_distributions():
     """Probabilities of all continuations of a context add up to no more than one, for the shared and each class's model."""
     import numpy as np
