@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import by_key, staged
 from .asof import asof
 from .ranks import medians
 
@@ -32,14 +32,14 @@ def bin_edges(tmax: Column, width: float) -> Column:
 
 def bin_grid(static: DataFrame, dynamic: DataFrame, width: float = 1.0) -> DataFrame:
     """pid, bin_idx, start, stop: every bin of the patients that have measurements."""
-    known = static.join(dynamic.select("pid"), "pid", "left_semi").where(F.col("Tmax") > 0)
+    known = static.join(by_key(dynamic.select("pid")), "pid", "left_semi").where(F.col("Tmax") > 0)
     grid = known.select("pid", F.explode(F.sequence(F.lit(0), bin_count(F.col("Tmax"), width) - 1)).alias("bin_idx"))
     return grid.withColumn("start", F.col("bin_idx") * F.lit(width)).withColumn("stop", (F.col("bin_idx") + 1) * F.lit(width))
 
 
 def in_bins(dynamic: DataFrame, grid: DataFrame, width: float = 1.0) -> DataFrame:
     """Measurements with their bin, by an equi join on its index."""
-    return dynamic.withColumn("bin_idx", F.floor(F.col("time") / F.lit(width)).cast("int")).join(grid.select("pid", "bin_idx", "start", "stop"), ["pid", "bin_idx"])
+    return dynamic.withColumn("bin_idx", F.floor(F.col("time") / F.lit(width)).cast("int")).join(by_key(grid.select("pid", "bin_idx", "start", "stop")), ["pid", "bin_idx"])
 
 
 def treatment_start(dynamic: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def treated_at(start: Column, t_start: Column) -> Column:
 
 def mark_treated(rows: DataFrame, starts: DataFrame) -> DataFrame:
     """``rows`` with treated = 1 from the patient's start on."""
-    return rows.drop("treated").join(starts, "pid", "left").withColumn("treated", treated_at(F.col("time"), F.col("t_start"))).drop("t_start")
+    return rows.drop("treated").join(by_key(starts), "pid", "left").withColumn("treated", treated_at(F.col("time"), F.col("t_start"))).drop("t_start")
 
 
 def binary_features(dynamic: DataFrame, prefixes: tuple[str, ...] = ("Med",)) -> DataFrame:
@@ -116,15 +116,15 @@ def aggregate_to_bins(dynamic: DataFrame, static: DataFrame, features: list[str]
     starts = staged(treatment_start(dynamic), "treatment-starts")
     grid = staged(bin_grid(static, starts, width), "grid")
     kinds = binary_features(own, prefixes)
-    flagged = own.join(kinds, ["pid", "feature_name"])
+    flagged = own.join(by_key(kinds), ["pid", "feature_name"])
     means = wide(binned_mean(flagged.where(~F.col("is_binary")), grid, width), features)
     binary = flagged.where("is_binary")
-    asked = grid.join(kinds.where("is_binary").select("pid", "feature_name"), "pid").select("pid", "feature_name", "bin_idx", F.col("start").alias("time"))
+    asked = grid.join(by_key(kinds.where("is_binary").select("pid", "feature_name")), "pid").select("pid", "feature_name", "bin_idx", F.col("start").alias("time"))
     carried = wide(asof(asked, binary, ["pid", "feature_name"], ["value"], before_first="first").select("pid", "bin_idx", "feature_name", "value"), features)
-    found = grid.join(means.withColumnsRenamed({c: f"mean_{c}" for c in features}), ["pid", "bin_idx"], "left").join(carried.withColumnsRenamed({c: f"held_{c}" for c in features}), ["pid", "bin_idx"], "left")
+    found = grid.join(by_key(means.withColumnsRenamed({c: f"mean_{c}" for c in features})), ["pid", "bin_idx"], "left").join(by_key(carried.withColumnsRenamed({c: f"held_{c}" for c in features})), ["pid", "bin_idx"], "left")
     absent = {c: F.lit(0.0) if c.startswith(prefixes) else F.lit(None).cast("double") for c in features}
     found = found.withColumns({c: F.coalesce(f"held_{c}", f"mean_{c}", absent[c]) for c in features})
-    found = found.join(starts, "pid", "left").withColumn("treatment", treated_at(F.col("start"), F.col("t_start")))
+    found = found.join(by_key(starts), "pid", "left").withColumn("treatment", treated_at(F.col("start"), F.col("t_start")))
     return median_fill(forward_fill(found, features), features, fills=fills).select("pid", "bin_idx", "start", "stop", "treatment", *features)
 
 
@@ -135,7 +135,7 @@ def aggregate_last(dynamic: DataFrame, static: DataFrame, features: list[str], w
     held = [c for c in features if c.startswith(prefixes)]
     rest = [c for c in features if c not in held]
     rows = last_in_bin(own.where(F.col("feature_name").isin(held)), grid, width).unionByName(binned_mean(own.where(F.col("feature_name").isin(rest)), grid, width))
-    found = grid.join(wide(rows, features), ["pid", "bin_idx"], "left").join(treatment_start(dynamic), "pid", "left")
+    found = grid.join(by_key(wide(rows, features)), ["pid", "bin_idx"], "left").join(by_key(treatment_start(dynamic)), "pid", "left")
     found = forward_fill(found.withColumn("treated", treated_at(F.col("start"), F.col("t_start"))), features)
     found = found.fillna(0.0, subset=held) if held else found
     found = median_fill(found, rest) if rest else found

@@ -10,7 +10,7 @@ from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import by_key, staged
 
 
 def mixed_model(rows: DataFrame, fixed_intercept: bool = False, key: str = "patient_id") -> tuple[DataFrame, dict[str, float]]:
@@ -61,7 +61,7 @@ def mixed_model(rows: DataFrame, fixed_intercept: bool = False, key: str = "pati
     residual = F.col("sy") - sum((F.col(f"sx{i}") * F.lit(float(b)) for i, b in enumerate(beta)), F.lit(0.0))
     effects = sums.select(key, (F.lit(ratio) * residual / (1 + F.lit(ratio) * F.col("n"))).alias("u"))
     sums.unpersist()
-    return rows.join(effects, key, "left").withColumn("predicted", fixed + F.coalesce("u", F.lit(0.0))), {"ratio": ratio, "sigma2": float(s2), **{f"beta{i}": float(b) for i, b in enumerate(beta)}}
+    return rows.join(by_key(effects), key, "left").withColumn("predicted", fixed + F.coalesce("u", F.lit(0.0))), {"ratio": ratio, "sigma2": float(s2), **{f"beta{i}": float(b) for i, b in enumerate(beta)}}
 
 
 def trajectory_classes(effects: DataFrame, columns: list[str], k: int = 5, seed: int = 0, key: str = "patient_id") -> DataFrame:

@@ -398,7 +398,8 @@ def fit_cox(
                     break
                 part /= 2
             beta, now = tried, made
-            if np.abs(part * move).max() < tolerance:
+            # collinear columns leave moves of rounding noise, whatever its size: what the likelihood gained is below its last digits
+            if np.abs(part * move).max() < tolerance or move @ (score - ridge * (beta - part * move)) < 1e-14 * max(abs(ll), 1.0):
                 break
         cov = np.linalg.inv(now[2] + ridge * np.eye(p))
         return HazardModel(columns, beta / sd, mean, np.sqrt(np.maximum(np.diag(cov), 0)) / sd, now[0], step_no)

@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F, types as T
 
-from ..session import staged
+from ..session import by_key, staged
 from .asof import asof
 from .ranks import FEW, running_sum
 
 
 def attach_static(rows: DataFrame, static: DataFrame, columns: list[str] | None = None, on: str = "pid") -> DataFrame:
-    """Static covariates on each row. Spark broadcasts the side that its statistics call small."""
-    return rows.join(static.select(on, *(columns or [c for c in static.columns if c != on])), on, "left")
+    """Static covariates on each row."""
+    return rows.join(by_key(static.select(on, *(columns or [c for c in static.columns if c != on]))), on, "left")
 
 
 def fill_zero(df: DataFrame) -> DataFrame:
@@ -60,17 +60,17 @@ def merge_labs(tables: list[DataFrame], on: tuple[str, ...] = ("patient_id", "ti
 
 def counting_process(static: DataFrame, bins: DataFrame, aligned: DataFrame, static_cols: list[str] | None = None) -> DataFrame:
     """One row per bin: covariates, aligned trajectory covariates, static ones; nulls as 0."""
-    return fill_zero(attach_static(bins.join(aligned, ["pid", "bin_idx"], "left"), static, static_cols))
+    return fill_zero(attach_static(bins.join(by_key(aligned), ["pid", "bin_idx"], "left"), static, static_cols))
 
 
 def cohort(covariates: DataFrame, classes: DataFrame, treatments: DataFrame, on: str = "patient_id", time: str = "time") -> DataFrame:
     """Covariates with class and treatment, where all three know the patient and time."""
-    return covariates.join(classes, on).join(treatments, [on, time])
+    return covariates.join(by_key(classes), on).join(by_key(treatments), [on, time])
 
 
 def with_time(rows: DataFrame, times: DataFrame) -> DataFrame:
     """Rows by (pid, t_idx) with the true time."""
-    return rows.join(times, ["pid", "t_idx"], "left")
+    return rows.join(by_key(times), ["pid", "t_idx"], "left")
 
 
 def at_risk_intervals(intervals: DataFrame, events: DataFrame) -> DataFrame:

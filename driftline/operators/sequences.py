@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
 from ..functions.trajectory import dealt, gather, padded
+from ..session import by_key
 from .binning import bin_grid, event_targets, treated_at, treatment_start
 
 
@@ -71,10 +72,10 @@ def sequence_samples(dynamic: DataFrame, static: DataFrame, embed: list[str], ag
     p, q = range(len(embed)), range(len(aggregate))
     raw = nested(values, "step", {"raw_time": F.col("time"), "X_raw": F.array(*[f"x_{j}" for j in p]), "M_raw": F.array(*[f"m_{j}" for j in p]), "DT_raw": F.array(time_gap(len(embed), dt_mode))})
     grid = bin_grid(static, dynamic, width)
-    targets = event_targets(grid.join(treatment_start(dynamic), "pid", "left").withColumn("treatment", treated_at(F.col("start"), F.col("t_start"))))
+    targets = event_targets(grid.join(by_key(treatment_start(dynamic)), "pid", "left").withColumn("treatment", treated_at(F.col("start"), F.col("t_start"))))
     std = feature_values(grid.select("pid", "bin_idx", F.col("start").alias("time")), dynamic, aggregate, "bin_idx", "first").drop("time")
-    bins = nested(targets.join(std, ["pid", "bin_idx"]), "bin_idx", {"agg_time": F.col("start"), "STD_agg": F.array(*[f"x_{j}" for j in q]), "y_event": F.col("y_event"), "at_risk": F.col("at_risk")})
-    made = bins.join(raw, "pid", "left").join(static, "pid")
+    bins = nested(targets.join(by_key(std), ["pid", "bin_idx"]), "bin_idx", {"agg_time": F.col("start"), "STD_agg": F.array(*[f"x_{j}" for j in q]), "y_event": F.col("y_event"), "at_risk": F.col("at_risk")})
+    made = bins.join(by_key(raw), "pid", "left").join(by_key(static), "pid")
     for c, kind in (("raw_time", "array<double>"), ("X_raw", "array<array<double>>"), ("M_raw", "array<array<double>>"), ("DT_raw", "array<array<double>>")):
         made = made.withColumn(c, F.coalesce(c, F.array().cast(kind)))
     index = F.transform("agg_time", lambda t: F.size(F.filter("raw_time", lambda x: x <= t)) - 1)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.trajectory import Classifier, decline_flags, four_class_flags, increase_flags
 from ..operators import binning, cox, design, riskset, sequences, summaries
-from ..session import staged
+from ..session import by_key, staged
 
 STATIC = ["age", "sex", "cci", "Tmax"]
 #: Classifiers that a stored model names; any other is given to ``load``.
@@ -38,7 +38,7 @@ def prepare_prototype(dynamic: DataFrame, static: DataFrame, embed: list[str], a
     """Bins with last or mean covariates and the embedded features' values, masks and gaps at their starts."""
     kept = dynamic.where(F.col("feature_name").isin([*embed, *aggregate]))
     bins = binning.aggregate_last(kept, static, aggregate, width)
-    return bins.join(sequences.sequences_on_bins(kept, bins.select("pid", "bin_idx", "start"), embed), ["pid", "bin_idx"])
+    return bins.join(by_key(sequences.sequences_on_bins(kept, bins.select("pid", "bin_idx", "start"), embed)), ["pid", "bin_idx"])
 
 
 def onset_only(rows: DataFrame) -> DataFrame:

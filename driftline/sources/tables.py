@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
+from ..session import by_key
+
 DYNAMIC = "pid string, time double, feature_name string, value double, treated int"
 STATIC = "pid string, age int, sex int, cci int, Tmax double"
 #: Day 0 of the event view.
@@ -50,7 +52,7 @@ def event_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events.select("user_id", day.alias("time"), "event_type", "value")
     starts = e.where("event_type = 'signup' and value >= 150").groupBy("user_id").agg(F.min("time").alias("t_start"))
     error = F.col("event_type") == "error"
-    return e.join(starts, "user_id", "left").select(
+    return e.join(by_key(starts), "user_id", "left").select(
         F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("pid"), "time",
         F.when(error, "Med_error").otherwise(F.col("event_type")).alias("feature_name"),
         F.when(error, F.when(F.col("value") >= 50, 1.0).otherwise(0.0)).otherwise(F.col("value")).alias("value"),
@@ -62,7 +64,7 @@ def event_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer that has events."""
     c, e = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.read.parquet(f"{sf_dir}/events.parquet")
     key = F.col("c_custkey")
-    return c.join(e.select(F.col("user_id").alias("c_custkey")), "c_custkey", "left_semi").select(
+    return c.join(by_key(e.select(F.col("user_id").alias("c_custkey"))), "c_custkey", "left_semi").select(
         F.concat(F.lit("P"), key.cast("string")).alias("pid"), (45 + key % 40).cast("int").alias("age"), (F.col("c_nationkey") % 2).cast("int").alias("sex"),
         (key % 6).cast("int").alias("cci"), (20 + key % 11).cast("double").alias("Tmax"),
     )
