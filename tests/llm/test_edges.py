@@ -771,3 +771,29 @@ def test_all_pairs_of_an_unparted_node_meet(spark):
     pairs = {(a, b) for x in met.values() for a in x for b in x if a < b}
     assert {(a, b) for b in range(25, 60) for a in range(b)} <= pairs
     assert max(map(len, met.values())) < 40
+
+
+def test_more_n_grams_than_tasks_look_up_make_the_same_model(spark, edge, tmp_path):
+    """Beyond the n-grams that tasks may hold none is merged with another: tables give the model, the curve and the scores of all of them."""
+    import numpy as np
+
+    rng = random.Random(13)
+    word = lambda k: rng.choice("ab<") + rng.choice("abcdefgh") * rng.randint(1, 4) + ("vile" if k % 2 and rng.random() < 0.3 else rng.choice(["", ".", "é"]))
+    rows = [*((i, " ".join(word(i) for _ in range(rng.randint(1, 40)))) for i in range(900)), (900, None), (901, " \n"), (901, "again ..."), (902, "ab " * 3000)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    docs, marked = spark.read.parquet(path), spark.createDataFrame([(i, i % 2) for i in range(700)], "doc_id long, toxic int")
+    whole, wide = (toxicity.fit(docs, marked, toxicity.learnable(), most) for most in (toxicity.MOST_GRAMS, 64))
+    assert isinstance(wide.models, toxicity.TableModel) and isinstance(whole.models, toxicity.KneserNey)
+    assert wide.share == whole.share and wide.beta == pytest.approx(whole.beta, abs=1e-4) and wide.middle == pytest.approx(whole.middle, abs=1e-5)
+    asked = ["ab", "avile", "zz", "", "ahhq", "qvile", "ñ"]
+    known = {asked[r["id"]]: r["v"] for r in wide.models.values(spark.createDataFrame(list(enumerate(asked)), "id long, word string")).collect()}
+    assert np.array([known[w] for w in asked]) == pytest.approx(whole.models.words(asked), rel=1e-5)
+    # rows of other texts too, with words that no text had
+    other = docs.unionByName(spark.createDataFrame([(2000, "new wörds <avile>"), (2001, "ab?!")], docs.schema)).withColumn("chunk_", F.col("doc_id"))
+    key = lambda made: sorted((r["doc_id"], r["text"] or "", r["chunk_"], *(round(r[c], 5) for c in toxicity.ADDED)) for r in made.collect())
+    first, second = key(toxicity.scored(other, whole)), key(toxicity.scored(other, wide))
+    assert len(first) == len(second) == len(rows) + 2
+    for a, b in zip(first, second):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-3)
+    assert toxicity.scored(edge, wide).count() == edge.count()
